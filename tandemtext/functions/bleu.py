@@ -7,7 +7,7 @@ of a corpus is a plain sum of integers followed by the same closing formula.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from math import log
 
@@ -26,28 +26,39 @@ PARTS = (
 )
 
 # Fixed values of the public 13a tokenization, in the order they apply.
-DROPPED = ("<skipped>", "-\n")
+SKIPPED = "<skipped>"
+BROKEN_WORD = "-\n"
 ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
-SPACING = (
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
-    (r"([^0-9])([\.,])", "$1 $2 "),
-    (r"([\.,])([^0-9])", " $1 $2"),
-    (r"([0-9])(-)", "$1 $2 "),
-)
+SIGNS = "!\"#$%&()*+/:;<=>?@[\\]^_`{|}~"
+STOP_AFTER_NON_DIGIT = (r"([^0-9])([\.,])", "$1 $2 ")
+STOP_BEFORE_NON_DIGIT = (r"([\.,])([^0-9])", " $1 $2")
+DASH_AFTER_DIGIT = (r"([0-9])(-)", "$1 $2 ")
+
+
+def _replace_all(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
+    return reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), pairs, text)
 
 
 def spaced_13a(text: Column) -> Column:
-    """The text with blanks between its 13a tokens."""
-    out = strip_end(text)
-    for token in DROPPED:
-        out = F.replace(out, F.lit(token), F.lit(""))
-    out = F.replace(out, F.lit("\n"), F.lit(" "))
-    for entity, sign in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(sign))
+    """The text with blanks between its 13a tokens.
+
+    Patterns are only used on texts that need them: a stop keeps its digits only in
+    front of one, and elsewhere plain replacement comes to the same.
+    """
+    broken = F.contains(text, F.lit(BROKEN_WORD))
+    out = F.when(broken, _replace_all(strip_end(text), [(SKIPPED, ""), (BROKEN_WORD, "")])) \
+        .otherwise(_replace_all(text, [(SKIPPED, "")]))
+    out = _replace_all(out, [("\n", " ")])
+    out = F.when(F.contains(out, F.lit("&")), _replace_all(out, ENTITIES)).otherwise(out)
     out = F.concat(F.lit(" "), out, F.lit(" "))
-    for pattern, spacing in SPACING:
-        out = F.regexp_replace(out, pattern, spacing)
-    return out
+    out = _replace_all(out, [(sign, f" {sign} ") for sign in SIGNS])
+    by_pattern = F.regexp_replace(
+        F.regexp_replace(out, *STOP_AFTER_NON_DIGIT), *STOP_BEFORE_NON_DIGIT
+    )
+    out = F.when(F.rlike(out, F.lit("[.,][0-9]")), by_pattern) \
+        .otherwise(_replace_all(out, [(".", " . "), (",", " , ")]))
+    return F.when(F.contains(out, F.lit("-")), F.regexp_replace(out, *DASH_AFTER_DIGIT)) \
+        .otherwise(out)
 
 
 def _counting_udf() -> Callable[..., Column]:
@@ -89,7 +100,8 @@ def _counting_udf() -> Callable[..., Column]:
             ])
         return pa.array(rows, type=pa.list_(pa.list_(pa.int32())))
 
-    return F.arrow_udf(count, T.ArrayType(T.ArrayType(T.IntegerType())))
+    # Counted as nondeterministic, so that a filter on a score does not count twice.
+    return F.arrow_udf(count, T.ArrayType(T.ArrayType(T.IntegerType()))).asNondeterministic()
 
 
 def statistics_of(predictions: Sequence[Column], reference: Column) -> Column:

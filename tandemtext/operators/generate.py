@@ -21,7 +21,8 @@ def batched_column(
 
     ``load`` runs once per task and returns the function to apply, which is where a
     model is read. ``batch_size`` bounds what one call sees; without it a call sees
-    an Arrow batch.
+    an Arrow batch. The column counts as nondeterministic, so that no filter on it
+    makes the optimizer call the model twice: filter the rows first.
     """
 
     @F.pandas_udf("string")
@@ -34,7 +35,7 @@ def batched_column(
             pieces = [run(batch.iloc[i:i + size]) for i in range(0, len(batch), size)]
             yield pandas.concat(pieces) if pieces else batch
 
-    return translate(text)
+    return translate.asNondeterministic()(text)
 
 
 def with_candidates(
@@ -79,7 +80,7 @@ def enrich_rows(
     """A column from a function that is called once per row, such as a remote service.
 
     ``partitions`` sets how many calls run side by side. Only ``columns`` travel to
-    the function; a repeated task calls it again for its rows.
+    the function. A repeated task calls it again for its rows, so store the result.
     """
     wanted = list(columns or df.columns)
 
@@ -93,4 +94,4 @@ def enrich_rows(
             yield pandas.Series([run(row) for row in rows], dtype=object)
 
     spread = df.repartition(partitions) if partitions else df
-    return spread.withColumn(name, call(F.struct(*[named(c) for c in wanted])))
+    return spread.withColumn(name, call.asNondeterministic()(F.struct(*[named(c) for c in wanted])))

@@ -123,13 +123,13 @@ def exact_split(
     )
 
 
-def leading_fraction(
+def is_leading(
     df: DataFrame, key: str | Sequence[str], fraction: float, seed: int | str = 42
-) -> DataFrame:
-    """The first ``floor(n * fraction)`` rows of the seeded order."""
+) -> Column:
+    """Whether a row is among the first ``floor(n * fraction)`` of the seeded order."""
     order = order_key(key, seed)
     cuts = _cut_keys(df, order, {"end": F.floor(F.col("n") * F.lit(float(fraction)))})
-    return df.where(_up_to(order, cuts["end"]))
+    return _up_to(order, cuts["end"])
 
 
 def seeded_shuffle(df: DataFrame, key: str | Sequence[str], seed: int | str = 42) -> DataFrame:

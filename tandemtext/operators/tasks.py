@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.functions.text import named, prompt
-from tandemtext.operators.ordering import leading_fraction
+from tandemtext.operators.ordering import is_leading
 
 REPEAT_TASK = "Repeat the best translation"
 
@@ -133,18 +133,16 @@ def epochs_of(
 ) -> DataFrame:
     """Each row once per epoch, with ``epoch`` from 1.
 
-    A last, broken epoch holds the leading part of the seeded order.
+    A last, broken epoch holds the leading part of the seeded order. Every row is
+    read once and repeated in place.
     """
     whole = int(epochs)
-    parts = []
-    if whole:
-        parts.append(df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(whole)))))
+    listed = F.array(*[F.lit(epoch) for epoch in range(1, whole + 1)]).cast("array<int>")
     if epochs > whole:
-        part = leading_fraction(df, key, epochs - whole, seed)
-        parts.append(part.withColumn("epoch", F.lit(whole + 1)))
-    if not parts:
-        return df.withColumn("epoch", F.lit(0)).limit(0)
-    return reduce(DataFrame.unionByName, parts)
+        longer = F.array(*[F.lit(epoch) for epoch in range(1, whole + 2)])
+        leading = is_leading(df, key, epochs - whole, seed)
+        listed = F.when(leading, longer).otherwise(listed)
+    return df.withColumn("epoch", F.explode(listed))
 
 
 def stages(mixture: int, epochs: float) -> list[tuple[str, float]]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tandemtext.operators.corpus import quality_filter, union_corpora
 from tandemtext.operators.logs import RUN_MARKER
 from tandemtext.plans.jobs import build_corpus, score_models
-from tandemtext.sources.files import read_table, spread
+from tandemtext.sources.files import read_table, spread, stored_splits
 
 TASK = "English to Spanish"
 
@@ -26,7 +26,7 @@ def line_pairs(spark: SparkSession, folder: str) -> DataFrame:
     pairs = F.arrays_zip(
         F.slice("l", F.lit(1), count).alias("en"), F.slice("l", F.lit(2), count).alias("es")
     )
-    exploded = lines.where(count > 0).select(
+    exploded = lines.select(
         "doc_id", "lang", "source", F.posexplode(pairs).alias("pos", "pair")
     )
     return exploded.select(
@@ -99,9 +99,18 @@ def stand_in_models() -> dict[str, Callable[[], Callable[[pd.Series], pd.Series]
     return dict(zip(MODELS, (lower_cased, third_words_dropped, words_reversed)))
 
 
+def stored_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The split pairs as the next job finds them: written once, read by split."""
+    return stored_splits(split_pairs(spark, folder), "pairs")
+
+
 def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Split pairs with the candidate and the score of every stand-in."""
-    return score_models(split_pairs(spark, folder), stand_in_models(), "es", "es")
+    """Stored pairs with the candidate and the score of every stand-in, stored again.
+
+    What follows reads scores and candidates many times; the models run once.
+    """
+    pairs = stored_pairs(spark, folder)
+    return stored_splits(score_models(pairs, stand_in_models(), "es", "es"), "scored")
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:

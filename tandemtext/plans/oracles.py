@@ -6,7 +6,14 @@ expressions, put in front of the final SELECT by :func:`sql`.
 
 from __future__ import annotations
 
-from tandemtext.functions.bleu import DROPPED, ENTITIES, SPACING
+from tandemtext.functions.bleu import (
+    BROKEN_WORD,
+    DASH_AFTER_DIGIT,
+    ENTITIES,
+    SKIPPED,
+    STOP_AFTER_NON_DIGIT,
+    STOP_BEFORE_NON_DIGIT,
+)
 from tandemtext.functions.text import WORD
 
 LINES = """
@@ -60,17 +67,19 @@ candidates AS (
   FROM split_pairs)"""
 
 
+# The signs of the 13a tokenization as its published pattern groups them.
+SIGN = (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
+
+
 def tokens_13a(text: str) -> str:
     out = rf"regexp_replace({text}, '\s+$', '')"
-    for token in DROPPED:
-        shown = token.replace("\n", "")
-        quoted = f"'{shown}' || chr(10)" if token.endswith("\n") else f"'{shown}'"
-        out = f"replace({out}, {quoted}, '')"
+    out = f"replace({out}, '{SKIPPED}', '')"
+    out = f"replace({out}, '{BROKEN_WORD[0]}' || chr(10), '')"
     out = f"replace({out}, chr(10), ' ')"
     for entity, sign in ENTITIES:
         out = f"replace({out}, '{entity}', '{sign}')"
     out = f"' ' || {out} || ' '"
-    for pattern, spacing in SPACING:
+    for pattern, spacing in (SIGN, STOP_AFTER_NON_DIGIT, STOP_BEFORE_NON_DIGIT, DASH_AFTER_DIGIT):
         out = f"regexp_replace({out}, '{pattern}', '{spacing.replace('$', chr(92))}', 'g')"
     return rf"list_filter(regexp_split_to_array({out}, '\s+'), lambda w: w <> '')"
 

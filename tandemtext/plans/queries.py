@@ -333,16 +333,15 @@ def candidate_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("id", "split", *[r6(named(name)).alias(name) for name in SCORES])
 
 
-def _per_model(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """The candidates of each model as a table of its own."""
-    pairs = inputs.split_pairs(spark, folder)
-    models = inputs.stand_in_models()
-    return [generate.with_candidates(pairs, "es", {name: models[name]}) for name in MODELS]
-
-
 @query(oracles.sql(f"SELECT id, en, es, split, {MODEL_LIST} FROM candidates", "candidates"))
 def natural_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return merge.natural_merge(_per_model(spark, folder))
+    """The candidates of each model are stored as a table of their own, and merged."""
+    pairs = inputs.stored_pairs(spark, folder)
+    root, paths = scratch_path(spark, "models"), []
+    for name, load in inputs.stand_in_models().items():
+        paths.append(f"{root}/{name}")
+        files.write_splits(generate.with_candidates(pairs, "es", {name: load}), paths[-1])
+    return files.read_splits(spark, jobs.merge_scored(spark, paths, f"{root}/merged"))
 
 
 @query("""
@@ -505,7 +504,7 @@ MIXED = ["id", "prompt", "label", "stage", "task", "epoch"]
 
 
 def _training_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return inputs.scored_pairs(spark, folder), inputs.split_pairs(spark, folder)
+    return inputs.scored_pairs(spark, folder), inputs.stored_pairs(spark, folder)
 
 
 @query(oracles.sql(

@@ -35,6 +35,13 @@ def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
+def stored_splits(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a cut of its lineage."""
+    path = scratch_path(df.sparkSession, label)
+    write_splits(df, path)
+    return read_splits(df.sparkSession, path)
+
+
 def read_language_pair(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
     """A bilingual corpus ``id, translation`` of which only two languages are wanted."""
     stored = spark.read.parquet(path)

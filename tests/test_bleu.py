@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tandemtext.functions import bleu
+from tandemtext.plans import oracles
 
 HAMMER = "Su símbolo era la hoz y el martillo sobre el mundo."
 BLOG = (
@@ -174,3 +175,43 @@ def test_bounds_and_identity(spark, pairs):
     for (text, _), value in zip(same, scores(spark, same)):
         long_enough = len(text.replace(",", " , ").split()) >= 4
         assert value == pytest.approx(100.0 if long_enough else 0.0)
+
+
+def published_13a(text):
+    """The published steps one by one, to compare the shortcuts with."""
+    import re
+
+    out = text.rstrip().replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for entity, sign in bleu.ENTITIES:
+        out = out.replace(entity, sign)
+    out = f" {out} "
+    for pattern, spacing in (
+        oracles.SIGN, bleu.STOP_AFTER_NON_DIGIT, bleu.STOP_BEFORE_NON_DIGIT, bleu.DASH_AFTER_DIGIT
+    ):
+        out = re.sub(pattern, spacing.replace("$", "\\"), out)
+    return out.split()
+
+
+piece = st.sampled_from([".", ",", "5", "a", "-", " ", "\n", "-\n", "&lt;", "&", "é", "(", "'", " "])
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.lists(piece, max_size=9).map("".join), min_size=500, max_size=800))
+def test_shortcuts_tokenize_as_published(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    rows = df.select("i", bleu.spaced_13a(F.col("t")).alias("s")).collect()
+    for row in rows:
+        assert row["s"].split() == published_13a(texts[row["i"]]), repr(texts[row["i"]])
+
+
+def test_runs_of_stops(spark):
+    import itertools
+
+    ends = ["a", "5", " "]
+    texts = [
+        p + "".join(run) + q
+        for p in ends for q in ends for n in range(1, 6) for run in itertools.product(".,", repeat=n)
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    rows = df.select("i", bleu.spaced_13a(F.col("t")).alias("s")).collect()
+    assert all(row["s"].split() == published_13a(texts[row["i"]]) for row in rows)
