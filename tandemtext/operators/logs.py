@@ -12,10 +12,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemtext.functions.text import strip, without_prefix
+from tandemtext.functions.text import named, without_prefix
 
 # Fixed values of the log format.
-RECORD = r"(?s)^VERSION (\S+) : (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) : (.*)$"
+FIELD_SEPARATOR = " : "
+VERSION = r"^VERSION \S+$"
+TIME_STAMP = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"
 RUN_MARKER = "===================== RUN ====================="
 EVALUATION = r"(?s)^((?:PRE|POST)-EVALUATION[^:]*): (\{.*\})$"
 SETTING = r"(?s)^([A-Z() ]+): (.*)$"
@@ -45,7 +47,9 @@ def running_sums(
         return valued.withColumns({name: F.sum(name).over(upto) for name in sums})
     span, *coarser = spans
     level = f"_span_{len(spans)}"
-    stretched = valued.withColumn(level, F.floor(F.col(position) / span))
+    # Never null, so that no null filter keeps the totals from being computed once.
+    number = F.coalesce(F.call_function("div", F.col(position), F.lit(span)), F.lit(0))
+    stretched = valued.withColumn(level, number.cast("bigint"))
     keys = [*group, level]
     totals = stretched.groupBy(*keys).agg(*[F.sum(name).alias(f"_of_{name}") for name in sums])
     before = running_sums(
@@ -67,17 +71,23 @@ def running_sums(
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds ``version, ts, message``; a line without the prefix is all message."""
-    is_record = F.col("value").rlike(RECORD)
-    return lines.select(
-        "*",
-        F.when(is_record, F.regexp_extract("value", RECORD, 1)).alias("version"),
-        F.when(is_record, F.regexp_extract("value", RECORD, 2))
-        .try_cast("timestamp_ntz")
-        .alias("ts"),
-        F.when(is_record, F.regexp_extract("value", RECORD, 3))
-        .otherwise(F.col("value"))
-        .alias("message"),
+    fields = F.split("value", FIELD_SEPARATOR, 3)
+    begins = F.startswith("value", F.lit("VERSION "))
+    split = lines.withColumn("_f", F.when(begins, fields))
+    version, ts, message = (F.get("_f", F.lit(i)) for i in range(3))
+    is_record = (
+        begins & message.isNotNull() & version.rlike(VERSION) & ts.rlike(TIME_STAMP)
     )
+    return split.withColumn("_is_record", is_record).select(
+        *map(named, lines.columns),
+        F.when(F.col("_is_record"), F.substring(version, len("VERSION ") + 1, 1 << 30)).alias("version"),
+        F.when(F.col("_is_record"), ts).try_cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("_is_record"), message).otherwise(F.col("value")).alias("message"),
+    )
+
+
+def _bare(message: Column) -> Column:
+    return F.btrim(message, F.lit(" \t\r\n"))
 
 
 def number_records(parsed: DataFrame) -> DataFrame:
@@ -85,8 +95,9 @@ def number_records(parsed: DataFrame) -> DataFrame:
 
     A continuation line has the number of the record it continues.
     """
-    message = strip(F.col("message"))
+    message = _bare(F.col("message"))
     is_record = F.col("version").isNotNull()
+    is_section = is_record & F.endswith(message, F.lit(":")) & message.rlike(SECTION)
     return running_sums(
         parsed,
         ["file"],
@@ -94,7 +105,7 @@ def number_records(parsed: DataFrame) -> DataFrame:
         {
             "run_no": (is_record & (message == RUN_MARKER)).cast("int"),
             "record_no": is_record.cast("int"),
-            "section_no": (is_record & message.rlike(SECTION)).cast("int"),
+            "section_no": is_section.cast("int"),
         },
     )
 
@@ -146,7 +157,7 @@ def run_settings(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A setting belongs to the last section header of its run, or to section ''.
     """
-    message = strip(F.col("message"))
+    message = _bare(F.col("message"))
     lines = numbered.where(F.col("version").isNotNull()).select(
         "file", "run_no", "section_no", message.alias("m")
     )
@@ -190,7 +201,7 @@ def sample_translations(parsed: DataFrame, task: str, indices: DataFrame | None
     for each of them, and a missing sample is null.
     """
     header = rf'^TRANSLATION (\d+) on "\Q{task}\E"$'
-    message = strip(F.col("message"))
+    message = _bare(F.col("message"))
     announced = (
         parsed.where(message.rlike(header))
         .groupBy("file", F.regexp_extract(message, header, 1).cast("bigint").alias("i"))
