@@ -7,7 +7,7 @@ of a corpus is a plain sum of integers followed by the same closing formula.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from math import log
 
@@ -16,8 +16,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandemtext.functions.text import strip_end
-
 MAX_ORDER = 4
 PARTS = (
     "sys_len", "ref_len",
@@ -30,75 +28,124 @@ SKIPPED = "<skipped>"
 BROKEN_WORD = "-\n"
 ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 SIGNS = "!\"#$%&()*+/:;<=>?@[\\]^_`{|}~"
-STOP_AFTER_NON_DIGIT = (r"([^0-9])([\.,])", "$1 $2 ")
-STOP_BEFORE_NON_DIGIT = (r"([\.,])([^0-9])", " $1 $2")
-DASH_AFTER_DIGIT = (r"([0-9])(-)", "$1 $2 ")
-
-
-def _replace_all(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    return reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), pairs, text)
+STOP_AFTER_NON_DIGIT = (r"([^0-9])([\.,])", r"\1 \2 ")
+STOP_BEFORE_NON_DIGIT = (r"([\.,])([^0-9])", r" \1 \2")
+DASH_AFTER_DIGIT = (r"([0-9])(-)", r"\1 \2 ")
 
 
-def spaced_13a(text: Column) -> Column:
-    """The text with blanks between its 13a tokens.
+def spacer_13a() -> Callable[[pa.Array], pa.Array]:
+    """Puts blanks between the 13a tokens of an Arrow array of texts.
 
-    Patterns are only used on texts that need them: a stop keeps its digits only in
-    front of one, and elsewhere plain replacement comes to the same.
+    Patterns only run on texts that need them: a stop keeps its place only in front
+    of a digit, and elsewhere plain replacement comes to the same. All it needs is
+    local, so it travels with the plan.
     """
-    broken = F.contains(text, F.lit(BROKEN_WORD))
-    out = F.when(broken, _replace_all(strip_end(text), [(SKIPPED, ""), (BROKEN_WORD, "")])) \
-        .otherwise(_replace_all(text, [(SKIPPED, "")]))
-    out = _replace_all(out, [("\n", " ")])
-    out = F.when(F.contains(out, F.lit("&")), _replace_all(out, ENTITIES)).otherwise(out)
-    out = F.concat(F.lit(" "), out, F.lit(" "))
-    out = _replace_all(out, [(sign, f" {sign} ") for sign in SIGNS])
-    by_pattern = F.regexp_replace(
-        F.regexp_replace(out, *STOP_AFTER_NON_DIGIT), *STOP_BEFORE_NON_DIGIT
-    )
-    out = F.when(F.rlike(out, F.lit("[.,][0-9]")), by_pattern) \
-        .otherwise(_replace_all(out, [(".", " . "), (",", " , ")]))
-    return F.when(F.contains(out, F.lit("-")), F.regexp_replace(out, *DASH_AFTER_DIGIT)) \
-        .otherwise(out)
+    skipped, broken, entities, signs = SKIPPED, BROKEN_WORD, ENTITIES, SIGNS
+    stops, dash = (STOP_AFTER_NON_DIGIT, STOP_BEFORE_NON_DIGIT), DASH_AFTER_DIGIT
+
+    def spaced(texts: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        def replace(array, pairs):
+            for old, new in pairs:
+                array = pc.replace_substring(array, old, new)
+            return array
+
+        def where(mask, change, array):
+            """``change`` applied to the texts of the mask."""
+            if not pc.any(mask).as_py():
+                return array
+            return pc.replace_with_mask(array, mask, change(array.filter(mask)))
+
+        def by_pattern(array):
+            array = pc.binary_join_element_wise(" ", array, " ", "")
+            for pattern, spacing in stops:
+                array = pc.replace_substring_regex(array, pattern, spacing)
+            return array
+
+        out = replace(pc.utf8_rtrim_whitespace(texts), [(skipped, ""), (broken, ""), ("\n", " ")])
+        out = where(pc.match_substring(out, "&"), lambda a: replace(a, entities), out)
+        out = replace(out, [(sign, f" {sign} ") for sign in signs])
+        numeric = pc.match_substring_regex(out, "[.,][0-9]")
+        plain = replace(out, [(".", " . "), (",", " , ")])
+        if pc.any(numeric).as_py():
+            plain = pc.replace_with_mask(plain, numeric, by_pattern(out.filter(numeric)))
+        return where(
+            pc.match_substring(plain, "-"), lambda a: pc.replace_substring_regex(a, *dash), plain
+        )
+
+    return spaced
 
 
 def _counting_udf() -> Callable[..., Column]:
-    # Everything the worker needs is local, so it is shipped with the plan.
-    max_order = MAX_ORDER
+    max_order, spaced = MAX_ORDER, spacer_13a()
+    # Texts are counted together up to this size, which bounds memory and key width.
+    chunk_bytes = 1 << 19
 
     def count(references: pa.Array, *predictions: pa.Array) -> pa.Array:
-        from collections import Counter
-
-        def grams(tokens, order):
-            return Counter(zip(*(tokens[i:] for i in range(order)))) if order > 1 else Counter(tokens)
-
-        def pair(tokens, ref_tokens, ref_grams):
-            matches = []
+        import numpy as np
+        import pyarrow.compute as pc
+
+        def packed(high, low, low_size):
+            """Pairs of numbers as one number; the first is renumbered if it gets too wide."""
+            if len(high) and (int(high.max()) + 1) * low_size >= 1 << 63:
+                high = np.unique(high, return_inverse=True)[1]
+            return high * low_size + low
+
+        def chunk(columns):
+            rows, texts = len(columns[0]), pa.concat_arrays(columns).fill_null("")
+            tokens = pc.utf8_split_whitespace(spaced(texts))
+            encoded = tokens.flatten().dictionary_encode()
+            codes = encoded.indices.to_numpy().astype(np.int64)
+            text_of = np.repeat(np.arange(len(texts)), pc.list_value_length(tokens).to_numpy())
+            blank = pc.index(encoded.dictionary, "").as_py()
+            if blank >= 0:
+                codes, text_of = codes[codes != blank], text_of[codes != blank]
+            vocabulary = len(encoded.dictionary) + 1
+            lengths = np.bincount(text_of, minlength=len(texts)).reshape(len(columns), rows)
+            row_of = text_of % rows
+            out = np.zeros((rows, len(columns) - 1, 2 + 2 * max_order), dtype=np.int32)
+            out[:, :, 0], out[:, :, 1] = lengths[1:].T, lengths[0][:, None]
+            grams = codes
             for order in range(1, max_order + 1):
-                # Without a match of one order there is none of a longer one.
-                if matches and not matches[-1]:
-                    matches.append(0)
+                if order > 1:
+                    grams = packed(grams[:-1], codes[order - 1:], vocabulary)
+                inside = text_of[:len(grams)] == text_of[order - 1:]
+                of_row, of_text = row_of[:len(grams)][inside], text_of[:len(grams)][inside]
+                keys = packed(grams[inside], of_row, rows)
+                ends = np.searchsorted(of_text, np.arange(len(columns) + 1) * rows)
+                wanted, wanted_times = np.unique(keys[:ends[1]], return_counts=True)
+                out[:, :, 1 + max_order + order] = np.maximum(lengths[1:].T - order + 1, 0)
+                if not len(wanted):
                     continue
-                if len(ref_grams) < order:
-                    ref_grams.append(grams(ref_tokens, order))
-                wanted, found = ref_grams[order - 1], grams(tokens, order)
-                if len(found) > len(wanted):
-                    wanted, found = found, wanted
-                matches.append(sum(min(n, wanted[g]) for g, n in found.items() if g in wanted))
-            totals = [max(len(tokens) - order, 0) for order in range(max_order)]
-            return [len(tokens), len(ref_tokens), *matches, *totals]
-
-        rows = []
-        for reference, *candidates in zip(
-            references.to_pylist(), *(column.to_pylist() for column in predictions)
-        ):
-            ref_tokens = None if reference is None else reference.split()
-            ref_grams: list = []
-            rows.append([
-                None if ref_tokens is None or text is None
-                else pair(text.split(), ref_tokens, ref_grams)
-                for text in candidates
-            ])
-        return pa.array(rows, type=pa.list_(pa.list_(pa.int32())))
+                for i in range(len(columns) - 1):
+                    found, times = np.unique(keys[ends[i + 1]:ends[i + 2]], return_counts=True)
+                    at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+                    same = wanted[at] == found
+                    clipped = np.minimum(times[same], wanted_times[at[same]])
+                    out[:, i, 1 + order] = np.bincount(found[same] % rows, clipped, rows)
+            return out
+
+        columns = [references, *predictions]
+        sizes = np.cumsum(sum(pc.fill_null(pc.binary_length(c), 0).to_numpy() for c in columns))
+        parts, start = [], 0
+        while start < len(references):
+            before = sizes[start - 1] if start else 0
+            stop = max(int(np.searchsorted(sizes, before + chunk_bytes)), start + 1)
+            parts.append(chunk([c.slice(start, stop - start) for c in columns]))
+            start = stop
+        width, parts_per_row = 2 + 2 * max_order, len(predictions)
+        flat = np.concatenate(parts).reshape(-1) if parts else np.zeros(0, dtype=np.int32)
+        n = len(references) * parts_per_row
+        missing = np.zeros(n, dtype=bool)
+        for i, column in enumerate(predictions):
+            unknown = pc.or_(pc.is_null(column), pc.is_null(references))
+            missing[i::parts_per_row] = unknown.to_numpy(zero_copy_only=False)
+        stats = pa.ListArray.from_arrays(
+            pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(flat), mask=pa.array(missing)
+        )
+        bounds = np.arange(len(references) + 1) * parts_per_row
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), stats)
 
     # Counted as nondeterministic, so that a filter on a score does not count twice.
     return F.arrow_udf(count, T.ArrayType(T.ArrayType(T.IntegerType()))).asNondeterministic()
@@ -109,7 +156,7 @@ def statistics_of(predictions: Sequence[Column], reference: Column) -> Column:
 
     The reference is tokenized and counted once, however many predictions it has.
     """
-    return _counting_udf()(spaced_13a(reference), *(spaced_13a(p) for p in predictions))
+    return _counting_udf()(reference, *predictions)
 
 
 def statistics(prediction: Column, reference: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.functions.text import words
+from tandemtext.sources.files import with_row_index
 
 # Ids of the special tokens, and the label the loss leaves out.
 PAD, EOS, UNK = 0, 1, 2
@@ -30,10 +31,9 @@ def build_vocabulary(texts: DataFrame, max_size: int = MAX_VOCABULARY) -> DataFr
     used = texts.select(F.explode(words(F.col(column))).alias("token")).groupBy("token").agg(
         F.count("*").alias("uses")
     )
-    head = used.orderBy(F.desc("uses"), "token").limit(max_size)
-    # At most max_size rows are left to number.
-    rank = F.row_number().over(Window.orderBy(F.desc("uses"), "token"))
-    return head.select((rank + (len(SPECIALS) - 1)).cast("int").alias("id"), "token", "uses")
+    ranked = with_row_index(used, F.desc("uses"), "token")
+    kept = ranked.where(F.col("row_index") < max_size)
+    return kept.select((F.col("row_index") + len(SPECIALS)).cast("int").alias("id"), "token", "uses")
 
 
 class Vocabulary:

@@ -179,26 +179,36 @@ def run_settings(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def stage_durations(numbered: DataFrame) -> DataFrame:
-    """Seconds from each record to the next one of the same run."""
+    """Seconds from each record to the next one of the same run.
+
+    Every record reports its time to itself and to the record before it, so that a
+    group of two holds both times.
+    """
     records = numbered.where(F.col("version").isNotNull() & F.col("ts").isNotNull())
-    before = records.select("file", "run_no", "record_no", "line_no", "message", "ts")
-    after = records.select(
-        "file",
-        "run_no",
-        (F.col("record_no") - 1).alias("record_no"),
-        F.col("ts").alias("next_ts"),
-    )
-    return before.join(after, ["file", "run_no", "record_no"]).withColumn(
-        "seconds", F.timestamp_diff("SECOND", F.col("ts"), F.col("next_ts"))
+    own = F.struct(F.col("record_no").alias("record_no"), F.col("line_no").alias("line_no"),
+                   F.col("message").alias("message"), F.col("ts").alias("ts"),
+                   F.lit(None).cast("timestamp_ntz").alias("next_ts"))
+    next_one = F.struct((F.col("record_no") - 1).alias("record_no"),
+                        F.lit(None).cast("bigint").alias("line_no"),
+                        F.lit(None).cast("string").alias("message"),
+                        F.lit(None).cast("timestamp_ntz").alias("ts"),
+                        F.col("ts").alias("next_ts"))
+    reports = records.select("file", "run_no", F.inline(F.array(own, next_one)))
+    both = reports.groupBy("file", "run_no", "record_no").agg(
+        *[F.max(name).alias(name) for name in ("line_no", "message", "ts", "next_ts")]
     )
+    known = both.where(F.col("ts").isNotNull() & F.col("next_ts").isNotNull())
+    return known.withColumn("seconds", F.timestamp_diff("SECOND", F.col("ts"), F.col("next_ts")))
 
 
-def sample_translations(parsed: DataFrame, task: str, indices: DataFrame | None = None) -> DataFrame:
+def sample_translations(
+    parsed: DataFrame, task: str, indices: Sequence[int] | None = None
+) -> DataFrame:
     """``file, i, translation`` of the samples of a task.
 
     A sample is the first line of a file announcing its number; its translation
-    stands two lines below. With ``indices`` (a column ``i``) every file has a row
-    for each of them, and a missing sample is null.
+    stands two lines below. With ``indices`` every file has a row for each of them,
+    and a missing sample is null.
     """
     header = rf'^TRANSLATION (\d+) on "\Q{task}\E"$'
     message = _bare(F.col("message"))
@@ -211,9 +221,6 @@ def sample_translations(parsed: DataFrame, task: str, indices: DataFrame | None
     found = announced.join(texts, ["file", "line_no"], "left").select("file", "i", "translation")
     if indices is None:
         return found
-    # Every file asks for every listed sample: the list of files explodes by the list.
-    listed = F.array_sort(F.collect_set("i"))
-    asked = parsed.select("file").distinct().select(
-        "file", F.explode(indices.agg(listed).scalar()).alias("i")
-    )
+    listed = F.array(*[F.lit(i).cast("bigint") for i in indices])
+    asked = parsed.select("file").distinct().select("file", F.explode(listed).alias("i"))
     return asked.join(found, ["file", "i"], "left")

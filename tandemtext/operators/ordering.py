@@ -1,7 +1,9 @@
 """Seeded orders, exact cuts through them, splits, samples and previews.
 
 A seeded order sorts by ``md5(seed|key)``, so it depends on the rows alone: not on
-partitions, files or repeated tasks. The key has to be unique.
+partitions, files or repeated tasks. The key has to be unique: a cut that would fall
+between rows of the same key is an error. Tables without one get it from
+``with_row_key``.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from tandemtext.sources.files import with_row_index
 
 # Leading hex digits that form a bucket of the order: 65,536 buckets at most.
 BUCKET_DIGITS = 4
+# Heads up to this length are kept in one task.
+SMALL_HEAD = 10_000
 
 
 def order_key(key: str | Sequence[str], seed: int | str = 42) -> Column:
@@ -57,25 +61,25 @@ def _cut_keys(df: DataFrame, order: Column, cuts: dict[str, Column]) -> Column:
     wanted = buckets.select("_bucket", "_before", "_rows", F.inline(ranks)).where(
         (F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_before") + F.col("_rows"))
     )
-    in_bucket = Window.partitionBy("cut").orderBy("_order")
-    found = (
+    # Rows with the same key are counted before they meet in one task.
+    in_bucket = Window.partitionBy("cut").orderBy("_order").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    candidates = (
         keyed.join(F.broadcast(wanted.drop("_rows")), "_bucket")
-        .select(
-            "cut",
-            "_order",
-            (F.col("_before") + F.row_number().over(in_bucket)).alias("_rank"),
-            F.lead("_order").over(in_bucket).alias("_next"),
-            "rank",
-        )
-        .where(F.col("_rank") == F.col("rank"))
+        .groupBy("cut", "rank", "_before", "_order")
+        .agg(F.count("*").alias("_times"))
+        .withColumn("_upto", F.col("_before") + F.sum("_times").over(in_bucket))
+    )
+    found = candidates.where(
+        (F.col("_upto") - F.col("_times") < F.col("rank")) & (F.col("rank") <= F.col("_upto"))
+    )
+    exact = F.when(F.col("_upto") == F.col("rank"), F.col("_order")).otherwise(
+        F.raise_error(F.lit("the key is not unique, so the cut is not exact"))
     )
-    unique = F.when(
-        F.col("_next") == F.col("_order"),
-        F.raise_error(F.lit("the key is not unique, so the cut is not exact")),
-    ).otherwise(F.col("_order"))
     return found.agg(
         F.struct(
-            *[F.max(F.when(F.col("cut") == name, unique)).alias(name) for name in cuts]
+            *[F.max(F.when(F.col("cut") == name, exact)).alias(name) for name in cuts]
         ).alias("cuts")
     ).scalar()
 
@@ -145,7 +149,11 @@ def sample_rows(
     df: DataFrame, key: str | Sequence[str], n: int, seed: int | str = 42
 ) -> DataFrame:
     """``n`` rows at random, without replacement: the head of the seeded order."""
-    return seeded_shuffle(df, key, seed).limit(n)
+    order = order_key(key, seed)
+    if n <= SMALL_HEAD:
+        return df.orderBy(order).limit(n)
+    cuts = _cut_keys(df, order, {"end": F.least(F.col("n"), F.lit(n))})
+    return df.where(_up_to(order, cuts["end"]))
 
 
 def preview_rows(df: DataFrame, *order_by: Column | str, n: int, inclusive: bool = True) -> DataFrame:
@@ -161,8 +169,12 @@ def first_rows(df: DataFrame, *order_by: Column | str, n: int, name: str = "i")
 
 
 def rows_at(df: DataFrame, positions: Sequence[int], *order_by: str) -> DataFrame:
-    """The rows at the given 0-based positions of an order."""
-    return with_row_index(df, *order_by).where(F.col("row_index").isin(list(positions)))
+    """The rows at the given 0-based positions of an order, with ``row_index``."""
+    if max(positions) < SMALL_HEAD:
+        numbered = first_rows(df, *order_by, n=max(positions) + 1, name="row_index")
+    else:
+        numbered = with_row_index(df, *order_by)
+    return numbered.where(F.col("row_index").isin(list(positions)))
 
 
 def sort_by_identity(df: DataFrame, key: str = "id") -> DataFrame:

@@ -68,7 +68,7 @@ candidates AS (
 
 
 # The signs of the 13a tokenization as its published pattern groups them.
-SIGN = (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
+SIGN = (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 ")
 
 
 def tokens_13a(text: str) -> str:
@@ -80,7 +80,7 @@ def tokens_13a(text: str) -> str:
         out = f"replace({out}, '{entity}', '{sign}')"
     out = f"' ' || {out} || ' '"
     for pattern, spacing in (SIGN, STOP_AFTER_NON_DIGIT, STOP_BEFORE_NON_DIGIT, DASH_AFTER_DIGIT):
-        out = f"regexp_replace({out}, '{pattern}', '{spacing.replace('$', chr(92))}', 'g')"
+        out = f"regexp_replace({out}, '{pattern}', '{spacing}', 'g')"
     return rf"list_filter(regexp_split_to_array({out}, '\s+'), lambda w: w <> '')"
 
 

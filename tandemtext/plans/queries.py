@@ -503,6 +503,13 @@ judge_rows AS (SELECT id, ': ' || en AS prompt, {BEST} AS label, {WORST} AS bad
 MIXED = ["id", "prompt", "label", "stage", "task", "epoch"]
 
 
+@query(oracles.sql(f"""
+SELECT id FROM pairs ORDER BY {oracles.order_key("id", 3)} LIMIT 12000""", "pairs"))
+def large_random_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Too many rows for one task, so the sample is cut out of the seeded order."""
+    return ordering.sample_rows(inputs.pairs(spark, folder).select("id"), "id", 12_000, seed=3)
+
+
 def _training_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return inputs.scored_pairs(spark, folder), inputs.stored_pairs(spark, folder)
 
@@ -866,15 +873,18 @@ def log_samples(spark: SparkSession, folder: str) -> DataFrame:
     return logs.sample_translations(parsed, TASK)
 
 
-@query(oracles.sql("""
-SELECT f.file, b.item_id AS i, s.translation
-FROM (SELECT DISTINCT file FROM numbered) f CROSS JOIN benchmark b
-LEFT JOIN samples s ON s.file = f.file AND s.i = b.item_id""", "numbered", extra=SAMPLES))
+SAMPLE_NUMBERS = (0, 5, 34, 35, 57, 58, 73, 9999)
+
+
+@query(oracles.sql(f"""
+SELECT f.file, CAST(l.i AS BIGINT) AS i, s.translation
+FROM (SELECT DISTINCT file FROM numbered) f
+CROSS JOIN (VALUES {", ".join(f"({i})" for i in SAMPLE_NUMBERS)}) l(i)
+LEFT JOIN samples s ON s.file = f.file AND s.i = l.i""", "numbered", extra=SAMPLES))
 def log_samples_listed(spark: SparkSession, folder: str) -> DataFrame:
     """Asked for by number: a sample that a log does not have is null."""
     parsed = logs.parse_lines(inputs.log_lines(spark, folder))
-    listed = files.read_table(spark, folder, "benchmark").select(F.col("item_id").alias("i"))
-    return logs.sample_translations(parsed, TASK, listed)
+    return logs.sample_translations(parsed, TASK, SAMPLE_NUMBERS)
 
 
 LOG_NAMES = [f"finetune-{lang}.log" for lang in ("de", "en", "es", "fr")]

@@ -24,6 +24,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def with_row_key(scan: DataFrame, name: str = "row_key") -> DataFrame:
+    """A unique key for the rows of a parquet table that has none: file and row number.
+
+    ``scan`` has to come straight from the reader.
+    """
+    metadata = F.col("_metadata")
+    key = F.concat_ws("#", metadata["file_path"], metadata["row_index"].cast("string"))
+    return scan.select("*", key.alias(name))
+
+
 def read_splits(spark: SparkSession, path: str, split: str = "") -> DataFrame:
     """A split dictionary, or one of its splits; the filter prunes whole directories."""
     stored = spark.read.parquet(path)
@@ -108,11 +118,13 @@ def with_row_index(df: DataFrame, *order_by: str, name: str = "row_index") -> Da
 
     The sorted rows are written to the shared folder, one file per range of the
     sort. Positions are then row number in the file plus the size of the files
-    before it, which does not change when a task is repeated.
+    before it, which does not change when a task is repeated. Equal rows keep their
+    order, and however many there are, the sort can cut between them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "row-index")
-    df.orderBy(*order_by).write.parquet(path)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    tied.orderBy(*order_by, "_tie").drop("_tie").write.parquet(path)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
     placed = spark.read.parquet(path).select(
         "*",
