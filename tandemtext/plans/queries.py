@@ -729,7 +729,7 @@ SELECT en AS "English", count(*) AS times FROM line_pairs WHERE en <> '' GROUP B
 def sentence_file(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "sentences")
     lines = inputs.line_pairs(spark, folder).where("en <> ''").select("en")
-    lines.write.csv(path, sep="\t", quote='"', escape='"')
+    files.write_sentences(lines, path)
     read = files.read_sentences(spark, path)
     return read.groupBy("English").agg(F.count("*").alias("times"))
 

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from tandemtext.session import scratch_path
 
+# Quotes are doubled, and blanks at the ends of a cell belong to it.
+CELLS = {
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a scan with fewer splits than the cluster has cores one partition per core.
@@ -63,13 +70,17 @@ def read_language_pair(spark: SparkSession, path: str, source: str, target: str)
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV with a header, doubled quotes and line breaks inside quoted cells."""
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
+    reader = spark.read.options(header=True, multiLine=True, **CELLS)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def read_sentences(spark: SparkSession, path: str, column: str = "English") -> DataFrame:
     """One text column, tab separated, no header."""
-    return spark.read.schema(f"`{column}` STRING").csv(path, sep="\t", quote='"', escape='"')
+    return spark.read.schema(f"`{column}` STRING").options(sep="\t", **CELLS).csv(path)
+
+
+def write_sentences(df: DataFrame, path: str) -> None:
+    df.write.options(sep="\t", **CELLS).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, index_by: list[str] | None = None) -> None:
@@ -79,7 +90,7 @@ def write_csv(df: DataFrame, path: str, index_by: list[str] | None = None) -> No
         df = numbered.select(
             F.col("_c0").alias(""), *[F.col(f"`{name}`") for name in df.columns]
         )
-    df.write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    df.write.options(header=True, emptyValue="", **CELLS).csv(path)
 
 
 def number_in_file_order(scan: DataFrame, name: str = "line_no") -> DataFrame:
