@@ -689,7 +689,30 @@ def ignored_labels_replaced(spark: SparkSession, folder: str) -> DataFrame:
     return turns.select("conv_id", "turn", joined(encode.without_ignored(masked)).alias("labels"))
 
 
-@query()
+ENCODED = {"input_ids": "p", "labels": "l", "labels_good": "g", "labels_bad": "b"}
+ENCODED_ROWS = f"""
+examples AS (SELECT id, ': ' || en AS p, es AS l, {BEST} AS g, {WORST} AS b FROM scored),
+texts AS ({" UNION ALL ".join(
+    f"SELECT id AS k, '{name}' AS col, {side} AS t FROM examples" for name, side in ENCODED.items())}),
+text_ids AS (
+  SELECT k, col, list(coalesce(v.id, 2) ORDER BY i) AS ids
+  FROM (SELECT k, col, unnest(w) AS token, unnest(range(len(w))) AS i
+        FROM (SELECT k, col, {oracles.words("t")} AS w FROM texts)) x
+  LEFT JOIN vocabulary v USING (token) WHERE i < 99 GROUP BY k, col),
+ended AS (
+  SELECT k, col, list_append(coalesce(ids, CAST([] AS INT[])), 1) AS ids
+  FROM texts LEFT JOIN text_ids USING (k, col)),
+padded AS (
+  SELECT k, col, len(ids) AS n,
+    array_to_string(list_concat(ids, list_transform(range(100 - len(ids)), lambda i: 0)), ' ') AS ids
+  FROM ended)"""
+
+
+@query(oracles.sql(f"""
+SELECT {", ".join(f"max(ids) FILTER (col = '{name}') AS {name}" for name in ENCODED)},
+  rtrim(repeat('1 ', max(n) FILTER (col = 'input_ids'))
+        || repeat('0 ', 100 - max(n) FILTER (col = 'input_ids'))) AS attention_mask
+FROM padded GROUP BY k""", "scored", extra=ENGLISH_VOCABULARY + "," + ENCODED_ROWS))
 def encoded_preference_examples(spark: SparkSession, folder: str) -> DataFrame:
     """What a preference trainer reads: prompt, good and bad text as ids, nothing else."""
     known = encode.Vocabulary(_english_vocabulary(spark, folder))
