@@ -158,24 +158,32 @@ def run_settings(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
     A setting belongs to the last section header of its run, or to section ''.
     """
     message = _bare(F.col("message"))
+    wanted = list(keys)
+
+    def setting(group: int) -> Column:
+        return F.regexp_extract("m", SETTING, group)
+
     lines = numbered.where(F.col("version").isNotNull()).select(
         "file", "run_no", "section_no", message.alias("m")
     )
-    headers = lines.where(F.col("m").rlike(SECTION)).select(
-        "file", "run_no", "section_no", F.regexp_extract("m", SECTION, 1).alias("section")
-    )
-    settings = lines.where(F.col("m").rlike(SETTING)).select(
+    is_header = F.endswith("m", F.lit(":")) & F.col("m").rlike(SECTION)
+    told = lines.select(
         "file",
         "run_no",
         "section_no",
-        F.regexp_extract("m", SETTING, 1).alias("key"),
-        F.regexp_extract("m", SETTING, 2).alias("text"),
+        F.when(is_header, F.regexp_extract("m", SECTION, 1)).alias("section"),
+        F.when(~is_header & F.col("m").rlike(SETTING), setting(1)).alias("key"),
+        F.when(~is_header, setting(2)).alias("text"),
+    ).where(F.col("section").isNotNull() | F.col("key").isin(wanted))
+    values = [F.max(F.when(F.col("key") == key, F.col("text"))).alias(key) for key in wanted]
+    # A section of an earlier run has no header in this one.
+    sections = told.groupBy("file", "run_no", "section_no").agg(
+        F.coalesce(F.max("section"), F.lit("")).alias("section"), *values
     )
-    found = settings.where(F.col("key").isin(list(keys))).join(
-        headers, ["file", "run_no", "section_no"], "left"
+    found = sections.where(F.coalesce(*map(named, wanted)).isNotNull())
+    return found.groupBy("file", "run_no", "section").agg(
+        *[F.max(named(key)).alias(key) for key in wanted]
     )
-    placed = found.withColumn("section", F.coalesce("section", F.lit("")))
-    return placed.groupBy("file", "run_no", "section").pivot("key", list(keys)).agg(F.max("text"))
 
 
 def stage_durations(numbered: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ between rows of the same key is an error. Tables without one get it from
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -140,9 +141,12 @@ def seeded_shuffle(df: DataFrame, key: str | Sequence[str], seed: int | str = 42
     return df.orderBy(order_key(key, seed))
 
 
-def shuffle(df: DataFrame) -> DataFrame:
-    """A different order on every run."""
-    return df.orderBy(F.rand())
+def shuffle(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """A different order on every run: the seeded order of a seed drawn now.
+
+    Sorting by ``rand()`` instead could lose rows when a task is repeated.
+    """
+    return seeded_shuffle(df, key, seed=random.getrandbits(64))
 
 
 def sample_rows(

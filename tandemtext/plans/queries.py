@@ -178,7 +178,7 @@ def seeded_shuffle_order(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(oracles.sql("SELECT id, length(en) AS en_chars FROM pairs", "pairs"))
 def unseeded_shuffle(spark: SparkSession, folder: str) -> DataFrame:
-    shuffled = ordering.shuffle(inputs.pairs(spark, folder))
+    shuffled = ordering.shuffle(inputs.pairs(spark, folder), "id")
     return shuffled.select("id", F.length("en").cast("bigint").alias("en_chars"))
 
 

@@ -129,13 +129,14 @@ def with_row_index(df: DataFrame, *order_by: str, name: str = "row_index") -> Da
 
     The sorted rows are written to the shared folder, one file per range of the
     sort. Positions are then row number in the file plus the size of the files
-    before it, which does not change when a task is repeated. Equal rows keep their
-    order, and however many there are, the sort can cut between them.
+    before it, which does not change when a task is repeated. Rows with equal keys
+    are ordered by content, so the sort can cut between them however many there are.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "row-index")
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    tied.orderBy(*order_by, "_tie").drop("_tie").write.parquet(path)
+    # By content and not by position: a repeated task may see its rows in another order.
+    content = F.xxhash64(*[f"`{column}`" for column in df.columns])
+    df.orderBy(*order_by, content).write.parquet(path)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
     placed = spark.read.parquet(path).select(
         "*",
