@@ -127,7 +127,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(RUN_MARKER),
         F.concat(F.lit("MODEL: hub/"), F.col("source")),
         F.lit("HYPERPARAMETERS:"),
-        F.concat(F.lit("\tEPOCHS: "), (F.col("doc_id") % 3 + 1).cast("string")),
+        F.concat(F.lit("\tEPOCHS: "), (F.length("source") - 3).cast("string")),
         F.concat(F.lit("\tTRAINING SIZE: "), size),
         F.concat(
             F.lit("PRE-EVALUATION (VALIDATION): {'eval_loss': "), loss,
@@ -152,14 +152,15 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     messages = F.concat(head, F.flatten(blocks))
-    lines = runs.select("doc_id", "lang", F.posexplode(messages).alias("seq", "message"))
+    number = F.replace("source", F.lit("src"), F.lit(""))
+    lines = runs.select(
+        "doc_id", "lang", number.alias("number"), F.posexplode(messages).alias("seq", "message")
+    )
     seconds = F.col("doc_id") * 60 + F.col("seq")
     ts = F.timestamp_add(
         "SECOND", seconds, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     ).cast("string")
-    prefix = F.concat(
-        F.lit("VERSION 1.1."), (F.col("doc_id") % 12).cast("string"), F.lit(" : "), ts, F.lit(" : ")
-    )
+    prefix = F.concat(F.lit("VERSION 1.1."), "number", F.lit(" : "), ts, F.lit(" : "))
     is_continuation = (F.col("seq") >= 7) & ((F.col("seq") - 7) % 5 == 4)
     return lines.select(
         F.concat(F.lit("finetune-"), F.col("lang"), F.lit(".log")).alias("file"),

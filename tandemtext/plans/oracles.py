@@ -165,26 +165,26 @@ scored AS (
 LOG_LINES = r"""
 log_docs AS (SELECT doc_id, lang, source, text, string_split(text, chr(10)) AS l FROM documents),
 log_messages AS (
-  SELECT doc_id, lang, 0 AS seq, '===================== RUN =====================' AS message FROM log_docs
-  UNION ALL SELECT doc_id, lang, 1, 'MODEL: hub/' || source FROM log_docs
-  UNION ALL SELECT doc_id, lang, 2, 'HYPERPARAMETERS:' FROM log_docs
-  UNION ALL SELECT doc_id, lang, 3, chr(9) || 'EPOCHS: ' || (doc_id % 3 + 1) FROM log_docs
-  UNION ALL SELECT doc_id, lang, 4, chr(9) || 'TRAINING SIZE: ' || length(text) FROM log_docs
-  UNION ALL SELECT doc_id, lang, 5, 'PRE-EVALUATION (VALIDATION): {''eval_loss'': ' || doc_id
+  SELECT doc_id, lang, source, 0 AS seq, '===================== RUN =====================' AS message FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 1, 'MODEL: hub/' || source FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 2, 'HYPERPARAMETERS:' FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 3, chr(9) || 'EPOCHS: ' || (length(source) - 3) FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 4, chr(9) || 'TRAINING SIZE: ' || length(text) FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 5, 'PRE-EVALUATION (VALIDATION): {''eval_loss'': ' || doc_id
       || '.5, ''eval_counts'': [1, 2], ''eval_size'': ' || length(text) || '}' FROM log_docs
-  UNION ALL SELECT doc_id, lang, 6, 'POST-EVALUATION (TEST): {''eval_loss'': ' || doc_id
+  UNION ALL SELECT doc_id, lang, source, 6, 'POST-EVALUATION (TEST): {''eval_loss'': ' || doc_id
       || '.5, ''epoch'': 2.0}' FROM log_docs
-  UNION ALL SELECT doc_id, lang, 7 + 5 * pos,
+  UNION ALL SELECT doc_id, lang, source, 7 + 5 * pos,
       'TRANSLATION ' || pos || ' on "English to Spanish"' FROM line_pairs
-  UNION ALL SELECT doc_id, lang, 8 + 5 * pos, chr(9) || 'Original Text: ' || en FROM line_pairs
-  UNION ALL SELECT doc_id, lang, 9 + 5 * pos,
+  UNION ALL SELECT doc_id, lang, source, 8 + 5 * pos, chr(9) || 'Original Text: ' || en FROM line_pairs
+  UNION ALL SELECT doc_id, lang, source, 9 + 5 * pos,
       chr(9) || 'Generated Translation: ' || lower(en) FROM line_pairs
-  UNION ALL SELECT doc_id, lang, 10 + 5 * pos, chr(9) || 'Actual Translation: ' || es FROM line_pairs
-  UNION ALL SELECT doc_id, lang, 11 + 5 * pos, en FROM line_pairs),
+  UNION ALL SELECT doc_id, lang, source, 10 + 5 * pos, chr(9) || 'Actual Translation: ' || es FROM line_pairs
+  UNION ALL SELECT doc_id, lang, source, 11 + 5 * pos, en FROM line_pairs),
 log_lines AS (
   SELECT 'finetune-' || lang || '.log' AS file, doc_id * 1048576 + seq AS line_no,
     CASE WHEN seq >= 7 AND (seq - 7) % 5 = 4 THEN message
-         ELSE 'VERSION 1.1.' || (doc_id % 12) || ' : '
+         ELSE 'VERSION 1.1.' || replace(source, 'src', '') || ' : '
            || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 60 + seq),
                        '%Y-%m-%d %H:%M:%S') || ' : ' || message END AS value
   FROM log_messages)"""

@@ -71,14 +71,14 @@ def flatten_struct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(oracles.sql("""
-SELECT id, en, CASE WHEN pos % 2 = 0 THEN es END AS es FROM line_pairs""", "line_pairs"))
+SELECT id, en, CASE WHEN lang <> 'de' THEN es END AS es FROM line_pairs""", "line_pairs"))
 def language_pair_read(spark: SparkSession, folder: str) -> DataFrame:
     """A stored corpus with more languages than wanted, and some rows without one of them."""
     pairs = inputs.line_pairs(spark, folder)
     three = F.create_map(
         F.lit("en"), F.col("en"), F.lit("es"), F.col("es"), F.lit("fr"), F.upper("en")
     )
-    some = F.map_filter(three, lambda language, _: (language != "es") | (F.col("pos") % 2 == 0))
+    some = F.map_filter(three, lambda language, _: (language != "es") | (F.col("lang") != "de"))
     path = scratch_path(spark, "bilingual")
     pairs.select("id", some.alias("translation")).write.parquet(path)
     return corpus.flatten_translation(
@@ -345,8 +345,8 @@ def natural_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN lang END AS tag, n_chars FROM documents),
-     b AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN lang END AS tag, quality
+WITH a AS (SELECT doc_id, nullif(lang, 'en') AS tag, n_chars FROM documents),
+     b AS (SELECT doc_id, nullif(lang, 'en') AS tag, quality
            FROM documents JOIN labels USING (doc_id)),
      c AS (SELECT quality, max(toxic) AS toxic FROM labels GROUP BY quality)
 SELECT a.doc_id, a.tag, a.n_chars, b.quality, c.toxic
@@ -356,7 +356,7 @@ def natural_merge_with_nulls(spark: SparkSession, folder: str) -> DataFrame:
     """Three tables: null keys match, rows missing on one side drop out, and the third
     table shares a column only with the second."""
     docs = files.read_table(spark, folder, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("tag"), "n_chars"
+        "doc_id", F.nullif("lang", F.lit("en")).alias("tag"), "n_chars"
     )
     labels = files.read_table(spark, folder, "labels")
     labelled = docs.drop("n_chars").join(labels.drop("toxic"), "doc_id")
@@ -470,11 +470,11 @@ def repeat_previews(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(oracles.sql("""
-SELECT id, 'English to Spanish: ' || coalesce(CASE WHEN pos % 5 > 0 THEN en END, 'None') AS prompt,
+SELECT id, 'English to Spanish: ' || coalesce(CASE WHEN lang <> 'fr' THEN en END, 'None') AS prompt,
   es AS label FROM line_pairs""", "line_pairs"))
 def translation_prompts(spark: SparkSession, folder: str) -> DataFrame:
     pairs = inputs.line_pairs(spark, folder)
-    holes = pairs.withColumn("en", F.when(F.col("pos") % 5 > 0, F.col("en")))
+    holes = pairs.withColumn("en", F.when(F.col("lang") != "fr", F.col("en")))
     return tasks.translation_examples(holes, TASK)
 
 
