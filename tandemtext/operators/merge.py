@@ -42,3 +42,18 @@ def attach_columns(
     """
     wide = long.groupBy(index).pivot(names, list(columns)).agg(F.first(values))
     return df.join(wide, index, "left")
+
+
+def long_form(df: DataFrame, models: Sequence[str], key: str = "score") -> DataFrame:
+    """One row per candidate: ``model, candidate, <key>`` in place of the model columns."""
+    entries = [
+        F.struct(
+            F.lit(model).alias("model"),
+            named(model).alias("candidate"),
+            named(f"{model}_{key}").alias(key),
+        )
+        for model in models
+    ]
+    wide = {name for model in models for name in (model, f"{model}_{key}")}
+    kept = [named(name) for name in df.columns if name not in wide]
+    return df.select(*kept, F.inline(F.array(*entries)))

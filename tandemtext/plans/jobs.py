@@ -16,12 +16,17 @@ def build_corpus(
     source: str,
     target: str,
     train_size: float = 0.7,
+    test_size: float | None = None,
     seed: int | str = 42,
 ) -> DataFrame:
-    """Bilingual corpora to clean pairs ``id, <source>, <target>, split``."""
+    """Bilingual corpora to clean pairs ``id, <source>, <target>, split``.
+
+    The split reads the corpora three times, twice for the ids alone. If they are
+    costly to derive, store the clean pairs first.
+    """
     pairs = corpus.union_corpora(corpora, source, target)
     clean = corpus.quality_filter(pairs, source, target)
-    return ordering.exact_split(clean, "id", train_size=train_size, seed=seed)
+    return ordering.exact_split(clean, "id", train_size, test_size, seed)
 
 
 def build_plain_corpus(
@@ -30,12 +35,13 @@ def build_plain_corpus(
     target: str,
     key: str | Sequence[str] = "id",
     train_size: float = 0.7,
+    test_size: float | None = None,
     seed: int | str = 42,
 ) -> DataFrame:
     """The same from one table that already has a column per language."""
     pairs = corpus.both_strings(table, source, target)
     clean = corpus.quality_filter(pairs, source, target)
-    return ordering.exact_split(clean, key, train_size=train_size, seed=seed)
+    return ordering.exact_split(clean, key, train_size, test_size, seed)
 
 
 def score_models(

@@ -364,6 +364,14 @@ def natural_merge_with_nulls(spark: SparkSession, folder: str) -> DataFrame:
     return merge.natural_merge([docs, labelled, worst])
 
 
+@query(oracles.sql(" UNION ALL ".join(
+    f"""SELECT id, split, '{name}' AS model, "{name}" AS candidate, round("{name}_score", 6) AS score
+FROM scored""" for name in MODELS), "scored"))
+def long_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    long = merge.long_form(inputs.scored_pairs(spark, folder).drop("en", "es"), MODELS)
+    return long.withColumn("score", r6(F.col("score")))
+
+
 @query(oracles.sql(" UNION ALL ".join(
     f"""SELECT split, '{name}' AS model, round(avg("{name}_score"), 6) AS mean_score
 FROM scored GROUP BY split""" for name in MODELS), "scored"))

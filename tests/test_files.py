@@ -1,7 +1,11 @@
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from tandemtext.functions import encode
 from tandemtext.plans import jobs
+from tandemtext.session import shared_folder
 from tandemtext.sources import files
 
 AWKWARD = ['plain', 'a "quoted" word', 'two\nlines', 'comma, here', 'tab\there', 'ñ🙂', ' spaced ']
@@ -87,3 +91,25 @@ def test_injected_tokenizer(spark):
 
     df = spark.createDataFrame([("ab",)], "t STRING")
     assert df.select(encode.encode_with(load, F.col("t"))).first()[0] == [97, 98]
+
+
+def test_only_local_sessions_make_a_shared_folder(tmp_path):
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default: folder)
+        return SimpleNamespace(conf=conf, sparkContext=Context(master))
+
+    assert shared_folder(session("spark://host", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host"))
+    local = session("local[2]")
+    assert shared_folder(local) == local.sparkContext.folder
