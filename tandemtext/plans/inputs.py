@@ -104,12 +104,14 @@ def stored_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return stored_splits(split_pairs(spark, folder), "pairs")
 
 
-def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
+def scored_pairs(
+    spark: SparkSession, folder: str, pairs: DataFrame | None = None
+) -> DataFrame:
     """Stored pairs with the candidate and the score of every stand-in, stored again.
 
     What follows reads scores and candidates many times; the models run once.
     """
-    pairs = stored_pairs(spark, folder)
+    pairs = pairs or stored_pairs(spark, folder)
     return stored_splits(score_models(pairs, stand_in_models(), "es", "es"), "scored")
 
 

@@ -519,7 +519,8 @@ def large_random_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _training_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return inputs.scored_pairs(spark, folder), inputs.stored_pairs(spark, folder)
+    pairs = inputs.stored_pairs(spark, folder)
+    return inputs.scored_pairs(spark, folder, pairs), pairs
 
 
 @query(oracles.sql(

@@ -20,8 +20,6 @@ def build_session(app: str, master: str | None = None, **overrides: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        # A task writes its few splits side by side instead of sorting its rows by split.
-        "spark.sql.maxConcurrentOutputFileWriters": "8",
         "spark.ui.showConsoleProgress": "false",
         **overrides,
     }
