@@ -221,7 +221,9 @@ def sample_translations(
     header = rf'^TRANSLATION (\d+) on "\Q{task}\E"$'
     message = _bare(F.col("message"))
     announced = (
-        parsed.where(F.startswith(message, F.lit("TRANSLATION ")) & message.rlike(header))
+        # The raw line is looked at first, so that only candidates are parsed.
+        parsed.where(F.contains("value", F.lit(f' on "{task}"')))
+        .where(F.startswith(message, F.lit("TRANSLATION ")) & message.rlike(header))
         .groupBy("file", F.regexp_extract(message, header, 1).cast("bigint").alias("i"))
         .agg((F.min("line_no") + 2).alias("line_no"))
     )

@@ -62,7 +62,7 @@ def test_text_functions(spark):
     assert rows[2]["p"] == "task: None"
     wide = spark.createDataFrame([("  x\x1c　",)], "t STRING")
     assert wide.select(text.strip(F.col("t"))).first()[0] == "  x\x1c　".strip()
-    assert text.output_name(["data/opus_flan", "data/opus_nllb"]) == "opus_flan_opus_nllb"
+    assert text.output_name(["data/pairs_a", "data/pairs_b"]) == "pairs_a_pairs_b"
     assert df.select(text.last_segment(F.lit("hub/flan-t5"))).first()[0] == "flan-t5"
 
 

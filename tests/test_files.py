@@ -43,13 +43,13 @@ def test_split_dictionary_reads_one_split_from_its_directory(spark, tmp_path):
 
 def test_merged_tables_are_named_after_their_parts(spark, tmp_path):
     paths = []
-    for model in ("flan", "nllb"):
+    for model in ("a", "b"):
         df = spark.range(5).select("id", F.lit("train").alias("split"), F.lit(model).alias(model))
-        paths.append(str(tmp_path / f"opus_{model}"))
+        paths.append(str(tmp_path / f"pairs_{model}"))
         files.write_splits(df, paths[-1])
     out = jobs.merge_scored(spark, paths, str(tmp_path))
-    assert out.endswith("/opus_flan_opus_nllb")
-    assert set(files.read_splits(spark, out).columns) == {"id", "flan", "nllb", "split"}
+    assert out.endswith("/pairs_a_pairs_b")
+    assert set(files.read_splits(spark, out).columns) == {"id", "a", "b", "split"}
 
 
 def test_plain_corpus(spark):
