@@ -57,3 +57,35 @@ SELECT doc_id, size, source_size, target,
                                  OR upto - words <= budget AND 2 * (budget - (upto - words)) >= words
                             THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ordered"""
+
+CONTAMINATION = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), item_words AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), phrases AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), lengths AS (
+    SELECT DISTINCT n FROM phrases
+), starts AS (
+    SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths)
+), hits AS (
+    SELECT s.doc_id, s.i, s.n, p.item_id FROM starts s JOIN phrases p ON s.phrase = p.phrase AND s.n = p.n
+), covered AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id
+), owners AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items,
+       sha256(coalesce(o.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN owners o USING (doc_id)"""
