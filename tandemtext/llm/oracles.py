@@ -89,3 +89,26 @@ WITH words AS (
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items,
        sha256(coalesce(o.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN owners o USING (doc_id)"""
+
+REPEATS = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)
+), later AS (
+    SELECT doc_id, i FROM windows
+    QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1
+), removed AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS place FROM later
+), spread AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words
+), kept AS (
+    SELECT s.doc_id, string_agg(s.word, ' ' ORDER BY s.place) AS text
+    FROM spread s ANTI JOIN removed r ON s.doc_id = r.doc_id AND s.place = r.place GROUP BY s.doc_id
+), counts AS (
+    SELECT doc_id, count(*) AS n_removed FROM removed GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(c.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import decontamination, exact_dedup, mixing, oracles
+from tandemtext.llm import decontamination, exact_dedup, mixing, oracles, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,9 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query(oracles.EXACT_COPIES)
 def op7_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, folder, "documents"))
+
+
+@query(oracles.REPEATS)
+def op4_drop_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.drop_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
