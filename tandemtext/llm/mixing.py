@@ -14,12 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemtext.session import scratch_path
+from tandemtext.llm.stored import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = 13  # hexadecimal digits of the hash: 52 bits
 LEVEL_BITS = 13
 LEVELS = 4
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -33,6 +34,20 @@ def hash_of(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(named), 1, DIGITS), 16, 10).cast("long")
 
 
+def with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """The documents with the row of their source.
+
+    One source may have most of the documents: they meet copies of the row, by their hash.
+    """
+    salted = plan.withColumnRenamed("source", "of").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    return sized.join(
+        salted,
+        sized["source"].eqNullSafe(salted["of"]) & (F.pmod(sized["hash"], F.lit(SALTS)) == salted["salt"]),
+    ).drop("of", "salt")
+
+
 def source_targets(
     sizes: DataFrame, source: str, weights: Sequence[float], share: float, most: float
 ) -> DataFrame:
@@ -90,8 +105,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         width = 1 << (DIGITS * 4 - LEVEL_BITS * level)
         # The width of the bucket that the level before left open.
         above = width << LEVEL_BITS
-        known = state.withColumnRenamed("source", "of")
-        inside = sized.join(known, sized["source"].eqNullSafe(known["of"])).filter(
+        inside = with_plan(sized, state).filter(
             (F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + F.lit(above))
         )
         buckets = (
@@ -111,15 +125,15 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("at", (F.col("upto") - F.col("words")).alias("before"), "words")).alias("met"))
         )
         found = met.withColumnRenamed("source", "of")
-        state = (
-            state.join(found, state["source"].eqNullSafe(found["of"]), "left")
-            .select(
+        state = stored(
+            state.join(found, state["source"].eqNullSafe(found["of"]), "left").select(
                 "source",
                 "budget",
                 F.coalesce("met.at", F.lit(1 << (DIGITS * 4))).cast("long").alias("low"),
                 F.coalesce("met.before", "before").alias("before"),
                 F.col("met.words").alias("words"),
-            )
+            ),
+            "open-buckets",
         )
     nearer = 2 * (F.col("budget") - F.col("before")) >= F.col("words")
     return state.select("source", (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
@@ -143,33 +157,33 @@ def mix_sources(
     text has size 0; null sources are one source. Rows with the same id and text length share a hash,
     and so are taken or left together.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "sizes")
     key = F.concat_ws("|", F.col(id_column).cast("string"), F.length(text_column).cast("string"))
-    docs.select(
-        F.col(id_column).alias("id"),
-        F.col(source_column).alias("source"),
-        word_count(F.col(text_column)).alias("size"),
-        hash_of(key, seed).alias("hash"),
-    ).write.parquet(path)
-    sized = spark.read.parquet(path)
+    sized = stored(
+        docs.select(
+            F.col(id_column).alias("id"),
+            F.col(source_column).alias("source"),
+            word_count(F.col(text_column)).alias("size"),
+            hash_of(key, seed).alias("hash"),
+        ),
+        "sizes",
+    )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets_path = scratch_path(spark, "targets")
-    source_targets(sizes, "source", weights, share, most).withColumn(
-        "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    ).write.parquet(targets_path)
-    targets = spark.read.parquet(targets_path)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+    targets = stored(
+        source_targets(sizes, "source", weights, share, most).withColumn(
+            "whole", F.coalesce(whole, F.lit(0))
+        ),
+        "targets",
+    )
     budgets = targets.select(
         "source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")
     )
-    limits_path = scratch_path(spark, "thresholds")
     limits = thresholds(sized, budgets).withColumnRenamed("source", "of")
-    targets.join(limits, targets["source"].eqNullSafe(limits["of"])).select(
-        F.col("source").alias("of"), "source_size", "target", "whole", "threshold"
-    ).write.parquet(limits_path)
-    plan = spark.read.parquet(limits_path)
+    plan = targets.join(limits, targets["source"].eqNullSafe(limits["of"])).select(
+        "source", "source_size", "target", "whole", "threshold"
+    )
     copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return sized.join(plan, sized["source"].eqNullSafe(plan["of"])).select(
+    return with_plan(sized, plan).select(
         F.col("id").alias(id_column),
         F.col("source").alias(source_column),
         "size",

@@ -112,3 +112,28 @@ WITH words AS (
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(c.n_removed, 0) AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM words w LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+NEAR_COPIES = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+    WHERE common.n * 5 >= (x.n + y.n - common.n) * 4
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), classes AS (
+    SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reached GROUP BY doc_id
+)
+SELECT doc_id, class_id, class_size, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM classes"""

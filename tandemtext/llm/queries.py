@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import decontamination, exact_dedup, mixing, oracles, substring_dedup
+from tandemtext.llm import (
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    mixing,
+    oracles,
+    substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +65,10 @@ def op7_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
 def op4_drop_repeats(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring_dedup.drop_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(oracles.NEAR_COPIES)
+def op8_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document, with its class and its number of links."""
+    found = jaccard_join.near_copies(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links")
