@@ -11,6 +11,7 @@ from tandemtext.llm import (
     decontamination,
     exact_dedup,
     jaccard_join,
+    language,
     mixing,
     oracles,
     substring_dedup,
@@ -72,3 +73,13 @@ def op8_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each document, with its class and its number of links."""
     found = jaccard_join.near_copies(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "class_size", "n_links")
+
+
+@query()
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = language.fit_documents(documents)
+    found = language.identify(documents.select("doc_id", "text"), model)
+    return found.select("row.doc_id", "lang_pred", "score").select(
+        "doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score"
+    )
