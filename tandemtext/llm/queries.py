@@ -15,6 +15,7 @@ from tandemtext.llm import (
     mixing,
     oracles,
     substring_dedup,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +84,16 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score").select(
         "doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit_documents(documents, table(spark, folder, "labels"))
+    found = toxicity.score_texts(documents, model)
+    return found.select(
+        "doc_id",
+        language.held_out("doc_id", 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
