@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemtext.llm import (
@@ -14,6 +14,8 @@ from tandemtext.llm import (
     language,
     mixing,
     oracles,
+    pii,
+    secret_scan,
     substring_dedup,
     toxicity,
 )
@@ -97,3 +99,40 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def many(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        many(0).alias("n_assign"),
+        many(1).alias("n_access"),
+        many(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query()
+def op10_personal(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+
+    def many(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        many(0).alias("n_email"),
+        many(1).alias("n_ip"),
+        many(2).alias("n_card"),
+        many(3).alias("n_phone"),
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined("spans").alias("spans"),
+    )
