@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tandemtext.llm import (
     decontamination,
     exact_dedup,
+    html_text,
     jaccard_join,
     language,
     mixing,
@@ -136,3 +137,9 @@ def op10_personal(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.joined(base), 256).alias("base_sha256"),
         pii.joined("spans").alias("spans"),
     )
+
+
+@query()
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
