@@ -139,6 +139,40 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
 
 
+def sizes_and_hashes(docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: str, *more: Column) -> DataFrame:
+    """id, source, size and hash of each document, and ``more`` columns."""
+    key = F.concat_ws("|", F.col(id_column).cast("string"), F.length(text_column).cast("string"))
+    return docs.select(
+        F.col(id_column).alias("id"),
+        F.col(source_column).alias("source"),
+        word_count(F.col(text_column)).alias("size"),
+        hash_of(key, seed).alias("hash"),
+        *more,
+    )
+
+
+def mix_plan(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """For each source its size, target, how often it is taken whole, and the hash threshold."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+    targets = stored(
+        source_targets(sizes, "source", weights, share, most).withColumn("whole", F.coalesce(whole, F.lit(0))),
+        "targets",
+    )
+    budgets = targets.select(
+        "source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")
+    )
+    limits = thresholds(sized, budgets).withColumnRenamed("source", "of")
+    return targets.join(limits, targets["source"].eqNullSafe(limits["of"])).select(
+        "source", "source_size", "target", "whole", "threshold"
+    )
+
+
+def copies() -> Column:
+    taken_once_more = F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+    return (F.col("whole") + taken_once_more).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -154,41 +188,37 @@ def mix_sources(
     Returns the id, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken``
     (size times copies), one row for each input row. Every document of a source is taken as
     often as its target holds the source, and those below the threshold once more. A null
-    text has size 0; null sources are one source. Rows with the same id and text length share a hash,
-    and so are taken or left together.
+    text has size 0; null sources are one source. Rows with the same id and text length share
+    a hash, and so are taken or left together.
     """
-    key = F.concat_ws("|", F.col(id_column).cast("string"), F.length(text_column).cast("string"))
-    sized = stored(
-        docs.select(
-            F.col(id_column).alias("id"),
-            F.col(source_column).alias("source"),
-            word_count(F.col(text_column)).alias("size"),
-            hash_of(key, seed).alias("hash"),
-        ),
-        "sizes",
-    )
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
-    targets = stored(
-        source_targets(sizes, "source", weights, share, most).withColumn(
-            "whole", F.coalesce(whole, F.lit(0))
-        ),
-        "targets",
-    )
-    budgets = targets.select(
-        "source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")
-    )
-    limits = thresholds(sized, budgets).withColumnRenamed("source", "of")
-    plan = targets.join(limits, targets["source"].eqNullSafe(limits["of"])).select(
-        "source", "source_size", "target", "whole", "threshold"
-    )
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return with_plan(sized, plan).select(
+    sized = stored(sizes_and_hashes(docs, id_column, text_column, source_column, seed), "sizes")
+    return with_plan(sized, mix_plan(sized, weights, share, most)).select(
         F.col("id").alias(id_column),
         F.col("source").alias(source_column),
         "size",
         "source_size",
         "target",
-        copies.cast("long").alias("copies"),
-        (F.col("size") * copies).cast("long").alias("taken"),
+        copies().alias("copies"),
+        (F.col("size") * copies()).alias("taken"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.0,
+    most: float = 3.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """The documents that a mix takes: ``row`` with all columns of the input, and ``copies``.
+
+    As ``mix_sources``, without the documents that are not taken.
+    """
+    sized = stored(sizes_and_hashes(docs, id_column, text_column, source_column, seed), "sizes")
+    plan = mix_plan(sized, weights, share, most)
+    whole = F.struct(*docs.columns).alias("row")
+    carried = sizes_and_hashes(docs, id_column, text_column, source_column, seed, whole)
+    return with_plan(carried, plan).select("row", copies().alias("copies")).filter("copies > 0")
