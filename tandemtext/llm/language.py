@@ -36,7 +36,7 @@ def letter_table() -> np.ndarray:
 
 
 def presence(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the hashed n-grams each text has (rows of 0 and 1), and how many letters.
+    """Which of the hashed n-grams each text has (rows of 0 and 1), and how many letters (those in overlaps count twice).
 
     Letters are lower-cased, and what stands between words is one blank. Texts are walked
     through whole, in pieces that overlap by what an n-gram needs.
