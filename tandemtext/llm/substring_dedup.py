@@ -28,7 +28,7 @@ from tandemtext.llm.words import blank_words
 
 WINDOW = 20
 MINIMISER = 5
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 LONGEST_RUN = 512
 SAMPLED_DOCUMENTS = 20_000  # bound of the sample that names frequent minimisers
 FREQUENT = 12  # different strings of one minimiser in the sample
@@ -264,7 +264,7 @@ def repeated_stretches(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec = pa.Codec("zstd", 1)
+        codec = pa.Codec("zstd", 6)
         task = TaskContext.get().partitionId()
 
         def row(bucket: int, texts: list[bytes], numbers: np.ndarray) -> dict:
@@ -325,7 +325,7 @@ def repeated_stretches(
     )
 
     def of_bucket(table: pa.Table) -> pa.Table:
-        codec = pa.Codec("zstd", 1)
+        codec = pa.Codec("zstd", 6)
         texts, owners, values, twice, found = [], [], [], [], []
         for r in table.to_pylist():
             wide = 4 if r["bucket"] >= buckets else 5
