@@ -30,13 +30,14 @@ SPAN = 6
 DECAY = 0.75
 WIDTH = 24  # longer words are cut into pieces that overlap by half
 LANDMARKS = 192
-TRAINING_ROWS = 5_000  # bound of the sample of labelled documents
+TRAINING_ROWS = 4_000  # bound of the sample of labelled documents
 ROUNDS = 4
 WITNESSES = 4  # words of a toxic text that may stand for it
 RIDGE = 0.5
 _SENTENCE = re.compile(r"[.!?\n]+")
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CHUNK_WORDS = 1 << 19
+_WIDE_WORDS = 1 << 11
 
 
 def sentences(text: str | None) -> list[str]:
@@ -102,6 +103,9 @@ def triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]
 
 def inner(words: list[str], weights: np.ndarray) -> np.ndarray:
     """The normalised inner product of each word's triples with the columns of ``weights``."""
+    if weights.ndim == 2 and len(words) > _WIDE_WORDS:
+        parts = range(0, len(words), _WIDE_WORDS)
+        return np.concatenate([inner(words[a : a + _WIDE_WORDS], weights) for a in parts])
     codes = word_codes(words)
     wide = weights if weights.ndim == 2 else weights[:, None]
     total = np.zeros((len(words), wide.shape[1]))
@@ -172,20 +176,8 @@ def calibrate(decisions: np.ndarray, labels: np.ndarray, weight: np.ndarray) ->
     return float(max(t[0], 0)), float(t[1])
 
 
-def fit(labelled: DataFrame, rows: int = TRAINING_ROWS, landmarks: int = LANDMARKS) -> Model:
-    """A model of (key, text, label 0 or 1) rows, from a sample of about ``rows`` of them.
-
-    Rows without label or text are left out. Without rows of both labels every text gets the
-    share of label 1.
-    """
-    usable = labelled.filter(F.col("label").isin(0, 1) & F.col("text").isNotNull())
-    totals = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    sample = sorted((r.key, int(r.label), r.text) for r in training_sample(usable, rows).collect())
-    return fit_rows(sample, totals, landmarks)
-
-
 def fit_rows(sample: list[tuple], totals: dict[int, int], landmarks: int = LANDMARKS) -> Model:
-    """A model of (key, label, text) rows; ``totals`` has the numbers of rows they stand for."""
+    """A model of (key, label 0 or 1, text) rows; ``totals`` has the numbers of rows they stand for."""
     labels = np.array([label for _, label, _ in sample])
     bags = [sorted({u for s in sentences(t) for u in units(s)}) for _, _, t in sample]
     n = {v: int((labels == v).sum()) for v in (0, 1)} if len(sample) else {0: 0, 1: 0}
@@ -321,10 +313,21 @@ def score_texts(docs: DataFrame, model: Model, id_column: str = "doc_id", text_c
     return docs.select(id_column, text_column).mapInArrow(score, f"`{id_column}` {kind}, score double, worst string")
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """A model of labelled documents that are not held out (crc32 of the id, modulo 4, not 2)."""
-    labelled = labels.select(F.col("doc_id").alias("labelled_id"), F.col("toxic").cast("int").alias("label"))
-    joined = docs.select("doc_id", "text").join(labelled, F.col("doc_id") == F.col("labelled_id"))
-    return fit(
-        joined.filter(~held_out("doc_id", 4, 2)).select(F.col("doc_id").alias("key"), "text", "label"), **options
+def fit_documents(
+    docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, landmarks: int = LANDMARKS
+) -> Model:
+    """A model of labelled documents that are not held out (crc32 of the id, modulo 4, not 2).
+
+    It is fitted on a sample of about ``rows`` labels. Labels other than 0 and 1, and labels of
+    no document or of one without text, are left out. Without both labels every text gets the share of label 1.
+    """
+    usable = labels.filter(F.col("toxic").isin(0, 1) & ~held_out("doc_id", 4, 2)).select(
+        F.col("doc_id").alias("key"), F.col("toxic").cast("int").alias("label")
     )
+    # The sample is drawn from the labels alone; its size is bounded, so no text is shuffled.
+    drawn = training_sample(usable, rows)
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    joined = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("key"))
+    totals = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sample = sorted((r.key, r.label, r.text) for r in joined.select("key", "label", "text").collect())
+    return fit_rows(sample, totals, landmarks)
