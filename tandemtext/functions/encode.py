@@ -2,84 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemtext.functions.text import words
+from tandemtext.functions.text import named, words
 from tandemtext.sources.files import with_row_index
 
 # Ids of the special tokens, and the label the loss leaves out.
 PAD, EOS, UNK = 0, 1, 2
 SPECIALS = ("<pad>", "</s>", "<unk>")
 IGNORED_LABEL = -100
-# A vocabulary travels to every executor, so its size has a bound.
-MAX_VOCABULARY = 1 << 18
 
 
-def build_vocabulary(texts: DataFrame, max_size: int = MAX_VOCABULARY) -> DataFrame:
-    """``id, token, uses`` of the most used words, after the special tokens.
+def build_vocabulary(texts: DataFrame, max_size: int | None = None) -> DataFrame:
+    """``id, token, uses`` of all words, the most used first, after the special tokens.
 
-    ``texts`` has one string column. Like every tokenizer of fixed size it keeps
-    ``max_size`` words; the others are encoded as unknown.
+    ``texts`` has one string column. With ``max_size`` only so many words are kept, as a
+    tokenizer of fixed size has them; the others are encoded as unknown.
     """
-    if not 0 < max_size <= MAX_VOCABULARY:
-        raise ValueError(f"max_size has to be in 1..{MAX_VOCABULARY}")
     [column] = texts.columns
     used = texts.select(F.explode(words(F.col(column))).alias("token")).groupBy("token").agg(
         F.count("*").alias("uses")
     )
     ranked = with_row_index(used, F.desc("uses"), "token")
-    kept = ranked.where(F.col("row_index") < max_size)
+    kept = ranked if max_size is None else ranked.where(F.col("row_index") < max_size)
     return kept.select((F.col("row_index") + len(SPECIALS)).cast("int").alias("id"), "token", "uses")
 
 
-class Vocabulary:
-    """A vocabulary table in use: encodes and decodes columns without a shuffle."""
-
-    def __init__(self, table: DataFrame):
-        rows = table.select("token", "id").limit(MAX_VOCABULARY + 1).collect()
-        if len(rows) > MAX_VOCABULARY:
-            raise ValueError(f"a vocabulary has at most {MAX_VOCABULARY} tokens")
-        ids = {row["token"]: row["id"] for row in rows}
-        self._shared = table.sparkSession.sparkContext.broadcast(ids)
-
-    def encode(self, text: Column) -> Column:
-        """Ids of the words of a text."""
-        shared, unknown = self._shared, UNK
+def _looked_up(
+    df: DataFrame, key: str, columns: Mapping[str, Column], known: DataFrame, on: str, value: Column
+) -> DataFrame:
+    """``key`` and, for each name, the values of its items in order; items are joined to ``known``.
 
-        @F.pandas_udf("array<int>")
-        def lookup(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import pandas
+    All columns go through one join. The items of a row meet again by its key.
+    """
+    none = F.array().cast("array<string>" if on == "token" else "array<int>")
+
+    def placed(name: str, entry: Column) -> Column:
+        def item(x: Column, i: Column) -> Column:
+            return F.struct(F.lit(name).alias("column"), i.alias("i"), x.alias("item"))
+
+        return F.transform(F.coalesce(entry, none), item)
+
+    items = F.concat(*[placed(name, entry) for name, entry in columns.items()])
+    long = df.select(named(key).alias("_row"), F.inline(items))
+    # Names that the key can't have.
+    known = known.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    joined = long.join(known, F.col("item") == F.col(f"_{on}"), "left")
+    told = joined.select(
+        "_row",
+        *[F.when(F.col("column") == n, F.struct("i", value.alias("value"))).alias(n) for n in columns],
+    )
+    return told.groupBy(F.col("_row").alias(key)).agg(
+        *[F.transform(F.array_sort(F.collect_list(name)), lambda x: x["value"]).alias(name) for name in columns]
+    )
 
-            ids = shared.value
-            for batch in batches:
-                found = [None if r is None else [ids.get(t, unknown) for t in r] for r in batch]
-                yield pandas.Series(found, dtype=object)
 
-        return lookup(words(text))
+def encode_texts(
+    df: DataFrame, key: str, texts: Mapping[str, str], vocabulary: DataFrame
+) -> DataFrame:
+    """Adds a column of token ids for each text column of ``texts`` (new name to text column).
 
-    def decode(self, ids: Column, skip_special: bool = True) -> Column:
-        """Words of the ids, joined by blanks; unknown ids are left out."""
-        shared, specials = self._shared, SPECIALS
+    ``key`` is unique. The vocabulary is joined, so it may have any size; words it lacks
+    are unknown. A null text has null ids.
+    """
+    tokens = {name: words(named(column)) for name, column in texts.items()}
+    found = _looked_up(
+        df, key, tokens, vocabulary.select("token", "id"), "token", F.coalesce("_id", F.lit(UNK))
+    )
+    none = F.array().cast("array<int>")
+    wide = df.join(found, key, "left")
+    return wide.withColumns(
+        {name: F.when(named(column).isNotNull(), F.coalesce(name, none)) for name, column in texts.items()}
+    )
 
-        @F.pandas_udf("string")
-        def lookup(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import pandas
 
-            tokens = {i: token for token, i in shared.value.items()}
-            if not skip_special:
-                tokens.update(enumerate(specials))
-            for batch in batches:
-                found = [
-                    None if r is None else " ".join(tokens[i] for i in r if i in tokens)
-                    for r in batch
-                ]
-                yield pandas.Series(found, dtype=object)
+def decode_ids(
+    df: DataFrame, key: str, ids: Mapping[str, str], vocabulary: DataFrame, skip_special: bool = True
+) -> DataFrame:
+    """Adds the words of each id column of ``ids`` (new name to id column), joined by blanks.
 
-        return lookup(ids)
+    Ids that the vocabulary lacks are left out, and special tokens unless asked for.
+    """
+    known = vocabulary.select("token", "id")
+    if not skip_special:
+        special = [(token, i) for i, token in enumerate(SPECIALS)]
+        known = known.unionByName(df.sparkSession.createDataFrame(special, "token string, id int"))
+    found = _looked_up(df, key, {n: named(c) for n, c in ids.items()}, known, "id", F.col("_token"))
+    wide = df.join(found, key, "left")
+    return wide.withColumns(
+        {
+            name: F.when(named(column).isNotNull(), F.coalesce(F.array_join(name, " "), F.lit("")))
+            for name, column in ids.items()
+        }
+    )
 
 
 def encode_with(tokenize: Callable[[], Callable[[pd.Series], Sequence]], text: Column) -> Column:
@@ -118,7 +137,8 @@ def without_ignored(labels: Column, pad: int = PAD, ignored: int = IGNORED_LABEL
 
 def encoded_examples(
     df: DataFrame,
-    encode: Callable[[Column], Column],
+    key: str,
+    vocabulary: DataFrame,
     labels: dict[str, str],
     text: str = "prompt",
     length: int = 200,
@@ -126,14 +146,13 @@ def encoded_examples(
 ) -> DataFrame:
     """Only the columns a trainer reads: ``input_ids, attention_mask`` and the labels.
 
-    ``labels`` names the text column behind each label column.
+    ``labels`` names the text column behind each label column. ``key`` is unique.
     """
-    raw = df.select(
-        encode(F.col(text)).alias("input_ids"),
-        *[encode(F.col(column)).alias(name) for name, column in labels.items()],
-    )
+    wanted = {"input_ids": text, **labels}
+    # Names that no text column has.
+    raw = encode_texts(df, key, {f"_{name}": column for name, column in wanted.items()}, vocabulary)
     return raw.select(
-        fixed_length(F.col("input_ids"), length, eos=eos).alias("input_ids"),
-        attention_mask(F.col("input_ids"), length, eos=eos).alias("attention_mask"),
-        *[fixed_length(F.col(name), length, eos=eos).alias(name) for name in labels],
+        fixed_length(F.col("_input_ids"), length, eos=eos).alias("input_ids"),
+        attention_mask(F.col("_input_ids"), length, eos=eos).alias("attention_mask"),
+        *[fixed_length(F.col(f"_{name}"), length, eos=eos).alias(name) for name in labels],
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.functions import bleu
-from tandemtext.functions.text import named
+from tandemtext.functions.text import named, prompt
 
 Translator = Callable[[pd.Series], pd.Series]
 
@@ -46,7 +46,7 @@ def with_candidates(
     batch_size: int | None = None,
 ) -> DataFrame:
     """One candidate column per model, named after it; ``task`` prefixes the input."""
-    text = named(source) if task is None else F.concat(F.lit(f"{task}: "), named(source))
+    text = named(source) if task is None else prompt(task, named(source))
     return df.select(
         "*", *[batched_column(text, load, batch_size).alias(name) for name, load in models.items()]
     )

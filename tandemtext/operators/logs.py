@@ -20,6 +20,7 @@ VERSION = r"^VERSION \S+$"
 TIME_STAMP = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"
 RUN_MARKER = "===================== RUN ====================="
 EVALUATION = r"(?s)^((?:PRE|POST)-EVALUATION[^:]*): (\{.*\})$"
+BARE_WORD = r"([:\[,]\s*)(-?inf|nan|None|True|False)(?=\s*[,\]}])"
 SETTING = r"(?s)^([A-Z() ]+): (.*)$"
 SECTION = r"^([A-Z() ]+):$"
 GENERATED = "Generated Translation: "
@@ -113,6 +114,8 @@ def number_records(parsed: DataFrame) -> DataFrame:
 def fold_continuations(numbered: DataFrame) -> DataFrame:
     """One row per record, its continuation lines joined to the message by newlines.
 
+    A record is one value, so its lines have to fit into a task's memory.
+
     Lines before the first record of a file belong to none and stay as they are.
     """
     columns = ["file", "run_no", "record_no"]
@@ -137,17 +140,20 @@ def fold_continuations(numbered: DataFrame) -> DataFrame:
 def evaluation_metrics(numbered: DataFrame) -> DataFrame:
     """``file, run_no, line_no, stage, metric, value`` of the evaluation records.
 
-    Values that are lists have a null value.
+    ``nan`` and ``inf`` are numbers; lists, truth values and ``None`` have a null value. A
+    record whose text can't be read has one row, with a null metric.
     """
     is_evaluation = F.col("message").rlike(EVALUATION)
-    # The text is Python's; the JSON reader takes its single quotes.
-    entries = F.from_json(F.regexp_extract("message", EVALUATION, 2), "map<string,string>")
+    # The text is Python's; the JSON reader takes its single quotes, but not its bare words.
+    told = F.regexp_extract("message", EVALUATION, 2)
+    quoted = F.regexp_replace(told, BARE_WORD, "$1'$2'")
+    entries = F.from_json(quoted, "map<string,string>")
     found = numbered.where(is_evaluation & F.col("version").isNotNull()).select(
         "file",
         "run_no",
         "line_no",
         F.regexp_extract("message", EVALUATION, 1).alias("stage"),
-        F.explode(entries).alias("metric", "text"),
+        F.explode_outer(entries).alias("metric", "text"),
     )
     return found.withColumn("value", F.col("text").try_cast("double")).drop("text")
 
@@ -155,7 +161,8 @@ def evaluation_metrics(numbered: DataFrame) -> DataFrame:
 def run_settings(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per file, run and section, with the settings ``keys`` as columns.
 
-    A setting belongs to the last section header of its run, or to section ''.
+    A setting belongs to the last section header of its run, or to section ''. If it is
+    told more than once, the last line counts.
     """
     message = _bare(F.col("message"))
     wanted = list(keys)
@@ -164,25 +171,27 @@ def run_settings(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
         return F.regexp_extract("m", SETTING, group)
 
     lines = numbered.where(F.col("version").isNotNull()).select(
-        "file", "run_no", "section_no", message.alias("m")
+        "file", "run_no", "section_no", "line_no", message.alias("m")
     )
     is_header = F.endswith("m", F.lit(":")) & F.col("m").rlike(SECTION)
     told = lines.select(
         "file",
         "run_no",
         "section_no",
+        "line_no",
         F.when(is_header, F.regexp_extract("m", SECTION, 1)).alias("section"),
         F.when(~is_header & F.col("m").rlike(SETTING), setting(1)).alias("key"),
         F.when(~is_header, setting(2)).alias("text"),
     ).where(F.col("section").isNotNull() | F.col("key").isin(wanted))
-    values = [F.max(F.when(F.col("key") == key, F.col("text"))).alias(key) for key in wanted]
+    last = F.struct("line_no", "text")
+    values = [F.max(F.when(F.col("key") == key, last)).alias(key) for key in wanted]
     # A section of an earlier run has no header in this one.
     sections = told.groupBy("file", "run_no", "section_no").agg(
         F.coalesce(F.max("section"), F.lit("")).alias("section"), *values
     )
     found = sections.where(F.coalesce(*map(named, wanted)).isNotNull())
     return found.groupBy("file", "run_no", "section").agg(
-        *[F.max(named(key)).alias(key) for key in wanted]
+        *[F.max(named(key))["text"].alias(key) for key in wanted]
     )
 
 
@@ -227,8 +236,11 @@ def sample_translations(
         .groupBy("file", F.regexp_extract(message, header, 1).cast("bigint").alias("i"))
         .agg((F.min("line_no") + 2).alias("line_no"))
     )
+    # The few announcements look up their lines; the lines are not dealt out for that. What
+    # they don't find is added behind.
     texts = parsed.select("file", "line_no", without_prefix(message, GENERATED).alias("translation"))
-    found = announced.join(texts, ["file", "line_no"], "left").select("file", "i", "translation")
+    known = announced.join(texts, ["file", "line_no"]).select("file", "i", "translation")
+    found = announced.select("file", "i").join(known, ["file", "i"], "left")
     if indices is None:
         return found
     listed = F.array(*[F.lit(i).cast("bigint") for i in indices])

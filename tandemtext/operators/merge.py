@@ -5,23 +5,42 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.functions.text import named
 
+# Begins the names of columns that only the joins see.
+DIGEST = "_digest_of|"
+
 
 def _natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    shared = [name for name in left.columns if name in right.columns]
+    own = [name for name in left.columns if not name.startswith(DIGEST)]
+    shared = [name for name in own if name in right.columns]
     if not shared:
         raise ValueError("the tables share no column to merge on")
     keys = {name: f"_key_{i}" for i, name in enumerate(shared)}
-    renamed = right.select([named(c).alias(keys.get(c, c)) for c in right.columns])
-    same = reduce(
-        lambda a, b: a & b,
-        [named(name).eqNullSafe(named(key)) for name, key in keys.items()],
+    # Strings meet by a digest, so that texts are no sort keys; their equality is checked
+    # behind it. A digest stays for the next join on the same columns.
+    kinds = [dict(left.dtypes), dict(right.dtypes)]
+    strings = [name for name in shared if all(kind[name] == "string" for kind in kinds)]
+    digest = F.xxhash64(*map(named, strings)) if strings else F.lit(0)
+    kept = DIGEST + "|".join(strings)
+    if kept not in left.columns:
+        left = left.withColumn(kept, digest)
+    renamed = right.select(
+        *[named(c).alias(keys.get(c, c)) for c in right.columns], digest.alias("_right_digest")
     )
-    return left.join(renamed, same, "inner").drop(*keys.values())
+
+    def equal(name: str) -> Column:
+        a, b = named(name), named(keys[name])
+        if name not in strings:
+            return a.eqNullSafe(b)
+        # Not written with =, which would make it a key of the join.
+        return F.coalesce((a >= b) & (a <= b), a.isNull() & b.isNull())
+
+    same = reduce(lambda a, b: a & b, map(equal, shared), named(kept) == F.col("_right_digest"))
+    return left.join(renamed, same, "inner").drop(*keys.values(), "_right_digest")
 
 
 def natural_merge(frames: Sequence[DataFrame]) -> DataFrame:
@@ -30,7 +49,8 @@ def natural_merge(frames: Sequence[DataFrame]) -> DataFrame:
     The shared columns are found again after each join. Nulls match nulls, and
     duplicate keys multiply.
     """
-    return reduce(_natural_join, frames)
+    merged = reduce(_natural_join, frames)
+    return merged.select([named(c) for c in merged.columns if not c.startswith(DIGEST)])
 
 
 def attach_columns(

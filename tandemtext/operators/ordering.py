@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +19,9 @@ from pyspark.sql import functions as F
 from tandemtext.functions.text import named
 from tandemtext.sources.files import with_row_index
 
-# Leading hex digits that form a bucket of the order: 65,536 buckets at most.
-BUCKET_DIGITS = 4
-# Heads up to this length are kept in one task.
-SMALL_HEAD = 10_000
+# Leading hex digits that form a bucket of the order, level by level: 65,536 buckets at most
+# at each, so that some rows in four billion are ranked in one task.
+BUCKET_DIGITS = (4, 4)
 
 
 def order_key(key: str | Sequence[str], seed: int | str = 42) -> Column:
@@ -34,40 +35,48 @@ def _cut_keys(df: DataFrame, order: Column, cuts: dict[str, Column]) -> Column:
     """The order keys of the rows at the given 1-based ranks, as a struct column.
 
     ``cuts`` are expressions over ``n``, the row count. Rows are counted per bucket
-    of the order, which finds the bucket of every cut; only the rows of those
-    buckets are ranked. A cut at rank 0 has no row and is null.
+    of the order, which finds the bucket of every cut; these are cut into finer buckets,
+    and only the rows of the last ones are ranked. A cut at rank 0 has no row and is null.
     """
-    keyed = df.select(order.alias("_order")).withColumn(
-        "_bucket", F.substring("_order", 1, BUCKET_DIGITS)
-    )
-    # Windows over all buckets: 16 ** BUCKET_DIGITS rows at the very most.
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        keyed.groupBy("_bucket")
-        .agg(F.count("*").alias("_rows"))
-        .select(
-            "_bucket",
-            "_rows",
-            (F.sum("_rows").over(running) - F.col("_rows")).alias("_before"),
-            F.sum("_rows").over(Window.partitionBy()).alias("n"),
-        )
-    )
+    keyed = df.select(order.alias("_order"))
     ranks = F.array(
         *[
             F.struct(F.lit(name).alias("cut"), rank.cast("bigint").alias("rank"))
             for name, rank in cuts.items()
         ]
     )
-    # One row per cut.
-    wanted = buckets.select("_bucket", "_before", "_rows", F.inline(ranks)).where(
-        (F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_before") + F.col("_rows"))
+    # One row per cut, and no bucket yet.
+    counted = keyed.agg(F.count("*").alias("n"))
+    wanted = counted.select(F.inline(ranks)).withColumns(
+        {"_prefix": F.lit(""), "_before": F.lit(0).cast("bigint")}
     )
+    known = 0
+    for digits in BUCKET_DIGITS:
+        running = Window.partitionBy("cut").orderBy("_bucket").rowsBetween(
+            Window.unboundedPreceding, 0
+        )
+        # At most 16 ** digits buckets of every cut.
+        buckets = (
+            keyed.withColumn("_start", F.substring("_order", 1, known))
+            .join(F.broadcast(wanted), F.col("_start") == F.col("_prefix"))
+            .withColumn("_bucket", F.substring("_order", 1, known + digits))
+            .groupBy("cut", "rank", "_before", "_bucket")
+            .agg(F.count("*").alias("_rows"))
+            .withColumn("_upto", F.col("_before") + F.sum("_rows").over(running))
+        )
+        known += digits
+        wanted = buckets.where(
+            (F.col("_upto") - F.col("_rows") < F.col("rank")) & (F.col("rank") <= F.col("_upto"))
+        ).select(
+            "cut", "rank", F.col("_bucket").alias("_prefix"), (F.col("_upto") - F.col("_rows")).alias("_before")
+        )
     # Rows with the same key are counted before they meet in one task.
     in_bucket = Window.partitionBy("cut").orderBy("_order").rowsBetween(
         Window.unboundedPreceding, 0
     )
     candidates = (
-        keyed.join(F.broadcast(wanted.drop("_rows")), "_bucket")
+        keyed.withColumn("_start", F.substring("_order", 1, known))
+        .join(F.broadcast(wanted), F.col("_start") == F.col("_prefix"))
         .groupBy("cut", "rank", "_before", "_order")
         .agg(F.count("*").alias("_times"))
         .withColumn("_upto", F.col("_before") + F.sum("_times").over(in_bucket))
@@ -110,13 +119,15 @@ def exact_split(
     train_size: float | None = 0.7,
     test_size: float | None = None,
     seed: int | str = 42,
+    order: str | None = None,
 ) -> DataFrame:
     """Adds ``split``; the sizes are exact for every row count.
 
     Rows are compared with two cut keys, so they stay where they are: the only
-    shuffles are those of the bucket counts and of the buckets at the cuts.
+    shuffles are those of the bucket counts and of the buckets at the cuts. ``order``
+    names a column of ``df`` that already holds the order key.
     """
-    order = order_key(key, seed)
+    order = order_key(key, seed) if order is None else named(order)
     n = F.col("n")
     train, test = split_sizes(n, train_size, test_size)
     cuts = _cut_keys(df, order, {"train": train, "test": train + test})
@@ -129,11 +140,16 @@ def exact_split(
 
 
 def is_leading(
-    df: DataFrame, key: str | Sequence[str], fraction: float, seed: int | str = 42
+    df: DataFrame, key: str | Sequence[str], fraction: float | Fraction, seed: int | str = 42
 ) -> Column:
-    """Whether a row is among the first ``floor(n * fraction)`` of the seeded order."""
+    """Whether a row is among the first ``floor(n * fraction)`` of the seeded order.
+
+    The fraction is taken as the decimal it is written as.
+    """
     order = order_key(key, seed)
-    cuts = _cut_keys(df, order, {"end": F.floor(F.col("n") * F.lit(float(fraction)))})
+    part = Fraction(str(fraction))
+    end = F.expr(f"(n * {part.numerator}L) div {part.denominator}L")
+    cuts = _cut_keys(df, order, {"end": end})
     return _up_to(order, cuts["end"])
 
 
@@ -152,10 +168,11 @@ def shuffle(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
 def sample_rows(
     df: DataFrame, key: str | Sequence[str], n: int, seed: int | str = 42
 ) -> DataFrame:
-    """``n`` rows at random, without replacement: the head of the seeded order."""
+    """``n`` rows at random, without replacement: the first ones of the seeded order.
+
+    Rows stay where they are, whatever ``n`` is. A cut between rows of one key is an error.
+    """
     order = order_key(key, seed)
-    if n <= SMALL_HEAD:
-        return df.orderBy(order).limit(n)
     cuts = _cut_keys(df, order, {"end": F.least(F.col("n"), F.lit(n))})
     return df.where(_up_to(order, cuts["end"]))
 
@@ -173,12 +190,28 @@ def first_rows(df: DataFrame, *order_by: Column | str, n: int, name: str = "i")
 
 
 def rows_at(df: DataFrame, positions: Sequence[int], *order_by: str) -> DataFrame:
-    """The rows at the given 0-based positions of an order, with ``row_index``."""
-    if max(positions) < SMALL_HEAD:
-        numbered = first_rows(df, *order_by, n=max(positions) + 1, name="row_index")
-    else:
-        numbered = with_row_index(df, *order_by)
-    return numbered.where(F.col("row_index").isin(list(positions)))
+    """The rows at the given 0-based positions of an order, with ``row_index``.
+
+    Rows with equal keys come in the order of a hash of their content. Only keys and hashes
+    are sorted and numbered; the rows are looked up by them.
+    """
+    content = F.xxhash64(*map(named, df.columns))
+    keyed = df.withColumn("_content", content)
+    numbered = with_row_index(keyed.select(*order_by, "_content"), *order_by, "_content")
+    # One row per position.
+    wanted = numbered.where(F.col("row_index").isin(list(positions))).select(
+        *[F.col(name).alias(f"_of_{name}") for name in (*order_by, "_content")], "row_index"
+    )
+    same = reduce(
+        lambda a, b: a & b,
+        [named(name).eqNullSafe(named(f"_of_{name}")) for name in (*order_by, "_content")],
+    )
+    # Rows that are equal in all columns meet each other's positions too.
+    return (
+        keyed.join(F.broadcast(wanted), same)
+        .select(*map(named, df.columns), "row_index")
+        .dropDuplicates(["row_index"])
+    )
 
 
 def sort_by_identity(df: DataFrame, key: str = "id") -> DataFrame:

@@ -57,12 +57,19 @@ def corpus_metric(
     keys: Sequence[str] = ("score",),
     groups: Sequence[str] = (),
 ) -> DataFrame:
-    """Metric of all pairs together, per group: summed statistics, one closing formula."""
+    """Metric of all pairs together, per group: summed statistics, one closing formula.
+
+    A pair without a prediction or reference is an error, as in ``mean_scores``.
+    """
     stats = bleu.statistics(named(prediction), named(reference))
     total = (
         df.select(*map(named, groups), stats.alias("_stats"))
         .groupBy(*map(named, groups))
-        .agg(bleu.summed(F.col("_stats")).alias("_stats"))
+        .agg(
+            F.when(F.count("_stats") == F.count("*"), bleu.summed(F.col("_stats")))
+            .otherwise(F.raise_error(F.lit("a pair lacks its prediction or reference")))
+            .alias("_stats")
+        )
     )
     return total.select(*map(named, groups), *bleu.metric_columns(metric, F.col("_stats"), keys))
 
@@ -82,10 +89,18 @@ def column_profile(df: DataFrame, distinct: bool = False) -> DataFrame:
     digests = df.select([F.md5(named(name).cast("string")).alias(name) for name in df.columns])
     long = digests.unpivot([], [named(name) for name in df.columns], "column", "digest")
     values = long.groupBy("column", "digest").agg(F.count("digest").alias("rows"))
-    return values.groupBy("column").agg(
-        F.first(kinds[F.col("column")]).alias("type"),
-        F.sum("rows").alias("non_null"),
-        F.count("digest").alias("distinct_values"),
+    counted = values.groupBy("column").agg(
+        F.sum("rows").alias("non_null"), F.count("digest").alias("distinct_values")
+    )
+    # Every column has a row, of an empty table too.
+    listed = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(name) for name in df.columns])).alias("column")
+    )
+    return listed.join(counted, "column", "left").select(
+        "column",
+        kinds[F.col("column")].alias("type"),
+        F.coalesce("non_null", F.lit(0)).alias("non_null"),
+        F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
     )
 
 

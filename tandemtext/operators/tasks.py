@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,8 +41,11 @@ def worst_candidate(translations: Sequence[str], keys: Sequence[str]) -> Column:
 
 
 def score_margin(keys: Sequence[str]) -> Column:
+    """Highest minus lowest score; a missing score is an error, not a row less."""
     scores = F.array(*[named(k) for k in keys])
-    return F.array_max(scores) - F.array_min(scores)
+    invalid = F.raise_error(F.lit("null or NaN score among " + ", ".join(keys))).cast("double")
+    margin = F.array_max(scores) - F.array_min(scores)
+    return F.when(has_invalid_score(keys), invalid).otherwise(margin)
 
 
 def preference_pairs(
@@ -129,28 +133,29 @@ def translation_examples(
 
 
 def epochs_of(
-    df: DataFrame, epochs: float, key: str = "id", seed: int | str = 42
+    df: DataFrame, epochs: float | Fraction, key: str = "id", seed: int | str = 42
 ) -> DataFrame:
     """Each row once per epoch, with ``epoch`` from 1.
 
-    A last, broken epoch holds the leading part of the seeded order. Every row is
-    read once and repeated in place.
+    A last, broken epoch holds the leading part of the seeded order; its size is exact in
+    the decimals ``epochs`` is written in. Every row is read once and repeated in place.
     """
-    whole = int(epochs)
+    exact = Fraction(str(epochs))
+    whole = int(exact)
     listed = F.array(*[F.lit(epoch) for epoch in range(1, whole + 1)]).cast("array<int>")
-    if epochs > whole:
+    if exact > whole:
         longer = F.array(*[F.lit(epoch) for epoch in range(1, whole + 2)])
-        leading = is_leading(df, key, epochs - whole, seed)
+        leading = is_leading(df, key, exact - whole, seed)
         listed = F.when(leading, longer).otherwise(listed)
     return df.withColumn("epoch", F.explode(listed))
 
 
-def stages(mixture: int, epochs: float) -> list[tuple[str, float]]:
+def stages(mixture: int, epochs: float) -> list[tuple[str, Fraction]]:
     """Order of the tasks and their epochs: judge first, translate first, or judge only."""
     if mixture == 2:
-        return [("judge", epochs)]
+        return [("judge", Fraction(str(epochs)))]
     order = {0: ("judge", "translate"), 1: ("translate", "judge")}[mixture]
-    return [(task, epochs / 2) for task in order]
+    return [(task, Fraction(str(epochs)) / 2) for task in order]
 
 
 def staged_mixture(

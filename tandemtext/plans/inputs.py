@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from tandemtext.operators.corpus import quality_filter, union_corpora
 from tandemtext.operators.logs import RUN_MARKER
 from tandemtext.plans.jobs import build_corpus, score_models
-from tandemtext.sources.files import read_table, spread, stored_splits
+from tandemtext.sources.files import read_table, stored_splits
 
 TASK = "English to Spanish"
+# Line numbers of a run: more than a document can have lines.
+RUN_LINES = 1 << 32
 
 
 def line_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of a document with the line after it."""
     docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    lines = spread(docs, "doc_id").select(
+    lines = docs.select(
         "doc_id", "lang", "source", F.split("text", "\n").alias("l")
     )
     count = F.size("l") - 1
@@ -118,22 +120,27 @@ def scored_pairs(
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Run logs ``file, line_no, value``: one file per language, one run per document.
 
-    A run has a marker, settings, two evaluations, and a sample block for each line
+    A run has a marker, settings, one of them told twice, two evaluations, and a sample block for each line
     of the document, of which the last line is a continuation without prefix.
     """
     docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    runs = spread(docs, "doc_id").withColumn("l", F.split("text", "\n"))
+    runs = docs.withColumn("l", F.split("text", "\n"))
     size = F.length("text").cast("string")
     loss = F.format_string("%d.5", F.col("doc_id"))
+    # What a run that diverges may log.
+    words = F.array(*[F.lit(word) for word in ("nan", "inf", "-inf", "None", "True")])
+    norm = F.get(words, F.pmod("doc_id", F.lit(5)).cast("int"))
     head = F.array(
         F.lit(RUN_MARKER),
         F.concat(F.lit("MODEL: hub/"), F.col("source")),
         F.lit("HYPERPARAMETERS:"),
-        F.concat(F.lit("\tEPOCHS: "), (F.length("source") - 3).cast("string")),
+        F.lit("\tEPOCHS: 9"),
+        F.concat(F.lit("\tEPOCHS: 1"), (F.length("source") - 3).cast("string")),
         F.concat(F.lit("\tTRAINING SIZE: "), size),
         F.concat(
             F.lit("PRE-EVALUATION (VALIDATION): {'eval_loss': "), loss,
-            F.lit(", 'eval_counts': [1, 2], 'eval_size': "), size, F.lit("}"),
+            F.lit(", 'eval_counts': [1, 2], 'eval_norm': "), norm,
+            F.lit(", 'eval_size': "), size, F.lit("}"),
         ),
         F.concat(
             F.lit("POST-EVALUATION (TEST): {'eval_loss': "), loss, F.lit(", 'epoch': 2.0}")
@@ -163,9 +170,9 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         "SECOND", seconds, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     ).cast("string")
     prefix = F.concat(F.lit("VERSION 1.1."), "number", F.lit(" : "), ts, F.lit(" : "))
-    is_continuation = (F.col("seq") >= 7) & ((F.col("seq") - 7) % 5 == 4)
+    is_continuation = (F.col("seq") >= 8) & ((F.col("seq") - 8) % 5 == 4)
     return lines.select(
         F.concat(F.lit("finetune-"), F.col("lang"), F.lit(".log")).alias("file"),
-        (F.col("doc_id") * (1 << 20) + F.col("seq")).alias("line_no"),
+        (F.col("doc_id") * RUN_LINES + F.col("seq")).alias("line_no"),
         F.when(is_continuation, F.col("message")).otherwise(F.concat(prefix, "message")).alias("value"),
     )

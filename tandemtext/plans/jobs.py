@@ -8,9 +8,28 @@ from pyspark.sql import DataFrame
 
 from tandemtext.functions.text import output_name
 from tandemtext.operators import corpus, generate, merge, ordering, tasks
+from tandemtext.session import scratch_path
 from tandemtext.sources.files import read_splits, write_splits
 
 
+def _split_once_read(
+    clean: DataFrame,
+    key: str | Sequence[str],
+    train_size: float,
+    test_size: float | None,
+    seed: int | str,
+) -> DataFrame:
+    """The clean pairs are derived and written once, with their order key.
+
+    The cuts are found in the key column alone; the texts are read when the split is added.
+    """
+    path = scratch_path(clean.sparkSession, "clean")
+    clean.withColumn("_order_key", ordering.order_key(key, seed)).write.parquet(path)
+    stored = clean.sparkSession.read.parquet(path)
+    split = ordering.exact_split(stored, key, train_size, test_size, seed, order="_order_key")
+    return split.drop("_order_key")
+
+
 def build_corpus(
     corpora: Mapping[str, DataFrame],
     source: str,
@@ -19,14 +38,9 @@ def build_corpus(
     test_size: float | None = None,
     seed: int | str = 42,
 ) -> DataFrame:
-    """Bilingual corpora to clean pairs ``id, <source>, <target>, split``.
-
-    The split reads the corpora three times, twice for the ids alone. If they are
-    costly to derive, store the clean pairs first.
-    """
+    """Bilingual corpora to clean pairs ``id, <source>, <target>, split``."""
     pairs = corpus.union_corpora(corpora, source, target)
-    clean = corpus.quality_filter(pairs, source, target)
-    return ordering.exact_split(clean, "id", train_size, test_size, seed)
+    return _split_once_read(corpus.quality_filter(pairs, source, target), "id", train_size, test_size, seed)
 
 
 def build_plain_corpus(
@@ -41,7 +55,7 @@ def build_plain_corpus(
     """The same from one table that already has a column per language."""
     pairs = corpus.both_strings(table, source, target)
     clean = corpus.quality_filter(pairs, source, target)
-    return ordering.exact_split(clean, key, train_size, test_size, seed)
+    return _split_once_read(clean, key, train_size, test_size, seed)
 
 
 def score_models(

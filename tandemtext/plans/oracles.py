@@ -168,27 +168,36 @@ log_messages AS (
   SELECT doc_id, lang, source, 0 AS seq, '===================== RUN =====================' AS message FROM log_docs
   UNION ALL SELECT doc_id, lang, source, 1, 'MODEL: hub/' || source FROM log_docs
   UNION ALL SELECT doc_id, lang, source, 2, 'HYPERPARAMETERS:' FROM log_docs
-  UNION ALL SELECT doc_id, lang, source, 3, chr(9) || 'EPOCHS: ' || (length(source) - 3) FROM log_docs
-  UNION ALL SELECT doc_id, lang, source, 4, chr(9) || 'TRAINING SIZE: ' || length(text) FROM log_docs
-  UNION ALL SELECT doc_id, lang, source, 5, 'PRE-EVALUATION (VALIDATION): {''eval_loss'': ' || doc_id
-      || '.5, ''eval_counts'': [1, 2], ''eval_size'': ' || length(text) || '}' FROM log_docs
-  UNION ALL SELECT doc_id, lang, source, 6, 'POST-EVALUATION (TEST): {''eval_loss'': ' || doc_id
+  UNION ALL SELECT doc_id, lang, source, 3, chr(9) || 'EPOCHS: 9' FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 4, chr(9) || 'EPOCHS: 1' || (length(source) - 3) FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 5, chr(9) || 'TRAINING SIZE: ' || length(text) FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 6, 'PRE-EVALUATION (VALIDATION): {''eval_loss'': ' || doc_id
+      || '.5, ''eval_counts'': [1, 2], ''eval_norm'': '
+      || ['nan', 'inf', '-inf', 'None', 'True'][1 + doc_id % 5]
+      || ', ''eval_size'': ' || length(text) || '}' FROM log_docs
+  UNION ALL SELECT doc_id, lang, source, 7, 'POST-EVALUATION (TEST): {''eval_loss'': ' || doc_id
       || '.5, ''epoch'': 2.0}' FROM log_docs
-  UNION ALL SELECT doc_id, lang, source, 7 + 5 * pos,
+  UNION ALL SELECT doc_id, lang, source, 8 + 5 * pos,
       'TRANSLATION ' || pos || ' on "English to Spanish"' FROM line_pairs
-  UNION ALL SELECT doc_id, lang, source, 8 + 5 * pos, chr(9) || 'Original Text: ' || en FROM line_pairs
-  UNION ALL SELECT doc_id, lang, source, 9 + 5 * pos,
+  UNION ALL SELECT doc_id, lang, source, 9 + 5 * pos, chr(9) || 'Original Text: ' || en FROM line_pairs
+  UNION ALL SELECT doc_id, lang, source, 10 + 5 * pos,
       chr(9) || 'Generated Translation: ' || lower(en) FROM line_pairs
-  UNION ALL SELECT doc_id, lang, source, 10 + 5 * pos, chr(9) || 'Actual Translation: ' || es FROM line_pairs
-  UNION ALL SELECT doc_id, lang, source, 11 + 5 * pos, en FROM line_pairs),
+  UNION ALL SELECT doc_id, lang, source, 11 + 5 * pos, chr(9) || 'Actual Translation: ' || es FROM line_pairs
+  UNION ALL SELECT doc_id, lang, source, 12 + 5 * pos, en FROM line_pairs),
 log_lines AS (
-  SELECT 'finetune-' || lang || '.log' AS file, doc_id * 1048576 + seq AS line_no,
-    CASE WHEN seq >= 7 AND (seq - 7) % 5 = 4 THEN message
+  SELECT 'finetune-' || lang || '.log' AS file, doc_id * 4294967296 + seq AS line_no,
+    CASE WHEN seq >= 8 AND (seq - 8) % 5 = 4 THEN message
          ELSE 'VERSION 1.1.' || replace(source, 'src', '') || ' : '
            || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 60 + seq),
                        '%Y-%m-%d %H:%M:%S') || ' : ' || message END AS value
   FROM log_messages)"""
 
+# As files hold them: one after the other.
+FILED_LINES = """
+filed AS (
+  SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS line_no, value
+  FROM log_lines)"""
+
 PARSED = r"""
 parsed_0 AS (
   SELECT *, regexp_matches(value, '(?s)^VERSION (\S+) : (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) : (.*)$') AS ok,
@@ -221,6 +230,7 @@ PARTS = {
     "candidates": CANDIDATES,
     "scored": SCORED,
     "log_lines": LOG_LINES,
+    "filed": FILED_LINES,
     "numbered": PARSED,
 }
 NEEDS = {
@@ -230,6 +240,7 @@ NEEDS = {
     "candidates": ("split_pairs",),
     "scored": ("candidates",),
     "log_lines": ("line_pairs",),
+    "filed": ("log_lines",),
     "numbered": ("log_lines",),
 }
 

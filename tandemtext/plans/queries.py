@@ -7,6 +7,7 @@ spelled out in SQL. Floats are rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,8 +165,11 @@ def split_by_held_out_size(spark: SparkSession, folder: str) -> DataFrame:
 SELECT id, split, row_number() OVER (ORDER BY split, id) - 1 AS row_index
 FROM split_pairs""", "split_pairs"))
 def sorted_by_identity(spark: SparkSession, folder: str) -> DataFrame:
+    """The sorted rows as they are written, one file after the other."""
+    path = scratch_path(spark, "sorted")
     members = inputs.split_pairs(spark, folder).select("id", "split")
-    return files.with_row_index(ordering.sort_by_identity(members), "split", "id")
+    ordering.sort_by_identity(members).write.parquet(path)
+    return files.in_written_order(spark, path)
 
 
 @query(oracles.sql(f"""
@@ -323,7 +327,7 @@ def enriched_rows(spark: SparkSession, folder: str) -> DataFrame:
         return lambda row: f"Translate from English to Spanish:{row['text']} [{row['role']}]"
 
     turns = files.read_table(spark, folder, "conversations")
-    out = generate.enrich_rows(turns, "enriched", connect, ["text", "role"], partitions=8)
+    out = generate.enrich_rows(turns, "enriched", connect, ["text", "role"])
     return out.select("conv_id", "turn", "enriched")
 
 
@@ -491,11 +495,12 @@ def _epochs_sql(rows: str, stage: int, task: str, epochs: float) -> str:
     whole = int(epochs)
     picked = f"SELECT id, prompt, label, {stage} AS stage, '{task}' AS task"
     parts = [f"{picked}, {e} AS epoch FROM {rows}" for e in range(1, whole + 1)]
-    if epochs > whole:
+    rest = Fraction(str(epochs)) - whole
+    if rest:
         key = oracles.order_key("id", f"42|{task}")
         parts.append(f"""{picked}, {whole + 1} AS epoch FROM (
   SELECT *, row_number() OVER (ORDER BY {key}) AS r, count(*) OVER () AS n FROM {rows})
-WHERE r <= floor(n * CAST({epochs - whole} AS DOUBLE))""")
+WHERE r <= n * {rest.numerator} // {rest.denominator}""")
     return "\nUNION ALL ".join(parts)
 
 
@@ -512,10 +517,9 @@ MIXED = ["id", "prompt", "label", "stage", "task", "epoch"]
 
 
 @query(oracles.sql(f"""
-SELECT id FROM pairs ORDER BY {oracles.order_key("id", 3)} LIMIT 12000""", "pairs"))
+SELECT id FROM pairs ORDER BY {oracles.order_key("id", 3)} LIMIT 5000""", "pairs"))
 def large_random_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """Too many rows for one task, so the sample is cut out of the seeded order."""
-    return ordering.sample_rows(inputs.pairs(spark, folder).select("id"), "id", 12_000, seed=3)
+    return ordering.sample_rows(inputs.pairs(spark, folder).select("id"), "id", 5_000, seed=3)
 
 
 def _training_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -552,6 +556,39 @@ def staged_judge_only(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.repeat_mixture(scored, pairs, MODELS, 2, 2, TASK).select(*MIXED)
 
 
+@query(oracles.sql(
+    _epochs_sql("judge_rows", 1, "judge", 1.0).replace("label, 1", "label, bad, 1"),
+    "scored", extra=PREFERENCE_ROWS))
+def staged_preference_judge_only(spark: SparkSession, folder: str) -> DataFrame:
+    scored, pairs = _training_inputs(spark, folder)
+    mixed = jobs.preference_mixture(scored, pairs, MODELS, 2, 1, TASK)
+    return mixed.select("id", "prompt", "label", "bad", "stage", "task", "epoch")
+
+
+@query(oracles.sql(f"""
+SELECT id, unnest(range(1, CASE WHEN r <= n * 3 // 10 THEN 4 ELSE 3 END)) AS epoch
+FROM (SELECT id, row_number() OVER (ORDER BY {oracles.order_key("id")}) AS r, count(*) OVER () AS n
+      FROM pairs)""", "pairs"))
+def broken_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """Two epochs and three tenths: a fraction that binary numbers don't have."""
+    pairs = inputs.pairs(spark, folder).select("id")
+    return tasks.epochs_of(pairs, 2.3).select("id", F.col("epoch").cast("bigint").alias("epoch"))
+
+
+@query(oracles.sql(
+    "SELECT id, en, es, split FROM plain",
+    "line_pairs",
+    extra=oracles.split_cte(
+        "plain", "(SELECT id, en, es FROM line_pairs WHERE en <> es AND length(en) >= 10)", "id",
+        "floor(n * CAST(0.8 AS DOUBLE))",
+    ),
+))
+def plain_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus from one table that has a column for each language."""
+    pairs = inputs.line_pairs(spark, folder).select("id", "en", "es")
+    return jobs.build_plain_corpus(pairs, "en", "es", train_size=0.8)
+
+
 @query(oracles.sql("""
 SELECT split, count(*) AS train_rows, 'steps' AS strategy,
   CAST(floor(floor(count(*) / CAST(16 AS DOUBLE)) * CAST(0.5 AS DOUBLE)) AS BIGINT) AS save_steps
@@ -606,63 +643,99 @@ def word_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("""
-SELECT doc_id, text AS stripped FROM documents""")
+# White space spelled out: ASCII's, its separators, and what Unicode adds.
+BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"""
+SELECT doc_id, regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g') AS stripped FROM documents""")
 def stripped_text(spark: SparkSession, folder: str) -> DataFrame:
     """White space of several kinds is put around each text, and comes off again."""
     docs = files.read_table(spark, folder, "documents")
-    padded = F.concat(F.lit(" \t \n"), text.strip(F.col("text")), F.lit("\r\n \t "))
-    bare = text.strip(F.col("text")) == F.col("text")
-    shown = F.when(bare, text.strip(padded)).otherwise(F.col("text"))
-    return docs.select("doc_id", shown.alias("stripped"))
+    padded = F.concat(F.lit(" \t\u00a0\n"), F.col("text"), F.lit("\r\n\u2003\t "))
+    return docs.select("doc_id", text.strip(padded).alias("stripped"))
 
 
-ENGLISH_VOCABULARY = f"""
+VOCABULARY = f"""
 vocabulary AS (
   SELECT token, CAST(row_number() OVER (ORDER BY uses DESC, token) + 2 AS INT) AS id, uses
   FROM (SELECT token, count(*) AS uses
-        FROM (SELECT unnest({oracles.words("text")}) AS token FROM documents WHERE lang = 'en')
-        GROUP BY token ORDER BY uses DESC, token LIMIT 2000))"""
+        FROM (SELECT unnest({oracles.words("text")}) AS token FROM documents) GROUP BY token))"""
 
 
-def _english_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    docs = files.read_table(spark, folder, "documents").where("lang = 'en'").select("text")
-    return encode.build_vocabulary(docs, max_size=2000)
+def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """Of all words of all documents, written once."""
+    path = scratch_path(spark, "vocabulary")
+    docs = files.read_table(spark, folder, "documents").select("text")
+    encode.build_vocabulary(docs).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-@query(oracles.sql("SELECT id, token, uses FROM vocabulary", extra=ENGLISH_VOCABULARY))
+@query(oracles.sql("SELECT id, token, uses FROM vocabulary", extra=VOCABULARY))
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return _english_vocabulary(spark, folder)
+    return encode.build_vocabulary(files.read_table(spark, folder, "documents").select("text"))
 
 
-DOC_TOKENS = f"""
-doc_tokens AS (
-  SELECT doc_id, i, coalesce(v.id, 2) AS id, v.token
-  FROM (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS i
-        FROM (SELECT doc_id, {oracles.words("text")} AS w FROM documents)) t
+TURN_TOKENS = f"""
+turn_tokens AS (
+  SELECT conv_id, turn, i, coalesce(v.id, 2) AS id, v.token
+  FROM (SELECT conv_id, turn, unnest(w) AS token, unnest(range(len(w))) AS i
+        FROM (SELECT conv_id, turn, {oracles.words("text")} AS w FROM conversations)) t
   LEFT JOIN vocabulary v USING (token))"""
 
 
+def _encoded_turns(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
+    turns = files.read_table(spark, folder, "conversations")
+    keyed = turns.withColumn("key", F.concat_ws("-", "conv_id", "turn"))
+    return encode.encode_texts(keyed, "key", {"token_ids": "text"}, known)
+
+
 @query(oracles.sql("""
-SELECT doc_id, coalesce(string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY i), '') AS ids
-FROM documents LEFT JOIN doc_tokens t USING (doc_id) GROUP BY doc_id""",
-    extra=ENGLISH_VOCABULARY + "," + DOC_TOKENS))
+SELECT conv_id, turn, coalesce(string_agg(CAST(t.id AS VARCHAR), ' ' ORDER BY i), '') AS ids
+FROM conversations LEFT JOIN turn_tokens t USING (conv_id, turn) GROUP BY conv_id, turn""",
+    extra=VOCABULARY + "," + TURN_TOKENS))
 def encoded_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents in the vocabulary of the English ones: other words are unknown."""
-    known = encode.Vocabulary(_english_vocabulary(spark, folder))
-    docs = files.spread(files.read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return docs.select("doc_id", joined(known.encode(F.col("text"))).alias("ids"))
+    """The conversations in the vocabulary of the documents: other words are unknown."""
+    encoded = _encoded_turns(spark, folder, _vocabulary(spark, folder))
+    return encoded.select("conv_id", "turn", joined(F.col("token_ids")).alias("ids"))
 
 
 @query(oracles.sql("""
-SELECT doc_id, coalesce(string_agg(t.token, ' ' ORDER BY i) FILTER (t.token IS NOT NULL), '') AS words
-FROM documents LEFT JOIN doc_tokens t USING (doc_id) GROUP BY doc_id""",
-    extra=ENGLISH_VOCABULARY + "," + DOC_TOKENS))
+SELECT conv_id, turn, coalesce(string_agg(t.token, ' ' ORDER BY i) FILTER (t.token IS NOT NULL), '') AS words
+FROM conversations LEFT JOIN turn_tokens t USING (conv_id, turn) GROUP BY conv_id, turn""",
+    extra=VOCABULARY + "," + TURN_TOKENS))
 def decoded_words(spark: SparkSession, folder: str) -> DataFrame:
-    known = encode.Vocabulary(_english_vocabulary(spark, folder))
-    docs = files.spread(files.read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    ids = docs.select("doc_id", known.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", known.decode(F.col("ids")).alias("words"))
+    known = _vocabulary(spark, folder)
+    encoded = _encoded_turns(spark, folder, known)
+    return encode.decode_ids(encoded, "key", {"words": "token_ids"}, known).select("conv_id", "turn", "words")
+
+
+@query(oracles.sql(f"""
+SELECT doc_id, coalesce(string_agg(CAST(v.id AS VARCHAR), ' ' ORDER BY i), '') AS ids
+FROM documents LEFT JOIN (
+  SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS i
+  FROM (SELECT doc_id, {oracles.words("text")} AS w FROM documents)) t USING (doc_id)
+LEFT JOIN vocabulary v USING (token) GROUP BY doc_id""", extra=VOCABULARY))
+def encoded_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in the vocabulary of all of them."""
+    docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
+    encoded = encode.encode_texts(docs, "doc_id", {"token_ids": "text"}, _vocabulary(spark, folder))
+    return encoded.select("doc_id", joined(F.col("token_ids")).alias("ids"))
+
+
+@query("""
+SELECT conv_id, turn,
+  array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c) % 997), ' ') AS ids
+FROM conversations""")
+def injected_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    """A tokenizer that comes as a function: here a number for each code point."""
+
+    def load():
+        return lambda texts: [[ord(sign) % 997 for sign in text] for text in texts]
+
+    turns = files.read_table(spark, folder, "conversations")
+    ids = encode.encode_with(load, F.col("text"))
+    return turns.select("conv_id", "turn", joined(ids).alias("ids"))
 
 
 CHAR_IDS = "list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS INT))"
@@ -698,39 +771,65 @@ def ignored_labels_replaced(spark: SparkSession, folder: str) -> DataFrame:
     return turns.select("conv_id", "turn", joined(encode.without_ignored(masked)).alias("labels"))
 
 
-ENCODED = {"input_ids": "p", "labels": "l", "labels_good": "g", "labels_bad": "b"}
-ENCODED_ROWS = f"""
-examples AS (SELECT id, ': ' || en AS p, es AS l, {BEST} AS g, {WORST} AS b FROM scored),
-texts AS ({" UNION ALL ".join(
-    f"SELECT id AS k, '{name}' AS col, {side} AS t FROM examples" for name, side in ENCODED.items())}),
-text_ids AS (
-  SELECT k, col, list(coalesce(v.id, 2) ORDER BY i) AS ids
-  FROM (SELECT k, col, unnest(w) AS token, unnest(range(len(w))) AS i
-        FROM (SELECT k, col, {oracles.words("t")} AS w FROM texts)) x
-  LEFT JOIN vocabulary v USING (token) WHERE i < 99 GROUP BY k, col),
-ended AS (
-  SELECT k, col, list_append(coalesce(ids, CAST([] AS INT[])), 1) AS ids
-  FROM texts LEFT JOIN text_ids USING (k, col)),
-padded AS (
+def _encoded_sql(texts: dict[str, str], rows: str, length: int) -> str:
+    """Columns of padded ids of the SQL texts of ``rows``, and the mask of the first."""
+    first = next(iter(texts))
+    names = ", ".join(f"max(ids) FILTER (col = '{name}') AS {name}" for name in texts)
+    sides = " UNION ALL ".join(
+        f"SELECT id AS k, '{name}' AS col, {side} AS t FROM {rows}" for name, side in texts.items()
+    )
+    return f"""
+SELECT {names},
+  rtrim(repeat('1 ', max(n) FILTER (col = '{first}'))
+        || repeat('0 ', {length} - max(n) FILTER (col = '{first}'))) AS attention_mask
+FROM (
   SELECT k, col, len(ids) AS n,
-    array_to_string(list_concat(ids, list_transform(range(100 - len(ids)), lambda i: 0)), ' ') AS ids
-  FROM ended)"""
+    array_to_string(list_concat(ids, list_transform(range({length} - len(ids)), lambda i: 0)), ' ') AS ids
+  FROM (
+    SELECT k, col, list_append(coalesce(ids, CAST([] AS INT[])), 1) AS ids
+    FROM (SELECT k, col FROM ({sides})) LEFT JOIN (
+      SELECT k, col, list(coalesce(v.id, 2) ORDER BY i) AS ids
+      FROM (SELECT k, col, unnest(w) AS token, unnest(range(len(w))) AS i
+            FROM (SELECT k, col, {oracles.words("t")} AS w FROM ({sides}))) x
+      LEFT JOIN vocabulary v USING (token) WHERE i < {length - 1} GROUP BY k, col) USING (k, col)))
+GROUP BY k"""
 
 
-@query(oracles.sql(f"""
-SELECT {", ".join(f"max(ids) FILTER (col = '{name}') AS {name}" for name in ENCODED)},
-  rtrim(repeat('1 ', max(n) FILTER (col = 'input_ids'))
-        || repeat('0 ', 100 - max(n) FILTER (col = 'input_ids'))) AS attention_mask
-FROM padded GROUP BY k""", "scored", extra=ENGLISH_VOCABULARY + "," + ENCODED_ROWS))
+def _shown(encoded: DataFrame) -> DataFrame:
+    return encoded.select(*[joined(F.col(name)).alias(name) for name in encoded.columns])
+
+
+PREFERENCE_TEXTS = {"input_ids": "': ' || en", "labels": "es", "labels_good": BEST, "labels_bad": WORST}
+
+
+@query(oracles.sql(_encoded_sql(PREFERENCE_TEXTS, "scored", 100), "scored", extra=VOCABULARY))
 def encoded_preference_examples(spark: SparkSession, folder: str) -> DataFrame:
     """What a preference trainer reads: prompt, good and bad text as ids, nothing else."""
-    known = encode.Vocabulary(_english_vocabulary(spark, folder))
-    examples = tasks.preference_pairs(
-        inputs.scored_pairs(spark, folder), MODELS, SCORES, target="es"
-    )
+    scored = inputs.scored_pairs(spark, folder)
+    examples = tasks.preference_pairs(scored, MODELS, SCORES, target="es")
     labels = {"labels": "label", "labels_good": "good", "labels_bad": "bad"}
-    rows = encode.encoded_examples(examples, known.encode, labels, length=100)
-    return rows.select(*[joined(F.col(name)).alias(name) for name in rows.columns])
+    return _shown(
+        encode.encoded_examples(examples, "id", _vocabulary(spark, folder), labels, length=100)
+    )
+
+
+@query(oracles.sql(
+    _encoded_sql({"input_ids": REPEAT_PROMPT, "labels": BEST}, "scored", 200), "scored", extra=VOCABULARY))
+def encoded_repeat_examples(spark: SparkSession, folder: str) -> DataFrame:
+    examples = tasks.repeat_examples(inputs.scored_pairs(spark, folder), MODELS, SCORES)
+    return _shown(
+        encode.encoded_examples(examples, "id", _vocabulary(spark, folder), {"labels": "label"})
+    )
+
+
+@query(oracles.sql(
+    _encoded_sql({"input_ids": "'English to Spanish: ' || en", "labels": "es"}, "split_pairs", 200),
+    "split_pairs", extra=VOCABULARY))
+def encoded_translation_examples(spark: SparkSession, folder: str) -> DataFrame:
+    examples = tasks.translation_examples(inputs.split_pairs(spark, folder), TASK)
+    return _shown(
+        encode.encoded_examples(examples, "id", _vocabulary(spark, folder), {"labels": "label"})
+    )
 
 
 # --- Files ---------------------------------------------------------------------------
@@ -757,12 +856,15 @@ def csv_with_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(oracles.sql("""
-SELECT en AS "English", count(*) AS times FROM line_pairs WHERE en <> '' GROUP BY en""", "line_pairs"))
+SELECT en || CASE WHEN pos % 7 = 0 THEN chr(10) || es ELSE '' END AS "English", count(*) AS times
+FROM line_pairs GROUP BY ALL""", "line_pairs"))
 def sentence_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences, some of them empty or of two lines."""
     path = scratch_path(spark, "sentences")
-    lines = inputs.line_pairs(spark, folder).where("en <> ''").select("en")
-    files.write_sentences(lines, path)
-    read = files.read_sentences(spark, path)
+    pairs = inputs.line_pairs(spark, folder)
+    broken = F.when(F.col("pos") % 7 == 0, F.concat("en", F.lit("\n"), "es")).otherwise(F.col("en"))
+    files.write_sentences(pairs.select(broken.alias("en")), path)
+    read = files.read_sentences(spark, path, multi_line=True)
     return read.groupBy("English").agg(F.count("*").alias("times"))
 
 
@@ -795,30 +897,46 @@ def run_report(spark: SparkSession, folder: str) -> DataFrame:
 # --- Run logs ------------------------------------------------------------------------
 
 
-@query(oracles.sql("""
-SELECT regexp_extract(file, '(finetune-.*)') AS log, count(*) AS lines,
-  count(DISTINCT line_no) AS numbers, CAST(sum(length(value)) AS BIGINT) AS chars,
-  count(*) FILTER (value LIKE '%= RUN =%') AS markers
-FROM log_lines GROUP BY file""", "log_lines"))
-def log_files_scanned(spark: SparkSession, folder: str) -> DataFrame:
-    """Logs written as text and read back by a glob, lines numbered per file."""
+def _filed(spark: SparkSession, folder: str) -> DataFrame:
+    """The logs written as text, one file each as a run writes it, and read back by a glob."""
     path = scratch_path(spark, "logs")
     lines = inputs.log_lines(spark, folder)
-    # Lines of one run stay together and in order; a log may have several part files.
-    run = F.floor(F.col("line_no") / (1 << 20))
-    lines.repartition("file", run).sortWithinPartitions("file", "line_no").select(
+    lines.repartition("file").sortWithinPartitions("file", "line_no").select(
         F.col("file").alias("log"), "value"
     ).write.partitionBy("log").text(path)
     read = files.read_log_lines(spark, f"{path}/log=*/*.txt")
-    log = F.regexp_extract("file", r"log=([^/]*)/", 1)
-    return read.groupBy(log.alias("log")).agg(
+    return read.withColumn("file", F.regexp_extract("file", r"log=([^/]*)/", 1))
+
+
+def _of_files(statement: str) -> str:
+    """SQL over the numbered lines, with the line numbers of files."""
+    return statement.replace("FROM log_lines)", "FROM filed)", 1).replace(
+        "parsed_0 AS", f"{oracles.FILED_LINES.strip()},\nparsed_0 AS", 1
+    )
+
+
+@query(oracles.sql("""
+SELECT file, count(*) AS lines, CAST(sum(line_no * length(value)) AS BIGINT) AS placed_chars,
+  count(*) FILTER (value LIKE '%= RUN =%') AS markers
+FROM filed GROUP BY file""", "filed"))
+def log_files_scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines numbered in file order: every line weighs its number."""
+    return _filed(spark, folder).groupBy("file").agg(
         F.count("*").alias("lines"),
-        F.count_distinct("file", "line_no").alias("numbers"),
-        F.sum(F.length("value")).alias("chars"),
+        F.sum(F.col("line_no") * F.length("value")).alias("placed_chars"),
         F.count_if(F.contains("value", F.lit("= RUN ="))).alias("markers"),
     )
 
 
+@query(_of_files(oracles.sql("""
+SELECT file, CAST(run_no AS BIGINT) AS run_no, CAST(record_no AS BIGINT) AS record_no, line_no,
+  version, message FROM numbered""", "numbered")))
+def log_files_numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs and records of logs that are read from files."""
+    numbered = logs.number_records(logs.parse_lines(_filed(spark, folder)))
+    return numbered.select("file", "run_no", "record_no", "line_no", "version", "message")
+
+
 def _numbered(spark: SparkSession, folder: str) -> DataFrame:
     return logs.number_records(logs.parse_lines(inputs.log_lines(spark, folder)))
 
@@ -855,7 +973,8 @@ SELECT file, CAST(run_no AS BIGINT) AS run_no, line_no, stage, metric,
   TRY_CAST(json_extract_string(j, '$.' || metric) AS DOUBLE) AS value
 FROM (SELECT *, unnest(json_keys(j)) AS metric FROM (
   SELECT file, run_no, line_no, regexp_extract(message, '^([^:]*): ', 1) AS stage,
-    CAST(replace(regexp_extract(message, ': (\{.*\})$', 1), '''', '"') AS JSON) AS j
+    CAST(regexp_replace(replace(regexp_extract(message, ': (\{.*\})$', 1), '''', '"'),
+      ': (-?inf|nan|None|True)([,}])', ': "\1"\2', 'g') AS JSON) AS j
   FROM numbered
   WHERE version IS NOT NULL AND regexp_matches(message, '^(PRE|POST)-EVALUATION[^:]*: \{.*\}$')))
 """, "numbered"))
@@ -866,8 +985,8 @@ def log_evaluations(spark: SparkSession, folder: str) -> DataFrame:
 @query(oracles.sql(r"""
 SELECT file, CAST(run_no AS BIGINT) AS run_no,
   CASE WHEN bool_or(section_no > 0 AND stripped LIKE 'MODEL%') THEN '' ELSE section END AS section,
-  max(x) FILTER (k = 'MODEL') AS "MODEL", max(x) FILTER (k = 'EPOCHS') AS "EPOCHS",
-  max(x) FILTER (k = 'TRAINING SIZE') AS "TRAINING SIZE"
+  arg_max(x, line_no) FILTER (k = 'MODEL') AS "MODEL", arg_max(x, line_no) FILTER (k = 'EPOCHS') AS "EPOCHS",
+  arg_max(x, line_no) FILTER (k = 'TRAINING SIZE') AS "TRAINING SIZE"
 FROM (SELECT *, CASE WHEN stripped LIKE 'MODEL%' THEN '' ELSE 'HYPERPARAMETERS' END AS section,
         regexp_extract(stripped, '^([A-Z() ]+): (.*)$', 1) AS k,
         regexp_extract(stripped, '^([A-Z() ]+): (.*)$', 2) AS x
@@ -936,3 +1055,15 @@ def log_comparison(spark: SparkSession, folder: str) -> DataFrame:
     named_model = sentences.withColumnRenamed("Spanish", "GPT-3.5")
     samples = logs.sample_translations(parsed, TASK)
     return merge.attach_columns(named_model, samples, "i", "file", "translation", LOG_NAMES)
+
+
+@query(_of_files(oracles.sql(f"""
+SELECT item_id AS i, {", ".join(
+    f"max(translation) FILTER (file = '{name}') AS " + f'"{name}"' for name in LOG_NAMES)}
+FROM benchmark b LEFT JOIN samples s ON s.i = b.item_id GROUP BY item_id
+""", "numbered", extra=SAMPLES)))
+def log_files_compared(spark: SparkSession, folder: str) -> DataFrame:
+    """The samples of logs that are read from files, one column per log."""
+    sentences = files.read_table(spark, folder, "benchmark").select(F.col("item_id").alias("i"))
+    samples = logs.sample_translations(logs.parse_lines(_filed(spark, folder)), TASK)
+    return merge.attach_columns(sentences, samples, "i", "file", "translation", LOG_NAMES)

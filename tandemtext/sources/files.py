@@ -15,16 +15,9 @@ CELLS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than the cluster has cores one partition per core.
 
-    Asking for the partition count plans the scan but runs no job. Large inputs
-    already have more splits than cores and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+# A sentence that is null; an empty one is a pair of quotes.
+NULL_SENTENCE = "\u0000"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,25 +55,38 @@ def stored_splits(df: DataFrame, label: str) -> DataFrame:
 def read_language_pair(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
     """A bilingual corpus ``id, translation`` of which only two languages are wanted."""
     stored = spark.read.parquet(path)
-    pair = F.create_map(
-        F.lit(source), F.col("translation")[source], F.lit(target), F.col("translation")[target]
-    )
+    # A language that a row lacks stays missing, for who flattens it strictly.
+    pair = F.map_filter("translation", lambda language, _: language.isin(source, target))
     return stored.select("id", pair.alias("translation"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header, doubled quotes and line breaks inside quoted cells."""
-    reader = spark.read.options(header=True, multiLine=True, **CELLS)
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """CSV with a header and doubled quotes.
+
+    With ``multi_line`` cells may hold line breaks, and a file is read by one task;
+    without, a file is split among tasks, and every line break ends a row.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, **CELLS)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def read_sentences(spark: SparkSession, path: str, column: str = "English") -> DataFrame:
-    """One text column, tab separated, no header."""
-    return spark.read.schema(f"`{column}` STRING").options(sep="\t", **CELLS).csv(path)
+def read_sentences(
+    spark: SparkSession, path: str, column: str = "English", multi_line: bool = False
+) -> DataFrame:
+    """One text column, tab separated, no header.
+
+    Sentences with line breaks need ``multi_line``, and then a file is read by one task.
+    """
+    reader = spark.read.schema(f"`{column}` STRING")
+    options = {"sep": "\t", "lineSep": "\n", "multiLine": multi_line, "nullValue": NULL_SENTENCE, **CELLS}
+    return reader.options(**options).csv(path)
 
 
 def write_sentences(df: DataFrame, path: str) -> None:
-    df.write.options(sep="\t", **CELLS).csv(path)
+    """One sentence per row; empty ones and those with line breaks are quoted."""
+    df.write.options(sep="\t", nullValue=NULL_SENTENCE, **CELLS).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, index_by: list[str] | None = None) -> None:
@@ -130,13 +136,19 @@ def with_row_index(df: DataFrame, *order_by: str, name: str = "row_index") -> Da
     The sorted rows are written to the shared folder, one file per range of the
     sort. Positions are then row number in the file plus the size of the files
     before it, which does not change when a task is repeated. Rows with equal keys
-    are ordered by content, so the sort can cut between them however many there are.
+    are ordered by content, and equal rows by the partition they come from, so the sort
+    can cut between them however many there are.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "row-index")
     # By content and not by position: a repeated task may see its rows in another order.
     content = F.xxhash64(*[f"`{column}`" for column in df.columns])
-    df.orderBy(*order_by, content).write.parquet(path)
+    df.orderBy(*order_by, content, F.spark_partition_id()).write.parquet(path)
+    return in_written_order(spark, path, name)
+
+
+def in_written_order(spark: SparkSession, path: str, name: str = "row_index") -> DataFrame:
+    """A table that was written sorted, with the 0-based position of each row in it."""
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
     placed = spark.read.parquet(path).select(
         "*",

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tandemtext.functions import text
 from tandemtext.operators import corpus
+from tandemtext.sources import files
 
 
 def test_flatten_map_and_struct(spark):
@@ -75,3 +76,24 @@ def test_cut_words_early_and_exact(spark):
     ).first()
     # Three words of 3, 3 and 1 characters: seven characters, blanks not counted.
     assert tuple(row) == ("uno dos", "uno dos,", "uno dos, tres")
+
+
+def test_a_missing_language_stays_missing_after_reading(spark, tmp_path):
+    rows = [("1", {"en": "a", "es": "b", "fr": "c"}), ("2", {"en": "a"})]
+    spark.createDataFrame(rows, "id STRING, translation MAP<STRING,STRING>").write.parquet(str(tmp_path / "t"))
+    read = files.read_language_pair(spark, str(tmp_path / "t"), "en", "es")
+    assert {r["id"]: r["translation"] for r in read.collect()} == {"1": {"en": "a", "es": "b"}, "2": {"en": "a"}}
+    with pytest.raises(Exception):
+        corpus.flatten_translation(read, "en", "es", strict=True).collect()
+
+
+def test_words_by_hand(spark):
+    told = {
+        "It's 3.5 km!": ["It", "'", "s", "3", ".", "5", "km", "!"],
+        "naïve_x Ünï 日本語": ["naïve_x", "Ünï", "日本語"],
+        " -- a\tb\n": ["-", "-", "a", "b"],
+        "": [],
+    }
+    df = spark.createDataFrame([(t,) for t in told], "t STRING")
+    found = {r["t"]: r["w"] for r in df.select("t", text.words(F.col("t")).alias("w")).collect()}
+    assert found == told

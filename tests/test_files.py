@@ -74,15 +74,25 @@ def test_fixed_length_and_mask(spark):
 
 
 def test_vocabulary_round_trip(spark):
-    texts = spark.createDataFrame([("b b b a a c",)], "t STRING")
-    table = encode.build_vocabulary(texts, max_size=2)
+    texts = spark.createDataFrame([(1, "b b b a a c"), (2, ""), (3, None)], "id INT, t STRING")
+    table = encode.build_vocabulary(texts.select("t"), max_size=2)
     assert sorted(map(tuple, table.collect())) == [(3, "b", 3), (4, "a", 2)]
-    known = encode.Vocabulary(table)
-    row = texts.select(known.encode(F.col("t")).alias("ids")).select(
-        "ids", known.decode(F.col("ids")).alias("t"),
-        known.decode(F.col("ids"), skip_special=False).alias("all")).first()
-    assert row["ids"] == [3, 3, 3, 4, 4, 2]
-    assert (row["t"], row["all"]) == ("b b b a a", "b b b a a <unk>")
+    encoded = encode.encode_texts(texts, "id", {"ids": "t", "again": "t"}, table)
+    words = encode.decode_ids(encoded, "id", {"words": "ids"}, table)
+    rows = {r["id"]: r for r in encode.decode_ids(words, "id", {"all": "ids"}, table, skip_special=False).collect()}
+    assert rows[1]["ids"] == rows[1]["again"] == [3, 3, 3, 4, 4, 2]
+    assert (rows[1]["words"], rows[1]["all"]) == ("b b b a a", "b b b a a <unk>")
+    assert (rows[2]["ids"], rows[2]["words"]) == ([], "")
+    assert (rows[3]["ids"], rows[3]["words"]) == (None, None)
+
+
+def test_vocabulary_keeps_every_word(spark):
+    texts = spark.range(300_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("t"))
+    table = encode.build_vocabulary(texts)
+    assert table.count() == 300_000
+    some = spark.createDataFrame([(0, "w7 w299999 w300000")], "id INT, t STRING")
+    ids = encode.encode_texts(some, "id", {"ids": "t"}, table).first()["ids"]
+    assert min(ids[:2]) > 2 and ids[2] == encode.UNK
 
 
 def test_injected_tokenizer(spark):
@@ -113,3 +123,29 @@ def test_only_local_sessions_make_a_shared_folder(tmp_path):
         shared_folder(session("spark://host"))
     local = session("local[2]")
     assert shared_folder(local) == local.sparkContext.folder
+
+
+def test_sentences_of_several_lines_and_none(spark, tmp_path):
+    told = ["one", "", "two\nlines", "a \"quoted\" one", "\r\n", " ends ", None]
+    files.write_sentences(spark.createDataFrame([(t,) for t in told], "t STRING"), str(tmp_path / "s"))
+    read = files.read_sentences(spark, str(tmp_path / "s"), multi_line=True)
+    assert {r["English"] for r in read.collect()} == set(told) and read.count() == len(told)
+
+
+def test_csv_read_by_lines(spark, tmp_path):
+    df = spark.range(100).select("id", F.concat(F.lit("a, \"b\" "), "id").alias("t"))
+    files.write_csv(df, str(tmp_path / "c"))
+    read = files.read_csv(spark, str(tmp_path / "c"), "id BIGINT, t STRING", multi_line=False)
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_equal_rows_are_numbered_in_several_files(spark):
+    """Copies of one row don't end in one task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(40_000, numPartitions=8).select(F.lit(1).alias("k"))
+        found = files.with_row_index(rows, "k")
+        assert found.select(F.countDistinct("row_index"), F.max("row_index")).first() == (40_000, 39_999)
+        assert len(set(found.inputFiles())) > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

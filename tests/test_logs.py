@@ -6,22 +6,22 @@ from tandemtext.operators import logs
 from tandemtext.sources import files
 
 # Lines in the shape of published run logs.
-LOG = """VERSION 1.0.8 : 2023-10-19 17:14:24 : ===================== RUN =====================
-VERSION 1.0.8 : 2023-10-19 17:14:24 : MODEL: google/mt5-small
-VERSION 1.0.8 : 2023-10-19 17:16:08 : PRE-EVALUATION: {'eval_score': 0.0123, 'eval_counts': [1679, 12, 7, 3], 'eval_runtime': 50.8}
-VERSION 1.1.13 : 2023-10-28 04:57:32 : ===================== RUN =====================
-VERSION 1.1.13 : 2023-10-28 04:57:32 : HYPERPARAMETERS (HINGE LOSS TRAINING):
-VERSION 1.1.13 : 2023-10-28 04:57:32 : \tEPOCHS: 2
-VERSION 1.1.13 : 2023-10-28 04:57:33 : TRANSLATION 0 on "English to Spanish"
-VERSION 1.1.13 : 2023-10-28 04:57:33 : \tOriginal Text: one : two
-VERSION 1.1.13 : 2023-10-28 04:57:33 : \tGenerated Translation: uno : dos
-VERSION 1.1.13 : 2023-10-28 04:57:33 : \tActual Translation: uno : dos
-VERSION 1.1.13 : 2023-10-28 04:57:35 : Example: Dataset({
+LOG = """VERSION 2.0.1 : 2031-02-03 04:05:06 : ===================== RUN =====================
+VERSION 2.0.1 : 2031-02-03 04:05:06 : MODEL: maker/some-model
+VERSION 2.0.1 : 2031-02-03 04:06:50 : PRE-EVALUATION: {'eval_score': 0.5, 'eval_counts': [9, 8, 7, 6], 'eval_runtime': 12.5}
+VERSION 2.3.4 : 2031-05-06 07:08:10 : ===================== RUN =====================
+VERSION 2.3.4 : 2031-05-06 07:08:10 : HYPERPARAMETERS (HINGE LOSS TRAINING):
+VERSION 2.3.4 : 2031-05-06 07:08:10 : \tEPOCHS: 2
+VERSION 2.3.4 : 2031-05-06 07:08:11 : TRANSLATION 0 on "English to Spanish"
+VERSION 2.3.4 : 2031-05-06 07:08:11 : \tOriginal Text: one : two
+VERSION 2.3.4 : 2031-05-06 07:08:11 : \tGenerated Translation: uno : dos
+VERSION 2.3.4 : 2031-05-06 07:08:11 : \tActual Translation: uno : dos
+VERSION 2.3.4 : 2031-05-06 07:08:13 : Example: Dataset({
     features: ['id'],
 })
-VERSION 1.1.13 : 2023-10-28 04:57:36 : TRANSLATION 0 on "English to Spanish"
-VERSION 1.1.13 : 2023-10-28 04:57:36 : \tOriginal Text: second
-VERSION 1.1.13 : 2023-10-28 04:57:36 : \tGenerated Translation: not the first
+VERSION 2.3.4 : 2031-05-06 07:08:14 : TRANSLATION 0 on "English to Spanish"
+VERSION 2.3.4 : 2031-05-06 07:08:14 : \tOriginal Text: second
+VERSION 2.3.4 : 2031-05-06 07:08:14 : \tGenerated Translation: not the first
 """
 
 
@@ -59,7 +59,7 @@ def test_records_runs_and_continuations(lines):
     a = {r["record_no"]: r for r in records.where("file = 'a.log'").collect()}
     assert len(a) == 14 and a[3]["run_no"] == 1 and a[4]["run_no"] == 2
     assert a[11]["message"] == "Example: Dataset({\n    features: ['id'],\n})"
-    assert str(a[1]["ts"]) == "2023-10-19 17:14:24" and a[4]["version"] == "1.1.13"
+    assert str(a[1]["ts"]) == "2031-02-03 04:05:06" and a[4]["version"] == "2.3.4"
     b = records.where("file = 'b.log'").orderBy("line_no").collect()
     assert [(r["record_no"], r["message"][:6]) for r in b] == [(0, "orphan"), (1, "======")]
 
@@ -67,10 +67,10 @@ def test_records_runs_and_continuations(lines):
 def test_metrics_settings_and_durations(lines):
     numbered = logs.number_records(logs.parse_lines(lines))
     metrics = {r["metric"]: r["value"] for r in logs.evaluation_metrics(numbered).collect()}
-    assert metrics == {"eval_score": 0.0123, "eval_counts": None, "eval_runtime": 50.8}
+    assert metrics == {"eval_score": 0.5, "eval_counts": None, "eval_runtime": 12.5}
     settings = logs.run_settings(numbered, ["MODEL", "EPOCHS"]).collect()
     assert sorted((r["run_no"], r["section"], r["MODEL"], r["EPOCHS"]) for r in settings) == [
-        (1, "", "google/mt5-small", None), (2, "HYPERPARAMETERS (HINGE LOSS TRAINING)", None, "2")]
+        (1, "", "maker/some-model", None), (2, "HYPERPARAMETERS (HINGE LOSS TRAINING)", None, "2")]
     durations = logs.stage_durations(numbered).where("file = 'a.log'")
     assert {r["record_no"]: r["seconds"] for r in durations.where("seconds > 0").collect()} == {
         2: 104, 6: 1, 10: 2, 11: 1}
@@ -91,3 +91,25 @@ def test_running_sums_equal_one_window(spark):
     wanted = rows.select("g", "p", F.sum("v").over(whole).alias("s")).collect()
     found = logs.running_sums(rows, ["g"], "p", {"s": F.col("v")}, spans=(16, 256)).select("g", "p", "s")
     assert sorted(found.collect()) == sorted(wanted)
+
+
+def test_values_of_diverging_runs_are_kept(spark):
+    told = {"a": "nan", "b": "inf", "c": "-inf", "d": "None", "e": "True", "f": "[1, nan]", "g": "1e-3"}
+    text = "{" + ", ".join(f"'{k}': {v}" for k, v in told.items()) + "}"
+    prefix = "VERSION 1.0 : 2031-01-01 00:00:00 : "
+    rows = [("x", 0, prefix + "PRE-EVALUATION: " + text), ("x", 1, prefix + "POST-EVALUATION: {broken: }")]
+    lines = spark.createDataFrame(rows, "file STRING, line_no BIGINT, value STRING")
+    found = logs.evaluation_metrics(logs.number_records(logs.parse_lines(lines))).collect()
+    first = {r["metric"]: r["value"] for r in found if r["line_no"] == 0}
+    assert list(first) and first.keys() == told.keys()
+    assert first["a"] != first["a"] and first["b"] == float("inf") == -first["c"]
+    assert (first["d"], first["e"], first["f"], first["g"]) == (None, None, None, 0.001)
+    assert [(r["metric"], r["value"]) for r in found if r["line_no"] == 1] == [(None, None)]
+
+
+def test_the_last_of_repeated_settings_counts(spark):
+    prefix = "VERSION 1.0 : 2031-01-01 00:00:00 : "
+    rows = [("x", i, prefix + t) for i, t in enumerate([logs.RUN_MARKER, "EPOCHS: 9", "EPOCHS: 10", "EPOCHS: 2"])]
+    lines = spark.createDataFrame(rows, "file STRING, line_no BIGINT, value STRING")
+    found = logs.run_settings(logs.number_records(logs.parse_lines(lines)), ["EPOCHS"])
+    assert [r["EPOCHS"] for r in found.collect()] == ["2"]

@@ -74,12 +74,28 @@ def test_rows_without_a_key_get_one_from_their_file(spark, tmp_path):
     assert split.where("split = 'train'").count() == 70
 
 
-def test_large_samples_equal_small_ones(spark, monkeypatch):
-    ids = spark.range(1000)
-    small = ordering.sample_rows(ids, "id", 37).collect()
-    monkeypatch.setattr(ordering, "SMALL_HEAD", 10)
-    assert sorted(ordering.sample_rows(ids, "id", 37).collect()) == sorted(small)
-    assert ordering.sample_rows(ids, "id", 5000).count() == 1000
+def test_samples_of_any_size(spark):
+    """The same rule on both sides of any size: smaller samples are inside larger ones."""
+    ids = spark.range(20_000)
+    small, large = (ordering.sample_rows(ids, "id", n).collect() for n in (37, 10_001))
+    assert (len(small), len(large)) == (37, 10_001)
+    assert set(small) < set(large)
+    assert ordering.sample_rows(ids, "id", 50_000).count() == 20_000
+
+
+@pytest.mark.parametrize("n", [5, 10_001])
+def test_samples_do_not_cut_between_equal_keys(spark, n):
+    twice = spark.range(20_000).select((F.col("id") % 10_000 * 0).alias("id"))
+    with pytest.raises(Exception, match="not unique"):
+        ordering.sample_rows(twice, "id", n).collect()
+
+
+def test_cuts_in_refined_buckets(spark, monkeypatch):
+    ids = spark.range(3000)
+    wanted = sorted(ordering.sample_rows(ids, "id", 1234).collect())
+    for digits in ((1,), (1, 1), (2, 2, 2)):
+        monkeypatch.setattr(ordering, "BUCKET_DIGITS", digits)
+        assert sorted(ordering.sample_rows(ids, "id", 1234).collect()) == wanted
 
 
 def test_preview_stops_after_number_n(spark):
@@ -88,12 +104,22 @@ def test_preview_stops_after_number_n(spark):
     assert ordering.preview_rows(ids, "id", n=5, inclusive=False).count() == 5
 
 
-def test_rows_at_positions(spark, monkeypatch):
-    ids = spark.range(100, 200).repartition(5)
-    wanted = [(134, 34), (158, 58)]
-    assert sorted(map(tuple, ordering.rows_at(ids, [34, 58, 500], "id").collect())) == wanted
-    monkeypatch.setattr(ordering, "SMALL_HEAD", 10)
-    assert sorted(map(tuple, ordering.rows_at(ids, [34, 58, 500], "id").collect())) == wanted
+def test_rows_at_positions(spark):
+    ids = spark.range(100, 20_200).repartition(5)
+    wanted = [(134, 34), (158, 58), (12_100, 12_000)]
+    found = ordering.rows_at(ids, [34, 58, 12_000, 90_000], "id").collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+def test_rows_at_positions_of_ties(spark):
+    """Ties come in one order, whatever the position and the partitions."""
+    rows = spark.range(500).select((F.col("id") % 2).alias("k"), "id")
+    every = {r["row_index"]: r["id"] for r in ordering.rows_at(rows, range(500), "k").collect()}
+    assert sorted(every.values()) == list(range(500))
+    again = ordering.rows_at(rows.repartition(7), [5, 400], "k").collect()
+    assert {r["row_index"]: r["id"] for r in again} == {5: every[5], 400: every[400]}
+    copies = spark.range(30).select(F.lit(1).alias("k"))
+    assert sorted(map(tuple, ordering.rows_at(copies, [3, 4], "k").collect())) == [(1, 3), (1, 4)]
 
 
 def test_row_index_numbers_equal_keys_without_gaps(spark):

@@ -114,3 +114,37 @@ def test_means_and_reports(spark):
         report.mean_scores(holes, M).collect()
     lines = [r["line"] for r in report.transposed_row(df.select("id", "m-a"), "id").collect()]
     assert lines == ["ID: 1", "M-A: A"]
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+@pytest.mark.parametrize("options", [{"drop_ties": True}, {"min_margin": 0.5}])
+def test_missing_scores_are_an_error_with_margins_too(spark, bad, options):
+    df = scored(spark, [("1", "e", "s", "A", "B", 1.0, bad)])
+    with pytest.raises(Exception, match="null or NaN score"):
+        tasks.preference_pairs(df, M, K, **options).collect()
+
+
+@pytest.mark.parametrize("epochs, rows", [(2.3, 23), (1.1, 11), (0.7, 7), (2.9, 29), (0.07, 0)])
+def test_broken_epochs_are_exact(spark, epochs, rows):
+    assert tasks.epochs_of(spark.range(10), epochs).count() == rows
+
+
+def test_pairs_without_a_side_are_an_error(spark):
+    pairs = spark.createDataFrame([("a b c d", "a b c d"), (None, "a b")], "p STRING, r STRING")
+    with pytest.raises(Exception, match="lacks its prediction"):
+        report.corpus_metric(pairs, "p", "r").collect()
+
+
+def test_profile_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "a INT, b STRING")
+    found = sorted(map(tuple, report.column_profile(none, distinct=True).collect()))
+    assert found == [("a", "int", 0, 0), ("b", "string", 0, 0)]
+
+
+def test_null_sources_are_spelled_out(spark):
+    df = spark.createDataFrame([("1", None)], "id STRING, en STRING")
+
+    def load():
+        return lambda texts: texts
+
+    assert generate.with_candidates(df, "en", {"m": load}, task="T").first()["m"] == "T: None"
