@@ -376,18 +376,33 @@ def drop_repeats(
         .groupBy("id", "digest")
         .agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     )
-    keyed = own.select(
-        F.coalesce("id", F.lit(NO_ID)).alias("id"),
-        F.crc32(F.col("text").cast("binary")).alias("digest"),
-        F.col("id").alias("own_id"),
-        "text",
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 6)
+        for batch in batches:
+            raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+            packed = [None if t is None else codec.compress(t, asbytes=True) for t in raw]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array(packed, pa.binary()),
+                    pa.array([None if t is None else len(t) for t in raw], pa.int64()),
+                    pa.array([zlib.crc32(t or b"") for t in raw], pa.int64()),
+                ],
+                names=["own_id", "packed", "size", "digest"],
+            )
+
+    # Texts are packed before they are shuffled.
+    keyed = own.mapInArrow(shrink, "own_id long, packed binary, size long, digest long").withColumn(
+        "id", F.coalesce("own_id", F.lit(NO_ID))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 6)
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                words = blank_words(text)
+            columns = [batch.column(c).to_pylist() for c in ("packed", "size", "spans")]
+            for packed, size, spans in zip(*columns):
+                words = codec.decompress(packed, size, asbytes=True).split() if packed else []
                 n_words.append(len(words))
                 if spans:
                     stays = np.ones(len(words), bool)
@@ -408,6 +423,6 @@ def drop_repeats(
 
     return (
         keyed.join(stretches, ["id", "digest"], "left")
-        .select("own_id", "text", "spans")
+        .select("own_id", "packed", "size", "spans")
         .mapInArrow(cut, f"`{id_column}` long, n_words long, n_removed long, kept string")
     )
