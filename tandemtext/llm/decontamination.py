@@ -23,7 +23,7 @@ from tandemtext.llm.words import folded_words
 from tandemtext.session import scratch_path
 
 PHRASE = 10
-SEGMENT_WORDS = 1 << 22
+SEGMENT_WORDS = 1 << 21
 BLOCK_WORDS = 1 << 18
 
 
