@@ -44,6 +44,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no earlier run has used."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the scratch tables of this process, and tells how many.
+
+    To be called once the results that read them are stored.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    gone = 0
+    while _made:
+        path = hadoop.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

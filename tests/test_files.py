@@ -3,6 +3,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from tandemtext import session
 from tandemtext.functions import encode
 from tandemtext.plans import jobs
 from tandemtext.session import shared_folder
@@ -149,3 +150,12 @@ def test_equal_rows_are_numbered_in_several_files(spark):
         assert len(set(found.inputFiles())) > 3
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    path = session.scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert session.clear_scratch(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert session.clear_scratch(spark) == 0
