@@ -45,31 +45,37 @@ def _cut_keys(df: DataFrame, order: Column, cuts: dict[str, Column]) -> Column:
             for name, rank in cuts.items()
         ]
     )
-    # One row per cut, and no bucket yet.
-    counted = keyed.agg(F.count("*").alias("n"))
-    wanted = counted.select(F.inline(ranks)).withColumns(
-        {"_prefix": F.lit(""), "_before": F.lit(0).cast("bigint")}
+    whole = Window.partitionBy()
+    so_far = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+
+    def at_rank(counted: DataFrame) -> DataFrame:
+        """One row per cut: the bucket its rank falls into."""
+        inside = (F.col("_upto") - F.col("_rows") < F.col("rank")) & (F.col("rank") <= F.col("_upto"))
+        before = (F.col("_upto") - F.col("_rows")).alias("_before")
+        return counted.where(inside).select("cut", "rank", F.col("_bucket").alias("_prefix"), before)
+
+    # At most 16 ** digits buckets, which also tell the number of rows.
+    known = BUCKET_DIGITS[0]
+    first = (
+        keyed.groupBy(F.substring("_order", 1, known).alias("_bucket"))
+        .agg(F.count("*").alias("_rows"))
+        .withColumns({"_upto": F.sum("_rows").over(so_far), "n": F.sum("_rows").over(whole)})
     )
-    known = 0
-    for digits in BUCKET_DIGITS:
+    wanted = at_rank(first.select("_bucket", "_rows", "_upto", F.inline(ranks)))
+    for digits in BUCKET_DIGITS[1:]:
         running = Window.partitionBy("cut").orderBy("_bucket").rowsBetween(
             Window.unboundedPreceding, 0
         )
         # At most 16 ** digits buckets of every cut.
-        buckets = (
+        finer = (
             keyed.withColumn("_start", F.substring("_order", 1, known))
             .join(F.broadcast(wanted), F.col("_start") == F.col("_prefix"))
-            .withColumn("_bucket", F.substring("_order", 1, known + digits))
-            .groupBy("cut", "rank", "_before", "_bucket")
+            .groupBy("cut", "rank", "_before", F.substring("_order", 1, known + digits).alias("_bucket"))
             .agg(F.count("*").alias("_rows"))
             .withColumn("_upto", F.col("_before") + F.sum("_rows").over(running))
         )
         known += digits
-        wanted = buckets.where(
-            (F.col("_upto") - F.col("_rows") < F.col("rank")) & (F.col("rank") <= F.col("_upto"))
-        ).select(
-            "cut", "rank", F.col("_bucket").alias("_prefix"), (F.col("_upto") - F.col("_rows")).alias("_before")
-        )
+        wanted = at_rank(finer)
     # Rows with the same key are counted before they meet in one task.
     in_bucket = Window.partitionBy("cut").orderBy("_order").rowsBetween(
         Window.unboundedPreceding, 0
