@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.llm.words import folded_words
 from tandemtext.session import scratch_path
 
@@ -60,13 +61,13 @@ def build_index(
 
         task, number = TaskContext.get().partitionId(), 0
         kind = None
-        ids, starts, pieces, end = [], [], [], 0
+        ids, starts, runs, end = [], [], [], 0
         terms: defaultdict[bytes, int] = defaultdict()
         terms.default_factory = terms.__len__
 
         def flush() -> Iterator[pa.RecordBatch]:
             name = f"{task}-{number}"
-            codes = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
+            codes = np.concatenate(runs) if runs else np.empty(0, np.int32)
             counts = np.bincount(codes[codes >= 0], minlength=len(terms)).astype(np.int64)
             places = np.argsort(codes, kind="stable")[(codes < 0).sum() :].astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -96,14 +97,14 @@ def build_index(
                     names=schema.names,
                 )
 
-        for batch in batches:
+        for batch in pieces(batches):
             kind = batch.schema.field(0).type
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = folded_words(text)
                 if ids and end + len(words) > segment_words:
                     yield from flush()
                     number += 1
-                    ids, starts, pieces, end = [], [], [], 0
+                    ids, starts, runs, end = [], [], [], 0
                     terms.clear()
                 ids.append(id_)
                 starts.append(end)
@@ -111,13 +112,13 @@ def build_index(
                 codes = np.empty(len(words) + 1, np.int32)
                 codes[:-1] = np.fromiter(map(terms.__getitem__, words), np.int32, len(words))
                 codes[-1] = -1
-                pieces.append(codes)
+                runs.append(codes)
                 end += len(words) + 1
         if ids:
             yield from flush()
 
     path = scratch_path(spark, "index")
-    docs.select(id_column, text_column).mapInArrow(segments, schema).write.parquet(path)
+    in_small_batches(docs).select(id_column, text_column).mapInArrow(segments, schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

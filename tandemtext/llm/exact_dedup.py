@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.session import scratch_path
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -84,8 +85,7 @@ def content_table(docs: DataFrame, id_column: str, text_column: str, heads: bool
             arrays = []
             for name, values in columns.items():
                 if name == "row":
-                    pieces = [v for v in values]
-                    arrays.append(pa.concat_arrays(pieces) if pieces else pa.array([], kinds["row"]))
+                    arrays.append(pa.concat_arrays(values) if values else pa.array([], kinds["row"]))
                 else:
                     arrays.append(pa.array(values, kinds[name]))
             return pa.RecordBatch.from_arrays(arrays, names=list(columns))
@@ -94,7 +94,7 @@ def content_table(docs: DataFrame, id_column: str, text_column: str, heads: bool
             for name, values in columns.items():
                 out.setdefault(name, []).extend(values)
 
-        for batch in batches:
+        for batch in pieces(batches):
             if kinds is None:
                 id_kind = batch.schema.field("id").type
                 kinds = {
@@ -128,7 +128,7 @@ def content_table(docs: DataFrame, id_column: str, text_column: str, heads: bool
             yield batch_of(out)
 
     path = scratch_path(spark, "contents")
-    ordered.mapInArrow(of_range, schema).write.parquet(path)
+    in_small_batches(ordered).mapInArrow(of_range, schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -159,14 +159,13 @@ def find_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kept = F.col("head") & (
         ~across | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("length") == -F.col("best.shorter")))
     )
-    out = joined.select(
+    return joined.select(
         F.col("id").alias(id_column),
         keep.alias("keep_id"),
         F.when(across, F.col("all")).otherwise(F.col("size")).alias("group_size"),
         kept.alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
-    return out
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.llm.stored import stored
 from tandemtext.llm.substring_dedup import mix, word_hashes
 from tandemtext.llm.words import folded_words
@@ -29,7 +30,7 @@ SIZE = 5
 SIMILARITY = 0.8
 RECALL = 0.9995
 BLOCK = 256
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 
 
 def banding(similarity: float, recall: float, chance: float = 0.25) -> tuple[int, int]:
@@ -112,7 +113,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             )
 
         ids, digests, documents, words = [], [], [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             kind = batch.schema.field(0).type
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(id_)
@@ -126,7 +127,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             yield of_chunk(ids, digests, documents)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(
+    return in_small_batches(docs).select("id", "text").mapInArrow(
         sign, f"id {kind}, digest long, node binary, bands array<long>"
     )
 
@@ -300,7 +301,13 @@ def near_copies(
     )
     classes = known.groupBy("label").agg(F.min("first").alias("first"), F.sum("count").alias("class_size"))
     placed = known.select("node", "label", "count", "links").join(
-        classes.select("label", F.col("first.id").alias("class_id"), F.col("first.digest").alias("class_digest"), "class_size"), "label"
+        classes.select(
+            "label",
+            F.col("first.id").alias("class_id"),
+            F.col("first.digest").alias("class_digest"),
+            "class_size",
+        ),
+        "label",
     )
     return (
         signed.select("id", "digest", "node")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.llm.substring_dedup import mix
 
 SIZES = (1, 2, 3, 4)
@@ -122,7 +123,9 @@ def training_sample(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.filter(at < share)
 
 
-def fit(labelled: DataFrame, rows: int = TRAINING_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def fit(
+    labelled: DataFrame, rows: int = TRAINING_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE
+) -> Model:
     """A model of (key, text, label) rows, from a sample of about ``rows`` of them.
 
     Rows without label or text, or without a letter, are left out. The landmarks are spread
@@ -168,8 +171,8 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, landmarks = letter_table(), model.unpacked()
         names = np.array(model.languages, object)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in pieces(batches, _BATCH_TEXTS):
+            texts = batch.column("row").field(text_column).to_pylist()
             labels: list[str] = [UNKNOWN] * len(texts)
             scores = np.zeros(len(texts))
             for a in range(0, len(texts) if len(names) else 0, _BATCH_TEXTS):
@@ -195,9 +198,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
             T.StructField("score", T.DoubleType()),
         ]
     )
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col(text_column).alias("text")).mapInArrow(
-        predict, schema
-    )
+    return in_small_batches(docs).select(F.struct(*docs.columns).alias("row")).mapInArrow(predict, schema)
 
 
 def held_out(id_column: str, of: int, remainder: int):

@@ -139,7 +139,9 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
 
 
-def sizes_and_hashes(docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: str, *more: Column) -> DataFrame:
+def sizes_and_hashes(
+    docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: str, *more: Column
+) -> DataFrame:
     """id, source, size and hash of each document, and ``more`` columns."""
     key = F.concat_ws("|", F.col(id_column).cast("string"), F.length(text_column).cast("string"))
     return docs.select(

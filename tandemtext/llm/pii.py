@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandemtext.llm.pieces import in_small_batches, pieces
+
 KINDS = ("email", "ip", "card", "phone", "crf_phone", "crf_id")
 LABELS = ("O", "phone", "id")
 NEVER = -1e4
@@ -29,7 +31,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"\S+")
 _PIECES = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]")
-CUES = ("phone", "telephone", "tel", "call", "mobile", "cell", "fax", "ssn", "social", "passport", "iban", "id", "number", "no", "identity", "licence")
+CUES = (
+    "phone", "telephone", "tel", "call", "mobile", "cell", "fax", "number", "no",
+    "ssn", "social", "passport", "iban", "id", "identity", "licence",
+)
 
 # Lines of the training table. A word is followed by /p (telephone number) or /i (number of an
 # identity paper) where it belongs to one.
@@ -284,7 +289,9 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
     return out
 
 
-def find_personal(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", field: Field | None = None) -> DataFrame:
+def find_personal(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", field: Field | None = None
+) -> DataFrame:
     """Spans of personal data of each whole text: the id and ``spans`` of (kind, start, end), sorted.
 
     ``kind`` indexes ``KINDS``. Offsets are code points, the end exclusive. What the field finds
@@ -294,7 +301,7 @@ def find_personal(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             spans = []
             for text, more in zip(texts, field_spans(texts, field)):
@@ -306,7 +313,7 @@ def find_personal(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(
+    return in_small_batches(docs).select(id_column, text_column).mapInArrow(
         find, f"`{id_column}` {kind}, spans array<struct<kind: int, start: int, end: int>>"
     )
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.llm.stored import stored
 
 KINDS = ("assign", "access", "hex", "random")
@@ -119,9 +120,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, tables = alphabet_tables()
         kinds = pa.struct(
-            [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("cell", pa.int32()), ("p", pa.float64())]
+            [(name, pa.int32()) for name in ("start", "kind", "end", "cell")] + [("p", pa.float64())]
         )
-        for batch in batches:
+        for batch in pieces(batches, 2048):
             texts = batch.column(1).to_pylist()
             spans: list[list[dict]] = []
             candidates: dict[int, list[tuple[dict, str]]] = {}
@@ -190,7 +191,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     kind = docs.schema[id_column].dataType.simpleString()
     found = stored(
-        docs.select(id_column, text_column).mapInArrow(
+        in_small_batches(docs).select(id_column, text_column).mapInArrow(
             find,
             f"tally boolean, id {kind}, spans array<{span}>, plain array<struct<cell: int, level: int, n: long>>",
         ),
@@ -225,7 +226,11 @@ def levels(found: DataFrame) -> list[float]:
     ]
     candidates = {
         r["cell"]: r
-        for r in found.select(F.explode("spans").alias("x")).filter("x.kind = 3").groupBy("x.cell").agg(*passed).collect()
+        for r in found.select(F.explode("spans").alias("x"))
+        .filter("x.kind = 3")
+        .groupBy("x.cell")
+        .agg(*passed)
+        .collect()
     }
     out = []
     for cell in range(len(ALPHABETS) * len(LENGTHS)):

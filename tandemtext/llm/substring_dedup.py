@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.llm.words import blank_words
 
 WINDOW = 20
@@ -158,7 +159,7 @@ def chunks_of(
     batches: Iterator[pa.RecordBatch], window: int, minimiser: int, limit: int
 ) -> Iterator[Chunk]:
     chunk = Chunk(window, minimiser)
-    for batch in batches:
+    for batch in pieces(batches):
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = blank_words(text)
             if len(words) < window:
@@ -232,10 +233,11 @@ def repeated(
             yield from spans_of(owners[i], sorted(offsets), window)
 
 
-def frequent_minimisers(docs: DataFrame, window: int, minimiser: int, sampled: int, frequent: int) -> list[int]:
+def frequent_minimisers(
+    docs: DataFrame, window: int, minimiser: int, sampled: int, frequent: int
+) -> list[int]:
     """Minimisers with many different strings in a sample of bounded expected size."""
-    share = sampled / max(1, docs.count())
-    sample = docs.filter(F.pmod(F.xxhash64(F.col("text"), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = docs.sample(min(1.0, sampled / max(1, docs.count())), seed=20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches, window, minimiser, CHUNK_WORDS):
@@ -312,7 +314,11 @@ def repeated_stretches(
             for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)]):
                 own = order[a:b]
                 rows.append(
-                    row(int(spread[own[0]]), [texts[i] for i in index[own].tolist()], np.ascontiguousarray(numbers[own].T))
+                    row(
+                        int(spread[own[0]]),
+                        [texts[i] for i in index[own].tolist()],
+                        np.ascontiguousarray(numbers[own].T),
+                    )
                 )
             if done:  # known here: nothing else can turn up that would change it
                 stretches = np.array(sorted(done), np.int64).T
@@ -321,7 +327,13 @@ def repeated_stretches(
 
     packed = "bucket int, texts binary, text_bytes long, numbers binary, n long"
     packed_kind = pa.schema(
-        [("bucket", pa.int32()), ("texts", pa.binary()), ("text_bytes", pa.int64()), ("numbers", pa.binary()), ("n", pa.int64())]
+        [
+            ("bucket", pa.int32()),
+            ("texts", pa.binary()),
+            ("text_bytes", pa.int64()),
+            ("numbers", pa.binary()),
+            ("n", pa.int64()),
+        ]
     )
 
     def of_bucket(table: pa.Table) -> pa.Table:
@@ -370,7 +382,7 @@ def drop_repeats(
     counts as larger than any other; rows that share an id come in order of a digest of the
     text; rows that share id and text don't repeat each other.
     """
-    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    own = in_small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     stretches = (
         repeated_stretches(own, window)
         .groupBy("id", "digest")
@@ -378,7 +390,7 @@ def drop_repeats(
     )
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 6)
-        for batch in batches:
+        for batch in pieces(batches):
             raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
             packed = [None if t is None else codec.compress(t, asbytes=True) for t in raw]
             yield pa.RecordBatch.from_arrays(
@@ -398,7 +410,7 @@ def drop_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 6)
-        for batch in batches:
+        for batch in pieces(batches):
             n_words, n_removed, kept = [], [], []
             columns = [batch.column(c).to_pylist() for c in ("packed", "size", "spans")]
             for packed, size, spans in zip(*columns):

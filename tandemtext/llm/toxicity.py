@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.llm.language import held_out, training_sample
+from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.llm.substring_dedup import mix
 
 FEATURES = 1 << 16  # triples are hashed to so many
@@ -264,7 +265,9 @@ def hash_share(key: object) -> float:
     return zlib.crc32(f"part|{key}".encode()) / (1 << 32)
 
 
-def score_texts(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_texts(
+    docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
     """id, ``score`` (0 to 1, higher: toxic) and ``worst`` (the word that gave it) of each whole text.
 
     Texts without words, or null, get the score of no word at all, and a null ``worst``.
@@ -293,7 +296,7 @@ def score_texts(docs: DataFrame, model: Model, id_column: str = "doc_id", text_c
                     worst.append(None)
             return model.probability(np.array(values)).tolist(), worst
 
-        for batch in batches:
+        for batch in pieces(batches, 2048):
             texts = batch.column(1).to_pylist()
             scores, worst = [], []
             a = size = 0
@@ -310,7 +313,9 @@ def score_texts(docs: DataFrame, model: Model, id_column: str = "doc_id", text_c
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(score, f"`{id_column}` {kind}, score double, worst string")
+    return in_small_batches(docs).select(id_column, text_column).mapInArrow(
+        score, f"`{id_column}` {kind}, score double, worst string"
+    )
 
 
 def fit_documents(
@@ -319,7 +324,8 @@ def fit_documents(
     """A model of labelled documents that are not held out (crc32 of the id, modulo 4, not 2).
 
     It is fitted on a sample of about ``rows`` labels. Labels other than 0 and 1, and labels of
-    no document or of one without text, are left out. Without both labels every text gets the share of label 1.
+    no document or of one without text, are left out. Without both labels every text gets the
+    share of label 1.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & ~held_out("doc_id", 4, 2)).select(
         F.col("doc_id").alias("key"), F.col("toxic").cast("int").alias("label")
