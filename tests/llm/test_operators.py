@@ -474,8 +474,8 @@ def test_unmarked_pages_lose_what_neighbours_share(spark):
 def test_elements_that_are_set_aside():
     page = """<head><title>T</title><style>p{}</style></head><body><header>Top</header><div class="cookie-notice">We use</div>
     <script>if (a < b) "</p>"</script><h1>Head&amp;line</h1><p>One <b>bo</b>ld<br>line</p><aside>Side</aside><form>Field</form>
-    <ul class="menu"><li>A<li>B</ul><section id="comments"><p>First!</p></section><!-- note --><p>Two &lt; 3&#x21;</p><footer>End</footer>"""
-    assert [t for t, kind in html_text.lines_of(page) if kind == html_text.OPEN] == ["Head&line", "One bold line", "Two < 3!"]
+    <ul class="menu"><li>A<li>B</ul><div class="post comments-open has-sidebar">Body</div><div class="x site-footer">Foot</div><section id="comments"><p>First!</p></section><!-- note --><p>Two &lt; 3&#x21;</p><footer>End</footer>"""
+    assert [t for t, kind in html_text.lines_of(page) if kind == html_text.OPEN] == ["Head&line", "One bold line", "Body", "Two < 3!"]
 
 
 # --- The pipeline ----------------------------------------------------------------
