@@ -5,9 +5,11 @@ the smallest alphabet it fits, and under the hypothesis that it is drawn evenly
 alphabet three tests are made: chi-squared for even use of the signs, runs above and below
 the middle, and serial correlation; Fisher's method combines them. Plain words must fail,
 and short ones often don't. So the share of plain text that passes is measured by length
-and alphabet, on the letters of all documents cut to such lengths, and the level at
+and alphabet, each on the letters of all documents cut to such lengths, and the level at
 which a candidate counts is set by length and alphabet such that false discoveries stay below a
-share of all discoveries; where no level does that, nothing is reported.
+share of all discoveries; where no level does that, nothing is reported. Texts are cut one by
+one, and those shorter than a length are joined by their hash, so the shares are the same
+however rows are ordered, batched and dealt out.
 """
 
 from __future__ import annotations
@@ -46,7 +48,9 @@ ALPHABETS = (
 LENGTHS = (20, 28, 40, 64)  # lower ends of the classes of length
 LEVELS = (0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.5)
 FALSE_SHARE = 0.05
-_PIECE = 1 << 20
+POOL_LETTERS = 1 << 12  # about so many letters of short texts are joined
+_WINDOWS = 1 << 13
+_DEAD = 12.0  # from this sum of Fisher's on no level is reached
 
 
 def known_spans(text: str) -> list[tuple[int, int, int]]:
@@ -103,6 +107,68 @@ def alphabet_tables() -> tuple[list[frozenset], np.ndarray]:
     return [frozenset(a) for a in ALPHABETS], tables
 
 
+def plain_tallies(letters: np.ndarray, sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
+    """For each cell how many strings plain text gives, and how many of them reach each level.
+
+    ``letters`` are the ASCII letters of texts one after the other, ``sizes`` their numbers. A text
+    is cut to each length from its start, and once more at its end where letters are left; every
+    alphabet that has the letters sees all of these strings. The probabilities are those of ``battery``.
+    """
+    tallies = np.zeros((len(ALPHABETS) * len(LENGTHS), len(LEVELS) + 1), np.int64)
+    # The tests see the places of signs and the size only, so alphabets can share them.
+    alike: dict[tuple[bool, int], list[int]] = {}
+    for i, signs in enumerate(ALPHABETS):
+        if {"z", "Z"} & set(signs):
+            alike.setdefault(({"z", "Z"} <= set(signs), len(signs)), []).append(i)
+    folded = (letters & 31) - 1
+    places = {False: (folded, 26), True: (folded + 26 * (letters >= 97).astype(np.uint8), 52)}
+    starts = np.cumsum(sizes) - sizes
+    for length in lengths:
+        if len(letters) < length:
+            continue
+        many = sizes // length
+        first = np.cumsum(many) - many
+        at = np.repeat(starts - first * length, many) + np.arange(many.sum()) * length
+        at = np.concatenate([at, (starts + sizes - length)[(sizes > length) & (sizes % length > 0)]])
+        for mixed, (values, used) in places.items():
+            strings = np.lib.stride_tricks.sliding_window_view(values, length)
+            for a in range(0, len(at), _WINDOWS):
+                part = strings[at[a : a + _WINDOWS]]
+                rows = np.arange(len(part)) * used
+                counts = np.bincount((part + rows[:, None]).ravel(), minlength=len(part) * used).reshape(-1, used)
+                squares = np.einsum("ij,ij->i", counts, counts)
+                for size in [n for m, n in alike if m == mixed]:
+                    chi = squares * (size / length) - length
+                    even = tail((chi - (size - 1)) / np.sqrt(2 * (size - 1) * (length - 1) / length))
+                    x = -np.log(np.clip(even, 1e-300, 1))
+                    alive = np.flatnonzero(x < _DEAD)
+                    own, x = part[alive], x[alive]
+                    high = own >= size // 2
+                    change = (high[:, 1:] != high[:, :-1]).sum(axis=1)
+                    share = 2 * (size // 2) * (size - size // 2) / size**2
+                    spread = np.sqrt((length - 1) * share * (1 - share))
+                    runs = 2 * tail(np.abs((change - (length - 1) * share) / spread))
+                    centred = 2 * own.astype(np.int32) - (size - 1)
+                    product = np.einsum("ij,ij->i", centred[:, 1:], centred[:, :-1]) * (3 / (size * size - 1))
+                    serial = 2 * tail(np.abs(product / np.sqrt(length - 1)))
+                    x = x - np.log(np.clip(runs, 1e-300, 1)) - np.log(np.clip(serial, 1e-300, 1))
+                    p = np.exp(-x) * (1 + x + x * x / 2)
+                    row = [len(part), *[int((p >= level).sum()) for level in LEVELS]]
+                    for i in alike[mixed, size]:
+                        tallies[i * len(LENGTHS) + LENGTHS.index(length)] += row
+    return tallies
+
+
+def ascii_letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ASCII letters of all texts, and how many each has."""
+    signs = [(t or "").encode("ascii", "ignore") for t in texts]
+    flat = np.frombuffer(b"".join(signs), np.uint8)
+    is_letter = ((flat | 32) >= 97) & ((flat | 32) <= 122)
+    upto = np.concatenate([[0], np.cumsum(is_letter)])
+    ends = np.cumsum([len(b) for b in signs], dtype=np.int64)
+    return flat[is_letter], np.diff(upto[ends], prepend=0)
+
+
 def length_class(length: int) -> int:
     return sum(length >= n for n in LENGTHS) - 1
 
@@ -151,49 +217,37 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                     for (entry, _), p in zip(part, battery(tables[i][codes], lengths, len(ALPHABETS[i])).tolist()):
                         entry["p"] = p
             # Plain text as the tests see it: the letters of these documents, cut to the lengths.
-            plain: list[tuple[int, int, int]] = []
-            tallies = np.zeros((len(ALPHABETS) * len(LENGTHS), len(LEVELS) + 1), np.int64)
-            letters = np.frombuffer("".join(t or "" for t in texts).encode("ascii", "ignore"), np.uint8)
-            letters = letters[((letters | 32) >= 97) & ((letters | 32) <= 122)]
-            # Each cell gets its part of them; no plain word fits an alphabet that ends at f.
-            cells = [c for c in range(len(tallies)) if {"z", "Z"} & sets[c // len(LENGTHS)]]
-            share = -(-len(letters) // len(cells))
-            for turn, cell in enumerate(cells):
-                signs, length = ALPHABETS[cell // len(LENGTHS)], LENGTHS[cell % len(LENGTHS)]
-                stretch = letters[turn * share : (turn + 1) * share]
-                if "A" not in signs:
-                    stretch = stretch | 32
-                elif "a" not in signs:
-                    stretch = stretch & 223
-                for a in range(0, len(stretch) // length * length, _PIECE // length * length):
-                    piece = stretch[a : a + _PIECE // length * length]
-                    piece = piece[: len(piece) // length * length]
-                    p = battery(
-                        tables[cell // len(LENGTHS)][piece], np.full(len(piece) // length, length), len(signs)
-                    )
-                    tallies[cell, 0] += len(p)
-                    for j, level in enumerate(LEVELS, 1):
-                        tallies[cell, j] += int((p >= level).sum())
-            for cell, row in enumerate(tallies.tolist()):
-                plain += [(cell, j, v) for j, v in enumerate(row) if v]
+            letters, sizes = ascii_letters(texts)
+            plain = [
+                (cell, j, v)
+                for cell, row in enumerate(plain_tallies(letters, sizes).tolist())
+                for j, v in enumerate(row)
+                if v
+            ]
+            ends = np.cumsum(sizes)
+            short = [
+                letters[end - n : end].tobytes().decode() if 0 < n < max(LENGTHS) else None
+                for n, end in zip(sizes.tolist(), ends.tolist())
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([False] * len(texts) + [True]),
                     pa.concat_arrays([batch.column(0), pa.nulls(1, batch.schema.field(0).type)]),
+                    pa.array([*short, None], pa.string()),
                     pa.array([*spans, []], pa.list_(kinds)),
                     pa.array(
                         [[]] * len(texts) + [[{"cell": c, "level": j, "n": v} for c, j, v in plain]],
                         pa.list_(pa.struct([("cell", pa.int32()), ("level", pa.int32()), ("n", pa.int64())])),
                     ),
                 ],
-                names=["tally", "id", "spans", "plain"],
+                names=["tally", "id", "short", "spans", "plain"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
     found = stored(
         in_small_batches(docs).select(id_column, text_column).mapInArrow(
             find,
-            f"tally boolean, id {kind}, spans array<{span}>, plain array<struct<cell: int, level: int, n: long>>",
+            f"tally boolean, id {kind}, short string, spans array<{span}>, plain array<struct<cell: int, level: int, n: long>>",
         ),
         "secrets",
     )
@@ -207,18 +261,54 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return found.filter(~F.col("tally")).select(F.col("id").alias(id_column), ordered.alias("spans"))
 
 
+def of_short_texts(found: DataFrame) -> DataFrame:
+    """cell, level and n of the plain text in texts that are shorter than a length.
+
+    For each length they are dealt into parts by hash, as many as their letters ask for, and the
+    texts of a part are joined in the order of their hashes.
+    """
+    length = F.explode(F.array(*[F.lit(n) for n in LENGTHS]))
+    short = (
+        found.filter("short IS NOT NULL")
+        .select("short", F.xxhash64("id", "short").alias("hash"), length.alias("length"))
+        .filter(F.length("short") < F.col("length"))
+    )
+    letters = {r.length: r.n for r in short.groupBy("length").agg(F.sum(F.length("short")).alias("n")).collect()}
+    parts = F.array(*[F.lit(-(-letters.get(n, 1) // POOL_LETTERS)) for n in LENGTHS])
+    of_length = F.element_at(parts, F.array_position(F.array(*[F.lit(n) for n in LENGTHS]), F.col("length")).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("hash", "short")))
+    joined = short.groupBy("length", F.pmod("hash", of_length).alias("part")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["short"]), "").alias("letters")
+    )
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.zeros((len(ALPHABETS) * len(LENGTHS), len(LEVELS) + 1), np.int64)
+            for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += plain_tallies(*ascii_letters([text]), (n,))
+            cells, places = np.nonzero(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells, pa.int32()), pa.array(places, pa.int32()), pa.array(rows[cells, places], pa.int64())],
+                names=["cell", "level", "n"],
+            )
+
+    return joined.select("length", "letters").mapInArrow(tally, "cell int, level int, n long")
+
+
 def levels(found: DataFrame) -> list[float]:
     """For each alphabet and class of length the least level that keeps false discoveries rare.
 
-    Expected false ones are the share of plain text at that level times all candidates. 2, which
-    nothing reaches, stands where no level will do. The tables have a row for each cell and level.
+    Expected false ones are the share of plain text at that level times all candidates. A length
+    that all plain text together doesn't reach takes the share of the next shorter one, which is
+    no smaller. 2, which nothing reaches, stands where no level will do, or where there is no plain
+    text of any length. The tables have a row for each cell and level.
     """
+    counted = found.filter("tally").select(F.explode("plain").alias("x")).select("x.*")
     plain = {
         (r.cell, r.level): r.n
-        for r in found.filter("tally")
-        .select(F.explode("plain").alias("x"))
-        .groupBy("x.cell", "x.level")
-        .agg(F.sum("x.n").alias("n"))
+        for r in counted.unionByName(of_short_texts(found))
+        .groupBy("cell", "level")
+        .agg(F.sum("n").alias("n"))
         .collect()
     }
     passed = [F.count("*").alias("n0")] + [
@@ -234,12 +324,15 @@ def levels(found: DataFrame) -> list[float]:
     }
     out = []
     for cell in range(len(ALPHABETS) * len(LENGTHS)):
-        own, total = candidates.get(cell), plain.get((cell, 0), 0)
-        best = 2.0
+        own, best = candidates.get(cell), 2.0
+        measured = cell
+        while (measured, 0) not in plain and measured % len(LENGTHS):
+            measured -= 1
+        total = plain.get((measured, 0), 0)
         if own:
             hexadecimal = ALPHABETS[cell // len(LENGTHS)].endswith("f")
             for j, level in reversed(list(enumerate(LEVELS, 1))):
-                share = plain.get((cell, j), 0) / total if total else (0.0 if hexadecimal else 1.0)
+                share = plain.get((measured, j), 0) / total if total else (0.0 if hexadecimal else 1.0)
                 if own[f"n{j}"] and share * own["n0"] <= FALSE_SHARE * own[f"n{j}"]:
                     best = level
         out.append(best)

@@ -374,6 +374,43 @@ def test_battery_is_even_under_its_hypothesis():
     assert secret_scan.battery(np.tile([0, 1], 20), np.array([40]), 64)[0] < 1e-6
 
 
+def test_plain_text_counts_whole_in_every_cell(spark):
+    """All letters of a text count in each cell, with the probabilities of the battery."""
+    draw = np.random.default_rng(2)
+    texts = ["".join(draw.choice(list("etaoinEshrdlu xqZj-"), n)) for n in (900, 63, 20, 41, 7)]
+    letters, sizes = secret_scan.ascii_letters(texts)
+    tallies, (_, tables) = secret_scan.plain_tallies(letters, sizes), secret_scan.alphabet_tables()
+    for cell in range(len(tallies)):
+        signs, length = secret_scan.ALPHABETS[cell // 4], secret_scan.LENGTHS[cell % 4]
+        if not {"z", "Z"} & set(signs):
+            assert not tallies[cell].any()
+            continue
+        own = ["".join(filter(str.isalpha, t)) for t in texts]
+        own = [o if {"z", "Z"} <= set(signs) else o.lower() if "z" in signs else o.upper() for o in own]
+        cut = [o[a : a + length] for o in own for a in range(0, len(o) - length + 1, length)]
+        cut += [o[-length:] for o in own if len(o) > length and len(o) % length]
+        codes = np.frombuffer("".join(cut).encode(), np.uint8)
+        p = secret_scan.battery(tables[cell // 4][codes], np.full(len(cut), length), len(signs))
+        assert tallies[cell].tolist() == [len(cut), *[(p >= x).sum() for x in secret_scan.LEVELS]]
+
+
+def test_secrets_of_short_texts_for_any_partitioning(spark):
+    """Every text has fewer letters than the key's class asks for; rows come in any batches."""
+    draw = random.Random(5)
+    words = "the river runs under a green bridge near our old stone house and people walk there".split()
+    rows = [(i, " ".join(draw.choice(words) for _ in range(6))) for i in range(600)]
+    signs = string.ascii_letters + string.digits
+    keys = ["".join(draw.choice(signs) for _ in range(64)) for _ in range(20)]
+    rows += [(1000 + i, f"my {k} key") for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [
+        {r.doc_id: r.spans for r in secret_scan.scan(d).collect()}
+        for d in (docs.coalesce(1), docs.repartition(60), docs.orderBy(docs.doc_id.desc()).coalesce(2))
+    ]
+    assert found[0] == found[1] == found[2]
+    assert sum(len(found[0][1000 + i]) == 1 for i in range(20)) >= 18
+
+
 PERSONAL = [
     "a.b@c.de, x@y z@@w.org @q.r a@b.c@d.e",
     "1.2.3.4 256.1.1.1 1.2.3.4.5 0001.02.03.255",
