@@ -508,6 +508,24 @@ def test_unmarked_pages_lose_what_neighbours_share(spark):
     assert found[100] == "Alone with text" and found[101] == found[102] == "Copy of text and more"
 
 
+def test_furniture_of_short_pages_and_of_copies(spark):
+    """Marked lines don't protect a page, and copies are differenced against the next other page."""
+    menu = "<nav>" + "".join(f"<li>Item {i}</li>" for i in range(20)) + "</nav>"
+    start, end = "<div>Notice of this host</div>", "<div>All rights kept</div>"
+    rows, wanted = [], {}
+    for i in range(12):
+        own = [f"Story {i} has a first line", f"and a second of {i * 7}", f"and a third, {i * i}"]
+        for copy in range(4):
+            # Two are equal, two differ in a short line.
+            last = ["<p>v4</p>", "<p>v4</p>", "<p>v5</p>", "<p>v6</p>"][copy]
+            rows.append((i * 4 + copy, f"https://one.example/news/{i:03d}?c={copy}", menu + start + "".join(f"<p>{x}</p>" for x in own) + last + end))
+            wanted[i * 4 + copy] = " ".join(own)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 7):
+        found = {r.page_id: r.text for r in html_text.main_text(pages.repartition(n)).collect()}
+        assert {i: re.sub(r" v[456]$", "", t) for i, t in found.items()} == wanted
+
+
 def test_elements_that_are_set_aside():
     page = """<head><title>T</title><style>p{}</style></head><body><header>Top</header><div class="cookie-notice">We use</div>
     <script>if (a < b) "</p>"</script><h1>Head&amp;line</h1><p>One <b>bo</b>ld<br>line</p><aside>Side</aside><form>Field</form>
