@@ -526,6 +526,21 @@ def test_furniture_of_short_pages_and_of_copies(spark):
         assert {i: re.sub(r" v[456]$", "", t) for i, t in found.items()} == wanted
 
 
+def test_teasers_are_not_the_article(spark):
+    """Marked teasers, several or small, don't displace the text; what pages share goes; one large article stays whole."""
+    rows, wanted = [], {}
+    for i in range(12):
+        story = f"Story {i} goes on for a while, and it has more letters than any teaser of {i * 7}"
+        many = f"<div>Top of all</div><div>{story}</div><article>Read {i}</article><article>Read {i + 50}</article><div>Kept rights</div>"
+        small = f"<div>Top of all</div><div>{story}</div><article><h2>Read {i}</h2></article><div>Kept rights</div>"
+        large = f"<div>Top of all</div><main><p>{story}</p><p>Quoted by all</p></main><div>Kept rights</div>"
+        for k, body in enumerate((many, small, large)):
+            rows.append((i * 3 + k, f"https://host{k}.example/news/{i:03d}", body))
+        wanted |= {i * 3: f"{story} Read {i} Read {i + 50}", i * 3 + 1: f"{story} Read {i}", i * 3 + 2: f"{story} Quoted by all"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == wanted
+
+
 def test_elements_that_are_set_aside():
     page = """<head><title>T</title><style>p{}</style></head><body><header>Top</header><div class="cookie-notice">We use</div>
     <script>if (a < b) "</p>"</script><h1>Head&amp;line</h1><p>One <b>bo</b>ld<br>line</p><aside>Side</aside><form>Field</form>
