@@ -4,7 +4,9 @@ The kernel of two texts is the number of character n-grams, of one to four lette
 both have (blended spectrum, presence only), divided by the root of the product of their
 numbers. Landmarks are training texts of each language; the kernel to them is the feature
 vector (Nyström), and kernel ridge regression, one language versus the rest, gives the
-weights. Texts are scored in batches: presence times landmarks, times weights.
+weights. Texts are scored in batches: presence times landmarks, times weights. The more
+letters a text has the more n-grams it shares with every landmark, so long texts are walked
+in pieces of like length, and the mean of their kernel rows by letters stands for the text.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ LANDMARKS = 96
 TRAINING_ROWS = 4_000  # bound of the sample the classifier is fitted on
 RIDGE = 1e-3
 UNKNOWN = "und"
+PIECE_SIGNS = 4_096  # longer texts are cut into equal pieces, no longer than this
 _BATCH_LETTERS = 1 << 20
 _BATCH_TEXTS = 128
 
@@ -88,6 +91,13 @@ def presence(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, counts
 
 
+def text_pieces(text: str) -> Iterator[str]:
+    """The text in equal pieces, each with the signs before it that an n-gram needs."""
+    many = max(1, -(-len(text) // PIECE_SIGNS))
+    for i in range(many):
+        yield text[max(0, len(text) * i // many - max(SIZES) + 1) : len(text) * (i + 1) // many]
+
+
 @dataclass
 class Model:
     """Landmarks as packed bits, their roots of numbers of n-grams, and weights for each language."""
@@ -101,6 +111,28 @@ class Model:
         roots = np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1))
         return (found @ landmarks.T) / roots / self.roots
 
+    def features(self, texts: list[str], landmarks: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kernel row of each whole text, the mean of its pieces' by letters, and the numbers of letters."""
+        total = np.zeros((len(texts), len(landmarks)))
+        counts = np.zeros(len(texts), np.int64)
+        waiting: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            rows = [i for i, _ in waiting]
+            found, n = presence([t for _, t in waiting], letters)
+            np.add.at(total, rows, self.kernel(found, landmarks) * n[:, None])
+            np.add.at(counts, rows, n)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for piece in text_pieces(text):
+                waiting.append((i, piece))
+                if len(waiting) == _BATCH_TEXTS:
+                    flush()
+        if waiting:
+            flush()
+        return total / np.maximum(counts, 1)[:, None], counts
+
     def unpacked(self) -> np.ndarray:
         return np.unpackbits(self.landmarks, axis=1).astype(np.float32)
 
@@ -142,14 +174,10 @@ def fit(
         own = [i for i, r in enumerate(sample) if r[1] == language]
         own.sort(key=lambda i: -min(len(sample[i][2]), 2_000))
         chosen += own[: max(1, landmarks // len(languages))]
-    marks, _ = presence([sample[i][2] for i in chosen], letters)
+    marks, _ = presence([next(text_pieces(sample[i][2])) for i in chosen], letters)
     roots = np.sqrt(np.maximum(marks.sum(axis=1), 1))
     model = Model(languages, np.packbits(marks.astype(np.uint8), axis=1), roots, np.zeros((0, 0)))
-    pieces = []
-    for a in range(0, len(sample), _BATCH_TEXTS):
-        found, _ = presence([r[2] for r in sample[a : a + _BATCH_TEXTS]], letters)
-        pieces.append(model.kernel(found, marks))
-    features = np.concatenate(pieces)
+    features, _ = model.features([r[2] for r in sample], marks, letters)
     truth = np.where(np.array([r[1] for r in sample])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # Every language weighs the same, however many rows it has.
     weight = np.zeros(len(sample))
@@ -176,8 +204,8 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
             labels: list[str] = [UNKNOWN] * len(texts)
             scores = np.zeros(len(texts))
             for a in range(0, len(texts) if len(names) else 0, _BATCH_TEXTS):
-                found, counts = presence([t or "" for t in texts[a : a + _BATCH_TEXTS]], letters)
-                values = model.kernel(found, landmarks) @ model.weights
+                rows, counts = model.features([t or "" for t in texts[a : a + _BATCH_TEXTS]], landmarks, letters)
+                values = rows @ model.weights
                 values = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
                 values /= values.sum(axis=1, keepdims=True)
                 best = values.argmax(axis=1)

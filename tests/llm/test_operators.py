@@ -269,6 +269,23 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in own) / len(own) > 0.97
 
 
+def test_language_of_long_texts(spark):
+    """Texts of a million letters, and such with many rare words, keep their language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own: dict = {}
+    for r in docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").collect():
+        own.setdefault(r.lang, []).append(r.text)
+    draw = random.Random(6)
+    tokens = ["".join(draw.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(20_000)]
+    rows = [(i, lang, " ".join(texts)) for i, (lang, texts) in enumerate(sorted(own.items()))]
+    rows += [(10 + i, lang, " ".join(texts[:50] + tokens)) for i, (lang, texts) in enumerate(sorted(own.items()))]
+    long = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert max(len(r[2]) for r in rows) > 10**6
+    found = language.identify(long, language.fit_documents(docs)).select("row.doc_id", "row.lang", "lang_pred", "score").collect()
+    assert all(r.lang_pred == r.lang for r in found), found
+    assert all(r.score > 0.9 for r in found if r.doc_id < 10), found
+
+
 def test_presence_of_pieces(monkeypatch):
     """A text walked in pieces has the n-grams of the whole."""
     letters = language.letter_table()
