@@ -1,6 +1,8 @@
 """Secret scan: known forms, and strings that pass a battery of randomness tests.
 
-A long run of letters, digits and the signs of base64 is a candidate. By its signs it gets
+A long run of letters, digits and the signs of base64 is a candidate, and so are its long parts
+between slashes and pluses, between dashes and underscores, and between any of them; of those
+that count and overlap the longest is reported. Dashes between hexadecimal digits are no signs. By its signs it gets
 the smallest alphabet it fits, and under the hypothesis that it is drawn evenly from that
 alphabet three tests are made: chi-squared for even use of the signs, runs above and below
 the middle, and serial correlation; Fisher's method combines them. Plain words must fail,
@@ -15,6 +17,7 @@ however rows are ordered, batched and dealt out.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +42,16 @@ ALPHABETS = (
     "abcdefghijklmnopqrstuvwxyz",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "0123456789abcdef",
+    "0123456789ABCDEF",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "abcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 )
+SEPARATORS = tuple(re.compile(f"[^{signs}]{{20,}}") for signs in ("/+", "_-", "/+_-"))
+DASHED = re.compile(r"(?=[^A-F]*$|[^a-f]*$)[0-9A-Fa-f]+(?:-[0-9A-Fa-f]+)+")
 LENGTHS = (20, 28, 40, 64)  # lower ends of the classes of length
 LEVELS = (0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.5)
 FALSE_SHARE = 0.05
@@ -65,6 +72,27 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """Start and end of the run, without its padding, and of its parts of 20 signs at least."""
+    word = run.rstrip("=")
+    found = {(m.start(), m.end()): None for pattern in SEPARATORS for m in pattern.finditer(word)}
+    return list({(0, len(word)): None} | found)
+
+
+def longest(spans: list[dict]) -> list[dict]:
+    """The spans of known forms, and random ones from the longest on that touch none before them."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = [s for s in spans if s["kind"] < 3]
+    for s in sorted((s for s in spans if s["kind"] == 3), key=lambda s: (s["start"] - s["end"], s["start"])):
+        i = bisect(starts, s["start"])
+        if (i == 0 or ends[i - 1] <= s["start"]) and (i == len(starts) or s["end"] <= starts[i]):
+            starts.insert(i, s["start"])
+            ends.insert(i, s["end"])
+            out.append(s)
+    return sorted(out, key=lambda s: (s["start"], s["kind"], s["end"]))
+
+
 def tail(z: np.ndarray) -> np.ndarray:
     """Probability above z of the normal distribution, to seven places (rational approximation)."""
     x = np.abs(z) / np.sqrt(2)
@@ -197,17 +225,21 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 known = known_spans(text)
                 own = [{"start": a, "kind": k, "end": b, "cell": None, "p": None} for k, a, b in known]
                 for m in CANDIDATE.finditer(text):
-                    a, b = m.span()
-                    if any(a < e and s < b for _, s, e in known):
-                        continue
-                    word = m[0].rstrip("=")
-                    signs = set(word)
-                    fits = next((i for i, s in enumerate(sets) if signs <= s), None)
-                    if fits is None or signs <= set("0123456789"):
-                        continue
-                    cell = fits * len(LENGTHS) + length_class(len(word))
-                    own.append({"start": a, "kind": 3, "end": b, "cell": cell, "p": None})
-                    candidates.setdefault(fits, []).append((own[-1], word))
+                    for start, end in parts(m[0]):
+                        word = m[0][start:end]
+                        # Padding belongs to what stands before it.
+                        a, b = m.start() + start, m.end() if not m[0][end:].strip("=") else m.start() + end
+                        if any(a < e and s < b for _, s, e in known):
+                            continue
+                        if DASHED.fullmatch(word):
+                            word = word.replace("-", "")
+                        signs = set(word)
+                        fits = next((i for i, s in enumerate(sets) if signs <= s), None)
+                        if fits is None or len(word) < LENGTHS[0] or signs <= set("0123456789"):
+                            continue
+                        cell = fits * len(LENGTHS) + length_class(len(word))
+                        own.append({"start": a, "kind": 3, "end": b, "cell": cell, "p": None})
+                        candidates.setdefault(fits, []).append((own[-1], word))
                 spans.append(own)
             for i, found in candidates.items():
                 for a in range(0, len(found), 4096):
@@ -257,8 +289,18 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         "spans", lambda s: (s["kind"] < 3) | (s["p"] >= F.element_at(level_of, s["cell"] + 1))
     )
     names = ("start", "kind", "end", "p")
-    ordered = F.array_sort(F.transform(kept, lambda s: F.struct(*[s[n].alias(n) for n in names])))
-    return found.filter(~F.col("tally")).select(F.col("id").alias(id_column), ordered.alias("spans"))
+    rows = F.transform(kept, lambda s: F.struct(*[s[n].alias(n) for n in names]))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [longest(own) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(spans, batch.schema.field(1).type)], names=[id_column, "spans"]
+            )
+
+    return found.filter(~F.col("tally")).select("id", rows.alias("spans")).mapInArrow(
+        settle, f"`{id_column}` {kind}, spans array<struct<start: int, kind: int, end: int, p: double>>"
+    )
 
 
 def of_short_texts(found: DataFrame) -> DataFrame:
@@ -330,7 +372,7 @@ def levels(found: DataFrame) -> list[float]:
             measured -= 1
         total = plain.get((measured, 0), 0)
         if own:
-            hexadecimal = ALPHABETS[cell // len(LENGTHS)].endswith("f")
+            hexadecimal = not {"z", "Z"} & set(ALPHABETS[cell // len(LENGTHS)])
             for j, level in reversed(list(enumerate(LEVELS, 1))):
                 share = plain.get((measured, j), 0) / total if total else (0.0 if hexadecimal else 1.0)
                 if own[f"n{j}"] and share * own["n0"] <= FALSE_SHARE * own[f"n{j}"]:

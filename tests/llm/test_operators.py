@@ -428,6 +428,33 @@ def test_secrets_of_short_texts_for_any_partitioning(spark):
     assert sum(len(found[0][1000 + i]) == 1 for i in range(20)) >= 18
 
 
+def test_encodings_and_parts_of_runs(spark, documents):
+    """Upper-case hex, A-Z0-9, UUIDs, keys in a path, and keys behind mixed separators."""
+    draw = random.Random(8)
+
+    def key(signs: str, n: int) -> str:
+        return "".join(draw.choice(signs) for _ in range(n))
+
+    any_case, low = string.ascii_letters + string.digits, "0123456789abcdef"
+    rows, wanted = [], {}
+    for i in range(40):
+        uuid = "-".join(key(low, n) for n in (8, 4, 4, 4, 12))
+        own = [("", key(low.upper(), 32)), ("", key(string.ascii_uppercase + string.digits, 64)), ("", uuid), ("/users/", uuid)]
+        own += [("/static-files/all_pages/", key(any_case, 40))]
+        for k, (before, secret) in enumerate(own):
+            rows.append((10**6 + i * 5 + k, f"see {before}{secret} now"))
+            wanted[10**6 + i * 5 + k] = [(4 + len(before), 4 + len(before) + len(secret))]
+    found = secret_scan.scan(documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")))
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found.filter("doc_id >= 1000000").collect()}
+    # In a path the span may begin with words before the key.
+    def right(i: int, k: int) -> bool:
+        own, (start, end) = spans[10**6 + i * 5 + k], wanted[10**6 + i * 5 + k][0]
+        return own == [(start, end)] if k < 3 else any(a <= start and b == end for a, b in own)
+
+    share = [sum(right(i, k) for i in range(40)) for k in range(5)]
+    assert min(share) >= 34, share
+
+
 PERSONAL = [
     "a.b@c.de, x@y z@@w.org @q.r a@b.c@d.e",
     "1.2.3.4 256.1.1.1 1.2.3.4.5 0001.02.03.255",
