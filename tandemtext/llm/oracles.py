@@ -137,3 +137,46 @@ WITH RECURSIVE words AS (
     SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reached GROUP BY doc_id
 )
 SELECT doc_id, class_id, class_size, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM classes"""
+
+# All distances to all entries, twice for the rounds and once for the codes.
+_NEAREST = """
+    SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS best
+    FROM (
+        SELECT p.vec_id, p.part, b.entry, CAST(sum((p.x - b.x) * (p.x - b.x)) AS BIGINT) AS d
+        FROM parts p JOIN {book} b USING (part, pos) GROUP BY ALL
+    ) GROUP BY ALL"""
+_MOVED = """
+    SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x
+    FROM {book} b LEFT JOIN (
+        SELECT p.part, n.best.entry AS entry, p.pos,
+               CAST((sum(p.x) - ((sum(p.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+        FROM parts p JOIN {near} n USING (vec_id, part) GROUP BY ALL
+    ) m USING (part, entry, pos)"""
+VECTOR_CODES = f"""
+WITH kept AS (
+    SELECT vec_id, label, embedding FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), flat AS (
+    SELECT vec_id, unnest(embedding) AS c, unnest(range(len(embedding))) AS i, len(embedding) // 16 AS width
+    FROM kept
+), parts AS (
+    SELECT vec_id, i // width AS part, i % width AS pos, CAST(floor(256 * c::DOUBLE) AS BIGINT) AS x FROM flat
+), starts AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64
+), book0 AS (
+    SELECT part, entry, pos, x FROM parts JOIN starts USING (vec_id)
+), near0 AS ({_NEAREST.format(book="book0")}
+), book1 AS ({_MOVED.format(book="book0", near="near0")}
+), near1 AS ({_NEAREST.format(book="book1")}
+), book2 AS ({_MOVED.format(book="book1", near="near1")}
+), near2 AS ({_NEAREST.format(book="book2")}
+), coded AS (
+    SELECT vec_id, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code,
+           CAST(sum(best.d) AS BIGINT) AS error
+    FROM near2 GROUP BY vec_id
+)
+SELECT vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tandemtext.llm import (
     decontamination,
     exact_dedup,
+    graph_search,
     html_text,
     jaccard_join,
     language,
@@ -19,7 +20,10 @@ from tandemtext.llm import (
     secret_scan,
     substring_dedup,
     toxicity,
+    vector_codes,
+    whitening,
 )
+from tandemtext.llm.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,3 +147,45 @@ def op10_personal(spark: SparkSession, folder: str) -> DataFrame:
 def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.main_text(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(oracles.VECTOR_CODES)
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, folder, "embeddings"))
+    return coded.select(
+        "row.vec_id",
+        "code",
+        "error",
+        "label_error",
+        F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
+@query()
+def op12_whiten(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    model = whitening.fit_whitening(vectors)
+    shares = F.array(*[F.lit(float(e)) for e in model.explained]) if model else F.array().cast("array<double>")
+    found = whitening.whiten(vectors, model).select(
+        "row.vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")
+    )
+    return found.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.count if model else 0).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.get(shares, F.col("place")).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
+@query()
+def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    index = stored(graph_search.build_index(vectors), "graphs")
+    asked = vectors.where(F.col("vec_id") % 100 == 0).select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
+    )
+    found = graph_search.search(index, asked)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
