@@ -5,16 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tandemtext.functions.text import named, words
+from tandemtext.session import scratch_path
 from tandemtext.sources.files import with_row_index
 
 # Ids of the special tokens, and the label the loss leaves out.
 PAD, EOS, UNK = 0, 1, 2
 SPECIALS = ("<pad>", "</s>", "<unk>")
 IGNORED_LABEL = -100
+# Items that are dictionary-encoded together: some MB in a task.
+CHUNK_ITEMS = 1 << 18
 
 
 def build_vocabulary(texts: DataFrame, max_size: int | None = None) -> DataFrame:
@@ -32,72 +37,139 @@ def build_vocabulary(texts: DataFrame, max_size: int | None = None) -> DataFrame
     return kept.select((F.col("row_index") + len(SPECIALS)).cast("int").alias("id"), "token", "uses")
 
 
+def _chunks(df: DataFrame, columns: Mapping[str, Column], item: str) -> DataFrame:
+    """``chunk, items, rows``: stretches of rows in dictionary encoding.
+
+    ``items`` are the distinct items of the arrays ``columns`` in a stretch; ``rows`` has every
+    row of ``df`` and, for each of the columns, the places of its items among them. A stretch
+    ends at about ``CHUNK_ITEMS`` items, or with a row that has more.
+    """
+    staged = df.select(
+        F.struct(*map(named, df.columns)).alias("row"),
+        *[entry.cast(f"array<{item}>").alias(f"at_{i}") for i, entry in enumerate(columns.values())],
+    )
+    most, width = CHUNK_ITEMS, len(columns)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy
+        import pyarrow
+        import pyarrow.compute
+        from pyspark import TaskContext
+
+        def lists(lengths, values, mask):
+            ends = numpy.concatenate([[0], numpy.cumsum(lengths)]).astype(numpy.int32)
+            return pyarrow.ListArray.from_arrays(pyarrow.array(ends), values, mask=mask)
+
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            lengths = [
+                pyarrow.compute.fill_null(batch.column(i + 1).value_lengths(), 0).to_numpy(zero_copy_only=False)
+                for i in range(width)
+            ]
+            stretch = numpy.cumsum(numpy.sum(lengths, axis=0)) // most
+            cuts = [0, *(numpy.flatnonzero(numpy.diff(stretch)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                flat = [piece.column(i + 1).flatten() for i in range(width)]
+                coded = pyarrow.concat_arrays(flat).dictionary_encode()
+                # Places in flat order, given back to the rows of each column.
+                places, at = [], 0
+                for i in range(width):
+                    own = coded.indices.slice(at, len(flat[i]))
+                    places.append(lists(lengths[i][a:b], own, piece.column(i + 1).is_null()))
+                    at += len(flat[i])
+                rows = pyarrow.StructArray.from_arrays(
+                    [piece.column(0), *places], ["row", *[f"at_{i}" for i in range(width)]]
+                )
+                yield pyarrow.RecordBatch.from_arrays(
+                    [
+                        pyarrow.array([number], pyarrow.int64()),
+                        lists([len(coded.dictionary)], coded.dictionary, None),
+                        lists([b - a], rows, None),
+                    ],
+                    ["chunk", "items", "rows"],
+                )
+                number += 1
+
+    places = [StructField(f"at_{i}", ArrayType(IntegerType())) for i in range(width)]
+    schema = StructType(
+        [
+            StructField("chunk", LongType()),
+            StructField("items", staged.schema["at_0"].dataType),
+            StructField("rows", ArrayType(StructType([staged.schema["row"], *places]))),
+        ]
+    )
+    return staged.mapInArrow(pack, schema)
+
+
 def _looked_up(
-    df: DataFrame, key: str, columns: Mapping[str, Column], known: DataFrame, on: str, value: Column
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    item: str,
+    known: Callable[[DataFrame], DataFrame],
+    missing: Column,
 ) -> DataFrame:
-    """``key`` and, for each name, the values of its items in order; items are joined to ``known``.
+    """Adds, for each name, the values of the items of an array in order; null for a null array.
 
-    All columns go through one join. The items of a row meet again by its key.
+    ``known`` gets the distinct items of each stretch of rows and returns ``item, value``.
+    Only distinct items are joined to it; the rows stay packed and get their values by place.
     """
-    none = F.array().cast("array<string>" if on == "token" else "array<int>")
-
-    def placed(name: str, entry: Column) -> Column:
-        def item(x: Column, i: Column) -> Column:
-            return F.struct(F.lit(name).alias("column"), i.alias("i"), x.alias("item"))
-
-        return F.transform(F.coalesce(entry, none), item)
-
-    items = F.concat(*[placed(name, entry) for name, entry in columns.items()])
-    long = df.select(named(key).alias("_row"), F.inline(items))
-    # Names that the key can't have.
-    known = known.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
-    joined = long.join(known, F.col("item") == F.col(f"_{on}"), "left")
-    told = joined.select(
-        "_row",
-        *[F.when(F.col("column") == n, F.struct("i", value.alias("value"))).alias(n) for n in columns],
+    path = scratch_path(df.sparkSession, "chunks")
+    _chunks(df, columns, item).write.parquet(path)
+    chunks = df.sparkSession.read.parquet(path)
+    distinct = chunks.select("chunk", F.posexplode("items").alias("place", "_item"))
+    values = known(distinct.select(F.col("_item").alias("item")))
+    entry = F.struct("place", F.coalesce("value", missing).alias("value"))
+    found = (
+        distinct.join(values, F.col("_item") == F.col("item"), "left")
+        .groupBy("chunk")
+        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["value"]).alias("values"))
     )
-    return told.groupBy(F.col("_row").alias(key)).agg(
-        *[F.transform(F.array_sort(F.collect_list(name)), lambda x: x["value"]).alias(name) for name in columns]
+    rows = chunks.select("chunk", "rows").join(found, "chunk", "left").select(F.inline("rows"), "values")
+    placed = rows.select(
+        "row",
+        *[
+            F.transform(F.col(f"at_{i}"), lambda place: F.get(F.col("values"), place)).alias(f"at_{i}")
+            for i in range(len(columns))
+        ],
     )
+    return placed.select("row.*", *[F.col(f"at_{i}").alias(name) for i, name in enumerate(columns)])
 
 
 def encode_texts(
-    df: DataFrame, key: str, texts: Mapping[str, str], vocabulary: DataFrame
+    df: DataFrame, texts: Mapping[str, str], vocabulary: DataFrame, first: int | None = None
 ) -> DataFrame:
     """Adds a column of token ids for each text column of ``texts`` (new name to text column).
 
-    ``key`` is unique. The vocabulary is joined, so it may have any size; words it lacks
-    are unknown. A null text has null ids.
+    The vocabulary is joined, so it may have any size; words it lacks are unknown. A null text
+    has null ids. With ``first`` only so many words of each text are encoded.
     """
     tokens = {name: words(named(column)) for name, column in texts.items()}
-    found = _looked_up(
-        df, key, tokens, vocabulary.select("token", "id"), "token", F.coalesce("_id", F.lit(UNK))
-    )
-    none = F.array().cast("array<int>")
-    wide = df.join(found, key, "left")
-    return wide.withColumns(
-        {name: F.when(named(column).isNotNull(), F.coalesce(name, none)) for name, column in texts.items()}
-    )
+    if first is not None:
+        tokens = {name: F.slice(entry, 1, first) for name, entry in tokens.items()}
+    known = vocabulary.select(F.col("token").alias("item"), F.col("id").cast("int").alias("value"))
+    return _looked_up(df, tokens, "string", lambda _: known, F.lit(UNK))
 
 
 def decode_ids(
-    df: DataFrame, key: str, ids: Mapping[str, str], vocabulary: DataFrame, skip_special: bool = True
+    df: DataFrame, ids: Mapping[str, str], vocabulary: DataFrame, skip_special: bool = True
 ) -> DataFrame:
     """Adds the words of each id column of ``ids`` (new name to id column), joined by blanks.
 
     Ids that the vocabulary lacks are left out, and special tokens unless asked for.
     """
-    known = vocabulary.select("token", "id")
+    known = vocabulary.select("token", F.col("id").cast("int").alias("id"))
     if not skip_special:
         special = [(token, i) for i, token in enumerate(SPECIALS)]
         known = known.unionByName(df.sparkSession.createDataFrame(special, "token string, id int"))
-    found = _looked_up(df, key, {n: named(c) for n, c in ids.items()}, known, "id", F.col("_token"))
-    wide = df.join(found, key, "left")
-    return wide.withColumns(
-        {
-            name: F.when(named(column).isNotNull(), F.coalesce(F.array_join(name, " "), F.lit("")))
-            for name, column in ids.items()
-        }
+    known = known.select(F.col("id").alias("item"), F.col("token").alias("value"))
+    # Names that no column has.
+    lists = {f"_words_{name}": named(column) for name, column in ids.items()}
+    found = _looked_up(df, lists, "int", lambda _: known, F.lit(None).cast("string"))
+    return found.select(
+        *map(named, df.columns), *[F.array_join(named(f"_words_{name}"), " ").alias(name) for name in ids]
     )
 
 
@@ -137,7 +209,6 @@ def without_ignored(labels: Column, pad: int = PAD, ignored: int = IGNORED_LABEL
 
 def encoded_examples(
     df: DataFrame,
-    key: str,
     vocabulary: DataFrame,
     labels: dict[str, str],
     text: str = "prompt",
@@ -146,11 +217,11 @@ def encoded_examples(
 ) -> DataFrame:
     """Only the columns a trainer reads: ``input_ids, attention_mask`` and the labels.
 
-    ``labels`` names the text column behind each label column. ``key`` is unique.
+    ``labels`` names the text column behind each label column.
     """
     wanted = {"input_ids": text, **labels}
-    # Names that no text column has.
-    raw = encode_texts(df, key, {f"_{name}": column for name, column in wanted.items()}, vocabulary)
+    # Names that no text column has; what is cut needs no ids.
+    raw = encode_texts(df, {f"_{name}": column for name, column in wanted.items()}, vocabulary, first=length)
     return raw.select(
         fixed_length(F.col("_input_ids"), length, eos=eos).alias("input_ids"),
         attention_mask(F.col("_input_ids"), length, eos=eos).alias("attention_mask"),

@@ -221,7 +221,7 @@ def stage_durations(numbered: DataFrame) -> DataFrame:
 def sample_translations(
     parsed: DataFrame, task: str, indices: Sequence[int] | None = None
 ) -> DataFrame:
-    """``file, i, translation`` of the samples of a task.
+    """``file, i, translation`` of the samples of a task in lines, which need not be parsed yet.
 
     A sample is the first line of a file announcing its number; its translation
     stands two lines below. With ``indices`` every file has a row for each of them,
@@ -229,17 +229,19 @@ def sample_translations(
     """
     header = rf'^TRANSLATION (\d+) on "\Q{task}\E"$'
     message = _bare(F.col("message"))
+    lines = parsed.select("file", "line_no", "value")
+    # Raw lines are looked at first, so that only candidates are parsed.
+    likely = lines.where(F.contains("value", F.lit(f' on "{task}"')))
     announced = (
-        # The raw line is looked at first, so that only candidates are parsed.
-        parsed.where(F.contains("value", F.lit(f' on "{task}"')))
+        parse_lines(likely)
         .where(F.startswith(message, F.lit("TRANSLATION ")) & message.rlike(header))
         .groupBy("file", F.regexp_extract(message, header, 1).cast("bigint").alias("i"))
         .agg((F.min("line_no") + 2).alias("line_no"))
     )
-    # The few announcements look up their lines; the lines are not dealt out for that. What
-    # they don't find is added behind.
-    texts = parsed.select("file", "line_no", without_prefix(message, GENERATED).alias("translation"))
-    known = announced.join(texts, ["file", "line_no"]).select("file", "i", "translation")
+    # The few announcements look up their raw lines; the lines are not dealt out for that,
+    # and only those found are parsed. What they don't find is added behind.
+    looked_up = parse_lines(announced.join(lines, ["file", "line_no"]))
+    known = looked_up.select("file", "i", without_prefix(message, GENERATED).alias("translation"))
     found = announced.select("file", "i").join(known, ["file", "i"], "left")
     if indices is None:
         return found

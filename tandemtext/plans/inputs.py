@@ -18,9 +18,19 @@ TASK = "English to Spanish"
 RUN_LINES = 1 << 32
 
 
+def spread_documents(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
+    """The documents dealt out by id, as many tasks as a shuffle has or as asked for.
+
+    What is derived from a document is many times its size and is scored by models; a file
+    of one row group would leave all of that to one task.
+    """
+    docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    return docs.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def line_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of a document with the line after it."""
-    docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread_documents(spark, folder)
     lines = docs.select(
         "doc_id", "lang", "source", F.split("text", "\n").alias("l")
     )
@@ -123,7 +133,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     A run has a marker, settings, one of them told twice, two evaluations, and a sample block for each line
     of the document, of which the last line is a continuation without prefix.
     """
-    docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread_documents(spark, folder)
     runs = docs.withColumn("l", F.split("text", "\n"))
     size = F.length("text").cast("string")
     loss = F.format_string("%d.5", F.col("doc_id"))

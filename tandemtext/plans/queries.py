@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.functions import bleu, encode, text
+from tandemtext.functions import bleu, encode, subwords, text
 from tandemtext.functions.text import WORD, named
 from tandemtext.operators import corpus, generate, logs, merge, ordering, report, tasks
 from tandemtext.plans import inputs, jobs, oracles
@@ -656,6 +656,8 @@ def stripped_text(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", text.strip(padded).alias("stripped"))
 
 
+# A public byte-pair vocabulary, as ranks.
+SUBWORDS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY = f"""
 vocabulary AS (
   SELECT token, CAST(row_number() OVER (ORDER BY uses DESC, token) + 2 AS INT) AS id, uses
@@ -686,8 +688,7 @@ turn_tokens AS (
 
 def _encoded_turns(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
     turns = files.read_table(spark, folder, "conversations")
-    keyed = turns.withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return encode.encode_texts(keyed, "key", {"token_ids": "text"}, known)
+    return encode.encode_texts(turns, {"token_ids": "text"}, known)
 
 
 @query(oracles.sql("""
@@ -707,7 +708,7 @@ FROM conversations LEFT JOIN turn_tokens t USING (conv_id, turn) GROUP BY conv_i
 def decoded_words(spark: SparkSession, folder: str) -> DataFrame:
     known = _vocabulary(spark, folder)
     encoded = _encoded_turns(spark, folder, known)
-    return encode.decode_ids(encoded, "key", {"words": "token_ids"}, known).select("conv_id", "turn", "words")
+    return encode.decode_ids(encoded, {"words": "token_ids"}, known).select("conv_id", "turn", "words")
 
 
 @query(oracles.sql(f"""
@@ -719,10 +720,40 @@ LEFT JOIN vocabulary v USING (token) GROUP BY doc_id""", extra=VOCABULARY))
 def encoded_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in the vocabulary of all of them."""
     docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
-    encoded = encode.encode_texts(docs, "doc_id", {"token_ids": "text"}, _vocabulary(spark, folder))
+    encoded = encode.encode_texts(docs, {"token_ids": "text"}, _vocabulary(spark, folder))
     return encoded.select("doc_id", joined(F.col("token_ids")).alias("ids"))
 
 
+@query(f"""
+SELECT doc_id, array_to_string({oracles.words("text")}, ' ') AS words,
+  CAST(len({oracles.words("text")}) AS BIGINT) AS n_ids FROM documents""")
+def decoded_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again, whole."""
+    docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
+    known = _vocabulary(spark, folder)
+    encoded = encode.encode_texts(docs, {"token_ids": "text"}, known).drop("text")
+    decoded = encode.decode_ids(encoded, {"words": "token_ids"}, known)
+    return decoded.select("doc_id", "words", F.size("token_ids").cast("bigint").alias("n_ids"))
+
+
+@query()
+def subword_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in the ids of a public subword vocabulary."""
+    docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
+    ranks = subwords.read_ranks(spark, SUBWORDS)
+    return subwords.encode_subwords(docs, {"ids": "text"}, ranks).select("doc_id", joined(F.col("ids")).alias("ids"))
+
+
+@query("SELECT doc_id, text, octet_length(encode(text)) AS bytes FROM documents")
+def subword_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in subword ids, and back: the same text, sign by sign."""
+    docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
+    ranks = subwords.read_ranks(spark, SUBWORDS)
+    encoded = subwords.encode_subwords(docs, {"ids": "text"}, ranks).drop("text")
+    back = subwords.decode_subwords(encoded, {"text": "ids"}, ranks)
+    return back.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("bytes"))
+
+
 @query("""
 SELECT conv_id, turn,
   array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c) % 997), ' ') AS ids
@@ -809,7 +840,7 @@ def encoded_preference_examples(spark: SparkSession, folder: str) -> DataFrame:
     examples = tasks.preference_pairs(scored, MODELS, SCORES, target="es")
     labels = {"labels": "label", "labels_good": "good", "labels_bad": "bad"}
     return _shown(
-        encode.encoded_examples(examples, "id", _vocabulary(spark, folder), labels, length=100)
+        encode.encoded_examples(examples, _vocabulary(spark, folder), labels, length=100)
     )
 
 
@@ -818,7 +849,7 @@ def encoded_preference_examples(spark: SparkSession, folder: str) -> DataFrame:
 def encoded_repeat_examples(spark: SparkSession, folder: str) -> DataFrame:
     examples = tasks.repeat_examples(inputs.scored_pairs(spark, folder), MODELS, SCORES)
     return _shown(
-        encode.encoded_examples(examples, "id", _vocabulary(spark, folder), {"labels": "label"})
+        encode.encoded_examples(examples, _vocabulary(spark, folder), {"labels": "label"})
     )
 
 
@@ -828,7 +859,7 @@ def encoded_repeat_examples(spark: SparkSession, folder: str) -> DataFrame:
 def encoded_translation_examples(spark: SparkSession, folder: str) -> DataFrame:
     examples = tasks.translation_examples(inputs.split_pairs(spark, folder), TASK)
     return _shown(
-        encode.encoded_examples(examples, "id", _vocabulary(spark, folder), {"labels": "label"})
+        encode.encoded_examples(examples, _vocabulary(spark, folder), {"labels": "label"})
     )
 
 

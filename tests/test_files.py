@@ -78,9 +78,9 @@ def test_vocabulary_round_trip(spark):
     texts = spark.createDataFrame([(1, "b b b a a c"), (2, ""), (3, None)], "id INT, t STRING")
     table = encode.build_vocabulary(texts.select("t"), max_size=2)
     assert sorted(map(tuple, table.collect())) == [(3, "b", 3), (4, "a", 2)]
-    encoded = encode.encode_texts(texts, "id", {"ids": "t", "again": "t"}, table)
-    words = encode.decode_ids(encoded, "id", {"words": "ids"}, table)
-    rows = {r["id"]: r for r in encode.decode_ids(words, "id", {"all": "ids"}, table, skip_special=False).collect()}
+    encoded = encode.encode_texts(texts, {"ids": "t", "again": "t"}, table)
+    words = encode.decode_ids(encoded, {"words": "ids"}, table)
+    rows = {r["id"]: r for r in encode.decode_ids(words, {"all": "ids"}, table, skip_special=False).collect()}
     assert rows[1]["ids"] == rows[1]["again"] == [3, 3, 3, 4, 4, 2]
     assert (rows[1]["words"], rows[1]["all"]) == ("b b b a a", "b b b a a <unk>")
     assert (rows[2]["ids"], rows[2]["words"]) == ([], "")
@@ -92,7 +92,7 @@ def test_vocabulary_keeps_every_word(spark):
     table = encode.build_vocabulary(texts)
     assert table.count() == 300_000
     some = spark.createDataFrame([(0, "w7 w299999 w300000")], "id INT, t STRING")
-    ids = encode.encode_texts(some, "id", {"ids": "t"}, table).first()["ids"]
+    ids = encode.encode_texts(some, {"ids": "t"}, table).first()["ids"]
     assert min(ids[:2]) > 2 and ids[2] == encode.UNK
 
 
