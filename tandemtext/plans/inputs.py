@@ -18,14 +18,19 @@ TASK = "English to Spanish"
 RUN_LINES = 1 << 32
 
 
-def spread_documents(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
-    """The documents dealt out by id, as many tasks as a shuffle has or as asked for.
+def spread(table: DataFrame, *key: str, partitions: int | None = None) -> DataFrame:
+    """The rows dealt out by a key, to as many tasks as a shuffle has or as asked for.
 
-    What is derived from a document is many times its size and is scored by models; a file
+    What is derived from a text is many times its size and is scored by models; a file
     of one row group would leave all of that to one task.
     """
+    tasks = partitions or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(tasks, *key)
+
+
+def spread_documents(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    return docs.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return spread(docs, "doc_id", partitions=partitions)
 
 
 def line_pairs(spark: SparkSession, folder: str) -> DataFrame:

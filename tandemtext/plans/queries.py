@@ -668,7 +668,7 @@ vocabulary AS (
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """Of all words of all documents, written once."""
     path = scratch_path(spark, "vocabulary")
-    docs = files.read_table(spark, folder, "documents").select("text")
+    docs = inputs.spread_documents(spark, folder).select("text")
     encode.build_vocabulary(docs).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -687,7 +687,7 @@ turn_tokens AS (
 
 
 def _encoded_turns(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
-    turns = files.read_table(spark, folder, "conversations")
+    turns = inputs.spread(files.read_table(spark, folder, "conversations"), "conv_id", "turn")
     return encode.encode_texts(turns, {"token_ids": "text"}, known)
 
 
@@ -719,7 +719,7 @@ FROM documents LEFT JOIN (
 LEFT JOIN vocabulary v USING (token) GROUP BY doc_id""", extra=VOCABULARY))
 def encoded_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in the vocabulary of all of them."""
-    docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
+    docs = inputs.spread_documents(spark, folder).select("doc_id", "text")
     encoded = encode.encode_texts(docs, {"token_ids": "text"}, _vocabulary(spark, folder))
     return encoded.select("doc_id", joined(F.col("token_ids")).alias("ids"))
 
@@ -729,7 +729,7 @@ SELECT doc_id, array_to_string({oracles.words("text")}, ' ') AS words,
   CAST(len({oracles.words("text")}) AS BIGINT) AS n_ids FROM documents""")
 def decoded_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again, whole."""
-    docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
+    docs = inputs.spread_documents(spark, folder).select("doc_id", "text")
     known = _vocabulary(spark, folder)
     encoded = encode.encode_texts(docs, {"token_ids": "text"}, known).drop("text")
     decoded = encode.decode_ids(encoded, {"words": "token_ids"}, known)
@@ -739,7 +739,7 @@ def decoded_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def subword_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in the ids of a public subword vocabulary."""
-    docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
+    docs = inputs.spread_documents(spark, folder).select("doc_id", "text")
     ranks = subwords.read_ranks(spark, SUBWORDS)
     return subwords.encode_subwords(docs, {"ids": "text"}, ranks).select("doc_id", joined(F.col("ids")).alias("ids"))
 
@@ -747,7 +747,7 @@ def subword_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT doc_id, text, octet_length(encode(text)) AS bytes FROM documents")
 def subword_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in subword ids, and back: the same text, sign by sign."""
-    docs = files.read_table(spark, folder, "documents").select("doc_id", "text")
+    docs = inputs.spread_documents(spark, folder).select("doc_id", "text")
     ranks = subwords.read_ranks(spark, SUBWORDS)
     encoded = subwords.encode_subwords(docs, {"ids": "text"}, ranks).drop("text")
     back = subwords.decode_subwords(encoded, {"text": "ids"}, ranks)
