@@ -8,20 +8,22 @@ between rows of the same key is an error. Tables without one get it from
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from fractions import Fraction
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tandemtext.functions.text import named
-from tandemtext.sources.files import with_row_index
 
 # Leading hex digits that form a bucket of the order, level by level: 65,536 buckets at most
 # at each, so that some rows in four billion are ranked in one task.
 BUCKET_DIGITS = (4, 4)
+# Sampled keys that part the rows on the way to a position, and rows that are ranked at its end.
+SPLITTERS, RANKED_ROWS = 1024, 1 << 14
 
 
 def order_key(key: str | Sequence[str], seed: int | str = 42) -> Column:
@@ -159,8 +161,21 @@ def is_leading(
     return _up_to(order, cuts["end"])
 
 
-def seeded_shuffle(df: DataFrame, key: str | Sequence[str], seed: int | str = 42) -> DataFrame:
-    return df.orderBy(order_key(key, seed))
+def seeded_shuffle(
+    df: DataFrame, key: str | Sequence[str], seed: int | str = 42, partitions: int | None = None
+) -> DataFrame:
+    """The rows in the seeded order, partition after partition.
+
+    Hashes are even, so the range of a row is known from the first digits of its own: no
+    pass over the data looks for the borders of the ranges, as a sort does. Rows of one key
+    share a range. Written out, the files in order are the shuffle.
+    """
+    ranges = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = order_key(key, seed)
+    leading = F.conv(F.substring(order, 1, 8), 16, 10).cast("bigint")
+    place = F.call_function("div", leading * ranges, F.lit(1 << 32)).cast("int")
+    keyed = df.select("*", order.alias("_order")).repartitionById(ranges, place)
+    return keyed.sortWithinPartitions("_order").drop("_order")
 
 
 def shuffle(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -195,26 +210,92 @@ def first_rows(df: DataFrame, *order_by: Column | str, n: int, name: str = "i")
     return head.withColumn(name, position.cast("bigint"))
 
 
+def _ranged(keys: DataFrame, borders: list) -> DataFrame:
+    """Adds ``_range``, the range of a key among sorted ``borders``.
+
+    Even ranges lie between two borders, odd ones are the border itself, so that a key with
+    any number of rows is a range of its own.
+    """
+    kind = StructType([StructField("_borders", ArrayType(keys.schema["_key"].dataType))])
+    # One row, with a key for each splitter.
+    beside = keys.crossJoin(F.broadcast(keys.sparkSession.createDataFrame([(borders,)], kind)))
+    array, key, step = F.col("_borders"), F.col("_key"), max(1, math.isqrt(len(borders)))
+
+    def smaller(some: Column) -> Column:
+        return F.size(F.filter(some, lambda border: border < key))
+
+    # First among every so many, then among those behind the last of them.
+    every = F.transform(F.sequence(F.lit(1), F.lit(max(1, len(borders) // step))), lambda i: array[i * step - 1])
+    passed = smaller(every) * step if len(borders) >= step else F.lit(0)
+    number = passed + smaller(F.slice(array, passed + 1, F.lit(step)))
+    place = number * 2 + F.coalesce(F.get(array, number) == key, F.lit(False)).cast("int")
+    return beside.withColumn("_range", place).drop("_borders")
+
+
+def _keys_at(keys: DataFrame, positions: Sequence[int]) -> dict[int, tuple]:
+    """The ``_key`` of the rows at 0-based positions of its order.
+
+    Rows are counted in the ranges between sampled keys; ranges that hold a wanted position
+    are sampled again, until those are small enough to be ranked. Every pass reads the keys
+    and shuffles counts only. What the driver holds is bounded by the splitters and positions.
+    """
+    spark, kind = keys.sparkSession, StructType([keys.schema["_key"]])
+    asked = sorted({p for p in positions if p >= 0})
+    open_keys, edges, seed = keys, [], 0
+    while True:
+        drawn = open_keys.orderBy(F.rand(seed)).limit(SPLITTERS).select("_key").collect()
+        told = spark.createDataFrame([(r["_key"],) for r in drawn] + [(e,) for e in edges], kind)
+        borders = [r["_key"] for r in told.distinct().orderBy("_key").collect()]
+        ranged = _ranged(keys, borders)
+        counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+        found, small, large, before, todo = {}, {}, [], 0, list(asked)
+        for number in sorted(counts):
+            inside = [p for p in todo if p < before + counts[number]]
+            if inside and number % 2:
+                found |= {p: borders[number // 2] for p in inside}
+            elif inside and counts[number] <= RANKED_ROWS:
+                small[number] = before
+            elif inside:
+                large.append(number)
+            todo, before = todo[len(inside) :], before + counts[number]
+        if not large:
+            break
+        edges = [borders[i] for n in (*small, *large) for i in (n // 2 - 1, n // 2) if 0 <= i < len(borders)]
+        edges += list(found.values())
+        open_keys, seed = ranged.where(F.col("_range").isin(large)).select("_key"), seed + 1
+    if small:
+        start = F.create_map(*[F.lit(x) for pair in small.items() for x in pair])
+        upto = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = (
+            ranged.where(F.col("_range").isin(list(small)))
+            .groupBy("_range", "_key")
+            .agg(F.count("*").alias("_rows"))
+            .withColumn("_upto", start[F.col("_range")] + F.sum("_rows").over(upto))
+        )
+        wanted = F.filter(
+            F.array(*[F.lit(p).cast("bigint") for p in asked]),
+            lambda p: (p < F.col("_upto")) & (p >= F.col("_upto") - F.col("_rows")),
+        )
+        found |= {r["_at"]: r["_key"] for r in ranked.select("_key", F.explode(wanted).alias("_at")).collect()}
+    return found
+
+
 def rows_at(df: DataFrame, positions: Sequence[int], *order_by: str) -> DataFrame:
     """The rows at the given 0-based positions of an order, with ``row_index``.
 
-    Rows with equal keys come in the order of a hash of their content. Only keys and hashes
-    are sorted and numbered; the rows are looked up by them.
+    Rows with equal keys come in the order of a hash of their content. Nothing is sorted: keys
+    are counted in ranges, and the rows are looked up by the keys found. Keys should be short,
+    as some of them are the borders of ranges.
     """
     content = F.xxhash64(*map(named, df.columns))
-    keyed = df.withColumn("_content", content)
-    numbered = with_row_index(keyed.select(*order_by, "_content"), *order_by, "_content")
+    keyed = df.withColumn("_key", F.struct(*map(named, order_by), content.alias("_content")))
+    found = _keys_at(keyed.select("_key"), positions)
+    kind = StructType([StructField("row_index", LongType()), StructField("_of", keyed.schema["_key"].dataType)])
     # One row per position.
-    wanted = numbered.where(F.col("row_index").isin(list(positions))).select(
-        *[F.col(name).alias(f"_of_{name}") for name in (*order_by, "_content")], "row_index"
-    )
-    same = reduce(
-        lambda a, b: a & b,
-        [named(name).eqNullSafe(named(f"_of_{name}")) for name in (*order_by, "_content")],
-    )
+    wanted = df.sparkSession.createDataFrame(list(found.items()), kind)
     # Rows that are equal in all columns meet each other's positions too.
     return (
-        keyed.join(F.broadcast(wanted), same)
+        keyed.join(F.broadcast(wanted), F.col("_key").eqNullSafe(F.col("_of")))
         .select(*map(named, df.columns), "row_index")
         .dropDuplicates(["row_index"])
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemtext.functions import bleu
@@ -139,5 +139,21 @@ def run_record(
     )
 
 
+RUN_RECORD = "split string, rows_in bigint, rows_out bigint, columns string, at timestamp, run_id string, stage string"
+
+
 def append_run_record(record: DataFrame, path: str) -> None:
-    record.coalesce(1).write.mode("append").parquet(path)
+    """Adds the rows of a run and stage; those of an earlier try of the same are replaced.
+
+    A run and stage is a folder, and only the folders that ``record`` has rows for are written
+    anew, so a stage that is repeated leaves one set of rows.
+    """
+    rows = record.select("split", "rows_in", "rows_out", "columns", "at", "run_id", "stage").coalesce(1)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id", "stage").parquet(path)
+
+
+def read_run_records(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the report, ids as they were told (not as numbers that they look like)."""
+    stored = spark.read.schema(RUN_RECORD).parquet(path)
+    return stored.select("run_id", "stage", "split", "rows_in", "rows_out", "columns", "at")

@@ -176,8 +176,11 @@ def sorted_by_identity(spark: SparkSession, folder: str) -> DataFrame:
 SELECT id, row_number() OVER (ORDER BY {oracles.order_key("id")}) - 1 AS row_index
 FROM pairs""", "pairs"))
 def seeded_shuffle_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The shuffled rows as they are written, one file after the other."""
+    path = scratch_path(spark, "shuffled")
     pairs = inputs.pairs(spark, folder).select("id")
-    return files.with_row_index(pairs, ordering.order_key("id"))
+    ordering.seeded_shuffle(pairs, "id").write.parquet(path)
+    return files.in_written_order(spark, path)
 
 
 @query(oracles.sql("SELECT id, length(en) AS en_chars FROM pairs", "pairs"))
@@ -293,7 +296,7 @@ FROM (SELECT {oracles.score()} AS score FROM stats ORDER BY {oracles.order_key("
 def mean_bleu_of_first_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Mean score of the first ten rows; only those are scored."""
     pairs = inputs.line_pairs(spark, folder)
-    head = ordering.seeded_shuffle(pairs, "id").limit(10)
+    head = ordering.first_rows(pairs, ordering.order_key("id"), n=10)
     stats = head.select("id", bleu.statistics(F.col("en"), F.col("es")).alias("s"))
     scored = stats.select("id", bleu.score(F.col("s")).alias("score"))
     return report.mean_of_first(scored, "score", ordering.order_key("id"), k=10)
@@ -922,21 +925,21 @@ def run_report(spark: SparkSession, folder: str) -> DataFrame:
     report.append_run_record(
         report.run_record("run-2", "build", inputs.clean_pairs(spark, folder), members), path
     )
-    return spark.read.parquet(path).drop("at")
+    # Told again, as by a run that was repeated: its rows are replaced.
+    report.append_run_record(
+        report.run_record("run-2", "build", inputs.clean_pairs(spark, folder), members), path
+    )
+    return report.read_run_records(spark, path).drop("at")
 
 
 # --- Run logs ------------------------------------------------------------------------
 
 
 def _filed(spark: SparkSession, folder: str) -> DataFrame:
-    """The logs written as text, one file each as a run writes it, and read back by a glob."""
+    """The logs written as text, each in several parts, and read back by a glob."""
     path = scratch_path(spark, "logs")
-    lines = inputs.log_lines(spark, folder)
-    lines.repartition("file").sortWithinPartitions("file", "line_no").select(
-        F.col("file").alias("log"), "value"
-    ).write.partitionBy("log").text(path)
-    read = files.read_log_lines(spark, f"{path}/log=*/*.txt")
-    return read.withColumn("file", F.regexp_extract("file", r"log=([^/]*)/", 1))
+    files.write_log_lines(inputs.log_lines(spark, folder), path)
+    return files.read_log_lines(spark, f"{path}/log=*/*.txt", files.written_log(F.col("file")))
 
 
 def _of_files(statement: str) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tandemtext.session import scratch_path
+from tandemtext.sources.records import read_records
 
 # Quotes are doubled, and blanks at the ends of a cell belong to it.
 CELLS = {
@@ -60,16 +62,28 @@ def read_language_pair(spark: SparkSession, path: str, source: str, target: str)
     return stored.select("id", pair.alias("translation"))
 
 
+def _parsed(records: DataFrame, schema: str | StructType, **options) -> DataFrame:
+    """The columns of records; ``multiLine`` keeps the line breaks of cells as they are."""
+    settings = {**CELLS, "multiLine": True, **options}
+    text = {name: str(value).lower() if isinstance(value, bool) else value for name, value in settings.items()}
+    told = schema if isinstance(schema, str) else schema.toDDL()
+    return records.select(F.from_csv("value", told, text).alias("cells")).select("cells.*")
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with a header and doubled quotes.
+    """CSV with a header and doubled quotes; without ``schema`` all columns are strings.
 
-    With ``multi_line`` cells may hold line breaks, and a file is read by one task;
-    without, a file is split among tasks, and every line break ends a row.
+    Files are split among tasks. With ``multi_line`` cells may hold line breaks, and the files
+    are read three times for that; without, every line break ends a row.
     """
-    reader = spark.read.options(header=True, multiLine=multi_line, **CELLS)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    reader = spark.read.options(header=True, **CELLS)
+    if not multi_line:
+        return (reader.schema(schema) if schema else reader).csv(path)
+    # The names come from the first record of a file.
+    told = schema or reader.options(multiLine=True).csv(path).schema
+    return _parsed(read_records(spark, path).where("record > 1"), told)
 
 
 def read_sentences(
@@ -77,11 +91,13 @@ def read_sentences(
 ) -> DataFrame:
     """One text column, tab separated, no header.
 
-    Sentences with line breaks need ``multi_line``, and then a file is read by one task.
+    Sentences with line breaks need ``multi_line``. Files are split among tasks.
     """
-    reader = spark.read.schema(f"`{column}` STRING")
-    options = {"sep": "\t", "lineSep": "\n", "multiLine": multi_line, "nullValue": NULL_SENTENCE, **CELLS}
-    return reader.options(**options).csv(path)
+    options = {"sep": "\t", "nullValue": NULL_SENTENCE}
+    schema = f"`{column}` STRING"
+    if multi_line:
+        return _parsed(read_records(spark, path), schema, **options)
+    return spark.read.schema(schema).options(lineSep="\n", **options, **CELLS).csv(path)
 
 
 def write_sentences(df: DataFrame, path: str) -> None:
@@ -99,34 +115,41 @@ def write_csv(df: DataFrame, path: str, index_by: list[str] | None = None) -> No
     df.write.options(header=True, emptyValue="", **CELLS).csv(path)
 
 
-def number_in_file_order(scan: DataFrame, name: str = "line_no") -> DataFrame:
+def number_in_file_order(
+    scan: DataFrame, name: str = "line_no", whole: Column | None = None
+) -> DataFrame:
     """Adds ``file`` and the 0-based position of each row inside its file.
 
     ``scan`` has to come straight from a file reader. The rows of a file split are
     read in order by one task, so only the number of rows in the earlier splits of
-    the same file is missing; that is a table with one row per split.
+    the same file is missing; that is a table with one row per split. ``whole`` is an
+    expression of the path in ``file``: files that agree in it are parts of one, in the order of
+    their names.
     """
     placed = scan.select(
         "*",
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_name").alias("_part"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
+    if whole is not None:
+        placed = placed.withColumn("file", whole)
     earlier = (
         Window.partitionBy("file")
-        .orderBy("_block")
+        .orderBy("_part", "_block")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     blocks = (
-        placed.groupBy("file", "_block")
+        placed.groupBy("file", "_part", "_block")
         .agg(F.min("_seq").alias("_first"), F.count("*").alias("_rows"))
         .withColumn("_before", F.sum("_rows").over(earlier) - F.col("_rows"))
         .drop("_rows")
     )
     return (
-        placed.join(blocks, ["file", "_block"])
+        placed.join(blocks, ["file", "_part", "_block"])
         .withColumn(name, F.col("_before") + F.col("_seq") - F.col("_first"))
-        .drop("_block", "_seq", "_first", "_before")
+        .drop("_part", "_block", "_seq", "_first", "_before")
     )
 
 
@@ -172,7 +195,27 @@ def in_written_order(spark: SparkSession, path: str, name: str = "row_index") ->
     )
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, value`` of every log matching a glob, in exact line order."""
-    lines = number_in_file_order(spark.read.text(path))
+def read_log_lines(spark: SparkSession, path: str, log: Column | None = None) -> DataFrame:
+    """``file, line_no, value`` of every log matching a glob, in exact line order.
+
+    A log may be kept in parts, as rotated ones are: ``log`` is an expression of the path in
+    ``file`` that names it, and its parts follow each other by their file names.
+    """
+    lines = number_in_file_order(spark.read.option("lineSep", "\n").text(path), whole=log)
     return lines.select("file", "line_no", "value")
+
+
+def write_log_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
+    """Logs ``file, line_no, value`` as a folder each, ``log=<file>``, of ordered part files.
+
+    Lines are written in ranges of their order, so a long log is the work of several tasks.
+    """
+    ranges = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named_logs = lines.select(F.col("file").alias("log"), "line_no", "value")
+    sorted_ = named_logs.repartitionByRange(ranges, "log", "line_no").sortWithinPartitions("log", "line_no")
+    sorted_.select("log", "value").write.partitionBy("log").text(path)
+
+
+def written_log(path: Column) -> Column:
+    """The log that a file of ``write_log_lines`` is a part of."""
+    return F.regexp_extract(path, r"log=([^/]*)/", 1)

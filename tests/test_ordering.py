@@ -133,3 +133,37 @@ def test_row_index_numbers_equal_keys_without_gaps(spark):
 
 def test_unseeded_shuffle_keeps_all_rows(spark):
     assert sorted(r["id"] for r in ordering.shuffle(spark.range(100), "id").collect()) == list(range(100))
+
+
+@pytest.mark.parametrize("splitters, ranked", [(4, 8), (1, 1), (16, 100), (1024, 1 << 14)])
+def test_positions_by_few_splitters(spark, monkeypatch, splitters, ranked):
+    """Nulls, strings, a key that most rows have: the positions of a sort, at any fineness."""
+    monkeypatch.setattr(ordering, "SPLITTERS", splitters)
+    monkeypatch.setattr(ordering, "RANKED_ROWS", ranked)
+    words = ["b", None, "ä", "", "b", "a" * 50]
+    rows = [(words[i % 6] if i % 3 else "hot", i % 7 - 3.5 if i % 5 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "`w.x` string, d double, i long").repartition(4)
+    wanted = files.with_row_index(df.withColumnRenamed("w.x", "w"), "w", "d").collect()
+    at = [0, 1, 99, 150, 298, 299, 300, -1]
+    found = {r["row_index"]: r for r in ordering.rows_at(df, at, "w.x", "d").collect()}
+    assert sorted(found) == [p for p in sorted(at) if 0 <= p < 300]
+    keys = {r["row_index"]: (r["w"], r["d"]) for r in wanted}
+    assert all((r["w.x"], r["d"]) == keys[p] for p, r in found.items())
+    assert len({r["i"] for r in found.values()}) == len(found)
+    assert ordering.rows_at(df.limit(0), at, "d").collect() == []
+
+
+def test_positions_are_found_without_a_sort(spark):
+    plan = ordering.rows_at(spark.range(1000), [7], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_seeded_shuffle_is_read_in_written_order(spark, tmp_path):
+    ids = spark.range(3000).repartition(5)
+    ordering.seeded_shuffle(ids, "id", seed=9, partitions=7).write.parquet(str(tmp_path / "s"))
+    found = files.in_written_order(spark, str(tmp_path / "s")).orderBy("row_index").collect()
+    key = {r["id"]: r["k"] for r in ids.select("id", ordering.order_key("id", 9).alias("k")).collect()}
+    assert [r["id"] for r in found] == sorted(key, key=key.get)
+    assert [r["row_index"] for r in found] == list(range(3000))
+    plan = ordering.seeded_shuffle(ids, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
