@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from tandemtext.functions import bleu
 from tandemtext.functions.text import named, prompt
+from tandemtext.session import path_exists, scratch_path
 
 Translator = Callable[[pd.Series], pd.Series]
 
@@ -95,3 +97,74 @@ def enrich_rows(
 
     spread = df.repartition(partitions) if partitions else df
     return spread.withColumn(name, call.asNondeterministic()(F.struct(*[named(c) for c in wanted])))
+
+
+def _ledger(spark: SparkSession, path: str, key: DataType) -> DataFrame:
+    kind = StructType(
+        [StructField("key", key), StructField("answer", StringType()), StructField("reason", StringType())]
+    )
+    return spark.read.schema(kind).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], kind)
+
+
+def enrich_with_ledger(
+    df: DataFrame,
+    key: str,
+    name: str,
+    load: Callable[[], Callable[[dict], str]],
+    ledger: str,
+    columns: Sequence[str] | None = None,
+    steps: int = 8,
+) -> DataFrame:
+    """As ``enrich_rows``, with every answer kept in a ledger, so that a call is not made twice.
+
+    ``key`` is unique and not null. The ledger is a table of ``key, answer, reason`` at a path.
+    Only rows without an answer in it are called, in ``steps`` stretches by a hash of the key; each stretch
+    is appended when it is done. A run that is stopped loses the stretch it was in, and
+    the next one goes on from there. A call that fails is a row with a reason, and is made
+    again by the next run. Returns ``df`` with ``name`` and ``<name>_reason``, one of which is null.
+    """
+    spark = df.sparkSession
+    kind = df.schema[key].dataType
+    wanted = list(columns or df.columns)
+
+    @F.pandas_udf("answer string, reason string")
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas
+
+        run = load()
+
+        def tried(row: dict) -> tuple[str | None, str | None]:
+            try:
+                answer = run(row)
+            except Exception as error:
+                return None, f"{type(error).__name__}: {error}"
+            return (answer, None) if answer is not None else (None, "no answer")
+
+        for batch in batches:
+            rows = [tried(row) for row in batch.to_dict("records")]
+            yield pandas.DataFrame(rows, columns=["answer", "reason"], dtype=object)
+
+    answered = _ledger(spark, ledger, kind).where("answer IS NOT NULL").select(F.col("key").alias("_key"))
+    row = F.struct(*[named(c) for c in wanted])
+    todo = df.select(named(key).alias("key"), row.alias("row")).join(
+        answered, F.col("key") == F.col("_key"), "left_anti"
+    )
+    # The rows to be called are fixed before the first call, a folder for each stretch.
+    path = scratch_path(spark, "calls")
+    step = F.pmod(F.xxhash64("key"), F.lit(steps)).cast("int")
+    todo.withColumn("step", step).write.partitionBy("step").parquet(path)
+    for number in range(steps):
+        if not path_exists(spark, f"{path}/step={number}"):
+            continue
+        part = spark.read.schema(todo.schema).parquet(f"{path}/step={number}")
+        told = part.select("key", call.asNondeterministic()(F.col("row")).alias("told"))
+        told.select("key", "told.*").write.mode("append").parquet(ledger)
+    # Several tries of a key: any answer counts, else the reason of one of them.
+    tries = _ledger(spark, ledger, kind).groupBy(F.col("key").alias("_key")).agg(
+        F.max("answer").alias("_answer"), F.max("reason").alias("_reason")
+    )
+    return df.join(tries, named(key) == F.col("_key"), "left").select(
+        *map(named, df.columns),
+        F.col("_answer").alias(name),
+        F.when(F.col("_answer").isNull(), F.col("_reason")).alias(f"{name}_reason"),
+    )

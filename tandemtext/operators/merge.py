@@ -14,6 +14,24 @@ from tandemtext.functions.text import named
 DIGEST = "_digest_of|"
 
 
+def _stored_join(left: DataFrame, right: DataFrame, meet_on: Sequence[str]) -> DataFrame:
+    """As ``_natural_join``, with ``meet_on`` as the only keys rows are brought together by."""
+    shared = [name for name in left.columns if name in right.columns]
+    if missing := [name for name in meet_on if name not in shared]:
+        raise ValueError(f"the tables don't share {missing}")
+    keys = {name: f"_key_{i}" for i, name in enumerate(shared)}
+    renamed = right.select(*[named(c).alias(keys.get(c, c)) for c in right.columns])
+
+    def equal(name: str) -> Column:
+        a, b = named(name), named(keys[name])
+        if name in meet_on:
+            return a == b
+        # Not written with =, which would make it a key of the join.
+        return F.coalesce((a >= b) & (a <= b), a.isNull() & b.isNull())
+
+    return left.join(renamed, reduce(lambda a, b: a & b, map(equal, shared))).drop(*keys.values())
+
+
 def _natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
     own = [name for name in left.columns if not name.startswith(DIGEST)]
     shared = [name for name in own if name in right.columns]
@@ -43,12 +61,17 @@ def _natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(renamed, same, "inner").drop(*keys.values(), "_right_digest")
 
 
-def natural_merge(frames: Sequence[DataFrame]) -> DataFrame:
+def natural_merge(frames: Sequence[DataFrame], meet_on: Sequence[str] = ()) -> DataFrame:
     """Inner join on every column the tables share, from left to right.
 
     The shared columns are found again after each join. Nulls match nulls, and
-    duplicate keys multiply.
+    duplicate keys multiply. ``meet_on`` names columns that all tables share and that are never
+    null: rows meet by them alone, and the other shared columns are compared behind it. Tables
+    of ``write_bucketed`` on the same columns are then joined as they are stored, any number of
+    them without a shuffle.
     """
+    if meet_on:
+        return reduce(lambda a, b: _stored_join(a, b, meet_on), frames)
     merged = reduce(_natural_join, frames)
     return merged.select([named(c) for c in merged.columns if not c.startswith(DIGEST)])
 

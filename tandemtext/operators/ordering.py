@@ -26,11 +26,12 @@ BUCKET_DIGITS = (4, 4)
 SPLITTERS, RANKED_ROWS = 1024, 1 << 14
 
 
-def order_key(key: str | Sequence[str], seed: int | str = 42) -> Column:
+def order_key(key: str | Sequence[str], seed: int | str | Column = 42) -> Column:
     """Sort key of the seeded order: the hash, then the key itself."""
     names = [key] if isinstance(key, str) else list(key)
     text = F.concat_ws("|", *[F.coalesce(named(n).cast("string"), F.lit("")) for n in names])
-    return F.concat(F.md5(F.concat(F.lit(f"{seed}|"), text)), F.lit("|"), text)
+    salt = F.concat(seed, F.lit("|")) if isinstance(seed, Column) else F.lit(f"{seed}|")
+    return F.concat(F.md5(F.concat(salt, text)), F.lit("|"), text)
 
 
 def _cut_keys(df: DataFrame, order: Column, cuts: dict[str, Column]) -> Column:
@@ -147,6 +148,12 @@ def exact_split(
     )
 
 
+def _leading_cut(df: DataFrame, order: Column, fraction: float | Fraction) -> Column:
+    part = Fraction(str(fraction))
+    end = F.expr(f"(n * {part.numerator}L) div {part.denominator}L")
+    return _cut_keys(df, order, {"end": end})["end"]
+
+
 def is_leading(
     df: DataFrame, key: str | Sequence[str], fraction: float | Fraction, seed: int | str = 42
 ) -> Column:
@@ -155,10 +162,15 @@ def is_leading(
     The fraction is taken as the decimal it is written as.
     """
     order = order_key(key, seed)
-    part = Fraction(str(fraction))
-    end = F.expr(f"(n * {part.numerator}L) div {part.denominator}L")
-    cuts = _cut_keys(df, order, {"end": end})
-    return _up_to(order, cuts["end"])
+    return _up_to(order, _leading_cut(df, order, fraction))
+
+
+def leading_key(
+    df: DataFrame, key: str | Sequence[str], fraction: float | Fraction, seed: int | str = 42
+) -> str | None:
+    """The order key of the last of those rows, None if there is none."""
+    cut = _leading_cut(df, order_key(key, seed), fraction)
+    return df.sparkSession.range(1).select(cut.alias("cut")).first()["cut"]
 
 
 def seeded_shuffle(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from fractions import Fraction
 from functools import reduce
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.functions.text import named, prompt
-from tandemtext.operators.ordering import is_leading
+from tandemtext.operators.ordering import is_leading, leading_key, order_key, seeded_shuffle
 
 REPEAT_TASK = "Repeat the best translation"
 
@@ -177,6 +177,61 @@ def staged_mixture(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def epoch_manifest(
+    examples: Mapping[str, DataFrame],
+    mixture: int,
+    epochs: float,
+    key: str = "id",
+    seed: int | str = 42,
+) -> DataFrame:
+    """``stage, task, epoch, order_seed, cut_seed, cut``: a row for each epoch of a staged mixture.
+
+    The examples themselves are stored once, whatever the number of epochs. An epoch goes
+    through its task's rows in an order of its own, by ``order_seed``. A broken epoch holds the
+    rows up to the key ``cut`` in the order of ``cut_seed``; whole ones have no cut.
+    """
+    rows, spark = [], next(iter(examples.values())).sparkSession
+    for number, (task, length) in enumerate(stages(mixture, epochs), 1):
+        whole, part = int(length), length - int(length)
+        told = [(number, task, epoch, f"{seed}|{task}|{number}|{epoch}") for epoch in range(1, whole + 2)]
+        rows += [(*row, None, None) for row in told[:whole]]
+        if part:
+            cut_seed = f"{seed}|{task}"
+            last = leading_key(examples[task], key, part, cut_seed)
+            # An epoch without a row has no line.
+            rows += [(*told[whole], cut_seed, last)] if last is not None else []
+    schema = "stage int, task string, epoch int, order_seed string, cut_seed string, cut string"
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def replay(examples: DataFrame, manifest: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of every epoch of a manifest, with ``stage, epoch, place``.
+
+    ``examples`` are stored once with their ``task``. Within an epoch rows are read in the order
+    of ``place``. The manifest has a row an epoch, and is what meets the examples.
+    """
+    of_task = manifest.withColumnRenamed("task", "_task")
+    met = examples.join(F.broadcast(of_task), F.col("task") == F.col("_task"))
+    inside = F.col("cut").isNull() | (order_key(key, F.col("cut_seed")) <= F.col("cut"))
+    return met.where(inside).select(
+        *map(named, examples.columns), "stage", "epoch", order_key(key, F.col("order_seed")).alias("place")
+    )
+
+
+def read_epoch(
+    examples: DataFrame, manifest: DataFrame, stage: int, epoch: int, key: str = "id", partitions: int | None = None
+) -> DataFrame:
+    """The examples of one epoch in its order, partition after partition; no other is touched."""
+    told = manifest.where((F.col("stage") == stage) & (F.col("epoch") == epoch)).collect()
+    if not told:
+        raise ValueError(f"stage {stage} has no epoch {epoch}")
+    [row] = told
+    rows = examples.where(F.col("task") == row["task"])
+    if row["cut"] is not None:
+        rows = rows.where(order_key(key, row["cut_seed"]) <= row["cut"])
+    return seeded_shuffle(rows, key, row["order_seed"], partitions)
+
+
 def step_plan(
     df: DataFrame, batch_size: int, save_at: float, groups: Sequence[str] = ()
 ) -> DataFrame:

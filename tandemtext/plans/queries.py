@@ -334,6 +334,31 @@ def enriched_rows(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("conv_id", "turn", "enriched")
 
 
+@query("""
+SELECT conv_id, turn, 'Translate from English to Spanish:' || text || ' [' || role || ']' AS enriched,
+  CAST(CASE WHEN turn % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS calls FROM conversations""")
+def resumed_enrichment(spark: SparkSession, folder: str) -> DataFrame:
+    """A service that fails for some rows, and answers them in the next run; others aren't called again."""
+
+    def connect(fails):
+        def load():
+            def call(row):
+                if fails and row["turn"] % 5 == 0:
+                    raise ConnectionError("busy")
+                return f"Translate from English to Spanish:{row['text']} [{row['role']}]"
+
+            return call
+
+        return load
+
+    turns = files.read_table(spark, folder, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
+    ledger = scratch_path(spark, "ledger")
+    for fails in (True, False):
+        out = generate.enrich_with_ledger(turns, "key", "enriched", connect(fails), ledger, ["turn", "text", "role"])
+    calls = spark.read.parquet(ledger).groupBy("key").agg(F.count("*").alias("calls"))
+    return out.join(calls, "key").select("conv_id", "turn", "enriched", "calls")
+
+
 @query(oracles.sql(f"SELECT id, split, {SCORE_LIST} FROM scored", "scored"))
 def candidate_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = inputs.scored_pairs(spark, folder)
@@ -351,6 +376,19 @@ def natural_merge(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_splits(spark, jobs.merge_scored(spark, paths, f"{root}/merged"))
 
 
+@query(oracles.sql(f"SELECT id, en, es, split, {MODEL_LIST} FROM candidates", "candidates"))
+def bucketed_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of the models are stored in buckets of the id, and merged as they are stored."""
+    pairs = inputs.stored_pairs(spark, folder)
+    root, tables = scratch_path(spark, "buckets"), []
+    for i, (name, load) in enumerate(inputs.stand_in_models().items()):
+        scored = generate.with_candidates(pairs, "es", {name: load})
+        table = f"scores_{root.rsplit('-', 1)[-1]}_{i}"
+        tables.append(files.write_bucketed(scored, table, ["id"], 16, f"{root}/{i}"))
+    merged = merge.natural_merge(tables, meet_on=["id"])
+    return merged.select("id", "en", "es", "split", *map(named, MODELS))
+
+
 @query("""
 WITH a AS (SELECT doc_id, nullif(lang, 'en') AS tag, n_chars FROM documents),
      b AS (SELECT doc_id, nullif(lang, 'en') AS tag, quality
@@ -578,6 +616,34 @@ def broken_epochs(spark: SparkSession, folder: str) -> DataFrame:
     return tasks.epochs_of(pairs, 2.3).select("id", F.col("epoch").cast("bigint").alias("epoch"))
 
 
+def _replayed_sql(rows: str, stage: int, task: str, epochs: float) -> str:
+    """The rows of the epochs, with their place in the order of their epoch."""
+    seed = f"'42|{task}|{stage}|' || epoch"
+    return f"""
+SELECT id, label, stage, task, epoch, md5({seed} || '|' || id) || '|' || id AS place
+FROM ({_epochs_sql(rows, stage, task, epochs)})"""
+
+
+@query(oracles.sql(
+    _replayed_sql("judge_rows", 1, "judge", 1.5) + "\nUNION ALL "
+    + _replayed_sql("translate_rows", 2, "translate", 1.5),
+    "scored", extra=REPEAT_ROWS + "," + TRANSLATE_ROWS))
+def replayed_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same mixture from examples that are stored once and a manifest of its epochs."""
+    scored, pairs = _training_inputs(spark, folder)
+    examples = {
+        "judge": tasks.repeat_examples(scored.where("split = 'train'"), MODELS, SCORES),
+        "translate": tasks.translation_examples(pairs.where("split = 'train'"), TASK),
+    }
+    path = scratch_path(spark, "examples")
+    for task, rows in examples.items():
+        rows.withColumn("task", F.lit(task)).write.mode("append").partitionBy("task").parquet(path)
+    stored = spark.read.parquet(path)
+    by_task = {task: stored.where(F.col("task") == task) for task in examples}
+    manifest = tasks.epoch_manifest(by_task, 0, 3)
+    return tasks.replay(stored, manifest).select("id", "label", "stage", "task", "epoch", "place")
+
+
 @query(oracles.sql(
     "SELECT id, en, es, split FROM plain",
     "line_pairs",

@@ -54,6 +54,27 @@ def stored_splits(df: DataFrame, label: str) -> DataFrame:
     return read_splits(df.sparkSession, path)
 
 
+def write_bucketed(
+    df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None
+) -> DataFrame:
+    """A table in buckets of ``keys``, a sorted file for each bucket and split, and read back.
+
+    Tables with the same keys and number of buckets meet without a shuffle. A null key is an
+    error. Choose so many buckets that one of the largest table fits into a task.
+    """
+    missing = F.raise_error(F.lit(f"a null key in the table {table}"))
+    quoted = {name: F.coalesce(F.col(f"`{name}`"), missing) for name in keys}
+    # Dealt out as the buckets are, so that each is written by one task.
+    dealt = df.withColumns(quoted).repartition(buckets, *[F.col(f"`{name}`") for name in keys])
+    writer = dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    if "split" in df.columns and "split" not in keys:
+        writer = writer.partitionBy("split")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read_language_pair(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
     """A bilingual corpus ``id, translation`` of which only two languages are wanted."""
     stored = spark.read.parquet(path)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tandemtext.operators.merge import attach_columns, natural_merge
+from tandemtext.sources.files import write_bucketed
 
 
 def test_null_keys_match_and_missing_rows_drop_out(spark):
@@ -48,3 +49,36 @@ def test_attached_columns_keep_every_row(spark):
     long = spark.createDataFrame([(0, "x.log", "t")], "i INT, file STRING, v STRING")
     out = attach_columns(left, long, "i", "file", "v", ["x.log", "y.log"])
     assert sorted(map(tuple, out.collect())) == [(0, "a", "t", None), (1, "b", None, None)]
+
+
+def bucketed(spark, tmp_path, name, df, buckets=4):
+    return write_bucketed(df, f"merge_{tmp_path.name}_{name}".replace("-", "_"), ["id"], buckets, str(tmp_path / name))
+
+
+def test_bucketed_tables_merge_without_a_shuffle(spark, tmp_path):
+    """Three stored tables meet by id; equal ids with other values drop out, null values match."""
+    def rows(model, skipped, other):
+        base = spark.range(200).where(F.col("id") != skipped)
+        en = F.when(F.col("id") == other, F.lit("other")).when(F.col("id") % 10 != 0, F.concat(F.lit("s"), "id"))
+        return base.select("id", en.alias("en"), F.lit("train").alias("split"), F.concat(F.lit(model), "id").alias(model))
+
+    frames = {m: rows(m, i, i + 50) for i, m in enumerate(("m.1", "m-2", "m3"), 3)}
+    tables = [bucketed(spark, tmp_path, f"t{i}", df) for i, df in enumerate(frames.values())]
+    merged = natural_merge(tables, meet_on=["id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        found = sorted(map(str, merged.select("id", "en", "split", "`m.1`", "m-2", "m3").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = natural_merge(list(frames.values())).select("id", "en", "split", "`m.1`", "m-2", "m3")
+    assert found == sorted(map(str, plain.collect())) and len(found) == 200 - 3 - 3
+
+
+def test_null_keys_are_not_stored_in_buckets(spark, tmp_path):
+    with pytest.raises(Exception, match="null key"):
+        bucketed(spark, tmp_path, "nulls", spark.createDataFrame([(None, 1)], "id int, v int"))
+    a, b = spark.range(3).withColumn("a", F.lit(1)), spark.range(3).withColumn("b", F.lit(1))
+    with pytest.raises(ValueError, match="share"):
+        natural_merge([a, b], meet_on=["a"])
