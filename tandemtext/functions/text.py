@@ -11,6 +11,38 @@ from pyspark.sql import functions as F
 BLANKS = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
+# The stages of the published Treebank word rules, pattern and replacement. The
+# first ends a line behind a sentence, so that its period stands at the end of one.
+GAP = r"[ \t\n\r\f]"
+TREEBANK = (
+    (rf"([.?!][\"')\]]*){GAP}+([\"'(\[]*[A-Z0-9])", "\\1\n\\2"),
+    # Quotes that open.
+    ("(?m)^\"", "`` "),
+    ("(``)", " \\1 "),
+    (r"([ (\[{<])\"", "\\1 `` "),
+    # Signs, commas but not between digits, the last period of a sentence.
+    (r"([:,])([^0-9])", " \\1 \\2"),
+    (r"(?m)([:,])$", " \\1 "),
+    (r"(\.\.\.+)", " \\1 "),
+    (r"([;@#$%&?!])", " \\1 "),
+    (r"(?m)([^.])(\.)([\])}>\"']*)[ \t\r\f]*$", "\\1 \\2\\3 "),
+    (r"([^'])' ", "\\1 ' "),
+    (r"([\]\[(){}<>])", " \\1 "),
+    ("(--+)", " \\1 "),
+    # Quotes that close, genitives and shortened verbs.
+    ("\"", " '' "),
+    (rf"([^' ])('[sSmMdD]|')({GAP}|$)", "\\1 \\2\\3"),
+    (rf"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)({GAP}|$)", "\\1 \\2\\3"),
+    # Words that are two.
+    (r"(?i)\b(can)(not)\b", "\\1 \\2"),
+    (r"(?i)\b(d)('ye)\b", "\\1 \\2"),
+    (r"(?i)\b(gim|lem)(me)\b", "\\1 \\2"),
+    (r"(?i)\b(gon|wan)(na)\b", "\\1 \\2"),
+    (r"(?i)\b(got)(ta)\b", "\\1 \\2"),
+    (r"(?i)\b(more)('n)\b", "\\1 \\2"),
+    (r"(?i)('t)(is|was)\b", "\\1 \\2"),
+)
+
 
 def named(name: str) -> Column:
     """A column by its literal name, which may hold dots, dashes or backticks."""
@@ -51,6 +83,18 @@ def without_prefix(text: Column, prefix: str) -> Column:
         .otherwise(text)
 
 
+def treebank_words(text: Column) -> Column:
+    """Words as the Treebank has them: contractions, quotes and the last period stand alone.
+
+    Every stage rewrites the whole text, so all of it stays in the JVM. A sentence is taken to
+    end at its sign before white space and a capital or digit.
+    """
+    for pattern, replacement in TREEBANK:
+        # Lines end at a line feed only.
+        text = F.regexp_replace(text, F.lit(f"(?d){pattern}"), F.lit(replacement.replace("\\", "$")))
+    return F.filter(F.split(text, f"{GAP}+"), lambda word: word != "")
+
+
 def words(text: Column) -> Column:
     """Runs of letters and digits, and single other signs."""
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))

@@ -14,7 +14,7 @@ from tandemtext.functions.bleu import (
     STOP_AFTER_NON_DIGIT,
     STOP_BEFORE_NON_DIGIT,
 )
-from tandemtext.functions.text import WORD
+from tandemtext.functions.text import GAP, TREEBANK, WORD
 
 LINES = """
 line_pairs AS (
@@ -260,3 +260,12 @@ def sql(final: str, *inputs: str, extra: str = "") -> str:
 
 def words(text: str) -> str:
     return f"regexp_extract_all({text}, '{WORD}')"
+
+
+def treebank_words(text: str) -> str:
+    def quoted(value: str) -> str:
+        return value.replace("'", "''")
+
+    for pattern, replacement in TREEBANK:
+        text = f"regexp_replace({text}, '{quoted(pattern)}', '{quoted(replacement)}', 'g')"
+    return f"list_filter(regexp_split_to_array({text}, '{GAP}+'), lambda w: w <> '')"

@@ -712,6 +712,14 @@ def word_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT doc_id, array_to_string({oracles.treebank_words("text")}, ' ') AS words FROM documents""")
+def treebank_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in words by the Treebank's rules."""
+    docs = inputs.spread_documents(spark, folder)
+    return docs.select("doc_id", F.array_join(text.treebank_words(F.col("text")), " ").alias("words"))
+
+
 # White space spelled out: ASCII's, its separators, and what Unicode adds.
 BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
