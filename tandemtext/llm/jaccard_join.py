@@ -1,11 +1,11 @@
 """Similarity join of texts on their word n-grams, by MinHash banding.
 
 Texts with equal n-gram sets are one node, represented by the smallest id. The signatures
-of the nodes are cut into bands; nodes that share a band's hash are candidates. Within a
-band's bucket only one link for each node is written, to the bucket's least node, and
-these links make candidate groups. Each group's texts meet in one task, or, if they are
-many, in one task for each pair of blocks, and there every pair of the group is verified
-on the full sets. A task reports counts and a spanning forest, never the pairs.
+of the nodes are cut into bands; nodes that share a band's hash are a bucket, and its pairs
+are candidates. The texts of a bucket meet in one task, or, if they are many or long, in one
+task for each pair of blocks, and there its pairs are verified on the full sets: each pair once, in
+the first bucket both are in. A task reports counts and a spanning forest, never the pairs.
+Buckets with the same nodes, as copies have in most bands, are one.
 """
 
 from __future__ import annotations
@@ -29,11 +29,13 @@ from tandemtext.llm.words import folded_words
 SIZE = 5
 SIMILARITY = 0.8
 RECALL = 0.9995
-BLOCK = 256
+# The most nodes, and letters of text, that a block of a bucket holds on average; and the
+# letters of small buckets that share a task.
+BLOCK, BLOCK_LETTERS, TASK_LETTERS = 1024, 1 << 22, 1 << 23
 CHUNK_WORDS = 1 << 18
 
 
-def banding(similarity: float, recall: float, chance: float = 0.25) -> tuple[int, int]:
+def banding(similarity: float, recall: float, chance: float = 0.06) -> tuple[int, int]:
     """Bands and rows: the fewest bands that find a pair at the threshold with this recall.
 
     Rows are the fewest with which a pair half as similar is a candidate with a probability
@@ -165,29 +167,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(members: DataFrame, size: int, similarity: float, block: int, tasks: int) -> DataFrame:
+def candidate_buckets(nodes: DataFrame) -> DataFrame:
+    """node and ``buckets``, the band hashes it shares with other nodes.
+
+    Of buckets with the same nodes the one of the least hash stands for all. Buckets are told
+    apart by two independent 64-bit sums over their nodes.
+    """
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sum_{i}") for i in range(2)]
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), *sums).filter("n > 1")
+    kept = buckets.groupBy("n", "sum_0", "sum_1").agg(F.min("band").alias("band")).select("band")
+    return banded.join(kept, "band").groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("buckets"))
+
+
+def verified(members: DataFrame, size: int, similarity: float, block: int, block_letters: int) -> DataFrame:
     """node, root (of its links in one task) and links, for each task a node takes part in.
 
-    ``members`` has group, node, count (documents of the node) and text. Groups of up to
-    ``block`` nodes are dealt to the tasks whole; of a larger one every pair of blocks is a
-    task, so that its nodes travel as often as it has blocks.
+    ``members`` has node, buckets (sorted), count (documents of the node) and text. A bucket of up to
+    ``block`` nodes and ``block_letters`` letters is dealt to a task whole; of a larger one every pair of
+    blocks is a task, so that its nodes travel as often as it has blocks. The number of tasks follows
+    from the letters.
     """
-    of_group = members.groupBy("group").agg(F.count("*").alias("n"))
+    travelling = members.withColumn("letters", F.length("text").cast("long")).withColumn(
+        "bucket", F.explode("buckets")
+    )
+    of_bucket = stored(
+        travelling.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("letters").alias("letters")), "buckets"
+    ).withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("letters") / block_letters)).cast("int"))
+    small = of_bucket.filter("blocks = 1").agg(F.sum("letters")).first()[0] or 0
+    tasks = max(1, math.ceil(small / TASK_LETTERS))
     cut = (
-        members.join(of_group, "group")
-        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        travelling.drop("letters").join(of_bucket.select("bucket", "blocks"), "bucket")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
-    # A task's number: those of small groups are shared, each pair of blocks has its own.
-    place = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks)).cast("string")).otherwise(
-        F.concat_ws("-", F.hex("group"), "i", "j")
+    # A task's number: those of small buckets are shared, each pair of blocks has its own.
+    place = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(tasks)).cast("string")).otherwise(
+        F.concat_ws("-", F.hex("bucket"), "i", "j")
     )
     ratio = Fraction(similarity).limit_denominator(10**6)
     over, under = ratio.numerator, ratio.denominator
 
-    def compare(rows: list[dict]) -> Iterator[tuple[bytes, bytes, int]]:
+    def compare(bucket: int, rows: list[dict]) -> Iterator[tuple[bytes, bytes, int]]:
         rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: (r["own"], r["node"]))
         i, j = rows[0]["i"], rows[0]["j"]
         sets = shingles([folded_words(r["text"]) for r in rows], size)
@@ -198,6 +220,12 @@ def verified(members: DataFrame, size: int, similarity: float, block: int, tasks
         marked = np.zeros(len(flat), np.int32)
         links = np.zeros(len(rows), np.int64)
         root = list(range(len(rows)))
+        # The buckets in front of this one that a row is in, as columns of a table.
+        earlier = [[b for b in r["buckets"] if b < bucket] for r in rows]
+        column = {b: k for k, b in enumerate(sorted({b for own in earlier for b in own}))}
+        shared = np.zeros((len(rows), len(column)), bool)
+        for x, own in enumerate(earlier):
+            shared[x, [column[b] for b in own]] = True
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -208,15 +236,17 @@ def verified(members: DataFrame, size: int, similarity: float, block: int, tasks
         border = sum(r["own"] == i for r in rows) if i != j else len(rows)
         for x in range(border):
             first = border if i != j else x + 1
-            if first >= len(rows):
+            fresh = ~shared[first:][:, shared[x]].any(1)
+            if not fresh.any():
                 continue
+            others = np.flatnonzero(fresh) + first
             own = flat[bounds[x] : bounds[x + 1]]
             marked[own] = 1
-            rest = marked[flat[bounds[first] :]]
-            common = np.add.reduceat(rest, bounds[first:-1] - bounds[first])
+            rest = marked[flat[bounds[first] :][np.repeat(fresh, sizes[first:])]]
+            common = np.add.reduceat(rest, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
             marked[own] = 0
-            union = sizes[x] + sizes[first:] - common
-            for y in (np.flatnonzero(common.astype(np.int64) * under >= union * over) + first).tolist():
+            union = sizes[x] + sizes[others] - common
+            for y in others[common.astype(np.int64) * under >= union * over].tolist():
                 links[x] += counts[y]
                 links[y] += counts[x]
                 a, b = find(x), find(y)
@@ -225,10 +255,10 @@ def verified(members: DataFrame, size: int, similarity: float, block: int, tasks
             yield r["node"], rows[find(x)]["node"], int(links[x])
 
     def of_task(table: pa.Table) -> pa.Table:
-        groups: dict[bytes, list[dict]] = {}
+        groups: dict[int, list[dict]] = {}
         for r in table.to_pylist():
-            groups.setdefault(r["group"], []).append(r)
-        found = [row for rows in groups.values() for row in compare(rows)]
+            groups.setdefault(r["bucket"], []).append(r)
+        found = [row for bucket, rows in groups.items() for row in compare(bucket, rows)]
         columns = list(zip(*found)) or [[], [], []]
         return pa.table(
             [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())],
@@ -236,7 +266,7 @@ def verified(members: DataFrame, size: int, similarity: float, block: int, tasks
         )
 
     return (
-        cut.select("group", "node", "count", "text", "own", "i", "j", place.alias("task"))
+        cut.select("bucket", "node", "buckets", "count", "text", "own", "i", "j", place.alias("task"))
         .groupBy("task")
         .applyInArrow(of_task, "node binary, root binary, links long")
     )
@@ -250,6 +280,7 @@ def near_copies(
     similarity: float = SIMILARITY,
     recall: float = RECALL,
     block: int = BLOCK,
+    block_letters: int = BLOCK_LETTERS,
 ) -> DataFrame:
     """Every document with its class of near copies and the number of documents it links to.
 
@@ -272,24 +303,16 @@ def near_copies(
         .agg(F.min(smallest).alias("first"), F.count("*").alias("count"), F.first("bands").alias("bands")),
         "nodes",
     )
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = (
-        banded.groupBy("band")
-        .agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-        .filter("hub != last")
-        .select("band", "hub")
-    )
-    edges = banded.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = components(edges).select("node", F.col("label").alias("group"))
-    chosen = groups.join(nodes, "node").select(
-        "group", "node", "count", F.col("first.id").alias("first_id"), F.col("first.digest").alias("first_digest")
+    chosen = candidate_buckets(nodes).join(nodes, "node").select(
+        "node", "buckets", "count", F.col("first.id").alias("first_id"), F.col("first.digest").alias("first_digest")
     )
     texts = own.select("id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
     members = chosen.join(
         texts, F.col("first_id").eqNullSafe(F.col("id")) & (F.col("first_digest") == F.col("digest"))
-    ).select("group", "node", "count", "text")
-    tasks = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checked = stored(verified(members, size, similarity, block, tasks), "verified")
+    ).select("node", "buckets", "count", "text")
+    # Written, as its letters are counted before they travel.
+    members = stored(members, "members")
+    checked = stored(verified(members, size, similarity, block, block_letters), "verified")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     forest = checked.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")
     labels = components(forest)

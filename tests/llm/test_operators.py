@@ -198,6 +198,62 @@ def test_large_class_is_cut_into_blocks(spark):
     assert {i: r.class_id for i, r in found.items()} == label
 
 
+def test_template_texts_are_compared_within_their_buckets_only(spark):
+    """Texts with a common template are half alike: candidates now and then, but no class."""
+    template = [f"t{i}" for i in range(70)]
+    words = {i: template + [f"own{i}x{k}" for k in range(30)] for i in range(600)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "id long, text string")
+    bands, rows = jaccard_join.banding(0.8, jaccard_join.RECALL)
+    assert 1 - (1 - 0.4**rows) ** bands < 0.06
+    signed = {r.id: r for r in jaccard_join.signatures(docs, 5, bands, rows).collect()}
+    sharing = Counter()
+    for k in range(bands):
+        bucket = {}
+        for i, r in signed.items():
+            bucket.setdefault(r.bands[k], []).append(i)
+        for ids in bucket.values():
+            sharing.update((a, b) for a in ids for b in ids if a < b)
+    nodes = jaccard_join.signatures(docs, 5, bands, rows)
+    kept = {r.node: set(r.buckets) for r in jaccard_join.candidate_buckets(nodes).collect()}
+    by_bucket = {}
+    for node, own in kept.items():
+        for b in own:
+            by_bucket.setdefault(b, set()).add(node)
+    compared = {(a, b) for ids in by_bucket.values() for a in ids for b in ids if a < b}
+    assert len(compared) == len(sharing) < 600 * 599 / 2
+    found = jaccard_join.near_copies(docs.withColumnRenamed("id", "doc_id")).collect()
+    assert all(r.class_size == 1 and r.n_links == 0 for r in found)
+
+
+def test_recall_of_links(spark):
+    """Pairs at the threshold and a little above it."""
+    draw = random.Random(6)
+    rows, wanted = [], set()
+    for i in range(400):
+        base = [f"b{i}w{k}" for k in range(200)]
+        other = list(base)
+        for place in draw.sample(range(0, 200, 10), 4):
+            other[place] = f"new{i}x{place}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        a, b = ({tuple(w[k : k + 5]) for k in range(196)} for w in (base, other))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            wanted.add(2 * i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in jaccard_join.near_copies(docs).collect()}
+    linked = {i for i, r in found.items() if i % 2 == 0 and r.n_links}
+    assert len(wanted) > 100 and linked <= wanted and len(linked) >= 0.99 * len(wanted)
+
+
+def test_long_texts_are_cut_into_blocks_by_their_letters(spark):
+    draw = random.Random(8)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(base[: 400 - draw.randrange(30)])) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(jaccard_join.near_copies(docs).select("doc_id", "class_id", "n_links").collect())
+    cut = jaccard_join.near_copies(docs, block_letters=3000).select("doc_id", "class_id", "n_links")
+    assert sorted(cut.collect()) == whole and max(r.n_links for r in whole) > 10
+
+
 def test_components(spark):
     draw = random.Random(9)
     names = [hashlib.md5(bytes([i])).digest() for i in range(200)]
