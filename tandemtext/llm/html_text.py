@@ -1,7 +1,7 @@
 """Main text of web pages by differencing pages with near URLs.
 
 A page's lines are its blocks of text. Within a host, pages are put in the order of their
-paths; a page is paired with the nearest page before or behind it that is not its copy, whichever
+paths; a page is paired with the page in front of or behind the run of copies it is in, whichever
 path shares the longer start, their lines are aligned by longest common subsequence, and lines
 that both have are page furniture.
 They are deleted, unless the page marks them as its article: one element that has at least half
@@ -54,7 +54,6 @@ ATTRIBUTE = re.compile(
     r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE
 )
 COPY_SHARE = 0.9  # of the letters not marked as furniture, from which on a page is another's copy
-VISITORS = 8  # pages at the ends of a range that the ranges beside it see
 
 
 def set_aside(name: str, attributes: str, in_article: bool) -> bool:
@@ -215,14 +214,151 @@ def line_class() -> Column:
     return F.xxhash64(F.transform("lines", lambda x: F.xxhash64(x["text"], x["kind"])))
 
 
+PAGE = "host string, class long, path string, hashes array<long>, letters array<int>"
+
+
+def shared_share(page: dict, other: dict) -> tuple[float, list[bool]]:
+    """The share of a page's letters outside of furniture that another has too, and which lines."""
+    found = shared_lines(page["hashes"], other["hashes"])
+    letters = [abs(n) for n in page["letters"]]
+    return sum(n for n, s in zip(letters, found) if s) / max(1, sum(letters)), found
+
+
+def are_copies(a: dict, b: dict) -> bool:
+    """Whether two pages of a host have nearly all letters outside of furniture in common."""
+    return a["host"] == b["host"] and shared_share(a, b)[0] >= COPY_SHARE and shared_share(b, a)[0] >= COPY_SHARE
+
+
+def furniture_mask(page: dict, before: dict | None, after: dict | None) -> list[bool] | None:
+    """The lines a page shares with the nearer of its neighbours, if an open one is among them.
+
+    ``before`` and ``after`` are the pages beside its run of copies; one of another host, or that
+    has nearly all of the page too, tells nothing.
+    """
+    if not any(n < 0 for n in page["letters"]):
+        return None
+    near = []
+    for other in (before, after):
+        if other and other["host"] == page["host"]:
+            share, mask = shared_share(page, other)
+            if share < COPY_SHARE:
+                near.append((_common_start(other["path"], page["path"]), mask))
+    if not near:
+        return None
+    mask = max(near, key=lambda x: x[0])[1]
+    return mask if any(s and n < 0 for s, n in zip(mask, page["letters"])) else None
+
+
+def runs_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks the pages of a range in order, run of copies by run.
+
+    Runs between others give masks at once. Those at the ends of the range are handed on as
+    pages with ``first`` or ``last`` set, and the pages the neighbouring ranges have to know with a
+    ``role``: the range's first and last page, the page behind its first run and the one in front
+    of its last run. What is held is one run.
+    """
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId()
+    schema = pa.schema(
+        [
+            ("range", pa.int32()), ("role", pa.string()), ("first", pa.bool_()), ("last", pa.bool_()),
+            ("host", pa.string()), ("class", pa.int64()), ("path", pa.string()),
+            ("hashes", pa.list_(pa.int64())), ("letters", pa.list_(pa.int32())), ("shared", pa.list_(pa.bool_())),
+        ]
+    )
+    out: list[dict] = []
+
+    def tell(page: dict, **more) -> None:
+        out.append({"range": number, **page, **more})
+
+    def settle(run: list[dict], before: dict | None, after: dict) -> None:
+        for page in run:
+            if before is None:
+                tell(page, first=True, last=False)
+            elif mask := furniture_mask(page, before, after):
+                tell({"host": page["host"], "class": page["class"]}, shared=mask)
+
+    # The page in front of the run, and the run itself.
+    before, run = None, []
+    for batch in batches:
+        for page in batch.to_pylist():
+            if run and not are_copies(run[-1], page):
+                settle(run, before, page)
+                if before is None:
+                    tell(page, role="behind_first")
+                before, run = run[-1], []
+            if not run and before is None:
+                tell(page, role="first")
+            run.append(page)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out.clear()
+    for page in run:
+        tell(page, first=before is None, last=True)
+    if run:
+        tell(run[-1], role="last")
+    if before:
+        tell(before, role="before_last")
+    yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def beside_ranges(marked: DataFrame) -> DataFrame:
+    """For each range the pages beside its first and its last run.
+
+    ``left`` and ``right`` are those beyond the range: the last page of the range in front, or, where a run goes
+    on over the border, the page in front of that run, however many ranges it fills. The
+    windows are over one row for each range.
+    """
+    page = F.struct("host", "class", "path", "hashes", "letters")
+    roles = ("first", "last", "behind_first", "before_last")
+    ends = marked.filter("role IS NOT NULL").groupBy("range").agg(
+        *[F.max(F.when(F.col("role") == role, page)).alias(role) for role in roles]
+    )
+    in_order = Window.orderBy("range")
+
+    def continued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whether the run at the end of the range in front goes on in this one."""
+        for batch in batches:
+            found = [
+                bool(pair["previous"]) and are_copies(pair["previous"], pair["first"])
+                for pair in batch.select(["previous", "first"]).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("range"), pa.array(found, pa.bool_())], names=["range", "goes_on"])
+
+    pairs = ends.select("range", F.lag("last").over(in_order).alias("previous"), "first")
+    borders = stored(pairs.mapInArrow(continued, "range int, goes_on boolean"), "borders")
+    # No page at all, other than one that is not known yet.
+    nothing = F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in PAGE.split(", "))])
+    known = ends.join(borders, "range").withColumns(
+        {
+            "previous": F.coalesce(F.lag("last").over(in_order), nothing),
+            "next": F.coalesce(F.lead("first").over(in_order), nothing),
+            "goes_over": F.coalesce(F.lead("goes_on").over(in_order), F.lit(False)),
+        }
+    )
+    # In front of the last run of a range, and behind its first; null where the run fills the range and goes on.
+    front = F.coalesce("before_last", F.when(~F.col("goes_on"), F.col("previous")))
+    behind = F.coalesce("behind_first", F.when(~F.col("goes_over"), F.col("next")))
+    upto = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    onward = in_order.rowsBetween(1, Window.unboundedFollowing)
+    return known.withColumns({"front": front, "behind": behind}).select(
+        "range",
+        F.when(~F.col("goes_on"), F.col("previous")).otherwise(F.last("front", ignorenulls=True).over(upto)).alias("left"),
+        F.when(~F.col("goes_over"), F.col("next")).otherwise(F.first("behind", ignorenulls=True).over(onward)).alias("right"),
+        "before_last",
+        "behind_first",
+    )
+
+
 def shared_with_neighbours(lines: DataFrame) -> DataFrame:
     """For each host and class of equal pages which lines the nearest page that is no copy has too.
 
-    Classes in which no open line is shared are left out. Only hashes and lengths of lines travel.
-    Of equal pages the first stands for all. Pages are dealt out by ranges of host and path, so one
-    host may fill many tasks; the pages at the ends of each range visit the ranges beside it.
-    A page most of whose letters outside of furniture are its neighbour's too is its copy, and the
-    search goes on behind it. Without any other page nothing is furniture.
+    Classes in which no open line is shared are left out. Only hashes and lengths of lines travel,
+    once. Of equal pages the first stands for all. Pages in the order of host and path that are copies
+    one of the next are a run; the neighbours of all its pages are the page in front of it and the one
+    behind it. Pages are dealt out by ranges, so one host, and one run, may fill many tasks, and
+    the result is the same for any ranges. Without any other page nothing is furniture.
     """
     order = ["host", "path", "class"]
     light = (
@@ -245,70 +381,30 @@ def shared_with_neighbours(lines: DataFrame) -> DataFrame:
         .agg(F.min("page").alias("page"))
         .select("host", "class", "page.*")
     )
-    placed = stored(
-        light.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()),
-        "pages",
-    )
-    # One row for each range.
-    ends = placed.groupBy("range").agg(F.count("*").alias("n"))
-    beside = Window.orderBy("range")
-    ends = ends.withColumns({"before": F.lag("range").over(beside), "after": F.lead("range").over(beside)})
-    place = Window.partitionBy("range").orderBy(*order)
-    keys = placed.select("range", *order).withColumn("place", F.row_number().over(place))
-    at_end = (
-        keys.join(F.broadcast(ends), "range")
-        .withColumn("first", F.col("place") <= VISITORS)
-        .withColumn("last", F.col("place") > F.col("n") - VISITORS)
-        .filter("first OR last")
-        .select("host", "class", F.array(F.when(F.col("first"), F.col("before")), F.when(F.col("last"), F.col("after"))).alias("to"))
-    )
-    guests = (
-        placed.drop("range")
-        .join(at_end, ["host", "class"])
-        .withColumn("range", F.explode("to"))
-        .filter("range IS NOT NULL")
-        .select(*placed.columns)
-    )
-    everyone = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["host"].encode(), r["path"].encode(), r["class"]))
-
-        def nearest(step: int) -> dict[int, tuple[int, list[bool]]]:
-            """For each page with open lines the nearest on one side that is not its copy."""
-            out: dict[int, tuple[int, list[bool]]] = {}
-            for i in range(len(rows))[::-step]:
-                own = rows[i]["letters"]
-                if not any(n < 0 for n in own):
-                    continue
-                j = i + step
-                while 0 <= j < len(rows) and rows[j]["host"] == rows[i]["host"]:
-                    found = shared_lines(rows[i]["hashes"], rows[j]["hashes"])
-                    if sum(abs(n) for n, s in zip(own, found) if s) < COPY_SHARE * sum(map(abs, own)):
-                        out[i] = j, found
-                        break
-                    # Behind a copy the search goes on where the copy's own ended.
-                    j = out[j][0] if j in out else j + step
-            return out
-
-        sides = nearest(-1), nearest(1)
-        kept = []
-        for i, r in enumerate(rows):
-            near = [side[i] for side in sides if i in side and not r["guest"]]
-            if near:
-                mask = max(near, key=lambda x: _common_start(rows[x[0]]["path"], r["path"]))[1]
-                if any(s and n < 0 for s, n in zip(mask, r["letters"])):
+    dealt = light.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = f"range int, role string, first boolean, last boolean, {PAGE}, shared array<boolean>"
+    marked = stored(dealt.mapInArrow(runs_of_copies, schema), "runs")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for r in batch.to_pylist():
+                before = r["left"] if r["first"] else r["before_last"]
+                after = r["right"] if r["last"] else r["behind_first"]
+                if mask := furniture_mask(r, before, after):
                     kept.append((r["host"], r["class"], mask))
-        return pa.table(
-            [
-                pa.array([x[0] for x in kept], pa.string()),
-                pa.array([x[1] for x in kept], pa.int64()),
-                pa.array([x[2] for x in kept], pa.list_(pa.bool_())),
-            ],
-            names=["host", "class", "shared"],
-        )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in kept], pa.string()),
+                    pa.array([x[1] for x in kept], pa.int64()),
+                    pa.array([x[2] for x in kept], pa.list_(pa.bool_())),
+                ],
+                names=["host", "class", "shared"],
+            )
 
-    return everyone.groupBy("range").applyInArrow(compare, "host string, class long, shared array<boolean>")
+    inner = marked.filter("shared IS NOT NULL").select("host", "class", "shared")
+    at_ends = marked.filter("first IS NOT NULL").drop("role", "shared").join(beside_ranges(marked), "range")
+    return inner.union(at_ends.mapInArrow(settle, "host string, class long, shared array<boolean>"))
 
 
 def main_text(

@@ -626,6 +626,31 @@ def test_furniture_of_short_pages_and_of_copies(spark):
         assert {i: re.sub(r" v[456]$", "", t) for i, t in found.items()} == wanted
 
 
+@pytest.mark.parametrize("copies", [60, 3])
+def test_runs_of_copies_over_any_ranges(spark, copies):
+    """Near copies that fill whole ranges see the one other page; the ranges make no difference."""
+    menu = "".join(f"<div>Menu item {i}</div>" for i in range(4))
+    story = "".join(f"<p>The story of this page has a sentence with the number {i}</p>" for i in range(12))
+    rows = [(i, f"https://one.example/a/{i:03d}", f"{menu}{story}<p>v{i}</p>") for i in range(copies)]
+    rows.append((900, "https://one.example/b", f"{menu}<p>Another text that no one else has</p>"))
+    rows += [(901 + i, f"https://two.example/{i}", f"<div>Top</div><p>Own text {i} of the host</p>") for i in range(5)]
+    rows += [(950, "https://alone.example/", story), (951, None, None), (952, "https://two.example/z", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in (1, 3, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+            texts.append({r.page_id: r.text for r in html_text.main_text(pages).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert all(t == texts[0] for t in texts)
+    assert not any("Menu" in t or t.startswith("Top") for t in texts[0].values())
+    assert all(texts[0][i].endswith(f"v{i}") and "number 11" in texts[0][i] for i in range(copies))
+
+
 def test_teasers_are_not_the_article(spark):
     """Marked teasers, several or small, don't displace the text; what pages share goes; one large article stays whole."""
     rows, wanted = [], {}
