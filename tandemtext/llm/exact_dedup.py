@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandemtext.functions.text import named
 from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.session import scratch_path
 
@@ -35,7 +36,7 @@ def content_table(docs: DataFrame, id_column: str, text_column: str, heads: bool
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
-    kept = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if heads else []
+    kept = [F.struct(*map(named, docs.columns)).alias("row")] if heads else []
     prepared = docs.select(
         F.col(id_column).alias("id"),
         F.length(text).cast("long").alias("length"),

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandemtext.functions.text import named
 from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.llm.substring_dedup import mix
 
@@ -226,7 +227,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
             T.StructField("score", T.DoubleType()),
         ]
     )
-    return in_small_batches(docs).select(F.struct(*docs.columns).alias("row")).mapInArrow(predict, schema)
+    return in_small_batches(docs).select(F.struct(*map(named, docs.columns)).alias("row")).mapInArrow(predict, schema)
 
 
 def held_out(id_column: str, of: int, remainder: int):

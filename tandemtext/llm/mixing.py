@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandemtext.functions.text import named
 from tandemtext.llm.stored import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,8 +31,8 @@ def word_count(text: Column) -> Column:
 
 def hash_of(key: Column, seed: str) -> Column:
     """52 bits of the md5 of seed and key; a null key is hashed as the empty text."""
-    named = F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(named), 1, DIGITS), 16, 10).cast("long")
+    seeded = F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(seeded), 1, DIGITS), 16, 10).cast("long")
 
 
 def with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -221,6 +222,6 @@ def mixed_documents(
     """
     sized = stored(sizes_and_hashes(docs, id_column, text_column, source_column, seed), "sizes")
     plan = mix_plan(sized, weights, share, most)
-    whole = F.struct(*docs.columns).alias("row")
+    whole = F.struct(*map(named, docs.columns)).alias("row")
     carried = sizes_and_hashes(docs, id_column, text_column, source_column, seed, whole)
     return with_plan(carried, plan).select("row", copies().alias("copies")).filter("copies > 0")

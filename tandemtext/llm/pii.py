@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.llm.pieces import in_small_batches, pieces
+from tandemtext.llm.spans import touching
 
 KINDS = ("email", "ip", "card", "phone", "crf_phone", "crf_id")
 LABELS = ("O", "phone", "id")
@@ -306,7 +307,8 @@ def find_personal(
             spans = []
             for text, more in zip(texts, field_spans(texts, field)):
                 known = known_spans(text)
-                more = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in known)]
+                touches_known = touching((a, b) for _, a, b in known)
+                more = [s for s in more if not touches_known(s[1], s[2])]
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(known + more)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(spans, kinds)], names=[id_column, "spans"]

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.llm.pieces import in_small_batches, pieces
+from tandemtext.llm.spans import touching
 from tandemtext.llm.stored import stored
 
 KINDS = ("assign", "access", "hex", "random")
@@ -205,7 +206,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """Spans of secrets of each whole text: the id and ``spans`` of (start, kind, end, level), sorted.
 
     ``kind`` indexes ``KINDS``; the level of known forms is null. Offsets are code points, the end
-    exclusive. A random string that touches a known form is not reported again. A null text
+    exclusive. A random string that touches a known form is not reported again. Digits alone are
+    no candidate, however many: numbers are even without being secret. A null text
     counts as empty; empty tables give no rows. The levels at which strings count come from
     all documents of the table.
     """
@@ -223,13 +225,14 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             for text in texts:
                 text = text or ""
                 known = known_spans(text)
+                touches_known = touching((a, b) for _, a, b in known)
                 own = [{"start": a, "kind": k, "end": b, "cell": None, "p": None} for k, a, b in known]
                 for m in CANDIDATE.finditer(text):
                     for start, end in parts(m[0]):
                         word = m[0][start:end]
                         # Padding belongs to what stands before it.
                         a, b = m.start() + start, m.end() if not m[0][end:].strip("=") else m.start() + end
-                        if any(a < e and s < b for _, s, e in known):
+                        if touches_known(a, b):
                             continue
                         if DASHED.fullmatch(word):
                             word = word.replace("-", "")

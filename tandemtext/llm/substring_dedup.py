@@ -16,6 +16,7 @@ the same result, as all tasks follow the same one.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,9 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
+from tandemtext.functions.text import named
 from tandemtext.llm.pieces import in_small_batches, pieces
 from tandemtext.llm.words import blank_words
+from tandemtext.sources.files import with_row_index
 
 WINDOW = 20
 MINIMISER = 5
@@ -34,6 +38,7 @@ LONGEST_RUN = 512
 SAMPLED_DOCUMENTS = 20_000  # bound of the sample that names frequent minimisers
 FREQUENT = 12  # different strings of one minimiser in the sample
 PLACE_BITS = 22
+BUCKET_LETTERS = 1 << 21  # letters of all texts for each bucket; one is sorted in a task's memory
 NO_ID = (1 << 63) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 _BLOCK_BYTES = 1 << 20
@@ -260,7 +265,8 @@ def repeated_stretches(
     ``docs`` has ``id`` (integer) and ``text``; the digest is the crc32 of the text.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = buckets or math.ceil(letters / BUCKET_LETTERS) or 1
     split = frozenset(frequent_minimisers(docs, window, minimiser, SAMPLED_DOCUMENTS, FREQUENT))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,9 +386,25 @@ def drop_repeats(
     the input. Returns the id, ``n_words``, ``n_removed`` and ``kept`` (the words left, joined
     by one blank), one row for each input row. Null and short texts lose nothing. A null id
     counts as larger than any other; rows that share an id come in order of a digest of the
-    text; rows that share id and text don't repeat each other.
+    text; rows that share id and text don't repeat each other. Ids are whole numbers or anything
+    that has an order; these are numbered first, in a sort that is written.
     """
-    own = in_small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    kind = docs.schema[id_column].dataType
+    own = docs.select(named(id_column).alias("id"), named(text_column).alias("text"))
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        cut = without_repeats(own.withColumn("id", F.col("id").cast("long")), window)
+        return cut.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_column)
+    numbers = with_row_index(own.select(F.col("id").alias("of")).filter("of IS NOT NULL").distinct(), "of")
+    numbered = own.join(numbers, F.col("id") == F.col("of"), "left").select(F.col("row_index").alias("id"), "text")
+    cut = without_repeats(numbered, window)
+    return cut.join(numbers, F.col("id") == F.col("row_index"), "left").select(
+        F.col("of").alias(id_column), "n_words", "n_removed", "kept"
+    )
+
+
+def without_repeats(docs: DataFrame, window: int) -> DataFrame:
+    """``drop_repeats`` of ``id`` (long) and ``text``."""
+    own = in_small_batches(docs)
     stretches = (
         repeated_stretches(own, window)
         .groupBy("id", "digest")
@@ -430,11 +452,11 @@ def drop_repeats(
                     pa.array(n_removed, pa.int64()),
                     pa.array(kept, pa.binary()).cast(pa.string()),
                 ],
-                names=[id_column, "n_words", "n_removed", "kept"],
+                names=["id", "n_words", "n_removed", "kept"],
             )
 
     return (
         keyed.join(stretches, ["id", "digest"], "left")
         .select("own_id", "packed", "size", "spans")
-        .mapInArrow(cut, f"`{id_column}` long, n_words long, n_removed long, kept string")
+        .mapInArrow(cut, "id long, n_words long, n_removed long, kept string")
     )

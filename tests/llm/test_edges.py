@@ -203,3 +203,52 @@ def test_pipeline_on_odd_rows(spark, odd, none, items, tmp_path):
             frame = stage(spark, frame, str(tmp_path))
             assert frame.columns[: len(columns)] == columns, name
             frame.count()
+
+
+def test_repeats_keep_the_type_of_ids(spark):
+    """Ids of any type with an order; the order of their values decides which passage stays."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [("b", passage), ("a", "x " + passage), (None, passage), ("c", None), ("d", "few words")]
+    docs = spark.createDataFrame(rows, "`key` string, text string")
+    found = {r.key: (r.n_words, r.n_removed) for r in substring_dedup.drop_repeats(docs, "key").collect()}
+    assert found == {"a": (31, 0), "b": (30, 30), None: (30, 30), "c": (0, 0), "d": (2, 0)}
+    small = spark.createDataFrame([(2, passage), (1, passage)], "doc_id int, text string")
+    cut = substring_dedup.drop_repeats(small)
+    assert dict(cut.dtypes)["doc_id"] == "int"
+    assert {r.doc_id: r.n_removed for r in cut.collect()} == {1: 0, 2: 30}
+
+
+def test_names_with_dots(spark, odd):
+    docs = odd.withColumnRenamed("content", "some.content").withColumnRenamed("n_chars", "n`chars")
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == exact_dedup.drop_copies(odd).count()
+    assert jaccard_join.drop_near_copies(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs).select("row.*").columns == docs.columns
+    assert language.drop_unknown(docs).columns == docs.columns
+
+
+def test_touching_spans():
+    from tandemtext.llm.spans import touching
+
+    spans = [(5, 9), (0, 3), (2, 30), (40, 41)]
+    touches = touching(spans)
+    for a in range(45):
+        for b in range(a + 1, 46):
+            assert touches(a, b) == any(a < e and s < b for s, e in spans)
+    assert not touching([])(0, 5)
+
+
+def test_long_texts_full_of_hits(spark):
+    """200,000 lines of hits in one text, in seconds a scan."""
+    import time
+
+    keys = "\n".join(f"{i * 2654435761 % 2**64:016x}{i * 40503 % 2**64:016x} part{i}" for i in range(200_000))
+    mails = "\n".join(f"u{i}@example.com 10.0.{i % 256}.7" for i in range(200_000))
+    docs = spark.createDataFrame([(1, keys), (2, mails)], "doc_id long, text string")
+    begun = time.time()
+    found = {r.doc_id: len(r.spans) for r in secret_scan.scan(docs).collect()}
+    assert found[1] >= 200_000
+    assert time.time() - begun < 120
+    begun = time.time()
+    found = {r.doc_id: len(r.spans) for r in pii.find_personal(docs.where("doc_id = 2")).collect()}
+    assert found[2] >= 400_000 and time.time() - begun < 120
