@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips, and held-out labels."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -377,6 +378,83 @@ def test_toxic_words_with_gaps(spark):
     assert all(found[i] < 0.3 for i in (5, 6, 7)), found
 
 
+def test_toxic_windows_across_blanks(spark):
+    """Insults cut by blanks, and abuse of two harmless words side by side."""
+    draw = random.Random(8)
+    common = [a + b for a in ("tab", "riv", "hou", "gre", "pap", "wal", "und", "bri") for b in ("le", "er", "se", "en", "ks", "ght")]
+    rows, labels = [], []
+    for i in range(800):
+        own = [draw.choice(common) for _ in range(30)]
+        own = [w for w, after in zip(own, [*own[1:], ""]) if (w, after) != ("table", "house")]
+        toxic = i % 4 == 0
+        if toxic:
+            at = draw.randrange(len(own))
+            own[at:at] = ["snurkwit"] if i % 8 else ["table", "house"]
+        rows.append((i, " ".join(own) + "."))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    long = "walksunderwalksunderwalks"
+    bad = ["snurkwit", "a snur kwit", "such snu rkwit!", "sn ur kw it", "sn-ur-kw-it", "walks, table house."]
+    clean = ["river table under", "house table", "table. House", "table\nhouse", "", None, "river house " * 50, long, "...", "7 8 9"]
+    asked = list(enumerate(bad + clean))
+    found = toxicity.score_texts(spark.createDataFrame(asked, "doc_id long, text string"), model)
+    scores = {r.doc_id: (r.score, r.worst) for r in found.collect()}
+    assert all(scores[i][0] >= 0.3 for i in range(len(bad))), list(scores.values())
+    assert all(scores[i][0] < 0.3 for i in range(len(bad), len(asked))), list(scores.values())
+    assert scores[0][1] == "snurkwit" and "table house" in scores[5][1] and scores[len(bad) + 5][1] is None
+
+
+def brute_kernel(a: str, b: str) -> float:
+    def weighted(window: str) -> tuple[Counter, float]:
+        found, norm = Counter(), 0.0
+        window = window[0] + window[1:].replace(" ", "0")
+        for places in itertools.combinations(range(len(window)), 3):
+            if places[2] - places[0] < toxicity.SPAN and not any(window[p] == "0" for p in places):
+                weight = toxicity.DECAY ** (places[2] - places[0] - 2)
+                found["".join(window[p] for p in places)] += weight
+                norm += weight**2
+        return found, max(norm, 1) ** 0.5
+
+    (x, n), (y, m) = weighted(a), weighted(b)
+    return sum(x[t] * y[t] for t in x) / n / m
+
+
+def test_gap_weighted_kernel_by_enumeration(monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 1 << 20)  # no two of these triples share a feature
+    windows = [" idiot", " id iot", " xidi0t", " a", "otherwise", " the same as", " aaaaaa", " ßüß çñ"]
+    mapped = toxicity.landmark_features(windows)
+    wanted = np.array([[brute_kernel(a, b) for b in windows] for a in windows])
+    assert np.allclose(toxicity.inner(windows, mapped), wanted, atol=1e-5)
+    assert wanted[0, 1] > 0.5 > 0.1 > wanted[0, 4]
+
+
+def test_windows_cover_every_letter(monkeypatch):
+    """Running sums give what each window gives alone, whatever the stretches; no letter is left out."""
+    draw = random.Random(2)
+    texts = ["x" * n for n in (1, 23, 24, 25, 35, 36, 37, 48, 60)]
+    texts += ["".join(draw.choice("abc déf. ,'-1!?\n") for _ in range(300)) for _ in range(20)] + ["", None]
+    letters = toxicity.letters_of(texts)
+    starts, ends, text = toxicity.windows_of(letters)
+    assert (ends - starts <= toxicity.WIDTH).all() and (np.diff(starts) >= 0).all() and (np.diff(text) >= 0).all()
+    covered = np.zeros(len(letters.codes), int)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, ends[ends < len(covered)], -1)
+    assert (np.cumsum(covered) > 0).all()
+    kept = ["".join(c for c in (t or "").lower() if c.isalnum()) for t in texts]
+    words = [[letters.piece(a, b)[1:] for a, b, k in zip(letters.starts, letters.ends, letters.text) if k == i] for i in range(len(texts))]
+    assert ["".join(w) for w in words] == [re.sub("[0-9]", "0", t) for t in kept]
+    pieces = [letters.piece(a, b) for a, b in zip(starts, ends)]
+    weights = np.random.default_rng(0).normal(size=toxicity.FEATURES).astype(np.float32)
+    alone = toxicity.inner(pieces, weights[:, None])[:, 0]
+    for stretch in (7, 1 << 17):
+        monkeypatch.setattr(toxicity, "_STRETCH", stretch)
+        assert np.allclose(toxicity.window_sums(letters.codes, weights, starts, ends), alone, atol=1e-4)
+    keys = toxicity.window_keys(letters.codes, starts, ends)
+    assert len(set(keys.tolist())) == len(set(pieces)) == len(set(zip(keys.tolist(), pieces)))
+    assert toxicity.letters_of(["i d i o t", "id-iot, you."]).piece(0, 99) == " idiot idiot you"
+
+
 def test_squared_hinge_separates():
     draw = np.random.default_rng(0)
     x = np.concatenate([draw.normal(2, 0.5, (50, 2)), draw.normal(-2, 0.5, (50, 2))])
