@@ -313,9 +313,9 @@ class Sample:
     @classmethod
     def of(cls, texts: list[str], rows: list[int]) -> Sample:
         letters = letters_of(texts)
-        starts, ends, text = windows_of(letters)
+        starts, ends, text = (x.astype(np.int32) for x in windows_of(letters))
         marks = np.concatenate([[0], np.cumsum(letters.codes == MARK)])
-        short = np.flatnonzero(marks[ends] - marks[starts] <= 2)
+        short = np.flatnonzero(marks[ends] - marks[starts] <= 2).astype(np.int32)
         keys = window_keys(letters.codes, starts[short], ends[short])
         return cls(letters, np.array(rows), starts, ends, text, short, keys)
 

@@ -627,6 +627,46 @@ def test_field_on_new_lines(field):
     assert found("no digits at all") == []
 
 
+def test_field_leaves_look_alikes(field):
+    def found(text):
+        return [(pii.KINDS[k], text[a:b]) for k, a, b in pii.field_spans([text], field)[0]]
+
+    for text in (
+        "flight AB1234567 to Rome",
+        "part no. X1234567",
+        "tracking number 1Z 999 123 01 2345 6784",
+        "your order 4711223 of 2021-03-04 costs 19.99",
+        "invoice 555-123-4567 was paid",
+        "we saw 12 of 4,500 at 10:30",
+    ):
+        assert found(text) == [], text
+    assert found("her passport C1234567 is lost") == [("crf_id", "C1234567")]
+    assert found("flight AB1234 , then call (212) 555-0187 please") == [("crf_phone", "(212) 555-0187")]
+
+
+def field_quality(folds=5):
+    """Spans right, reported and labelled on lines of templates that were not trained on."""
+    right = reported = labelled = 0
+    for fold in range(folds):
+        trained = pii.train(pii.labelled_lines([t for i, t in enumerate(pii.TEMPLATES) if i % folds != fold]))
+        for words, labels in pii.labelled_lines([t for i, t in enumerate(pii.TEMPLATES) if i % folds == fold]):
+            starts = [sum(len(w) + 1 for w in words[:i]) for i in range(len(words))]
+            wanted = set()
+            for label, own in itertools.groupby(range(len(words)), key=lambda i: labels[i]):
+                own = list(own)
+                if label:
+                    wanted.add((3 + label, starts[own[0]], starts[own[-1]] + len(words[own[-1]])))
+            found = set(pii.field_spans([" ".join(words)], trained)[0])
+            right, reported, labelled = right + len(found & wanted), reported + len(found), labelled + len(wanted)
+    return right, reported, labelled
+
+
+def test_field_on_held_out_templates():
+    right, reported, labelled = field_quality()
+    assert len(pii.labelled_lines()) >= 300
+    assert right / reported >= 0.75 and right / labelled >= 0.75, (right, reported, labelled)
+
+
 def test_viterbi_against_all_paths(field):
     draw = np.random.default_rng(1)
     scores = [draw.normal(size=(n, 3)) for n in (1, 4, 6, 0, 5)]
