@@ -7,7 +7,8 @@ the smallest alphabet it fits, and under the hypothesis that it is drawn evenly
 alphabet three tests are made: chi-squared for even use of the signs, runs above and below
 the middle, and serial correlation; Fisher's method combines them. Plain words must fail,
 and short ones often don't. So the share of plain text that passes is measured by length
-and alphabet, each on the letters of all documents cut to such lengths, and the level at
+and alphabet, each on the letters of all documents cut to such lengths (for hexadecimal alphabets
+on their digits and letters a to f outside candidates), and the level at
 which a candidate counts is set by length and alphabet such that false discoveries stay below a
 share of all discoveries; where no level does that, nothing is reported. Texts are cut one by
 one, and those shorter than a length are joined by their hash, so the shares are the same
@@ -136,21 +137,30 @@ def alphabet_tables() -> tuple[list[frozenset], np.ndarray]:
     return [frozenset(a) for a in ALPHABETS], tables
 
 
-def plain_tallies(letters: np.ndarray, sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
+def is_hexadecimal(signs: str) -> bool:
+    return not {"z", "Z"} & set(signs)
+
+
+def plain_tallies(
+    letters: np.ndarray, sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, hexadecimal: bool = False
+) -> np.ndarray:
     """For each cell how many strings plain text gives, and how many of them reach each level.
 
     ``letters`` are the ASCII letters of texts one after the other, ``sizes`` their numbers. A text
     is cut to each length from its start, and once more at its end where letters are left; every
     alphabet that has the letters sees all of these strings. The probabilities are those of ``battery``.
+    With ``hexadecimal`` they are hexadecimal signs, and only alphabets of these see them.
     """
     tallies = np.zeros((len(ALPHABETS) * len(LENGTHS), len(LEVELS) + 1), np.int64)
     # The tests see the places of signs and the size only, so alphabets can share them.
     alike: dict[tuple[bool, int], list[int]] = {}
     for i, signs in enumerate(ALPHABETS):
-        if {"z", "Z"} & set(signs):
+        if is_hexadecimal(signs) == hexadecimal:
             alike.setdefault(({"z", "Z"} <= set(signs), len(signs)), []).append(i)
     folded = (letters & 31) - 1
     places = {False: (folded, 26), True: (folded + 26 * (letters >= 97).astype(np.uint8), 52)}
+    if hexadecimal:
+        places = {False: (np.where(letters <= 57, letters & 15, (letters & 31) + 9), 16)}
     starts = np.cumsum(sizes) - sizes
     for length in lengths:
         if len(letters) < length:
@@ -188,11 +198,13 @@ def plain_tallies(letters: np.ndarray, sizes: np.ndarray, lengths: tuple[int, ..
     return tallies
 
 
-def ascii_letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The ASCII letters of all texts, and how many each has."""
+def ascii_letters(texts: list[str | None], hexadecimal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The ASCII letters, or hexadecimal signs, of all texts, and how many each has."""
     signs = [(t or "").encode("ascii", "ignore") for t in texts]
     flat = np.frombuffer(b"".join(signs), np.uint8)
     is_letter = ((flat | 32) >= 97) & ((flat | 32) <= 122)
+    if hexadecimal:
+        is_letter = is_letter & ((flat | 32) <= 102) | ((flat >= 48) & (flat <= 57))
     upto = np.concatenate([[0], np.cumsum(is_letter)])
     ends = np.cumsum([len(b) for b in signs], dtype=np.int64)
     return flat[is_letter], np.diff(upto[ends], prepend=0)
@@ -222,12 +234,16 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             texts = batch.column(1).to_pylist()
             spans: list[list[dict]] = []
             candidates: dict[int, list[tuple[dict, str]]] = {}
+            outside: list[str] = []
             for text in texts:
                 text = text or ""
+                rest, behind = [], 0
                 known = known_spans(text)
                 touches_known = touching((a, b) for _, a, b in known)
                 own = [{"start": a, "kind": k, "end": b, "cell": None, "p": None} for k, a, b in known]
                 for m in CANDIDATE.finditer(text):
+                    rest.append(text[behind : m.start()])
+                    behind = m.end()
                     for start, end in parts(m[0]):
                         word = m[0][start:end]
                         # Padding belongs to what stands before it.
@@ -244,6 +260,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                         own.append({"start": a, "kind": 3, "end": b, "cell": cell, "p": None})
                         candidates.setdefault(fits, []).append((own[-1], word))
                 spans.append(own)
+                outside.append("".join(rest) + text[behind:])
             for i, found in candidates.items():
                 for a in range(0, len(found), 4096):
                     part = found[a : a + 4096]
@@ -252,37 +269,41 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                     for (entry, _), p in zip(part, battery(tables[i][codes], lengths, len(ALPHABETS[i])).tolist()):
                         entry["p"] = p
             # Plain text as the tests see it: the letters of these documents, cut to the lengths.
-            letters, sizes = ascii_letters(texts)
-            plain = [
-                (cell, j, v)
-                for cell, row in enumerate(plain_tallies(letters, sizes).tolist())
-                for j, v in enumerate(row)
-                if v
-            ]
-            ends = np.cumsum(sizes)
-            short = [
-                letters[end - n : end].tobytes().decode() if 0 < n < max(LENGTHS) else None
-                for n, end in zip(sizes.tolist(), ends.tolist())
+            tallies, short = 0, []
+            for plain, hexadecimal in ((texts, False), (outside, True)):
+                letters, sizes = ascii_letters(plain, hexadecimal)
+                tallies = tallies + plain_tallies(letters, sizes, hexadecimal=hexadecimal)
+                ends = np.cumsum(sizes)
+                short.append(
+                    [
+                        letters[end - n : end].tobytes().decode() if 0 < n < max(LENGTHS) else None
+                        for n, end in zip(sizes.tolist(), ends.tolist())
+                    ]
+                )
+            cells, places = np.nonzero(tallies)
+            measured = [
+                {"cell": c, "level": j, "n": int(tallies[c, j])} for c, j in zip(cells.tolist(), places.tolist())
             ]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([False] * len(texts) + [True]),
                     pa.concat_arrays([batch.column(0), pa.nulls(1, batch.schema.field(0).type)]),
-                    pa.array([*short, None], pa.string()),
+                    pa.array([*short[0], None], pa.string()),
+                    pa.array([*short[1], None], pa.string()),
                     pa.array([*spans, []], pa.list_(kinds)),
                     pa.array(
-                        [[]] * len(texts) + [[{"cell": c, "level": j, "n": v} for c, j, v in plain]],
+                        [[]] * len(texts) + [measured],
                         pa.list_(pa.struct([("cell", pa.int32()), ("level", pa.int32()), ("n", pa.int64())])),
                     ),
                 ],
-                names=["tally", "id", "short", "spans", "plain"],
+                names=["tally", "id", "short", "short_hex", "spans", "plain"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
     found = stored(
         in_small_batches(docs).select(id_column, text_column).mapInArrow(
             find,
-            f"tally boolean, id {kind}, short string, spans array<{span}>, plain array<struct<cell: int, level: int, n: long>>",
+            f"tally boolean, id {kind}, short string, short_hex string, spans array<{span}>, plain array<struct<cell: int, level: int, n: long>>",
         ),
         "secrets",
     )
@@ -306,7 +327,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
 
 
-def of_short_texts(found: DataFrame) -> DataFrame:
+def of_short_texts(found: DataFrame, hexadecimal: bool = False) -> DataFrame:
     """cell, level and n of the plain text in texts that are shorter than a length.
 
     For each length they are dealt into parts by hash, as many as their letters ask for, and the
@@ -314,7 +335,8 @@ def of_short_texts(found: DataFrame) -> DataFrame:
     """
     length = F.explode(F.array(*[F.lit(n) for n in LENGTHS]))
     short = (
-        found.filter("short IS NOT NULL")
+        found.withColumn("short", F.col("short_hex" if hexadecimal else "short"))
+        .filter("short IS NOT NULL")
         .select("short", F.xxhash64("id", "short").alias("hash"), length.alias("length"))
         .filter(F.length("short") < F.col("length"))
     )
@@ -330,7 +352,7 @@ def of_short_texts(found: DataFrame) -> DataFrame:
         for batch in batches:
             rows = np.zeros((len(ALPHABETS) * len(LENGTHS), len(LEVELS) + 1), np.int64)
             for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += plain_tallies(*ascii_letters([text]), (n,))
+                rows += plain_tallies(*ascii_letters([text], hexadecimal), (n,), hexadecimal)
             cells, places = np.nonzero(rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells, pa.int32()), pa.array(places, pa.int32()), pa.array(rows[cells, places], pa.int64())],
@@ -352,6 +374,7 @@ def levels(found: DataFrame) -> list[float]:
     plain = {
         (r.cell, r.level): r.n
         for r in counted.unionByName(of_short_texts(found))
+        .unionByName(of_short_texts(found, hexadecimal=True))
         .groupBy("cell", "level")
         .agg(F.sum("n").alias("n"))
         .collect()
@@ -375,9 +398,8 @@ def levels(found: DataFrame) -> list[float]:
             measured -= 1
         total = plain.get((measured, 0), 0)
         if own:
-            hexadecimal = not {"z", "Z"} & set(ALPHABETS[cell // len(LENGTHS)])
             for j, level in reversed(list(enumerate(LEVELS, 1))):
-                share = plain.get((measured, j), 0) / total if total else (0.0 if hexadecimal else 1.0)
+                share = plain.get((measured, j), 0) / total if total else 1.0
                 if own[f"n{j}"] and share * own["n0"] <= FALSE_SHARE * own[f"n{j}"]:
                     best = level
         out.append(best)

@@ -545,6 +545,23 @@ def test_plain_text_counts_whole_in_every_cell(spark):
         assert tallies[cell].tolist() == [len(cut), *[(p >= x).sum() for x in secret_scan.LEVELS]]
 
 
+def test_plain_hexadecimal_signs_count(spark):
+    """Digits and letters a to f of either case, for both hexadecimal alphabets and no other."""
+    draw = np.random.default_rng(3)
+    texts = ["".join(draw.choice(list("0123456789abcdefABCDEF xyz-é"), n)) for n in (900, 63, 20, 41, 7)]
+    tallies = secret_scan.plain_tallies(*secret_scan.ascii_letters(texts, True), hexadecimal=True)
+    own = ["".join(c for c in t.lower() if c in "0123456789abcdef") for t in texts]
+    for cell in range(len(tallies)):
+        signs, length = secret_scan.ALPHABETS[cell // 4], secret_scan.LENGTHS[cell % 4]
+        if len(signs) != 16:
+            assert not tallies[cell].any()
+            continue
+        cut = [o[a : a + length] for o in own for a in range(0, len(o) - length + 1, length)]
+        cut += [o[-length:] for o in own if len(o) > length and len(o) % length]
+        p = secret_scan.battery(np.array([int(c, 16) for c in "".join(cut)]), np.full(len(cut), length), 16)
+        assert tallies[cell].tolist() == [len(cut), *[(p >= x).sum() for x in secret_scan.LEVELS]]
+
+
 def test_secrets_of_short_texts_for_any_partitioning(spark):
     """Every text has fewer letters than the key's class asks for; rows come in any batches."""
     draw = random.Random(5)
