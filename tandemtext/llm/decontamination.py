@@ -1,11 +1,13 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is stored: segments of whole documents, and in each segment one row for every
-term with the places at which it stands. Building it needs no shuffle, as a segment is
-made by the task that reads its documents. A search takes the items in blocks. It counts
-the terms of a block over the whole index, brings the lists of these terms together by
-segment, and intersects, for each phrase, the lists shifted by their offsets, from the
-rarest term on; the others are only searched at the places that are left.
+term, in their order, with the places at which it stands. Building it needs no shuffle, as
+a segment is made by the task that reads its documents. A search cuts the items to phrases
+where they are read, counts their terms over the index, and brings each phrase to the
+segments that have its rarest term, and the lists of the terms asked for there beside it.
+For each phrase the lists, shifted by their offsets, are intersected from the rarest term
+on; the others are only searched at the places that are left. Nothing of the items or of
+the index goes through the driver.
 """
 
 from __future__ import annotations
@@ -15,17 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandemtext.llm.pieces import in_small_batches, pieces
+from tandemtext.llm.stored import stored
 from tandemtext.llm.words import folded_words
 from tandemtext.session import scratch_path
 
 PHRASE = 10
 SEGMENT_WORDS = 1 << 21
 BLOCK_WORDS = 1 << 18
+SALTS = 16
+_BATCH_PHRASES = 1 << 14
 
 
 def _index_schema(kind: T.DataType) -> T.StructType:
@@ -67,11 +72,14 @@ def build_index(
 
         def flush() -> Iterator[pa.RecordBatch]:
             name = f"{task}-{number}"
-            codes = np.concatenate(runs) if runs else np.empty(0, np.int32)
-            counts = np.bincount(codes[codes >= 0], minlength=len(terms)).astype(np.int64)
+            words = sorted(terms)
+            rank = np.empty(len(words) + 1, np.int32)
+            rank[np.fromiter(map(terms.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+            rank[-1] = -1  # of a gap
+            codes = rank[np.concatenate(runs)]
+            counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
             places = np.argsort(codes, kind="stable")[(codes < 0).sum() :].astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            words = list(terms)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name]),
@@ -132,31 +140,39 @@ def indexed_documents(index: DataFrame) -> DataFrame:
     return spread.select("segment", "ordinal", "id", n_words.cast("long").alias("n_words"))
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple]]:
-    """(item, words) in blocks of bounded size, one partition of the items at a time."""
-    block, size = [], 0
-    for item, text in items.toLocalIterator():
-        words = [w.decode() for w in folded_words(text)]
-        if not words:
-            continue
-        block.append((item, words))
-        size += len(words)
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def phrases_of(block: list[tuple], phrase: int) -> dict[tuple, list]:
-    """The distinct phrases of a block, with the items that have them."""
-    found: dict[tuple, list] = {}
-    for item, words in block:
-        for i in range(max(1, len(words) - phrase + 1)):
-            owners = found.setdefault(tuple(words[i : i + phrase]), [])
-            if not owners or owners[-1] != item:
-                owners.append(item)
-    return found
+def phrases_of(
+    items: DataFrame, item_column: str = "item_id", text_column: str = "text", phrase: int = PHRASE
+) -> DataFrame:
+    """The distinct phrases of the items, their words joined by a blank, each with the items that have it.
+
+    Items are cut where they are read, into batches of bounded size, however long an item is.
+    Null texts and texts without words have no phrase.
+    """
+    schema = T.StructType(
+        [T.StructField("phrase", T.StringType()), T.StructField("item", items.schema[item_column].dataType)]
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, owners = [], []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(owners, kind)]
+            texts.clear()
+            owners.clear()
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in pieces(batches):
+            kind = batch.schema.field(0).type
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = folded_words(text)
+                for i in range(max(1, len(words) - phrase + 1) if words else 0):
+                    texts.append(b" ".join(words[i : i + phrase]))
+                    owners.append(item)
+                    if len(texts) == _BATCH_PHRASES:
+                        yield flush()
+            yield flush()
+
+    return items.select(item_column, text_column).mapInArrow(cut, schema).distinct()
 
 
 def search(
@@ -173,110 +189,136 @@ def search(
     A phrase is ``phrase`` consecutive words of an item, or the whole item if it is shorter.
     With ``reach``, rows with ``exact`` false tell where all words of a phrase stand within
     that many words of its rarest one, in any order: ``first`` is the place of the rarest word.
-    Items without words have no phrase. The items are taken in blocks of bounded size, so
-    what is sent to the tasks has a bound too; the index is searched as a whole by each.
+    Items without words have no phrase. A task has the phrases of a block (one for each of
+    ``block_words`` words, about) and the lists of one segment at a time.
+    """
+    owners = stored(phrases_of(items, item_column, text_column, phrase), "phrases")
+    found = stored(_matches(index, owners.select("phrase").distinct(), reach, block_words), "matches")
+    return with_owners(found, owners).select("segment", "ordinal", "item", "first", "length", "exact")
+
+
+def with_owners(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """The rows, each with every item that has its phrase: a phrase of very many places meets it under salts."""
+    salt = F.pmod(F.xxhash64("segment"), F.lit(SALTS)).cast("int")
+    salted = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", salt).join(salted, ["phrase", "salt"]).drop("salt")
+
+
+def plans_of(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The phrases whose words all occur, with ``order``: (count, term, offset) from the rarest term on."""
+    words = F.split("phrase", " ")
+    each = phrases.select("*", F.posexplode(words).alias("offset", "term"))
+    terms = stored(each.select("term").distinct(), "terms")
+    counted = index.select("term", "count").join(terms, "term", "left_semi")
+    counted = stored(counted.groupBy("term").agg(F.sum("count").alias("count")), "counts")
+    order = F.array_sort(F.collect_list(F.struct("count", "term", "offset")))
+    return (
+        each.join(counted, "term")
+        .groupBy(*phrases.columns)
+        .agg(order.alias("order"))
+        .filter(F.size("order") == F.size(words))
+        .withColumn("rarest", F.col("order")[0]["term"])
+    )
+
+
+def _matches(index: DataFrame, phrases: DataFrame, reach: int | None, block_words: int) -> DataFrame:
+    """Where each phrase occurs: segment, ordinal, phrase, first word, length, exact.
+
+    A phrase goes to the segments that have its rarest term, by a join on that term; the lists
+    of its block's terms go to the segments where the block has a phrase at all. What one
+    segment and one block have meets in a group.
     """
     spark = index.sparkSession
-    kind = items.schema[item_column].dataType
+    blocks = max(1, -(-phrases.count() // block_words))
+    block = F.pmod(F.xxhash64("phrase"), F.lit(blocks)).cast("int")
+    plans = stored(plans_of(index, phrases.withColumn("block", block)), "plans")
+    standing = index.select("segment", F.col("term").alias("rarest"))
+    asked = standing.join(plans, "rarest").select("segment", "block", "phrase", "order")
+    live = stored(
+        standing.join(plans.select("rarest", "block").distinct(), "rarest").select("segment", "block").distinct(),
+        "live",
+    )
+    # The row without a term has a segment's documents; every block needs it.
+    wanted = (
+        plans.select("block", F.explode("order.term").alias("wanted"))
+        .distinct()
+        .unionByName(spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(None).alias("wanted")))
+    )
+    lists = (
+        index.join(wanted, F.col("term").eqNullSafe(F.col("wanted")))
+        .select("segment", "block", "term", "places")
+        .join(live, ["segment", "block"], "left_semi")
+        .select(F.col("segment").alias("list_segment"), F.col("block").alias("list_block"), "term", "places")
+    )
     schema = T.StructType(
         [
             T.StructField("segment", T.StringType()),
             T.StructField("ordinal", T.IntegerType()),
-            T.StructField("item", kind),
+            T.StructField("phrase", T.StringType()),
             T.StructField("first", T.IntegerType()),
             T.StructField("length", T.IntegerType()),
             T.StructField("exact", T.BooleanType()),
         ]
     )
-    path = scratch_path(spark, "matches")
-    spark.createDataFrame([], schema).write.parquet(path)
-    for block in _blocks(items.select(item_column, text_column), block_words):
-        wanted = phrases_of(block, phrase)
-        _matches(spark, index, wanted, schema, reach).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
 
-def _matches(
-    spark: SparkSession, index: DataFrame, wanted: dict[tuple, list], schema: T.StructType, reach: int | None
-) -> DataFrame:
-    words = sorted({w for p in wanted for w in p})
-    terms = spark.createDataFrame([(w,) for w in words], "term string")
-    # No more terms than a block has words.
-    counted = index.join(F.broadcast(terms), "term").groupBy("term").agg(F.sum("count").alias("count"))
-    frequency = dict(counted.collect())
-    plans = []
-    for words_of, owners in wanted.items():
-        if all(w in frequency for w in words_of):
-            order = sorted(range(len(words_of)), key=lambda i: (frequency[words_of[i]], words_of[i]))
-            plans.append((words_of, order, owners))
-    if not plans:
-        return spark.createDataFrame([], schema)
-    searched = sorted({w for p in plans for w in p[0]})
-    lists = index.filter(F.col("term").isNull()).unionByName(
-        index.join(F.broadcast(spark.createDataFrame([(w,) for w in searched], "term string")), "term")
-    )
-
-    def in_segment(table: pa.Table) -> pa.Table:
-        places: dict[str, np.ndarray] = {}
-        column = table.column("places").combine_chunks()
-        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-        starts = np.empty(0, np.int32)
-        for i, term in enumerate(table.column("term").to_pylist()):
-            own = values[offsets[i] : offsets[i + 1]]
+    def in_segment(asked: pa.Table, lists: pa.Table) -> pa.Table:
+        starts, places = np.empty(0, np.int32), {}
+        for term, chunk in zip(lists.column("term").to_pylist(), lists.column("places")):
+            own = chunk.values.to_numpy()
             if term is None:
                 starts = own
             else:
                 places[term] = own
-        found: list[list] = [[], [], [], [], []]
-
-        def add(at: np.ndarray, length: int, owners: list, exact: bool) -> None:
-            ordinals = np.searchsorted(starts, at, "right") - 1
-            first = (at - starts[ordinals]).tolist()
-            for item in owners:
-                found[0] += ordinals.tolist()
-                found[1] += [item] * len(first)
-                found[2] += first
-                found[3] += [length] * len(first)
-                found[4] += [exact] * len(first)
-
-        for terms_of, order, owners in plans:
-            if any(terms_of[i] not in places for i in order):
+        rows, firsts, ordinals, lengths, exacts = [], [], [], [], []
+
+        def add(row: int, at: np.ndarray, length: int, exact: bool) -> None:
+            own = np.searchsorted(starts, at, "right") - 1
+            rows.append(np.full(len(at), row))
+            ordinals.append(own)
+            firsts.append(at - starts[own])
+            lengths.append(np.full(len(at), length))
+            exacts.append(np.full(len(at), exact))
+
+        for row, order in enumerate(asked.column("order").to_pylist()):
+            if any(o["term"] not in places for o in order):
                 continue
-            at = places[terms_of[order[0]]].astype(np.int64) - order[0]
-            for i in order[1:]:
+            rarest = places[order[0]["term"]].astype(np.int64)
+            at = rarest - order[0]["offset"]
+            for o in order[1:]:
                 if not len(at):
                     break
-                others = places[terms_of[i]]
-                k = np.searchsorted(others, at + i)
-                at = at[(k < len(others)) & (others[np.minimum(k, len(others) - 1)] == at + i)]
+                others, shifted = places[o["term"]], at + o["offset"]
+                k = np.searchsorted(others, shifted)
+                at = at[(k < len(others)) & (others[np.minimum(k, len(others) - 1)] == shifted)]
             if len(at):
-                add(at, len(terms_of), owners, True)
+                add(row, at, len(order), True)
             if reach is not None:
-                at = places[terms_of[order[0]]].astype(np.int64)
-                ordinals = np.searchsorted(starts, at, "right") - 1
-                low = np.maximum(starts[ordinals], at - reach)
-                high = np.minimum(starts[ordinals + 1] - 2, at + reach)
-                near = np.ones(len(at), bool)
-                for term in set(terms_of):
+                own = np.searchsorted(starts, rarest, "right") - 1
+                low = np.maximum(starts[own], rarest - reach)
+                high = np.minimum(starts[own + 1] - 2, rarest + reach)
+                near = np.ones(len(rarest), bool)
+                for term in {o["term"] for o in order}:
                     others = places[term]
                     near &= np.searchsorted(others, low) < np.searchsorted(others, high, "right")
-                add(at[near], len(terms_of), owners, False)
-        name = table.column("segment")[0].as_py()
+                add(row, rarest[near], len(order), False)
+
+        def joined(arrays: list, kind: type) -> np.ndarray:
+            return np.concatenate(arrays).astype(kind) if arrays else np.empty(0, kind)
+
+        which = pa.array(joined(rows, np.int64))
         return pa.table(
             {
-                "segment": pa.array([name] * len(found[0]), pa.string()),
-                "ordinal": pa.array(found[0], pa.int32()),
-                "item": pa.array(found[1], kind),
-                "first": pa.array(found[2], pa.int32()),
-                "length": pa.array(found[3], pa.int32()),
-                "exact": pa.array(found[4], pa.bool_()),
+                "segment": asked.column("segment").take(which),
+                "ordinal": joined(ordinals, np.int32),
+                "phrase": asked.column("phrase").take(which),
+                "first": joined(firsts, np.int32),
+                "length": joined(lengths, np.int32),
+                "exact": joined(exacts, bool),
             }
         )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(schema["item"].dataType)
-    return lists.groupBy("segment").applyInArrow(in_segment, schema)
+    sides = asked.groupBy("segment", "block").cogroup(lists.groupBy("list_segment", "list_block"))
+    return sides.applyInArrow(in_segment, schema)
 
 
 def contamination(
@@ -295,9 +337,9 @@ def contamination(
     each input row, equal ids or not. Null texts and texts without words have no words; no
     items, or empty ones, hit nothing.
     """
-    spark = docs.sparkSession
     index = build_index(docs, id_column, text_column)
-    found = search(index, items, item_column, item_text_column, phrase).filter("exact")
+    phrases = stored(phrases_of(items, item_column, item_text_column, phrase), "phrases")
+    found = stored(_matches(index, phrases.select("phrase").distinct(), None, BLOCK_WORDS), "matches")
     place = Window.partitionBy("segment", "ordinal").orderBy("first")
     end = F.col("first") + F.col("length")
     before = F.max(end).over(place.rowsBetween(Window.unboundedPreceding, -1))
@@ -309,8 +351,10 @@ def contamination(
         .groupBy("segment", "ordinal")
         .agg(F.sum("covered").alias("n_hit"))
     )
-    owners = found.groupBy("segment", "ordinal").agg(
-        F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items")
+    owners = (
+        with_owners(found.select("segment", "ordinal", "phrase").distinct(), phrases)
+        .groupBy("segment", "ordinal")
+        .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     )
     return (
         indexed_documents(index)
@@ -337,10 +381,15 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
         F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("digest")).alias("key"),
         F.col(text_column).alias("text"),
     )
+    index = build_index(keyed, "key", "text")
+    phrases = phrases_of(
+        items, options.get("item_column", "item_id"), options.get("item_text_column", "text"), options.get("phrase", PHRASE)
+    )
+    found = _matches(index, stored(phrases.select("phrase").distinct(), "phrases"), None, BLOCK_WORDS)
     hit = (
-        contamination(keyed, items, "key", "text", **{k: v for k, v in options.items() if not k.endswith("column")})
-        .filter("n_hit > 0")
-        .select(F.col("key.id").alias("hit_id"), F.col("key.digest").alias("hit_digest"))
+        indexed_documents(index)
+        .join(found.select("segment", "ordinal").distinct(), ["segment", "ordinal"], "left_semi")
+        .select(F.col("id.id").alias("hit_id"), F.col("id.digest").alias("hit_digest"))
         .distinct()
     )
     return docs.join(

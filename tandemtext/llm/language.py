@@ -2,7 +2,7 @@
 
 The kernel of two texts is the number of character n-grams, of one to four letters, that
 both have (blended spectrum, presence only), divided by the root of the product of their
-numbers. Landmarks are training texts of each language; the kernel to them is the feature
+numbers. Landmarks are pieces of training texts of each language; the kernel to them is the feature
 vector (Nyström), and kernel ridge regression, one language versus the rest, gives the
 weights. Texts are scored in batches: presence times landmarks, times weights. The more
 letters a text has the more n-grams it shares with every landmark, so long texts are walked
@@ -12,6 +12,7 @@ in pieces of like length, and the mean of their kernel rows by letters stands fo
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -162,7 +163,8 @@ def fit(
     """A model of (key, text, label) rows, from a sample of about ``rows`` of them.
 
     Rows without label or text, or without a letter, are left out. The landmarks are spread
-    evenly over the languages. Without any row the model has no language.
+    evenly over the languages, and are different pieces from anywhere in the texts: those of
+    2,000 signs or more by their hash, then the longest. Without any row the model has no language.
     """
     usable = labelled.filter(F.col("label").isNotNull() & F.col("text").isNotNull())
     sample = sorted((r.key, r.label, r.text) for r in training_sample(usable, rows).collect())
@@ -170,12 +172,12 @@ def fit(
     languages = sorted({label for _, label, _ in sample})
     if not sample:
         return Model([], np.zeros((0, FEATURES // 8), np.uint8), np.zeros(0), np.zeros((0, 0)))
-    chosen: list[int] = []
+    chosen: list[str] = []
     for language in languages:
-        own = [i for i, r in enumerate(sample) if r[1] == language]
-        own.sort(key=lambda i: -min(len(sample[i][2]), 2_000))
-        chosen += own[: max(1, landmarks // len(languages))]
-    marks, _ = presence([next(text_pieces(sample[i][2])) for i in chosen], letters)
+        own = {piece for r in sample if r[1] == language for piece in text_pieces(r[2])}
+        ordered = sorted(own, key=lambda piece: (-min(len(piece), 2_000), zlib.crc32(piece.encode()), piece))
+        chosen += ordered[: max(1, landmarks // len(languages))]
+    marks, _ = presence(chosen, letters)
     roots = np.sqrt(np.maximum(marks.sum(axis=1), 1))
     model = Model(languages, np.packbits(marks.astype(np.uint8), axis=1), roots, np.zeros((0, 0)))
     features, _ = model.features([r[2] for r in sample], marks, letters)

@@ -150,17 +150,35 @@ def test_phrases_and_neighbourhoods(spark, block_words):
                     wanted |= {(i, item, a, len(phrase)) for item in owners}
     assert got == wanted
     frequency = Counter(w for t in rows.values() for w in t.split())
-    if block_words > 1:  # the rarest word of a phrase is the same in every block, but the counts are of its own words
-        near = {(r.id, r.item, r.first) for r in found.filter("not exact").join(ids, ["segment", "ordinal"]).collect()}
-        wanted = set()
-        for i, text in rows.items():
-            own = text.split()
-            for phrase, owners in phrases.items():
-                rarest = min(range(len(phrase)), key=lambda k: (frequency[phrase[k]], phrase[k]))
-                for p, word in enumerate(own):
-                    if word == phrase[rarest] and set(phrase) <= set(own[max(0, p - 4) : p + 5]):
-                        wanted |= {(i, item, p) for item in owners}
-        assert near == wanted
+    near = {(r.id, r.item, r.first) for r in found.filter("not exact").join(ids, ["segment", "ordinal"]).collect()}
+    wanted = set()
+    for i, text in rows.items():
+        own = text.split()
+        for phrase, owners in phrases.items():
+            rarest = min(range(len(phrase)), key=lambda k: (frequency[phrase[k]], phrase[k]))
+            for p, word in enumerate(own):
+                if word == phrase[rarest] and set(phrase) <= set(own[max(0, p - 4) : p + 5]):
+                    wanted |= {(i, item, p) for item in owners}
+    assert near == wanted
+
+
+def test_long_items_and_items_of_one_phrase(spark, monkeypatch):
+    """An item of many batches, a phrase of many items, words of no document, and ids that are strings or null."""
+    monkeypatch.setattr(decontamination, "_BATCH_PHRASES", 50)
+    long = " ".join(f"w{i}" for i in range(3_000))
+    rows = [(f"d{i}", " ".join(f"w{j}" for j in range(i * 29, i * 29 + 29))) for i in range(100)]
+    rows += [("none", "other words of no item " * 9), ("null", None), ("long", "x " + long)]
+    items = [("all", long), ("unknown", "zz " * 40), ("empty", ""), ("missing", None), (None, "w3 w4")]
+    items += [(f"same{i}", "W5, w6 w7") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    asked = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r for r in decontamination.contamination(docs, asked).collect()}
+    assert len(got) == len(rows)
+    assert [got[i].n_hit for i in ("none", "null", "long", "d0", "d99")] == [0, 0, 3_000, 29, 29]
+    same = sorted(f"same{i}" for i in range(200))
+    assert got["d0"]["items"] == got["long"]["items"] == ["all", *same] and got["d1"]["items"] == ["all"]
+    kept = decontamination.drop_contaminated(docs, asked)
+    assert sorted(r.doc_id for r in kept.collect()) == ["none", "null"]
 
 
 # --- Near copies -----------------------------------------------------------------
@@ -343,6 +361,34 @@ def test_language_of_long_texts(spark):
     assert all(r.score > 0.9 for r in found if r.doc_id < 10), found
 
 
+def test_presence_kernel_by_sets(monkeypatch):
+    """The kernel of two texts is that of their sets of n-grams, blended over all sizes."""
+    monkeypatch.setattr(language, "FEATURES", 1 << 22)
+    letters = language.letter_table()
+    texts = ["Der schnelle, braune Fuchs", "le renard brun -- rapide", "Fuchs 77 und RENARD", "é"]
+    landmarks = ["der braune hund", "un renard"]
+
+    def grams(text: str) -> set:
+        signs = re.sub("[^a-zé]+", " ", text.lower())
+        return {signs[i : i + n] for n in language.SIZES for i in range(len(signs) - n + 1)}
+
+    marks, _ = language.presence(landmarks, letters)
+    model = language.Model([], marks, np.sqrt(marks.sum(axis=1)), np.zeros((0, 0)))
+    rows, _ = model.features(texts, marks, letters)
+    for row, text in zip(rows, texts):
+        for value, landmark in zip(row, landmarks):
+            a, b = grams(text), grams(landmark)
+            assert value == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, abs=1e-6)
+
+
+def test_landmarks_are_from_anywhere_in_the_texts(spark):
+    """The end of a long text is as good a landmark as its beginning."""
+    rows = [(i, "ab " * 4_000 + "xyz " * 8_000, "one") for i in range(4)] + [(9, "kl mn", "two")]
+    model = language.fit(spark.createDataFrame(rows, "key long, text string, label string"), landmarks=16)
+    ends, _ = language.presence(["xyz xyz"], language.letter_table())
+    assert (model.unpacked() @ ends[0] > 5).any()
+
+
 def test_presence_of_pieces(monkeypatch):
     """A text walked in pieces has the n-grams of the whole."""
     letters = language.letter_table()
