@@ -205,7 +205,7 @@ def with_owners(found: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def plans_of(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The phrases whose words all occur, with ``order``: (count, term, offset) from the rarest term on."""
+    """The phrases whose words all occur, with ``order``: the offsets of the words from the rarest on, and ``rarest``."""
     words = F.split("phrase", " ")
     each = phrases.select("*", F.posexplode(words).alias("offset", "term"))
     terms = stored(each.select("term").distinct(), "terms")
@@ -217,7 +217,7 @@ def plans_of(index: DataFrame, phrases: DataFrame) -> DataFrame:
         .groupBy(*phrases.columns)
         .agg(order.alias("order"))
         .filter(F.size("order") == F.size(words))
-        .withColumn("rarest", F.col("order")[0]["term"])
+        .select(*phrases.columns, F.col("order.offset").alias("order"), F.col("order")[0]["term"].alias("rarest"))
     )
 
 
@@ -240,7 +240,7 @@ def _matches(index: DataFrame, phrases: DataFrame, reach: int | None, block_word
     )
     # The row without a term has a segment's documents; every block needs it.
     wanted = (
-        plans.select("block", F.explode("order.term").alias("wanted"))
+        plans.select("block", F.explode(F.split("phrase", " ")).alias("wanted"))
         .distinct()
         .unionByName(spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(None).alias("wanted")))
     )
@@ -279,15 +279,18 @@ def _matches(index: DataFrame, phrases: DataFrame, reach: int | None, block_word
             lengths.append(np.full(len(at), length))
             exacts.append(np.full(len(at), exact))
 
-        for row, order in enumerate(asked.column("order").to_pylist()):
-            if any(o["term"] not in places for o in order):
+        phrases, orders = asked.column("phrase").to_pylist(), asked.column("order").combine_chunks()
+        offsets, values = orders.offsets.to_pylist(), orders.values.to_pylist()
+        for row, phrase in enumerate(phrases):
+            words, order = phrase.split(" "), values[offsets[row] : offsets[row + 1]]
+            if not all(word in places for word in words):
                 continue
-            rarest = places[order[0]["term"]].astype(np.int64)
-            at = rarest - order[0]["offset"]
-            for o in order[1:]:
+            rarest = places[words[order[0]]].astype(np.int64)
+            at = rarest - order[0]
+            for i in order[1:]:
                 if not len(at):
                     break
-                others, shifted = places[o["term"]], at + o["offset"]
+                others, shifted = places[words[i]], at + i
                 k = np.searchsorted(others, shifted)
                 at = at[(k < len(others)) & (others[np.minimum(k, len(others) - 1)] == shifted)]
             if len(at):
@@ -297,7 +300,7 @@ def _matches(index: DataFrame, phrases: DataFrame, reach: int | None, block_word
                 low = np.maximum(starts[own], rarest - reach)
                 high = np.minimum(starts[own + 1] - 2, rarest + reach)
                 near = np.ones(len(rarest), bool)
-                for term in {o["term"] for o in order}:
+                for term in set(words):
                     others = places[term]
                     near &= np.searchsorted(others, low) < np.searchsorted(others, high, "right")
                 add(row, rarest[near], len(order), False)
