@@ -20,6 +20,8 @@ SPECIALS = ("<pad>", "</s>", "<unk>")
 IGNORED_LABEL = -100
 # Items that are dictionary-encoded together: some MB in a task.
 CHUNK_ITEMS = 1 << 18
+# Row groups of the stored stretches.
+STRETCH_GROUPS = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1}
 
 
 def build_vocabulary(texts: DataFrame, max_size: int | None = None) -> DataFrame:
@@ -37,15 +39,18 @@ def build_vocabulary(texts: DataFrame, max_size: int | None = None) -> DataFrame
     return kept.select((F.col("row_index") + len(SPECIALS)).cast("int").alias("id"), "token", "uses")
 
 
-def _chunks(df: DataFrame, columns: Mapping[str, Column], item: str) -> DataFrame:
+def _chunks(
+    df: DataFrame, columns: Mapping[str, Column], item: str, keep: Sequence[str] | None = None
+) -> DataFrame:
     """``chunk, items, rows``: stretches of rows in dictionary encoding.
 
     ``items`` are the distinct items of the arrays ``columns`` in a stretch; ``rows`` has every
-    row of ``df`` and, for each of the columns, the places of its items among them. A stretch
+    row of ``df``, or its columns ``keep``, and, for each of the columns, the places of its items among them. A stretch
     ends at about ``CHUNK_ITEMS`` items, or with a row that has more.
     """
+    kept = list(map(named, df.columns if keep is None else keep)) or [F.lit(0)]
     staged = df.select(
-        F.struct(*map(named, df.columns)).alias("row"),
+        F.struct(*kept).alias("row"),
         *[entry.cast(f"array<{item}>").alias(f"at_{i}") for i, entry in enumerate(columns.values())],
     )
     most, width = CHUNK_ITEMS, len(columns)
@@ -110,47 +115,75 @@ def _looked_up(
     item: str,
     known: Callable[[DataFrame], DataFrame],
     missing: Column,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds, for each name, the values of the items of an array in order; null for a null array.
 
+    ``keep`` names the columns that stay beside them, all without it.
+
     ``known`` gets the distinct items of each stretch of rows and returns ``item, value``.
-    Only distinct items are joined to it; the rows stay packed and get their values by place.
+    Only distinct items are joined to it. The rows of a stretch meet its values in one group,
+    and take them by place: a task holds one stretch, and its values once.
     """
-    path = scratch_path(df.sparkSession, "chunks")
-    _chunks(df, columns, item).write.parquet(path)
+    path, kept = scratch_path(df.sparkSession, "chunks"), df.columns if keep is None else list(keep)
+    # A stretch is one stored row of some MB: few of them are held by who writes or reads.
+    _chunks(df, columns, item, kept).write.options(**STRETCH_GROUPS).parquet(path)
     chunks = df.sparkSession.read.parquet(path)
     distinct = chunks.select("chunk", F.posexplode("items").alias("place", "_item"))
     values = known(distinct.select(F.col("_item").alias("item")))
-    entry = F.struct("place", F.coalesce("value", missing).alias("value"))
-    found = (
-        distinct.join(values, F.col("_item") == F.col("item"), "left")
-        .groupBy("chunk")
-        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["value"]).alias("values"))
+    found = distinct.join(values, F.col("_item") == F.col("item"), "left").select(
+        F.col("chunk").alias("stretch"), "place", F.coalesce("value", missing).alias("value")
     )
-    rows = chunks.select("chunk", "rows").join(found, "chunk", "left").select(F.inline("rows"), "values")
-    placed = rows.select(
-        "row",
-        *[
-            F.transform(F.col(f"at_{i}"), lambda place: F.get(F.col("values"), place)).alias(f"at_{i}")
-            for i in range(len(columns))
-        ],
+    names = [f"at_{i}" for i in range(len(columns))]
+    taken = [StructField(name, ArrayType(found.schema["value"].dataType)) for name in names]
+    unpacked = chunks.select("chunk", F.inline("rows"))
+    schema = StructType([unpacked.schema["row"], *taken])
+
+    def take(rows: pa.Table, values: pa.Table) -> pa.Table:
+        import numpy
+        import pyarrow
+        import pyarrow.compute
+
+        def whole(column):
+            # Of one piece; no piece at all is an array without entries.
+            return pyarrow.concat_arrays(column.chunks) if column.num_chunks else pyarrow.array([], column.type)
+
+        held = whole(values.column("value"))
+        held = held.take(pyarrow.array(numpy.argsort(whole(values.column("place")).to_numpy())))
+        out = []
+        for name in names:
+            places = whole(rows.column(name))
+            lengths = pyarrow.compute.fill_null(places.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            ends = numpy.concatenate([[0], numpy.cumsum(lengths)]).astype(numpy.int32)
+            own = held.take(places.flatten())
+            out.append(pyarrow.ListArray.from_arrays(pyarrow.array(ends), own, mask=places.is_null()))
+        return pyarrow.Table.from_arrays([rows.column("row"), *out], ["row", *names])
+
+    placed = unpacked.groupBy("chunk").cogroup(found.groupBy("stretch")).applyInArrow(take, schema)
+    return placed.select(
+        *[F.col("row").getField(name).alias(name) for name in kept],
+        *[F.col(f"at_{i}").alias(name) for i, name in enumerate(columns)],
     )
-    return placed.select("row.*", *[F.col(f"at_{i}").alias(name) for i, name in enumerate(columns)])
 
 
 def encode_texts(
-    df: DataFrame, texts: Mapping[str, str], vocabulary: DataFrame, first: int | None = None
+    df: DataFrame,
+    texts: Mapping[str, str],
+    vocabulary: DataFrame,
+    first: int | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds a column of token ids for each text column of ``texts`` (new name to text column).
 
     The vocabulary is joined, so it may have any size; words it lacks are unknown. A null text
-    has null ids. With ``first`` only so many words of each text are encoded.
+    has null ids. With ``first`` only so many words of each text are encoded; ``keep`` names the
+    columns that stay, all without it.
     """
     tokens = {name: words(named(column)) for name, column in texts.items()}
     if first is not None:
         tokens = {name: F.slice(entry, 1, first) for name, entry in tokens.items()}
     known = vocabulary.select(F.col("token").alias("item"), F.col("id").cast("int").alias("value"))
-    return _looked_up(df, tokens, "string", lambda _: known, F.lit(UNK))
+    return _looked_up(df, tokens, "string", lambda _: known, F.lit(UNK), keep)
 
 
 def decode_ids(
@@ -221,7 +254,8 @@ def encoded_examples(
     """
     wanted = {"input_ids": text, **labels}
     # Names that no text column has; what is cut needs no ids.
-    raw = encode_texts(df, {f"_{name}": column for name, column in wanted.items()}, vocabulary, first=length)
+    ids = {f"_{name}": column for name, column in wanted.items()}
+    raw = encode_texts(df, ids, vocabulary, first=length, keep=[])
     return raw.select(
         fixed_length(F.col("_input_ids"), length, eos=eos).alias("input_ids"),
         attention_mask(F.col("_input_ids"), length, eos=eos).alias("attention_mask"),

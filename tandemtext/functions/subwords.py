@@ -8,7 +8,7 @@ with the vocabulary of the corpus and not with its length.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,16 +102,19 @@ def subword_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?U){WORDS}"), F.lit(0))
 
 
-def encode_subwords(df: DataFrame, texts: Mapping[str, str], ranks: DataFrame) -> DataFrame:
+def encode_subwords(
+    df: DataFrame, texts: Mapping[str, str], ranks: DataFrame, keep: Sequence[str] | None = None
+) -> DataFrame:
     """Adds subword ids for each text column of ``texts`` (new name to text column).
 
     A null text has null ids, an empty one none. Special tokens in a text are ordinary text.
+    ``keep`` names the columns that stay, all without it.
     """
     words = {f"_pieces_{name}": subword_words(named(column)) for name, column in texts.items()}
     none = F.array().cast("array<int>")
-    found = _looked_up(df, words, "string", lambda items: pieces_of(items, ranks), none)
+    found = _looked_up(df, words, "string", lambda items: pieces_of(items, ranks), none, keep)
     return found.select(
-        *map(named, df.columns), *[F.flatten(named(f"_pieces_{name}")).alias(name) for name in texts]
+        *map(named, df.columns if keep is None else keep), *[F.flatten(named(f"_pieces_{name}")).alias(name) for name in texts]
     )
 
 

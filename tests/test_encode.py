@@ -110,3 +110,27 @@ def test_only_distinct_tokens_are_joined(spark, sf_small):
     tokens = encoded.agg(F.sum(F.size("ids"))).first()[0]
     chunks = encode._chunks(docs, {"ids": encode.words(F.col("text"))}, "string")
     assert chunks.agg(F.sum(F.size("items"))).first()[0] < tokens / 3
+
+
+def test_short_rows_of_many_words(spark):
+    """A stretch holds its values once, and not beside each of its many short rows."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.concat_ws("_", F.lit("w"), "id", i))
+    rows = spark.range(0, 10_000, 1, 1).select("id", F.array_join(words, " ").alias("t"))
+    number = F.col("id") * 25 + F.col("pos") + 3
+    known = rows.select("id", F.posexplode(F.split("t", " ")).alias("pos", "token")).select(
+        "token", number.alias("id")
+    )
+    encoded = encode.encode_texts(rows, {"ids": "t"}, known)
+    back = encode.decode_ids(encoded, {"again": "ids"}, known)
+    right = (F.col("again") == F.col("t")) & (F.get("ids", F.lit(24)) == F.col("id") * 25 + 27)
+    assert back.agg(F.count("*"), F.count_if(right)).first() == (10_000, 10_000)
+
+
+
+def test_columns_that_stay(spark):
+    df = spark.createDataFrame([(1, "b a", None), (2, None, "c"), (3, "", "a zz")], "k int, t string, u string")
+    known = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "token string, id int")
+    found = encode.encode_texts(df, {"x": "t", "y": "u"}, known, keep=["k"])
+    assert found.columns == ["k", "x", "y"]
+    assert sorted(map(tuple, found.collect())) == [(1, [4, 3], None), (2, None, [5]), (3, [], [3, 2])]
+    assert encode.encode_texts(df, {"x": "t"}, known, keep=[]).columns == ["x"]
