@@ -47,10 +47,35 @@ def with_candidates(
     task: str | None = None,
     batch_size: int | None = None,
 ) -> DataFrame:
-    """One candidate column per model, named after it; ``task`` prefixes the input."""
+    """One candidate column per model, named after it; ``task`` prefixes the input.
+
+    A task runs all models in one worker, which reads each text once: the memory of the workers
+    does not grow with the number of models. As in ``batched_column``, no filter calls them twice.
+    """
+    if not models:
+        return df
     text = named(source) if task is None else prompt(task, named(source))
-    return df.select(
-        "*", *[batched_column(text, load, batch_size).alias(name) for name, load in models.items()]
+    loads = list(models.values())
+    # Fields by number, as models may have any name.
+    fields = [f"m{i}" for i in range(len(loads))]
+
+    @F.pandas_udf(", ".join(f"{field} string" for field in fields))
+    def translate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import pandas
+
+        runs = [load() for load in loads]
+        for batch in batches:
+            size = batch_size or max(len(batch), 1)
+            pieces = [batch.iloc[i:i + size] for i in range(0, len(batch), size)]
+            told = [
+                pandas.concat([run(piece) for piece in pieces], ignore_index=True) if pieces else batch
+                for run in runs
+            ]
+            yield pandas.DataFrame(dict(zip(fields, told)), columns=fields, dtype=object)
+
+    told = df.select("*", translate.asNondeterministic()(text).alias("_candidates"))
+    return told.select(
+        *map(named, df.columns), *[F.col("_candidates")[field].alias(name) for field, name in zip(fields, models)]
     )
 
 

@@ -148,3 +148,18 @@ def test_null_sources_are_spelled_out(spark):
         return lambda texts: texts
 
     assert generate.with_candidates(df, "en", {"m": load}, task="T").first()["m"] == "T: None"
+
+
+def test_models_share_a_worker(spark):
+    """All candidates of a text come from one pass over it, whatever the models are called."""
+
+    def prefixed(sign):
+        return lambda: lambda texts: sign + texts
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "id int, t string").repartition(2)
+    models = {"a.b-c": prefixed("x"), "plain": prefixed("y"), "`q`": prefixed("z")}
+    out = generate.with_candidates(df, "t", models, batch_size=3)
+    assert out.columns == ["id", "t", *models]
+    assert sorted(map(tuple, out.collect())) == [(i, f"t{i}", f"xt{i}", f"yt{i}", f"zt{i}") for i in range(7)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
