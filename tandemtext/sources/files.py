@@ -143,7 +143,8 @@ def number_in_file_order(
 
     ``scan`` has to come straight from a file reader. The rows of a file split are
     read in order by one task, so only the number of rows in the earlier splits of
-    the same file is missing; that is a table with one row per split. ``whole`` is an
+    the same file is missing; that is a table with one row per split, which goes to the lines,
+    so that these are not dealt out. ``whole`` is an
     expression of the path in ``file``: files that agree in it are parts of one, in the order of
     their names.
     """
@@ -168,7 +169,7 @@ def number_in_file_order(
         .drop("_rows")
     )
     return (
-        placed.join(blocks, ["file", "_part", "_block"])
+        placed.join(F.broadcast(blocks), ["file", "_part", "_block"])
         .withColumn(name, F.col("_before") + F.col("_seq") - F.col("_first"))
         .drop("_part", "_block", "_seq", "_first", "_before")
     )

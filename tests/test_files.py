@@ -159,3 +159,18 @@ def test_scratch_tables_can_be_cleared(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
     assert session.clear_scratch(spark) == 0
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    """The table of splits goes to the lines, however large it is taken to be."""
+    lines = spark.range(1000).select(F.lit("a").alias("file"), F.col("id").alias("line_no"), F.col("id").cast("string").alias("value"))
+    files.write_log_lines(lines, str(tmp_path / "logs"), parts=5)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = files.read_log_lines(spark, str(tmp_path / "logs/log=*/*.txt"), files.written_log(F.col("file")))
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert read.agg(F.count("*"), F.count_if(F.col("value") == F.col("line_no"))).first() == (1000, 1000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
