@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,14 @@ TREEBANK = (
     (r"(?i)\b(more)('n)\b", "\\1 \\2"),
     (r"(?i)('t)(is|was)\b", "\\1 \\2"),
 )
+# By the number of a stage, what a text has to hold for it to change anything, in small letters.
+TREEBANK_SIGNS = {
+    1: ('"',), 2: ("``",), 3: ('"',), 6: ("...",), 9: ("' ",), 11: ("--",), 12: ('"',), 13: ("'",), 14: ("'",),
+    15: ("cannot",), 16: ("d'ye",), 17: ("gimme", "lemme"), 18: ("gonna", "wanna"), 19: ("gotta",),
+    20: ("more'n",), 21: ("'tis", "'twas"),
+}
+# The first of the stages that go by letters; they only put blanks into words, so one copy in small letters serves all.
+TREEBANK_LETTERS = 15
 
 
 def named(name: str) -> Column:
@@ -86,13 +95,37 @@ def without_prefix(text: Column, prefix: str) -> Column:
 def treebank_words(text: Column) -> Column:
     """Words as the Treebank has them: contractions, quotes and the last period stand alone.
 
-    Every stage rewrites the whole text, so all of it stays in the JVM. A sentence is taken to
-    end at its sign before white space and a capital or digit.
+    Every stage rewrites the whole text, so all of it stays in the JVM; a stage is left out for the
+    texts that lack its signs. A sentence is taken to end at its sign before white space and a
+    capital or digit.
     """
-    for pattern, replacement in TREEBANK:
-        # Lines end at a line feed only.
-        text = F.regexp_replace(text, F.lit(f"(?d){pattern}"), F.lit(replacement.replace("\\", "$")))
-    return F.filter(F.split(text, f"{GAP}+"), lambda word: word != "")
+
+    def given(value: Column, use: Callable[[Column], Column]) -> Column:
+        # A name for the value: written out in two places, it would double with every stage.
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def rewritten(number: int, value: Column, letters: Column | None = None) -> Column:
+        pattern, replacement = TREEBANK[number]
+
+        def stage(told: Column) -> Column:
+            # Lines end at a line feed only.
+            return F.regexp_replace(told, F.lit(f"(?d){pattern}"), F.lit(replacement.replace("\\", "$")))
+
+        def where_held(told: Column) -> Column:
+            within = told if letters is None else letters
+            held = [F.contains(within, F.lit(sign)) for sign in TREEBANK_SIGNS[number]]
+            return F.when(reduce(lambda a, b: a | b, held), stage(told)).otherwise(told)
+
+        return given(value, where_held) if number in TREEBANK_SIGNS else stage(value)
+
+    def split_words(told: Column) -> Column:
+        def with_letters(letters: Column) -> Column:
+            return reduce(lambda a, n: rewritten(n, a, letters), range(TREEBANK_LETTERS, len(TREEBANK)), told)
+
+        return given(F.lower(told), with_letters)
+
+    text = given(reduce(lambda a, n: rewritten(n, a), range(TREEBANK_LETTERS), text), split_words)
+    return F.array_remove(F.split(text, f"{GAP}+"), "")
 
 
 def words(text: Column) -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tandemtext.functions.text import treebank_words
+from tandemtext.functions.text import GAP, TREEBANK, TREEBANK_SIGNS, treebank_words
 
 CASES = [
     ("They'll save and invest more.", "They 'll save and invest more ."),
@@ -30,3 +30,19 @@ def test_treebank_words(spark, text, wanted):
 
 def test_no_text_no_words(spark):
     assert spark.range(1).select(treebank_words(F.lit(None).cast("string")).alias("w")).first().w is None
+
+
+def test_stages_that_are_left_out_change_nothing(spark):
+    """Texts with and without the signs of each stage, against all stages one after the other."""
+    told = ["cannot", "CANNOT", "D'ye", "Gimme", "lemme", "gonna", "Wanna", "gotta", "more'n", "'Tis", "'twas", "can't",
+            "it's", "dogs'", '"so"', "``so", "``", "a--b", "wait...", "' ", "x,", "y:", "(z)", "e.g.", "Ünï", "İs"]
+    texts = told + [f"{a} {b}. {c}\n{a}'" for a, b, c in zip(told, told[3:] + told[:3], told[7:] + told[:7])]
+    text = F.col("t")
+    for pattern, replacement in TREEBANK:
+        text = F.regexp_replace(text, F.lit(f"(?d){pattern}"), F.lit(replacement.replace("\\", "$")))
+    plain = F.filter(F.split(text, f"{GAP}+"), lambda word: word != "")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.select(treebank_words(F.col("t")).alias("a"), plain.alias("b")).where("a <> b").collect() == []
+    # Every stage with signs has texts that lack them, and texts that hold them.
+    for signs in TREEBANK_SIGNS.values():
+        assert 0 < sum(any(sign in t.lower() for sign in signs) for t in texts) < len(texts)
