@@ -229,22 +229,47 @@ def sample_translations(
     """
     header = rf'^TRANSLATION (\d+) on "\Q{task}\E"$'
     message = _bare(F.col("message"))
-    lines = parsed.select("file", "line_no", "value")
-    # Raw lines are looked at first, so that only candidates are parsed.
-    likely = lines.where(F.contains("value", F.lit(f' on "{task}"')))
-    announced = (
-        parse_lines(likely)
-        .where(F.startswith(message, F.lit("TRANSLATION ")) & message.rlike(header))
-        .groupBy("file", F.regexp_extract(message, header, 1).cast("bigint").alias("i"))
-        .agg((F.min("line_no") + 2).alias("line_no"))
+
+    def stretch(line_no: Column) -> Column:
+        return F.call_function("div", line_no, F.lit(SPANS[0]))
+
+    # The lines are read once. Those of a stretch meet in one window, and its last announcements
+    # find their translation there too: the first two lines of the next one are in both.
+    own, above = stretch(F.col("line_no")), stretch(F.col("line_no") - 2)
+    places = F.when(own == above, F.array(own)).otherwise(F.array(above, own))
+    held = parsed.select("file", "line_no", "value", F.explode(places).alias("_stretch"))
+    window = Window.partitionBy("file", "_stretch").orderBy("line_no")
+    below = F.coalesce(*[
+        F.when(F.lead("line_no", n).over(window) == F.col("line_no") + 2, F.lead("value", n).over(window))
+        for n in (1, 2)
+    ])
+    placed = held.select(
+        "file",
+        "line_no",
+        "value",
+        # Lines of no file belong together in nothing.
+        F.when(F.col("file").isNotNull(), below).alias("_below"),
+        (own == F.col("_stretch")).alias("_own"),
+        (F.row_number().over(window) == 1).alias("_first"),
     )
-    # The few announcements look up their raw lines; the lines are not dealt out for that,
-    # and only those found are parsed. What they don't find is added behind.
-    looked_up = parse_lines(announced.join(lines, ["file", "line_no"]))
-    known = looked_up.select("file", "i", without_prefix(message, GENERATED).alias("translation"))
-    found = announced.select("file", "i").join(known, ["file", "i"], "left")
+    # Raw lines are looked at first, so that only candidates are parsed. The first line of a
+    # stretch stays to tell that there is such a file.
+    likely = F.col("_own") & F.contains("value", F.lit(f' on "{task}"'))
+    kept = parse_lines(placed.where(likely if indices is None else likely | F.col("_first")))
+    announces = F.col("_own") & F.startswith(message, F.lit("TRANSLATION ")) & message.rlike(header)
+    number = F.when(announces, F.regexp_extract(message, header, 1).cast("bigint"))
+    told = kept.select("file", number.alias("i"), "line_no", "_below")
+    if indices is None:
+        told = told.where(F.col("i").isNotNull())
+    else:
+        told = told.where(F.col("i").isNull() | F.col("i").isin(list(indices)))
+    first = told.groupBy("file", "i").agg(F.min(F.struct("line_no", "_below")).alias("_at"))
+    samples = parse_lines(first.select("file", "i", F.col("_at")["_below"].alias("value")))
+    found = samples.select("file", "i", without_prefix(message, GENERATED).alias("translation"))
     if indices is None:
         return found
     listed = F.array(*[F.lit(i).cast("bigint") for i in indices])
-    asked = parsed.select("file").distinct().select("file", F.explode(listed).alias("i"))
-    return asked.join(found, ["file", "i"], "left")
+    known = F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "translation")))
+    files = found.groupBy("file").agg(F.map_from_entries(known).alias("_known"))
+    asked = files.select("file", "_known", F.explode(listed).alias("i"))
+    return asked.select("file", "i", F.try_element_at("_known", F.col("i")).alias("translation"))

@@ -113,3 +113,30 @@ def test_the_last_of_repeated_settings_counts(spark):
     lines = spark.createDataFrame(rows, "file STRING, line_no BIGINT, value STRING")
     found = logs.run_settings(logs.number_records(logs.parse_lines(lines)), ["EPOCHS"])
     assert [r["EPOCHS"] for r in found.collect()] == ["2"]
+
+
+STRETCH = logs.SPANS[0]
+
+
+def test_samples_read_the_lines_once(spark, tmp_path):
+    """Also when the translation stands behind the border of a stretch, or lines are missing."""
+    told = 'VERSION 1.0 : 2031-02-03 04:05:06 : TRANSLATION %d on "English to Spanish"'
+    rows = [
+        ("a", STRETCH - 2, told % 1), ("a", STRETCH - 1, told % 2), ("a", STRETCH, "uno"), ("a", STRETCH + 1, "dos"),
+        ("a", STRETCH + 5, told % 1), ("a", STRETCH + 7, "not the first"),
+        ("a", 2 * STRETCH, told % 3), ("a", 2 * STRETCH + 2, "tres"), ("a", 3 * STRETCH, told % 4),
+        ("a", 3 * STRETCH + 1, "x"), ("a", 3 * STRETCH + 3, "three below"), ("b", 7, "no sample"),
+    ]
+    lines = spark.createDataFrame(rows, "file string, line_no bigint, value string")
+    lines.write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    wanted = [("a", 1, "uno"), ("a", 2, "dos"), ("a", 3, "tres"), ("a", 4, None)]
+    found = logs.sample_translations(logs.parse_lines(lines), "English to Spanish")
+    assert sorted(tuple(r) for r in found.collect()) == wanted
+    listed = logs.sample_translations(logs.parse_lines(lines), "English to Spanish", [3, 9])
+    assert sorted(tuple(r) for r in listed.select("file", "i", "translation").collect()) == [
+        ("a", 3, "tres"), ("a", 9, None), ("b", 3, None), ("b", 9, None),
+    ]
+    for frame in (found, listed):
+        plan = frame.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1
