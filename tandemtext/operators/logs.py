@@ -26,6 +26,8 @@ SECTION = r"^([A-Z() ]+):$"
 GENERATED = "Generated Translation: "
 # Line spans of the stretches, from the finest to the coarsest.
 SPANS = (1 << 17, 1 << 30)
+# Begins the names of columns that tell the stretch of a line.
+STRETCH = "_stretch"
 
 
 def running_sums(
@@ -34,12 +36,14 @@ def running_sums(
     position: str,
     sums: Mapping[str, Column],
     spans: Sequence[int] = SPANS,
+    stretch: str | None = None,
 ) -> DataFrame:
     """Adds running sums over ``position`` within ``group``.
 
     Rows are summed within spans of positions, and the totals of the spans in the
     same way with the next coarser span. So a window holds one span of one group,
-    however large the group is.
+    however large the group is. With ``stretch`` rows keep the number of their finest span in a
+    column of that name, and in ``<stretch>_<name>`` what a sum is at its end.
     """
     valued = df.withColumns({name: value.cast("bigint") for name, value in sums.items()})
     if not spans:
@@ -59,15 +63,20 @@ def running_sums(
         level,
         {f"_upto_{name}": F.col(f"_of_{name}") for name in sums},
         [s // span for s in coarser],
-    ).select(*keys, *[(F.col(f"_upto_{n}") - F.col(f"_of_{n}")).alias(f"_before_{n}") for n in sums])
+    ).select(
+        *keys,
+        *[(F.col(f"_upto_{n}") - F.col(f"_of_{n}")).alias(f"_before_{n}") for n in sums],
+        *[F.col(f"_upto_{n}").alias(f"{stretch}_{n}") for n in sums if stretch],
+    )
     window = Window.partitionBy(*keys).orderBy(position)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = stretched.withColumns({name: F.sum(name).over(upto) for name in sums})
-    return (
+    summed = (
         within.join(before, keys)
         .withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in sums})
-        .drop(level, *[f"_before_{name}" for name in sums])
+        .drop(*[f"_before_{name}" for name in sums])
     )
+    return summed.withColumnRenamed(level, stretch) if stretch else summed.drop(level)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -91,10 +100,11 @@ def _bare(message: Column) -> Column:
     return F.btrim(message, F.lit(" \t\r\n"))
 
 
-def number_records(parsed: DataFrame) -> DataFrame:
+def number_records(parsed: DataFrame, stretches: bool = False) -> DataFrame:
     """Adds running numbers per file: ``run_no, record_no, section_no``.
 
-    A continuation line has the number of the record it continues.
+    A continuation line has the number of the record it continues. ``stretches`` adds columns
+    that tell ``fold_continuations`` which lines stand together already.
     """
     message = _bare(F.col("message"))
     is_record = F.col("version").isNotNull()
@@ -108,6 +118,7 @@ def number_records(parsed: DataFrame) -> DataFrame:
             "record_no": is_record.cast("int"),
             "section_no": is_section.cast("int"),
         },
+        stretch=STRETCH if stretches else None,
     )
 
 
@@ -116,25 +127,36 @@ def fold_continuations(numbered: DataFrame) -> DataFrame:
 
     A record is one value, so its lines have to fit into a task's memory.
 
-    Lines before the first record of a file belong to none and stay as they are.
+    Lines before the first record of a file belong to none and stay as they are. Lines that were
+    numbered with ``stretches`` are joined where they are, and only records that go on in the
+    next stretch are dealt out again.
     """
-    columns = ["file", "run_no", "record_no"]
-    begun = F.col("record_no") > 0
-    lines = F.array_sort(F.collect_list(F.struct("line_no", "message")))
-    records = (
-        numbered.where(begun)
-        .groupBy("file", "record_no")
-        .agg(
+    stretch = [STRETCH, f"{STRETCH}_record_no"] if STRETCH in numbered.columns else []
+
+    def joined(lines: DataFrame, *keys: str) -> DataFrame:
+        told = F.array_sort(F.collect_list(F.struct("line_no", "message")))["message"]
+        return lines.groupBy("file", "record_no", *keys).agg(
             # A marker is a record of its own, so all its lines have one run number.
             F.max("run_no").alias("run_no"),
             F.min("line_no").alias("line_no"),
             F.max("version").alias("version"),
             F.max("ts").alias("ts"),
-            F.array_join(lines["message"], "\n").alias("message"),
+            F.when(F.count("message") > 0, F.array_join(told, "\n")).alias("message"),
         )
-    )
-    names = [*columns, "line_no", "version", "ts", "message"]
-    return records.select(names).unionByName(numbered.where(~begun).select(names))
+
+    alone = F.when(F.col("record_no") == 0, F.col("line_no"))
+    pieces = joined(numbered.withColumn("_alone", alone), "_alone", *stretch)
+    names = ["file", "run_no", "record_no", "line_no", "version", "ts"]
+    message = F.when(F.col("record_no") > 0, F.coalesce("message", F.lit(""))).otherwise(F.col("message"))
+    if not stretch:
+        return pieces.select(*names, message.alias("message"))
+    # Only the last record of a stretch goes on in later ones, where its lines come before the
+    # first record; the others are whole, and stay where their lines met.
+    goes_on = F.col("version").isNull() | (F.col("record_no") == F.col(stretch[1]))
+    is_open = (F.col("record_no") > 0) & goes_on
+    again = joined(pieces.where(is_open).select(*names, "message"))
+    whole = pieces.where(~is_open).select(*names, "message").unionByName(again.select(*names, "message"))
+    return whole.select(*names, message.alias("message"))
 
 
 def evaluation_metrics(numbered: DataFrame) -> DataFrame:

@@ -118,6 +118,28 @@ def test_the_last_of_repeated_settings_counts(spark):
 STRETCH = logs.SPANS[0]
 
 
+def test_records_that_go_on_in_later_stretches(spark):
+    """Continuations across one border, across whole stretches, and lines before any record."""
+    told = "VERSION 1.0 : 2031-02-03 04:05:06 : "
+    rows = [
+        ("a", 0, "before"), ("a", STRETCH, "any"),
+        ("a", STRETCH + 1, told + "one"), ("a", 2 * STRETCH - 1, told + "two"),
+        ("a", 2 * STRETCH, "two b"), ("a", 3 * STRETCH, "two c"), ("a", 3 * STRETCH + 1, ""),
+        ("a", 3 * STRETCH + 2, told + "three"), ("a", 3 * STRETCH + 3, "three b"), ("b", 0, told + "four"),
+    ]
+    parsed = logs.parse_lines(spark.createDataFrame(rows, "file string, line_no bigint, value string"))
+    folded = logs.fold_continuations(logs.number_records(parsed, stretches=True))
+    plain = logs.fold_continuations(logs.number_records(parsed))
+    assert folded.columns == plain.columns
+    found = sorted((r.file, r.record_no, r.line_no, r.message) for r in folded.collect())
+    assert found == sorted((r.file, r.record_no, r.line_no, r.message) for r in plain.collect())
+    assert found == [
+        ("a", 0, 0, "before"), ("a", 0, STRETCH, "any"), ("a", 1, STRETCH + 1, "one"),
+        ("a", 2, 2 * STRETCH - 1, "two\ntwo b\ntwo c\n"), ("a", 3, 3 * STRETCH + 2, "three\nthree b"),
+        ("b", 1, 0, "four"),
+    ]
+
+
 def test_samples_read_the_lines_once(spark, tmp_path):
     """Also when the translation stands behind the border of a stretch, or lines are missing."""
     told = 'VERSION 1.0 : 2031-02-03 04:05:06 : TRANSLATION %d on "English to Spanish"'
