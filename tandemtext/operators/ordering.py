@@ -129,17 +129,19 @@ def exact_split(
     test_size: float | None = None,
     seed: int | str = 42,
     order: str | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``split``; the sizes are exact for every row count.
 
     Rows are compared with two cut keys, so they stay where they are: the only
     shuffles are those of the bucket counts and of the buckets at the cuts. ``order``
-    names a column of ``df`` that already holds the order key.
+    names a column of ``df`` that already holds the order key. ``counted`` is a table of
+    the same keys, row by row, in which the cuts are found instead of in ``df``.
     """
     order = order_key(key, seed) if order is None else named(order)
     n = F.col("n")
     train, test = split_sizes(n, train_size, test_size)
-    cuts = _cut_keys(df, order, {"train": train, "test": train + test})
+    cuts = _cut_keys(df if counted is None else counted, order, {"train": train, "test": train + test})
     return df.withColumn(
         "split",
         F.when(_up_to(order, cuts["train"]), "train")

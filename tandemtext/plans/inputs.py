@@ -122,14 +122,16 @@ def stored_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_pairs(
-    spark: SparkSession, folder: str, pairs: DataFrame | None = None
+    spark: SparkSession, folder: str, pairs: DataFrame | None = None, stored: bool = True
 ) -> DataFrame:
-    """Stored pairs with the candidate and the score of every stand-in, stored again.
+    """The pairs, read once, with the candidate and the score of every stand-in.
 
-    What follows reads scores and candidates many times; the models run once.
+    They are stored, as what follows reads scores and candidates many times and the models run
+    once. Who reads them once asks for them as they come, not ``stored``.
     """
-    pairs = pairs or stored_pairs(spark, folder)
-    return stored_splits(score_models(pairs, stand_in_models(), "es", "es"), "scored")
+    pairs = split_pairs(spark, folder) if pairs is None else pairs
+    scored = score_models(pairs, stand_in_models(), "es", "es")
+    return stored_splits(scored, "scored") if stored else scored
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:

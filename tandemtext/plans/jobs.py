@@ -6,28 +6,27 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from tandemtext.functions.text import output_name
+from tandemtext.functions.text import named, output_name
 from tandemtext.operators import corpus, generate, merge, ordering, tasks
 from tandemtext.session import scratch_path
 from tandemtext.sources.files import read_splits, write_splits
 
 
-def _split_once_read(
+def _split_by_keys(
     clean: DataFrame,
     key: str | Sequence[str],
     train_size: float,
     test_size: float | None,
     seed: int | str,
 ) -> DataFrame:
-    """The clean pairs are derived and written once, with their order key.
+    """The keys of the clean pairs are written once, and the cuts are found in them.
 
-    The cuts are found in the key column alone; the texts are read when the split is added.
+    The texts are not stored for that: the pairs are derived again when the split is added.
     """
-    path = scratch_path(clean.sparkSession, "clean")
-    clean.withColumn("_order_key", ordering.order_key(key, seed)).write.parquet(path)
-    stored = clean.sparkSession.read.parquet(path)
-    split = ordering.exact_split(stored, key, train_size, test_size, seed, order="_order_key")
-    return split.drop("_order_key")
+    path, names = scratch_path(clean.sparkSession, "keys"), [key] if isinstance(key, str) else list(key)
+    clean.select(*map(named, names)).write.parquet(path)
+    keys = clean.sparkSession.read.parquet(path)
+    return ordering.exact_split(clean, key, train_size, test_size, seed, counted=keys)
 
 
 def build_corpus(
@@ -40,7 +39,7 @@ def build_corpus(
 ) -> DataFrame:
     """Bilingual corpora to clean pairs ``id, <source>, <target>, split``."""
     pairs = corpus.union_corpora(corpora, source, target)
-    return _split_once_read(corpus.quality_filter(pairs, source, target), "id", train_size, test_size, seed)
+    return _split_by_keys(corpus.quality_filter(pairs, source, target), "id", train_size, test_size, seed)
 
 
 def build_plain_corpus(
@@ -55,7 +54,7 @@ def build_plain_corpus(
     """The same from one table that already has a column per language."""
     pairs = corpus.both_strings(table, source, target)
     clean = corpus.quality_filter(pairs, source, target)
-    return _split_once_read(clean, key, train_size, test_size, seed)
+    return _split_by_keys(clean, key, train_size, test_size, seed)
 
 
 def score_models(

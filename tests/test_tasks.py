@@ -163,3 +163,15 @@ def test_models_share_a_worker(spark):
     assert sorted(map(tuple, out.collect())) == [(i, f"t{i}", f"xt{i}", f"yt{i}", f"zt{i}") for i in range(7)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("name", ["preference_triples", "preference_pairs", "repeat_prompts"])
+def test_what_is_read_once_is_not_stored(spark, sf_small, name):
+    """Only the keys are, in which the cuts of the split are found."""
+    from tandemtext import session
+    from tandemtext.plans.queries import QUERIES
+
+    before = len(session._made)
+    assert QUERIES[name](spark, sf_small).count() > 0
+    [path] = session._made[before:]
+    assert spark.read.parquet(path).columns == ["id"]
