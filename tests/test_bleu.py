@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -229,3 +230,24 @@ def test_counts_are_exact_on_random_pairs(spark):
         matches = [sum((grams(p, n) & grams(r, n)).values()) for n in range(1, 5)]
         totals = [sum(grams(p, n).values()) for n in range(1, 5)]
         assert row["s"] == [len(p.split()), len(r.split()), *matches, *totals]
+
+
+def test_signs_are_set_apart_in_one_pass():
+    """As one replacement after the other does it, also in a slice, in empty texts and beside other letters."""
+    texts = ["", "a!b", "!!", "ü(é)—“x”", "no sign", "", "a=b&c;[d]{e}~", "€%", "x."] * 3
+    called = []
+    replace = pa.compute.replace_substring
+    wanted = pa.array(texts)
+    for sign in bleu.SIGNS:
+        wanted = replace(wanted, sign, f" {sign} ")
+    wanted = [t.replace(".", " . ").split() for t in wanted.to_pylist()]
+    for start in (0, 5):
+        held = pa.array(["left out"] * start + texts)[start:]
+        try:
+            pa.compute.replace_substring = lambda *a, **k: called.append(a[1]) or replace(*a, **k)
+            found = bleu.spacer_13a()(held).to_pylist()
+        finally:
+            pa.compute.replace_substring = replace
+        assert [t.split() for t in found] == wanted
+    assert not set(called) & set(bleu.SIGNS)
+    assert bleu.spacer_13a()(pa.array([], pa.string())).to_pylist() == []
