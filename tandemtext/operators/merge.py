@@ -37,28 +37,24 @@ def _natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
     shared = [name for name in own if name in right.columns]
     if not shared:
         raise ValueError("the tables share no column to merge on")
-    keys = {name: f"_key_{i}" for i, name in enumerate(shared)}
-    # Strings meet by a digest, so that texts are no sort keys; their equality is checked
-    # behind it. A digest stays for the next join on the same columns.
+    # Strings meet by a digest of 256 bits, over their lengths and bytes: no two texts are known
+    # to have the same, so the right table's texts need not travel to be compared. A digest stays
+    # for the next join on the same columns.
     kinds = [dict(left.dtypes), dict(right.dtypes)]
     strings = [name for name in shared if all(kind[name] == "string" for kind in kinds)]
-    digest = F.xxhash64(*map(named, strings)) if strings else F.lit(0)
+    others = [name for name in shared if name not in strings]
+    keys = {name: f"_key_{i}" for i, name in enumerate(others)}
+    parts = [F.coalesce(F.octet_length(named(name)).cast("string"), F.lit("null")) for name in strings]
+    told = F.concat(F.concat_ws(",", *parts), F.lit(":"), *[F.coalesce(named(name), F.lit("")) for name in strings])
+    digest = F.unhex(F.sha2(told, 256)) if strings else F.lit(0)
     kept = DIGEST + "|".join(strings)
     if kept not in left.columns:
         left = left.withColumn(kept, digest)
-    renamed = right.select(
-        *[named(c).alias(keys.get(c, c)) for c in right.columns], digest.alias("_right_digest")
-    )
-
-    def equal(name: str) -> Column:
-        a, b = named(name), named(keys[name])
-        if name not in strings:
-            return a.eqNullSafe(b)
-        # Not written with =, which would make it a key of the join.
-        return F.coalesce((a >= b) & (a <= b), a.isNull() & b.isNull())
-
-    same = reduce(lambda a, b: a & b, map(equal, shared), named(kept) == F.col("_right_digest"))
-    return left.join(renamed, same, "inner").drop(*keys.values(), "_right_digest")
+    beside = [name for name in right.columns if name not in strings]
+    renamed = right.select(*[named(c).alias(keys.get(c, c)) for c in beside], digest.alias("_right_digest"))
+    same = [named(name).eqNullSafe(named(key)) for name, key in keys.items()]
+    met = reduce(lambda a, b: a & b, same, named(kept) == F.col("_right_digest"))
+    return left.join(renamed, met, "inner").drop(*keys.values(), "_right_digest")
 
 
 def natural_merge(frames: Sequence[DataFrame], meet_on: Sequence[str] = ()) -> DataFrame:

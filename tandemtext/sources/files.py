@@ -18,6 +18,8 @@ CELLS = {
 }
 
 
+# Of stored tables, which are texts for the most part.
+TEXT_CODEC = "zstd"
 # A sentence that is null; an empty one is a pair of quotes.
 NULL_SENTENCE = "\u0000"
 
@@ -44,7 +46,7 @@ def read_splits(spark: SparkSession, path: str, split: str = "") -> DataFrame:
 
 def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One directory per split, so a reader of one split never lists the others."""
-    df.write.mode(mode).partitionBy("split").parquet(path)
+    df.write.mode(mode).partitionBy("split").option("compression", TEXT_CODEC).parquet(path)
 
 
 def stored_splits(df: DataFrame, label: str) -> DataFrame:
@@ -55,18 +57,21 @@ def stored_splits(df: DataFrame, label: str) -> DataFrame:
 
 
 def write_bucketed(
-    df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None
+    df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None, dealt: bool = False
 ) -> DataFrame:
     """A table in buckets of ``keys``, a sorted file for each bucket and split, and read back.
 
     Tables with the same keys and number of buckets meet without a shuffle. A null key is an
-    error. Choose so many buckets that one of the largest table fits into a task.
+    error. Choose so many buckets that one of the largest table fits into a task. Rows that come
+    from such a table, one by one, are ``dealt`` already, and written where they are read.
     """
     missing = F.raise_error(F.lit(f"a null key in the table {table}"))
     quoted = {name: F.coalesce(F.col(f"`{name}`"), missing) for name in keys}
-    # Dealt out as the buckets are, so that each is written by one task.
-    dealt = df.withColumns(quoted).repartition(buckets, *[F.col(f"`{name}`") for name in keys])
-    writer = dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    rows = df.withColumns(quoted)
+    if not dealt:
+        # Dealt out as the buckets are, so that each is written by one task.
+        rows = rows.repartition(buckets, *[F.col(f"`{name}`") for name in keys])
+    writer = rows.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("compression", TEXT_CODEC)
     if "split" in df.columns and "split" not in keys:
         writer = writer.partitionBy("split")
     if path:

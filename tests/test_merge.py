@@ -82,3 +82,46 @@ def test_null_keys_are_not_stored_in_buckets(spark, tmp_path):
     a, b = spark.range(3).withColumn("a", F.lit(1)), spark.range(3).withColumn("b", F.lit(1))
     with pytest.raises(ValueError, match="share"):
         natural_merge([a, b], meet_on=["a"])
+
+
+def test_texts_of_the_right_table_do_not_travel(spark):
+    """Strings meet by a digest of lengths and bytes: shifted borders, nulls and empty texts are not equal."""
+    texts = [("a", "bc"), ("ab", "c"), ("", None), (None, ""), (None, None), ("", ""), ("null", ""), ("1,1:ab", "c")]
+    rows = [(f"{en}|{es}", en, es) for en, es in texts]
+    left = spark.createDataFrame(rows, "m1 string, en string, es string")
+    right = spark.createDataFrame(rows, "m2 string, en string, es string")
+    merged = natural_merge([left, right])
+    assert merged.columns == ["m1", "en", "es", "m2"]
+    assert sorted((r.m1, r.m2) for r in merged.collect()) == sorted((k, k) for k, _, _ in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = natural_merge([left, right])._jdf.queryExecution().executedPlan()
+        dealt = [str(e.output()) for e in _exchanges(plan)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [("en#" in e, "es#" in e) for e in dealt] == [(True, True), (False, False)], dealt
+
+
+def _exchanges(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    found = [plan] if plan.nodeName() == "Exchange" else []
+    return found + [e for i in range(plan.children().size()) for e in _exchanges(plan.children().apply(i))]
+
+
+def test_rows_that_are_dealt_already_are_written_where_they_are(spark, tmp_path):
+    pairs = spark.range(500).select("id", F.concat(F.lit("s"), "id").alias("en"), F.lit("train").alias("split"))
+    name = f"dealt_{tmp_path.name}".replace("-", "_")
+    base = write_bucketed(pairs, name, ["id"], 4, str(tmp_path / "pairs"))
+    tables = [
+        write_bucketed(base.withColumn(m, F.concat(F.lit(m), "id")), f"{name}_{m}", ["id"], 4, str(tmp_path / m), dealt=True)
+        for m in ("m1", "m2")
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = natural_merge(tables, meet_on=["id"])
+        assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r.id, r.en, r.m1, r.m2) for r in merged.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == [(i, f"s{i}", f"m1{i}", f"m2{i}") for i in range(500)]
