@@ -34,18 +34,26 @@ def build_vocabulary(texts: DataFrame, max_size: int | None = None) -> DataFrame
     used = texts.select(F.explode(words(F.col(column))).alias("token")).groupBy("token").agg(
         F.count("*").alias("uses")
     )
+    return _ranked(used, max_size)
+
+
+def _ranked(used: DataFrame, max_size: int | None = None) -> DataFrame:
     ranked = with_row_index(used, F.desc("uses"), "token")
     kept = ranked if max_size is None else ranked.where(F.col("row_index") < max_size)
     return kept.select((F.col("row_index") + len(SPECIALS)).cast("int").alias("id"), "token", "uses")
 
 
 def _chunks(
-    df: DataFrame, columns: Mapping[str, Column], item: str, keep: Sequence[str] | None = None
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    item: str,
+    keep: Sequence[str] | None = None,
+    counted: bool = False,
 ) -> DataFrame:
     """``chunk, items, rows``: stretches of rows in dictionary encoding.
 
-    ``items`` are the distinct items of the arrays ``columns`` in a stretch; ``rows`` has every
-    row of ``df``, or its columns ``keep``, and, for each of the columns, the places of its items among them. A stretch
+    ``items`` are the distinct items of the arrays ``columns`` in a stretch, and with ``counted``
+    ``uses`` how often each stands there; ``rows`` has every row of ``df``, or its columns ``keep``, and, for each of the columns, the places of its items among them. A stretch
     ends at about ``CHUNK_ITEMS`` items, or with a row that has more.
     """
     kept = list(map(named, df.columns if keep is None else keep)) or [F.lit(0)]
@@ -88,14 +96,16 @@ def _chunks(
                 rows = pyarrow.StructArray.from_arrays(
                     [piece.column(0), *places], ["row", *[f"at_{i}" for i in range(width)]]
                 )
-                yield pyarrow.RecordBatch.from_arrays(
-                    [
-                        pyarrow.array([number], pyarrow.int64()),
-                        lists([len(coded.dictionary)], coded.dictionary, None),
-                        lists([b - a], rows, None),
-                    ],
-                    ["chunk", "items", "rows"],
-                )
+                held = [
+                    pyarrow.array([number], pyarrow.int64()),
+                    lists([len(coded.dictionary)], coded.dictionary, None),
+                    lists([b - a], rows, None),
+                ]
+                if counted:
+                    known = coded.indices.drop_null().to_numpy()
+                    uses = numpy.bincount(known, minlength=len(coded.dictionary)).astype(numpy.int64)
+                    held.append(lists([len(uses)], pyarrow.array(uses), None))
+                yield pyarrow.RecordBatch.from_arrays(held, schema.names)
                 number += 1
 
     places = [StructField(f"at_{i}", ArrayType(IntegerType())) for i in range(width)]
@@ -104,6 +114,7 @@ def _chunks(
             StructField("chunk", LongType()),
             StructField("items", staged.schema["at_0"].dataType),
             StructField("rows", ArrayType(StructType([staged.schema["row"], *places]))),
+            *[StructField("uses", ArrayType(LongType()))][: int(counted)],
         ]
     )
     return staged.mapInArrow(pack, schema)
@@ -116,21 +127,26 @@ def _looked_up(
     known: Callable[[DataFrame], DataFrame],
     missing: Column,
     keep: Sequence[str] | None = None,
+    counted: bool = False,
 ) -> DataFrame:
     """Adds, for each name, the values of the items of an array in order; null for a null array.
 
     ``keep`` names the columns that stay beside them, all without it.
 
-    ``known`` gets the distinct items of each stretch of rows and returns ``item, value``.
+    ``known`` gets the distinct items of each stretch of rows, with their ``uses`` there if
+    ``counted``, and returns ``item, value``.
     Only distinct items are joined to it. The rows of a stretch meet its values in one group,
     and take them by place: a task holds one stretch, and its values once.
     """
     path, kept = scratch_path(df.sparkSession, "chunks"), df.columns if keep is None else list(keep)
     # A stretch is one stored row of some MB: few of them are held by who writes or reads.
-    _chunks(df, columns, item, kept).write.options(**STRETCH_GROUPS).parquet(path)
+    _chunks(df, columns, item, kept, counted).write.options(**STRETCH_GROUPS).parquet(path)
     chunks = df.sparkSession.read.parquet(path)
     distinct = chunks.select("chunk", F.posexplode("items").alias("place", "_item"))
-    values = known(distinct.select(F.col("_item").alias("item")))
+    items = distinct.select(F.col("_item").alias("item"))
+    if counted:
+        items = chunks.select(F.inline(F.arrays_zip(F.col("items").alias("item"), "uses")))
+    values = known(items)
     found = distinct.join(values, F.col("_item") == F.col("item"), "left").select(
         F.col("chunk").alias("stretch"), "place", F.coalesce("value", missing).alias("value")
     )
@@ -186,13 +202,39 @@ def encode_texts(
     return _looked_up(df, tokens, "string", lambda _: known, F.lit(UNK), keep)
 
 
+def encode_corpus(
+    df: DataFrame, texts: Mapping[str, str], keep: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``encode_texts`` in the vocabulary of these texts themselves, and that vocabulary.
+
+    Words are found once: the stretches that wait for their ids have counted them.
+    """
+    path = scratch_path(df.sparkSession, "vocabulary")
+
+    def known(items: DataFrame) -> DataFrame:
+        used = items.groupBy(F.col("item").alias("token")).agg(F.sum("uses").alias("uses"))
+        _ranked(used).write.parquet(path)
+        vocabulary = df.sparkSession.read.parquet(path)
+        return vocabulary.select(F.col("token").alias("item"), F.col("id").cast("int").alias("value"))
+
+    tokens = {name: words(named(column)) for name, column in texts.items()}
+    encoded = _looked_up(df, tokens, "string", known, F.lit(UNK), keep, counted=True)
+    return encoded, df.sparkSession.read.parquet(path)
+
+
 def decode_ids(
-    df: DataFrame, ids: Mapping[str, str], vocabulary: DataFrame, skip_special: bool = True
+    df: DataFrame,
+    ids: Mapping[str, str],
+    vocabulary: DataFrame,
+    skip_special: bool = True,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds the words of each id column of ``ids`` (new name to id column), joined by blanks.
 
-    Ids that the vocabulary lacks are left out, and special tokens unless asked for.
+    Ids that the vocabulary lacks are left out, and special tokens unless asked for. ``keep``
+    names the columns that stay, all without it.
     """
+    kept = df.columns if keep is None else list(keep)
     known = vocabulary.select("token", F.col("id").cast("int").alias("id"))
     if not skip_special:
         special = [(token, i) for i, token in enumerate(SPECIALS)]
@@ -200,9 +242,9 @@ def decode_ids(
     known = known.select(F.col("id").alias("item"), F.col("token").alias("value"))
     # Names that no column has.
     lists = {f"_words_{name}": named(column) for name, column in ids.items()}
-    found = _looked_up(df, lists, "int", lambda _: known, F.lit(None).cast("string"))
+    found = _looked_up(df, lists, "int", lambda _: known, F.lit(None).cast("string"), kept)
     return found.select(
-        *map(named, df.columns), *[F.array_join(named(f"_words_{name}"), " ").alias(name) for name in ids]
+        *map(named, kept), *[F.array_join(named(f"_words_{name}"), " ").alias(name) for name in ids]
     )
 
 

@@ -134,3 +134,29 @@ def test_columns_that_stay(spark):
     assert found.columns == ["k", "x", "y"]
     assert sorted(map(tuple, found.collect())) == [(1, [4, 3], None), (2, None, [5]), (3, [], [3, 2])]
     assert encode.encode_texts(df, {"x": "t"}, known, keep=[]).columns == ["x"]
+
+
+def test_a_corpus_in_its_own_vocabulary(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate([*ODD, "the cat the dog", "dog, dog", None, "x"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted_known = encode.build_vocabulary(docs.select("text"))
+    wanted = encode.encode_texts(docs, {"ids": "text"}, wanted_known, keep=["doc_id"])
+    # Words are found once: no pass for the vocabulary alone. Stretches end within the rows.
+    monkeypatch.setattr(encode, "build_vocabulary", None)
+    monkeypatch.setattr(encode, "CHUNK_ITEMS", 7)
+    encoded, known = encode.encode_corpus(docs, {"ids": "text"}, keep=["doc_id"])
+    assert sorted(known.collect()) == sorted(wanted_known.collect())
+    assert known.schema == wanted_known.schema
+    assert sorted(encoded.collect(), key=lambda r: r.doc_id) == sorted(wanted.collect(), key=lambda r: r.doc_id)
+    back = encode.decode_ids(encoded, {"words": "ids"}, known, keep=["doc_id"])
+    assert back.columns == ["doc_id", "words"]
+    found = {r.doc_id: r.words for r in back.collect()}
+    assert found == {r.doc_id: r.words for r in encode.decode_ids(wanted, {"words": "ids"}, wanted_known).collect()}
+
+
+@pytest.mark.parametrize("name", ["encoded_documents", "decoded_documents"])
+def test_documents_find_their_words_once(spark, sf_small, monkeypatch, name):
+    from tandemtext.plans import queries
+
+    monkeypatch.setattr(encode, "build_vocabulary", None)
+    assert queries.QUERIES[name](spark, sf_small).count() == spark.read.parquet(f"{sf_small}/documents.parquet").count()
