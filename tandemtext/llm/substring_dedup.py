@@ -241,18 +241,26 @@ def repeated(
 def frequent_minimisers(
     docs: DataFrame, window: int, minimiser: int, sampled: int, frequent: int
 ) -> list[int]:
-    """Minimisers with many different strings in a sample of bounded expected size."""
+    """Minimisers with many different strings in a sample of bounded expected size.
+
+    Strings are told apart over the whole sample: a task may see one string of each only.
+    """
     sample = docs.sample(min(1.0, sampled / max(1, docs.count())), seed=20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches, window, minimiser, CHUNK_WORDS):
             texts, _, _, value, _ = chunk.strings()
             distinct = dict(zip(texts, value.tolist()))
-            found, n = np.unique(np.array(list(distinct.values()), np.int64), return_counts=True)
-            many = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[many]), pa.array(n[many])], names=["value", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(distinct.values()), pa.int64()),
+                    pa.array(map(zlib.crc32, distinct), pa.int64()),
+                ],
+                names=["value", "string"],
+            )
 
-    counted = sample.mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    strings = sample.mapInArrow(count, "value long, string long")
+    counted = strings.groupBy("value").agg(F.count_distinct("string").alias("n"))
     # At most one for each dozen strings of the bounded sample.
     return sorted(r.value for r in counted.filter(F.col("n") >= frequent).select("value").collect())
 

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tandemtext.llm import (
@@ -83,6 +84,16 @@ def test_repeats_of_few_words(spark, seed, monkeypatch):
     assert all(r.n_words - r.n_removed == len(r.kept.split()) for r in found.values())
 
 
+def test_minimisers_that_stand_once_in_each_task_are_frequent(spark):
+    common = [F.lit(f"common{i}") for i in range(17)]
+    own = [F.concat(F.lit(f"own{i}x"), F.col("id").cast("string")) for i in range(6)]
+    docs = spark.range(0, 24, 1, 24).select("id", F.concat_ws(" ", *common, *own).alias("text"))
+    assert substring_dedup.frequent_minimisers(docs, 20, 5, 1000, 12)
+    # Copies of one string are one, in however many tasks.
+    copies = docs.select("id", F.concat_ws(" ", *common, *common[:6]).alias("text"))
+    assert substring_dedup.frequent_minimisers(copies, 20, 5, 1000, 12) == []
+
+
 def test_super_kmers_cover_every_window():
     draw = random.Random(5)
     pieces = [[draw.choice(["aa", "b", "c"]).encode() for _ in range(n)] for n in (3, 20, 2000, 19, 300)]
