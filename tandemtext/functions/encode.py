@@ -8,10 +8,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tandemtext.functions.text import named, words
-from tandemtext.session import scratch_path
+from tandemtext.session import scratch_path, settings, shuffles_dropped
 from tandemtext.sources.files import with_row_index
 
 # Ids of the special tokens, and the label the loss leaves out.
@@ -20,8 +20,15 @@ SPECIALS = ("<pad>", "</s>", "<unk>")
 IGNORED_LABEL = -100
 # Items that are dictionary-encoded together: some MB in a task.
 CHUNK_ITEMS = 1 << 18
-# Row groups of the stored stretches.
+# Rows that wait for more of them, as they may have few items.
+CHUNK_BYTES = 1 << 26
+# Rows that go to Python at once, of texts that may be long.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+# Rows of a stretch that travel together.
+PART_ROWS = 4096
+# Row groups of the stored stretches, and how their items are compressed.
 STRETCH_GROUPS = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1}
+STRETCH_CODEC = "zstd"
 
 
 def build_vocabulary(texts: DataFrame, max_size: int | None = None) -> DataFrame:
@@ -50,18 +57,20 @@ def _chunks(
     keep: Sequence[str] | None = None,
     counted: bool = False,
 ) -> DataFrame:
-    """``chunk, items, rows``: stretches of rows in dictionary encoding.
+    """``chunk, items, parts``: stretches of rows in dictionary encoding.
 
-    ``items`` are the distinct items of the arrays ``columns`` in a stretch, and with ``counted``
-    ``uses`` how often each stands there; ``rows`` has every row of ``df``, or its columns ``keep``, and, for each of the columns, the places of its items among them. A stretch
-    ends at about ``CHUNK_ITEMS`` items, or with a row that has more.
+    ``items`` are the distinct items of the arrays ``columns`` in a stretch, in order, and with
+    ``counted`` ``uses`` how often each stands there; ``parts`` hold every row of ``df``, or its columns
+    ``keep``, and, for each of the columns, the places of its items among them, as compressed Arrow
+    tables. A stretch ends at about ``CHUNK_ITEMS`` items, with a row that has more, or with the
+    batch in which its rows pass ``CHUNK_BYTES``; it goes on over any number of smaller batches.
     """
     kept = list(map(named, df.columns if keep is None else keep)) or [F.lit(0)]
     staged = df.select(
         F.struct(*kept).alias("row"),
         *[entry.cast(f"array<{item}>").alias(f"at_{i}") for i, entry in enumerate(columns.values())],
     )
-    most, width = CHUNK_ITEMS, len(columns)
+    most, most_bytes, width, part_rows = CHUNK_ITEMS, CHUNK_BYTES, len(columns), PART_ROWS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy
@@ -73,47 +82,78 @@ def _chunks(
             ends = numpy.concatenate([[0], numpy.cumsum(lengths)]).astype(numpy.int32)
             return pyarrow.ListArray.from_arrays(pyarrow.array(ends), values, mask=mask)
 
+        def lengths_of(column):
+            return pyarrow.compute.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
+
+        def written(rows):
+            out = pyarrow.BufferOutputStream()
+            options = pyarrow.ipc.IpcWriteOptions(compression="zstd")
+            with pyarrow.ipc.new_stream(out, rows.schema, options=options) as stream:
+                stream.write_batch(rows)
+            return out.getvalue().to_pybytes()
+
+        def packed(pieces, number):
+            """One stretch of the rows of some batches."""
+            flat = [piece.column(i + 1).flatten() for i in range(width) for piece in pieces]
+            coded = pyarrow.concat_arrays(flat).dictionary_encode()
+            # Neighbours in order are alike, and travel in fewer bytes.
+            order = pyarrow.compute.array_sort_indices(coded.dictionary)
+            ranks = numpy.empty(len(order), numpy.int32)
+            ranks[order.to_numpy()] = numpy.arange(len(order), dtype=numpy.int32)
+            small = pyarrow.uint16() if len(order) <= 1 << 16 else pyarrow.int32()
+            places = pyarrow.array(ranks).cast(small).take(coded.indices)
+            # Places in flat order, given back to the rows of each column.
+            sizes = iter(map(len, flat))
+            starts, at = [], 0
+            for _ in range(width):
+                starts.append([])
+                for _ in pieces:
+                    starts[-1].append(at)
+                    at += next(sizes)
+            parts = []
+            for j, piece in enumerate(pieces):
+                own = [
+                    lists(lengths_of(column), places.slice(starts[i][j], int(lengths_of(column).sum())), column.is_null())
+                    for i, column in enumerate(piece.columns[1:])
+                ]
+                rows = pyarrow.RecordBatch.from_arrays([piece.column(0), *own], ["row", *[f"at_{i}" for i in range(width)]])
+                parts += [written(rows.slice(a, part_rows)) for a in range(0, rows.num_rows, part_rows)]
+            held = [
+                pyarrow.array([number], pyarrow.int64()),
+                lists([len(order)], coded.dictionary.take(order), None),
+                pyarrow.array([parts], pyarrow.list_(pyarrow.binary())),
+            ]
+            if counted:
+                known = places.drop_null().to_numpy()
+                uses = numpy.bincount(known, minlength=len(order)).astype(numpy.int64)
+                held.append(lists([len(uses)], pyarrow.array(uses), None))
+            return pyarrow.RecordBatch.from_arrays(held, schema.names)
+
         number = TaskContext.get().partitionId() << 40
+        pieces, waiting = [], 0  # rows of earlier batches, and their items
         for batch in batches:
-            lengths = [
-                pyarrow.compute.fill_null(batch.column(i + 1).value_lengths(), 0).to_numpy(zero_copy_only=False)
-                for i in range(width)
-            ]
-            stretch = numpy.cumsum(numpy.sum(lengths, axis=0)) // most
-            cuts = [0, *(numpy.flatnonzero(numpy.diff(stretch)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                piece = batch.slice(a, b - a)
-                flat = [piece.column(i + 1).flatten() for i in range(width)]
-                coded = pyarrow.concat_arrays(flat).dictionary_encode()
-                # Places in flat order, given back to the rows of each column.
-                places, at = [], 0
-                for i in range(width):
-                    own = coded.indices.slice(at, len(flat[i]))
-                    places.append(lists(lengths[i][a:b], own, piece.column(i + 1).is_null()))
-                    at += len(flat[i])
-                rows = pyarrow.StructArray.from_arrays(
-                    [piece.column(0), *places], ["row", *[f"at_{i}" for i in range(width)]]
-                )
-                held = [
-                    pyarrow.array([number], pyarrow.int64()),
-                    lists([len(coded.dictionary)], coded.dictionary, None),
-                    lists([b - a], rows, None),
-                ]
-                if counted:
-                    known = coded.indices.drop_null().to_numpy()
-                    uses = numpy.bincount(known, minlength=len(coded.dictionary)).astype(numpy.int64)
-                    held.append(lists([len(uses)], pyarrow.array(uses), None))
-                yield pyarrow.RecordBatch.from_arrays(held, schema.names)
-                number += 1
-
-    places = [StructField(f"at_{i}", ArrayType(IntegerType())) for i in range(width)]
+            sums = numpy.cumsum(numpy.sum([lengths_of(column) for column in batch.columns[1:]], axis=0))
+            stretch = (waiting + sums) // most
+            begins = waiting // most
+            cuts = [0, *(numpy.flatnonzero(numpy.diff(stretch, prepend=begins))).tolist(), batch.num_rows]
+            for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if n and pieces:
+                    yield packed(pieces, number)
+                    pieces, number = [], number + 1
+                if a < b:
+                    pieces.append(batch.slice(a, b - a))
+            waiting = (waiting + int(sums[-1])) % most if batch.num_rows else waiting
+            if sum(piece.nbytes for piece in pieces) >= most_bytes:
+                yield packed(pieces, number)
+                pieces, waiting, number = [], 0, number + 1
+        if pieces:
+            yield packed(pieces, number)
+
     schema = StructType(
         [
             StructField("chunk", LongType()),
             StructField("items", staged.schema["at_0"].dataType),
-            StructField("rows", ArrayType(StructType([staged.schema["row"], *places]))),
+            StructField("parts", ArrayType(BinaryType())),
             *[StructField("uses", ArrayType(LongType()))][: int(counted)],
         ]
     )
@@ -138,10 +178,15 @@ def _looked_up(
     Only distinct items are joined to it. The rows of a stretch meet its values in one group,
     and take them by place: a task holds one stretch, and its values once.
     """
-    path, kept = scratch_path(df.sparkSession, "chunks"), df.columns if keep is None else list(keep)
+    spark, kept = df.sparkSession, df.columns if keep is None else list(keep)
+    path = scratch_path(spark, "chunks")
     # A stretch is one stored row of some MB: few of them are held by who writes or reads.
-    _chunks(df, columns, item, kept, counted).write.options(**STRETCH_GROUPS).parquet(path)
-    chunks = df.sparkSession.read.parquet(path)
+    # Texts go to Python in small batches, as a stretch goes on over many.
+    rows = min(BATCH_ROWS, int(spark.conf.get(BATCH_KEY, str(BATCH_ROWS))))
+    with shuffles_dropped(spark), settings(spark, {BATCH_KEY: str(rows) if rows > 0 else str(BATCH_ROWS)}):
+        staged = _chunks(df, columns, item, kept, counted)
+        staged.write.options(compression=STRETCH_CODEC, **STRETCH_GROUPS).parquet(path)
+    chunks = spark.read.parquet(path)
     distinct = chunks.select("chunk", F.posexplode("items").alias("place", "_item"))
     items = distinct.select(F.col("_item").alias("item"))
     if counted:
@@ -152,8 +197,9 @@ def _looked_up(
     )
     names = [f"at_{i}" for i in range(len(columns))]
     taken = [StructField(name, ArrayType(found.schema["value"].dataType)) for name in names]
-    unpacked = chunks.select("chunk", F.inline("rows"))
-    schema = StructType([unpacked.schema["row"], *taken])
+    unpacked = chunks.select("chunk", F.explode("parts").alias("part"))
+    row = df.select(F.struct(*(list(map(named, kept)) or [F.lit(0)])).alias("row")).schema["row"]
+    schema = StructType([row, *taken])
 
     def take(rows: pa.Table, values: pa.Table) -> pa.Table:
         import numpy
@@ -166,14 +212,22 @@ def _looked_up(
 
         held = whole(values.column("value"))
         held = held.take(pyarrow.array(numpy.argsort(whole(values.column("place")).to_numpy())))
-        out = []
-        for name in names:
-            places = whole(rows.column(name))
-            lengths = pyarrow.compute.fill_null(places.value_lengths(), 0).to_numpy(zero_copy_only=False)
-            ends = numpy.concatenate([[0], numpy.cumsum(lengths)]).astype(numpy.int32)
-            own = held.take(places.flatten())
-            out.append(pyarrow.ListArray.from_arrays(pyarrow.array(ends), own, mask=places.is_null()))
-        return pyarrow.Table.from_arrays([rows.column("row"), *out], ["row", *names])
+
+        def valued(part):
+            out = []
+            for places in part.columns[1:]:
+                lengths = pyarrow.compute.fill_null(places.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                ends = numpy.concatenate([[0], numpy.cumsum(lengths)]).astype(numpy.int32)
+                own = held.take(places.flatten())
+                out.append(pyarrow.ListArray.from_arrays(pyarrow.array(ends), own, mask=places.is_null()))
+            return pyarrow.RecordBatch.from_arrays([part.column(0), *out], ["row", *names])
+
+        parts = [
+            valued(part)
+            for told in rows.column("part").to_pylist()
+            for part in pyarrow.ipc.open_stream(told)
+        ]
+        return pyarrow.Table.from_batches(parts)
 
     placed = unpacked.groupBy("chunk").cogroup(found.groupBy("stretch")).applyInArrow(take, schema)
     return placed.select(
@@ -213,7 +267,8 @@ def encode_corpus(
 
     def known(items: DataFrame) -> DataFrame:
         used = items.groupBy(F.col("item").alias("token")).agg(F.sum("uses").alias("uses"))
-        _ranked(used).write.parquet(path)
+        with shuffles_dropped(df.sparkSession):
+            _ranked(used).write.parquet(path)
         vocabulary = df.sparkSession.read.parquet(path)
         return vocabulary.select(F.col("token").alias("item"), F.col("id").cast("int").alias("value"))
 

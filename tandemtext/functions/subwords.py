@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tandemtext.functions.encode import _looked_up
 from tandemtext.functions.text import named
-from tandemtext.session import scratch_path
+from tandemtext.session import scratch_path, shuffles_dropped
 
 # Fixed value: how the byte-level vocabularies cut texts before pieces are merged.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,7 +93,8 @@ def pieces_of(items: DataFrame, ranks: DataFrame) -> DataFrame:
             )
 
     path = scratch_path(spark, "pieces")
-    items.distinct().mapInArrow(run, "item string, value array<int>").write.parquet(path)
+    with shuffles_dropped(spark):
+        items.distinct().mapInArrow(run, "item string, value array<int>").write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Spark then deletes the shuffle files of a query when it ends.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str, master: str | None = None, **overrides: str) -> SparkSession:
@@ -49,6 +53,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """The session has other settings inside this."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """What is written to a table inside this leaves no shuffle files behind.
+
+    They would stay on the disks until the driver happens to collect its garbage, beside those of
+    all later steps. A stage that is lost while the table is written runs again as ever.
+    """
+    return settings(spark, {CLEANUP_KEY: "true"})
+
+
 _made: list[str] = []
 
 

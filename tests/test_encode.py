@@ -2,6 +2,7 @@
 
 import base64
 import re
+import time
 
 import pytest
 import tiktoken
@@ -160,3 +161,51 @@ def test_documents_find_their_words_once(spark, sf_small, monkeypatch, name):
 
     monkeypatch.setattr(encode, "build_vocabulary", None)
     assert queries.QUERIES[name](spark, sf_small).count() == spark.read.parquet(f"{sf_small}/documents.parquet").count()
+
+
+def test_stretches_go_on_over_batches(spark, monkeypatch):
+    """A stretch has its items and not one batch; its rows are kept in fewer bytes than ids have."""
+    rows = spark.range(0, 4_000, 1, 1).select("id", F.concat_ws(" ", *[F.concat(F.lit("w"), F.col("id") * i % 977) for i in range(20)]).alias("t"))
+    empty = spark.range(4_000, 4_100, 1, 1).select("id", F.lit("").alias("t"))
+    docs = rows.union(empty).coalesce(1)
+    monkeypatch.setattr(encode, "CHUNK_ITEMS", 30_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        columns = {"ids": encode.words(F.col("t")), "again": encode.words(F.reverse("t"))}
+        chunks = encode._chunks(docs, columns, "string", ["id"], counted=True)
+        found = chunks.select("chunk", "items", "uses", F.expr("aggregate(parts, 0, (n, p) -> n + length(p))").alias("bytes")).collect()
+        assert len(found) == len({r.chunk for r in found}) == 6  # 160,000 items
+        assert sum(sum(r.uses) for r in found) == 160_000
+        assert all(r["items"] == sorted(set(r["items"])) and len(r["items"]) == len(r.uses) for r in found)
+        assert sum(r.bytes for r in found) < 2.5 * 160_000
+        # Rows without items wait no longer than their bytes allow.
+        monkeypatch.setattr(encode, "CHUNK_BYTES", 1)
+        assert encode._chunks(docs, columns, "string", ["id"]).count() == 41
+        known = encode.build_vocabulary(docs.select("t"))
+        ids = {r.token: r.id for r in known.collect()}
+        for r in encode.encode_texts(docs, {"x": "t"}, known).collect():
+            assert r.x == [ids[w] for w in r.t.split()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stored_steps_leave_no_shuffle_files(spark, tmp_path):
+    from tandemtext.session import CLEANUP_KEY, shuffles_dropped
+
+    before = spark.conf.get(CLEANUP_KEY, None)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        names = tracker.getAllFiles().mkString(",").split(",")
+        return {name for name in names if name.endswith((".data", ".index"))}
+
+    old, rows = held(), spark.range(0, 10_000, 1, 4).repartition(4, "id")
+    with shuffles_dropped(spark):
+        rows.write.parquet(str(tmp_path / "kept"))
+    for _ in range(50):  # they are deleted behind the query
+        if not (left := held() - old):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(CLEANUP_KEY, None) == before
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == rows.count() == 10_000
