@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tandemtext.functions.text import named, output_name
 from tandemtext.operators import corpus, generate, merge, ordering, tasks
-from tandemtext.session import scratch_path
+from tandemtext.session import scratch_path, shuffles_dropped
 from tandemtext.sources.files import read_splits, write_splits
 
 
@@ -24,7 +24,8 @@ def _split_by_keys(
     The texts are not stored for that: the pairs are derived again when the split is added.
     """
     path, names = scratch_path(clean.sparkSession, "keys"), [key] if isinstance(key, str) else list(key)
-    clean.select(*map(named, names)).write.parquet(path)
+    with shuffles_dropped(clean.sparkSession):
+        clean.select(*map(named, names)).write.parquet(path)
     keys = clean.sparkSession.read.parquet(path)
     return ordering.exact_split(clean, key, train_size, test_size, seed, counted=keys)
 

@@ -209,3 +209,17 @@ def test_stored_steps_leave_no_shuffle_files(spark, tmp_path):
     assert not left
     assert spark.conf.get(CLEANUP_KEY, None) == before
     assert spark.read.parquet(str(tmp_path / "kept")).count() == rows.count() == 10_000
+
+
+@pytest.mark.parametrize("name", ["encoded_repeat_examples", "encoded_preference_examples"])
+def test_scored_rows_are_encoded_as_they_come(spark, tmp_path, monkeypatch, name):
+    """Scores are read once, so no table of them is stored beside the stretches."""
+    from tandemtext.plans import inputs, queries
+
+    text = "\n".join(f"a line with number {i}, of {i % 3} kinds" for i in range(6))
+    docs = [(i, "en", "src1", text.replace("line", f"line{i}")) for i in range(4)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "user", "what is the first one?"), (1, 1, "assistant", "the first one is this")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(inputs, "stored_splits", None)
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 21
