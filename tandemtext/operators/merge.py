@@ -72,6 +72,20 @@ def natural_merge(frames: Sequence[DataFrame], meet_on: Sequence[str] = ()) -> D
     return merged.select([named(c) for c in merged.columns if not c.startswith(DIGEST)])
 
 
+def in_steps(frames: Sequence[DataFrame], steps: int) -> list[list[DataFrame]]:
+    """The tables cut into ``steps`` by a hash of the strings that all of them share.
+
+    Rows of different steps never meet, so the merges of the steps are together the merge of the
+    tables. Tables that share no string are one step.
+    """
+    kinds = [dict(frame.dtypes) for frame in frames]
+    shared = [named(c) for c in frames[0].columns if all(kind.get(c) == "string" for kind in kinds)]
+    if steps < 2 or not shared:
+        return [list(frames)]
+    step = F.pmod(F.xxhash64(*shared), F.lit(steps))
+    return [[frame.where(step == n) for frame in frames] for n in range(steps)]
+
+
 def attach_columns(
     df: DataFrame, long: DataFrame, index: str, names: str, values: str, columns: Sequence[str]
 ) -> DataFrame:

@@ -11,6 +11,9 @@ from tandemtext.operators import corpus, generate, merge, ordering, tasks
 from tandemtext.session import scratch_path, shuffles_dropped
 from tandemtext.sources.files import read_splits, write_splits
 
+# Stored tables that are merged in one step, and the most steps, each of which reads all of them.
+STEP_BYTES, MOST_STEPS = 1 << 27, 8
+
 
 def _split_by_keys(
     clean: DataFrame,
@@ -73,11 +76,21 @@ def score_models(
     return generate.with_scores(candidates, list(models), target, metric, key)
 
 
-def merge_scored(spark, paths: Sequence[str], folder: str) -> str:
-    """Merges stored score tables into one, and returns where it is stored."""
-    merged = merge.natural_merge([read_splits(spark, path) for path in paths])
+def merge_scored(spark, paths: Sequence[str], folder: str, steps: int | None = None) -> str:
+    """Merges stored score tables into one, and returns where it is stored.
+
+    Large tables are merged in ``steps``, as their size tells without it: what is shuffled for
+    one of them is deleted before the next.
+    """
+    frames = [read_splits(spark, path) for path in paths]
+    if steps is None:
+        stored = sum(int(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for f in frames)
+        steps = min(MOST_STEPS, 1 + stored // STEP_BYTES)
     path = f"{folder.rstrip('/')}/{output_name(paths)}"
-    write_splits(merged, path)
+    parts = merge.in_steps(frames, steps)
+    for number, part in enumerate(parts, 1):
+        mode = "errorifexists" if number == 1 else "append"
+        write_splits(merge.natural_merge(part), path, mode, whole=number == len(parts))
     return path
 
 

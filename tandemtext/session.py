@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import AbstractContextManager, contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 # Spark then deletes the shuffle files of a query when it ends.
@@ -85,14 +85,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _deleted(spark: SparkSession, told: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(told)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(*frames: DataFrame) -> int:
+    """Deletes the scratch tables that the frames read and nothing reads any more, and tells how many."""
+    gone = 0
+    for frame in frames:
+        files = frame.inputFiles()
+        for path in [p for p in _made if any(f"/{os.path.basename(p)}/" in file for file in files)]:
+            _made.remove(path)
+            gone += _deleted(frame.sparkSession, path)
+    return gone
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Deletes the scratch tables of this process, and tells how many.
 
     To be called once the results that read them are stored.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs
     gone = 0
     while _made:
-        path = hadoop.Path(_made.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone += _deleted(spark, _made.pop())
     return gone

@@ -20,6 +20,10 @@ CELLS = {
 
 # Of stored tables, which are texts for the most part.
 TEXT_CODEC = "zstd"
+# Of buckets, whose rows have lost their neighbours: texts are compressed in longer pages.
+BUCKET_PAGES = {
+    "parquet.page.size": 8 << 20, "parquet.page.row.count.limit": 1 << 20, "parquet.compression.codec.zstd.level": 6
+}
 # A sentence that is null; an empty one is a pair of quotes.
 NULL_SENTENCE = "\u0000"
 
@@ -44,10 +48,14 @@ def read_splits(spark: SparkSession, path: str, split: str = "") -> DataFrame:
     return stored.where(F.col("split") == split) if split else stored
 
 
-def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One directory per split, so a reader of one split never lists the others."""
+def write_splits(df: DataFrame, path: str, mode: str = "errorifexists", whole: bool = True) -> None:
+    """One directory per split, so a reader of one split never lists the others.
+
+    A table that is not ``whole`` yet has no mark of success.
+    """
+    options = {"compression": TEXT_CODEC, "mapreduce.fileoutputcommitter.marksuccessfuljobs": whole}
     with shuffles_dropped(df.sparkSession):
-        df.write.mode(mode).partitionBy("split").option("compression", TEXT_CODEC).parquet(path)
+        df.write.mode(mode).partitionBy("split").options(**options).parquet(path)
 
 
 def stored_splits(df: DataFrame, label: str) -> DataFrame:
@@ -72,12 +80,14 @@ def write_bucketed(
     if not dealt:
         # Dealt out as the buckets are, so that each is written by one task.
         rows = rows.repartition(buckets, *[F.col(f"`{name}`") for name in keys])
-    writer = rows.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("compression", TEXT_CODEC)
+    writer = rows.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    writer = writer.options(compression=TEXT_CODEC, **BUCKET_PAGES)
     if "split" in df.columns and "split" not in keys:
         writer = writer.partitionBy("split")
     if path:
         writer = writer.option("path", path)
-    writer.saveAsTable(table)
+    with shuffles_dropped(df.sparkSession):
+        writer.saveAsTable(table)
     return df.sparkSession.table(table)
 
 

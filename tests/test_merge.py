@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tandemtext.operators import merge
 from tandemtext.operators.merge import attach_columns, natural_merge
 from tandemtext.sources.files import write_bucketed
 
@@ -125,3 +126,45 @@ def test_rows_that_are_dealt_already_are_written_where_they_are(spark, tmp_path)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == [(i, f"s{i}", f"m1{i}", f"m2{i}") for i in range(500)]
+
+
+def test_large_tables_are_merged_in_steps(spark, tmp_path, monkeypatch):
+    """Rows of all steps together are the merge; no step's shuffle stays, and nulls and copies meet."""
+    from tandemtext.plans import jobs
+    from tandemtext.sources.files import read_splits, write_splits
+
+    ids = [None, "a", "a", *[f"r{i}" for i in range(60)]]
+    rows = [(key, f"text {i % 7}", "train" if i % 3 else "valid") for i, key in enumerate(ids)]
+    base = spark.createDataFrame(rows, "id string, en string, split string")
+    paths = [str(tmp_path / name) for name in ("m1", "m2", "m3")]
+    for n, path in enumerate(paths):
+        write_splits(base.withColumn(f"m{n}", F.concat(F.lit(f"{n}-"), F.col("en"))), path)
+    parts = merge.in_steps([read_splits(spark, path) for path in paths], 5)
+    assert len(parts) == 5 and sum(part[0].count() for part in parts) == len(rows)
+    assert all(0 < part[0].count() == part[1].count() < len(rows) for part in parts)
+    wanted = merge.natural_merge([read_splits(spark, path) for path in paths])
+    written = []
+    write = jobs.write_splits
+    monkeypatch.setattr(jobs, "write_splits", lambda df, path, *a, **b: written.append(b["whole"]) or write(df, path, *a, **b))
+    monkeypatch.setattr(jobs, "STEP_BYTES", 4 << 10)
+    path = jobs.merge_scored(spark, paths, str(tmp_path / "out"))
+    assert len(written) > 2 and written == [*[False] * (len(written) - 1), True]
+    found = read_splits(spark, path).select(wanted.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() >= len(rows)
+    # Tables that share no string are merged at once.
+    numbers = [spark.range(3), spark.range(2)]
+    assert merge.in_steps(numbers, 5) == [numbers]
+
+
+@pytest.mark.parametrize("name", ["natural_merge", "bucketed_merge"])
+def test_tables_that_are_read_no_more_are_deleted(spark, sf_small, monkeypatch, name):
+    from tandemtext import session
+    from tandemtext.plans import queries
+
+    made = []
+    for module in (queries, queries.files, queries.jobs):
+        monkeypatch.setattr(module, "scratch_path", lambda s, label: made.append(session.scratch_path(s, label)) or made[-1])
+    found = queries.QUERIES[name](spark, sf_small)
+    left = {path.rsplit("/", 1)[-1].split("-")[0] for path in made if session.path_exists(spark, path)}
+    assert left == {"keys", "merged" if name == "natural_merge" else "buckets"}
+    assert found.count() > 0 and set(made) & set(session._made) == {p for p in made if session.path_exists(spark, p)}
