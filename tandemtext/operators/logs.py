@@ -2,17 +2,20 @@
 
 Input is ``file, line_no, value``. No step gathers a whole file: running numbers
 are built from stretches of bounded length, and neighbouring lines are found by
-joining on their line number.
+joining on their line number. Lines that are ``placed`` where they were read are numbered there,
+and stay there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemtext.functions.text import named, without_prefix
+from tandemtext.sources.files import REST, SPLIT
 
 # Fixed values of the log format.
 FIELD_SEPARATOR = " : "
@@ -79,6 +82,79 @@ def running_sums(
     return summed.withColumnRenamed(level, stretch) if stretch else summed.drop(level)
 
 
+def _in_place(line_no: Column, split: Column, *values: Column, lag: int = 0) -> Column:
+    """Of lines that are placed: the sums of values so far in their split, as fields ``s0, s1``, ...
+
+    With ``lag`` not the sums, but the values so many lines above, -1 where the split has no such
+    line. The rows of a task have to be all lines of its splits in their order; it is an error
+    if they are not. Only the numbers travel to Python.
+    """
+    fields = [f"s{i}" for i in range(len(values))]
+
+    @F.pandas_udf(", ".join(f"{field} bigint" for field in fields))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        import numpy
+        import pandas
+
+        last, held = None, numpy.zeros((lag or 1, len(fields)), numpy.int64)
+        for line_no, split, *told in batches:
+            if not len(line_no):
+                yield pandas.DataFrame({field: pandas.Series([], dtype="int64") for field in fields})
+                continue
+            numbers, begins = line_no.to_numpy(), split.to_numpy()
+            first = numbers == begins
+            before = numpy.concatenate([[numbers[0] - 1 if last is None else last], numbers[:-1]])
+            if (last is None and not first[0]) or not (first | (numbers == before + 1)).all():
+                raise ValueError("lines that are not as they were read can't be numbered in place")
+            values = numpy.stack([value.to_numpy() for value in told], axis=1)
+            if lag:
+                both = numpy.concatenate([held, values])
+                out = numpy.where((numbers - begins >= lag)[:, None], both[:-lag], -1)
+                held = both[-lag:]
+            else:
+                sums = numpy.cumsum(values, axis=0)
+                since = numpy.maximum.accumulate(numpy.where(first, numpy.arange(len(first)), -1))
+                out = sums + numpy.where((since < 0)[:, None], held, values[since] - sums[since])
+                held = out[-1:]
+            last = numbers[-1]
+            yield pandas.DataFrame(out, columns=fields)
+
+    # Rows before a filter count, so that none may be pushed below.
+    return run.asNondeterministic()(line_no, split, *values)
+
+
+def _sums_in_place(df: DataFrame, sums: Mapping[str, Column], stretch: str | None) -> DataFrame:
+    """As ``running_sums`` within files, for placed lines: no line is shuffled.
+
+    What stands in the splits before is a table of one row a split, which goes to the lines.
+    """
+    valued = df.withColumns({name: F.coalesce(value.cast("bigint"), F.lit(0)) for name, value in sums.items()})
+    upto = Window.partitionBy("file").orderBy(SPLIT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = valued.groupBy("file", SPLIT).agg(*[F.sum(name).alias(f"_of_{name}") for name in sums])
+    before = totals.select(
+        F.col("file").alias("_file"),
+        F.col(SPLIT).alias("_its_split"),
+        *[(F.sum(f"_of_{name}").over(upto) - F.col(f"_of_{name}")).alias(f"_before_{name}") for name in sums],
+        *[F.sum(f"_of_{name}").over(upto).alias(f"{stretch}_{name}") for name in sums if stretch],
+    )
+    same = F.col("file").eqNullSafe(F.col("_file")) & (F.col(SPLIT) == F.col("_its_split"))
+    within = valued.withColumn("_sums", _in_place(F.col("line_no"), F.col(SPLIT), *map(F.col, sums)))
+    summed = within.join(F.broadcast(before), same).withColumns(
+        {name: F.col("_sums")[f"s{i}"] + F.col(f"_before_{name}") for i, name in enumerate(sums)}
+    )
+    if stretch:
+        summed = summed.withColumn(stretch, F.col(SPLIT))
+    return summed.drop("_sums", "_file", "_its_split", SPLIT, REST, *[f"_before_{name}" for name in sums])
+
+
+def _message_of(value: Column) -> Column:
+    """What ``parse_lines`` takes as the message of a line."""
+    fields = F.split(value, FIELD_SEPARATOR, 3)
+    version, ts, message = (F.get(fields, F.lit(i)) for i in range(3))
+    is_record = F.startswith(value, F.lit("VERSION ")) & message.isNotNull() & version.rlike(VERSION) & ts.rlike(TIME_STAMP)
+    return F.when(is_record, message).otherwise(value)
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds ``version, ts, message``; a line without the prefix is all message."""
     fields = F.split("value", FIELD_SEPARATOR, 3)
@@ -109,17 +185,15 @@ def number_records(parsed: DataFrame, stretches: bool = False) -> DataFrame:
     message = _bare(F.col("message"))
     is_record = F.col("version").isNotNull()
     is_section = is_record & F.endswith(message, F.lit(":")) & message.rlike(SECTION)
-    return running_sums(
-        parsed,
-        ["file"],
-        "line_no",
-        {
-            "run_no": (is_record & (message == RUN_MARKER)).cast("int"),
-            "record_no": is_record.cast("int"),
-            "section_no": is_section.cast("int"),
-        },
-        stretch=STRETCH if stretches else None,
-    )
+    sums = {
+        "run_no": (is_record & (message == RUN_MARKER)).cast("int"),
+        "record_no": is_record.cast("int"),
+        "section_no": is_section.cast("int"),
+    }
+    stretch = STRETCH if stretches else None
+    if SPLIT in parsed.columns:
+        return _sums_in_place(parsed, sums, stretch)
+    return running_sums(parsed, ["file"], "line_no", sums, stretch=stretch)
 
 
 def fold_continuations(numbered: DataFrame) -> DataFrame:
@@ -251,6 +325,8 @@ def sample_translations(
     """
     header = rf'^TRANSLATION (\d+) on "\Q{task}\E"$'
     message = _bare(F.col("message"))
+    if SPLIT in parsed.columns:
+        return _listed(_first_in_place(parsed, task, header, indices), indices)
 
     def stretch(line_no: Column) -> Column:
         return F.call_function("div", line_no, F.lit(SPANS[0]))
@@ -286,7 +362,65 @@ def sample_translations(
     else:
         told = told.where(F.col("i").isNull() | F.col("i").isin(list(indices)))
     first = told.groupBy("file", "i").agg(F.min(F.struct("line_no", "_below")).alias("_at"))
-    samples = parse_lines(first.select("file", "i", F.col("_at")["_below"].alias("value")))
+    return _listed(first.select("file", "i", F.col("_at")["_below"].alias("value")), indices)
+
+
+def _first_in_place(
+    lines: DataFrame, task: str, header: str, indices: Sequence[int] | None
+) -> DataFrame:
+    """``file, i, value``: the line two below the first announcement of each sample, of placed lines.
+
+    Only announcements at the end of a split and the lines at the beginning of one have to meet; of
+    the others a task keeps the first of each sample. With ``indices`` each file has a row without ``i``.
+    """
+    value, line_no, at = F.col("value"), F.col("line_no"), F.col("line_no") - F.col(SPLIT)
+    message = _bare(_message_of(value))
+    told = F.startswith(message, F.lit("TRANSLATION ")) & message.rlike(header)
+    # Raw lines are looked at first, so that only candidates are parsed.
+    announces = F.when(F.contains(value, F.lit(f' on "{task}"')) & told, F.regexp_extract(message, header, 1).cast("bigint"))
+    numbered = lines.select("file", "line_no", "value", SPLIT, REST, announces.alias("_own"))
+    above = _in_place(line_no, F.col(SPLIT), F.coalesce("_own", F.lit(-1)), lag=2)
+    seen = numbered.select("*", above["s0"].alias("_above"))
+    if indices is not None:
+        wanted = list(indices)
+        seen = seen.withColumns({n: F.when(F.col(n).isin(wanted), F.col(n)) for n in ("_own", "_above")})
+
+    def entry(when: Column, i: Column | None = None, key: Column | None = None, own: Column | None = None, text: Column | None = None):
+        number = F.lit(None).cast("bigint")
+        parts = [(i, "i"), (key, "key"), (own, "own")]
+        numbers = [(number if part is None else part).alias(name) for part, name in parts]
+        return F.when(when, F.struct(*numbers, (F.lit(None).cast("string") if text is None else text).alias("text")))
+
+    ends, begins = F.col(REST) < 2, at < 2
+    entries = [
+        entry(F.col("_above") >= 0, i=F.col("_above"), key=line_no - 2, text=value),
+        entry(F.col("_own").isNotNull() & ends, key=line_no, own=F.col("_own")),
+        entry(begins & (line_no >= 2), key=line_no - 2, text=value),
+        *([] if indices is None else [entry(at == 0)]),
+    ]
+    met = seen.select("file", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    # At the ends of splits the two lines of an announcement meet by its line number.
+    apart = F.when(F.col("i").isNull(), F.col("key"))
+    pairs = met.groupBy("file", "i", apart.alias("_apart")).agg(
+        F.min(F.when(F.col("i").isNotNull(), F.struct("key", "text"))).alias("_inside"),
+        F.max("own").alias("_own"),
+        F.max(F.when(F.col("i").isNull(), F.col("text"))).alias("_text"),
+    )
+    across = F.struct(F.col("_apart").alias("key"), F.col("_text").alias("text"))
+    both = pairs.select(
+        "file",
+        F.coalesce("i", "_own").alias("i"),
+        F.coalesce("_inside", across).alias("_at"),
+        F.col("_apart").isNull().alias("_known"),
+    ).where(F.col("i").isNotNull() | F.col("_known"))
+    first = both.groupBy("file", "i").agg(F.min("_at").alias("_at"))
+    return first.select("file", "i", F.col("_at")["text"].alias("value"))
+
+
+def _listed(first: DataFrame, indices: Sequence[int] | None) -> DataFrame:
+    """``file, i, translation`` from the line ``value`` below an announcement."""
+    message = _bare(F.col("message"))
+    samples = parse_lines(first)
     found = samples.select("file", "i", without_prefix(message, GENERATED).alias("translation"))
     if indices is None:
         return found

@@ -28,8 +28,13 @@ def spread(table: DataFrame, *key: str, partitions: int | None = None) -> DataFr
     return table.repartition(tasks, *key)
 
 
-def spread_documents(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
+def spread_documents(
+    spark: SparkSession, folder: str, partitions: int | None = None, ordered: bool = False
+) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    if ordered:
+        tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return docs.repartitionByRange(tasks, "lang", "doc_id")
     return spread(docs, "doc_id", partitions=partitions)
 
 
@@ -134,13 +139,14 @@ def scored_pairs(
     return stored_splits(scored, "scored") if stored else scored
 
 
-def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+def log_lines(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """Run logs ``file, line_no, value``: one file per language, one run per document.
 
     A run has a marker, settings, one of them told twice, two evaluations, and a sample block for each line
-    of the document, of which the last line is a continuation without prefix.
+    of the document, of which the last line is a continuation without prefix. ``ordered`` deals the documents
+    out in ranges of what the lines are ordered by, so that the many times longer lines need not be.
     """
-    docs = spread_documents(spark, folder)
+    docs = spread_documents(spark, folder, ordered=ordered)
     runs = docs.withColumn("l", F.split("text", "\n"))
     size = F.length("text").cast("string")
     loss = F.format_string("%d.5", F.col("doc_id"))

@@ -18,6 +18,8 @@ CELLS = {
 }
 
 
+# What placed rows tell: their split, and the rows of it behind them.
+SPLIT, REST = "_split", "_rest"
 # Of stored tables, which are texts for the most part.
 TEXT_CODEC = "zstd"
 # Of buckets, whose rows have lost their neighbours: texts are compressed in longer pages.
@@ -153,7 +155,7 @@ def write_csv(df: DataFrame, path: str, index_by: list[str] | None = None) -> No
 
 
 def number_in_file_order(
-    scan: DataFrame, name: str = "line_no", whole: Column | None = None
+    scan: DataFrame, name: str = "line_no", whole: Column | None = None, placed: bool = False
 ) -> DataFrame:
     """Adds ``file`` and the 0-based position of each row inside its file.
 
@@ -162,9 +164,10 @@ def number_in_file_order(
     the same file is missing; that is a table with one row per split, which goes to the lines,
     so that these are not dealt out. ``whole`` is an
     expression of the path in ``file``: files that agree in it are parts of one, in the order of
-    their names.
+    their names. ``placed`` keeps two columns that tell where a row was read: ``SPLIT``, a number
+    of its split that grows within a file, and ``REST``, how many rows of the split follow.
     """
-    placed = scan.select(
+    rows = scan.select(
         "*",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_name").alias("_part"),
@@ -172,22 +175,24 @@ def number_in_file_order(
         F.monotonically_increasing_id().alias("_seq"),
     )
     if whole is not None:
-        placed = placed.withColumn("file", whole)
+        rows = rows.withColumn("file", whole)
     earlier = (
         Window.partitionBy("file")
         .orderBy("_part", "_block")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     blocks = (
-        placed.groupBy("file", "_part", "_block")
+        rows.groupBy("file", "_part", "_block")
         .agg(F.min("_seq").alias("_first"), F.count("*").alias("_rows"))
         .withColumn("_before", F.sum("_rows").over(earlier) - F.col("_rows"))
-        .drop("_rows")
     )
+    at = F.col("_seq") - F.col("_first")
+    # A split has a row, so the rows before it are a number of its own.
+    told = {name: F.col("_before") + at} | ({SPLIT: F.col("_before"), REST: F.col("_rows") - at - 1} if placed else {})
     return (
-        placed.join(F.broadcast(blocks), ["file", "_part", "_block"])
-        .withColumn(name, F.col("_before") + F.col("_seq") - F.col("_first"))
-        .drop("_part", "_block", "_seq", "_first", "_before")
+        rows.join(F.broadcast(blocks), ["file", "_part", "_block"])
+        .withColumns(told)
+        .drop("_part", "_block", "_seq", "_first", "_before", "_rows")
     )
 
 
@@ -234,25 +239,35 @@ def in_written_order(spark: SparkSession, path: str, name: str = "row_index") ->
     )
 
 
-def read_log_lines(spark: SparkSession, path: str, log: Column | None = None) -> DataFrame:
+def read_log_lines(
+    spark: SparkSession, path: str, log: Column | None = None, placed: bool = False
+) -> DataFrame:
     """``file, line_no, value`` of every log matching a glob, in exact line order.
 
     A log may be kept in parts, as rotated ones are: ``log`` is an expression of the path in
-    ``file`` that names it, and its parts follow each other by their file names.
+    ``file`` that names it, and its parts follow each other by their file names. Lines that are
+    ``placed`` tell where they were read, so that they need not be shuffled to be numbered.
     """
-    lines = number_in_file_order(spark.read.option("lineSep", "\n").text(path), whole=log)
-    return lines.select("file", "line_no", "value")
+    lines = number_in_file_order(spark.read.option("lineSep", "\n").text(path), whole=log, placed=placed)
+    return lines.select("file", "line_no", "value", *[SPLIT, REST][: 2 * placed])
 
 
-def write_log_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
+def write_log_lines(
+    lines: DataFrame, path: str, parts: int | None = None, dealt: bool = False, compression: str | None = None
+) -> None:
     """Logs ``file, line_no, value`` as a folder each, ``log=<file>``, of ordered part files.
 
-    Lines are written in ranges of their order, so a long log is the work of several tasks.
+    Lines are written in ranges of their order, so a long log is the work of several tasks. Lines
+    that come in such ranges are ``dealt`` already, and sorted where they are. A compressed part
+    is read by one task.
     """
     ranges = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named_logs = lines.select(F.col("file").alias("log"), "line_no", "value")
-    sorted_ = named_logs.repartitionByRange(ranges, "log", "line_no").sortWithinPartitions("log", "line_no")
-    sorted_.select("log", "value").write.partitionBy("log").text(path)
+    if not dealt:
+        named_logs = named_logs.repartitionByRange(ranges, "log", "line_no")
+    writer = named_logs.sortWithinPartitions("log", "line_no").select("log", "value").write.partitionBy("log")
+    with shuffles_dropped(lines.sparkSession):
+        writer.text(path, compression=compression)
 
 
 def written_log(path: Column) -> Column:

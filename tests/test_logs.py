@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -162,3 +164,88 @@ def test_samples_read_the_lines_once(spark, tmp_path):
     for frame in (found, listed):
         plan = frame.select("*")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Scan parquet") == 1
+
+
+@pytest.fixture(scope="module")
+def placed(spark, tmp_path_factory):
+    """Lines of two logs in splits of a few lines, and the same without their places."""
+    folder, told = tmp_path_factory.mktemp("placed"), random.Random(7)
+    stamp = "VERSION 1.2.3 : 2031-02-03 04:05:06 : "
+    for name, size in (("a", 400), ("b", 90)):
+        lines = []
+        for i in range(size):
+            number = told.choice([0, 1, 1, 2, 5, 34, 35, 40 + i])
+            kind = told.choice(["announce"] * 4 + ["text"] * 4 + ["run", "section", "more", "other"])
+            lines.append({
+                "announce": f'{stamp}TRANSLATION {number} on "English to Spanish"',
+                "text": f"{stamp}\tGenerated Translation: line {i}",
+                "run": f"{stamp}{logs.RUN_MARKER}",
+                "section": f"{stamp}HYPERPARAMETERS:",
+                "more": f'no prefix, TRANSLATION 3 on "English to Spanish" {i}',
+                "other": f'{stamp}TRANSLATION {number} on "English to French"',
+            }[kind])
+        (folder / f"{name}.log").write_text("\n".join([*lines, f'TRANSLATION 9{size} on "English to Spanish"']) + "\n")
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    for key in keys:
+        spark.conf.set(key, "260")
+    read = [files.read_log_lines(spark, str(folder / "*.log"), placed=kind) for kind in (True, False)]
+    assert read[0].rdd.getNumPartitions() > 30
+    assert read[0].columns == ["file", "line_no", "value", files.SPLIT, files.REST]
+    yield read
+    for key in keys:
+        spark.conf.unset(key)
+
+
+def _same(found, wanted):
+    assert found.columns == wanted.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_placed_lines_are_numbered_where_they_are(placed):
+    inside, outside = (logs.number_records(logs.parse_lines(lines)) for lines in placed)
+    _same(inside, outside)
+    # Of the lines only their flags are summed by split.
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "message" not in "".join(line for line in plan.split("\n") if "Exchange hash" in line or "Sort [" in line)
+    folded = [logs.fold_continuations(logs.number_records(logs.parse_lines(lines), stretches=True)) for lines in placed]
+    _same(*folded)
+    _same(*[logs.evaluation_metrics(numbered) for numbered in (inside, outside)])
+
+
+@pytest.mark.parametrize("indices", [None, (0, 1, 35, 9999, 9400, 990)])
+def test_samples_of_placed_lines(placed, indices):
+    found, wanted = (logs.sample_translations(logs.parse_lines(lines), "English to Spanish", indices) for lines in placed)
+    _same(found, wanted)
+    rows = {(r.file[-5:], r.i): r.translation for r in wanted.collect()}
+    assert rows["a.log", 9400] is None and rows["a.log", 1] is not None
+
+
+def test_placed_lines_that_were_filtered_are_an_error(placed):
+    some = placed[0].where("line_no % 7 <> 3")
+    with pytest.raises(Exception, match="not as they were read"):
+        logs.number_records(logs.parse_lines(some)).collect()
+
+
+def test_lines_in_ranges_are_written_where_they_are(spark, tmp_path):
+    rows = [(f"{'ab'[i % 2]}.log", i * 10, f"line {i} " + "x" * 50) for i in range(500)]
+    lines = spark.createDataFrame(rows, "file string, line_no long, value string").repartitionByRange(6, "file", "line_no")
+    files.write_log_lines(lines, str(tmp_path / "kept"), dealt=True, compression="lz4")
+    parts = list((tmp_path / "kept").glob("log=*/*.lz4"))
+    assert len(parts) > 4 and sum(part.stat().st_size for part in parts) < 500 * 50 / 2
+    read = files.read_log_lines(spark, f"{tmp_path}/kept/log=*/*.txt*", files.written_log(F.col("file")), placed=True)
+    wanted = sorted((file, n // 20, value) for file, n, value in rows)
+    assert sorted(map(tuple, read.select("file", "line_no", "value").collect())) == wanted
+    assert logs.number_records(logs.parse_lines(read)).count() == 500
+
+
+@pytest.mark.parametrize("name", ["log_files_numbered", "log_files_compared", "log_files_scanned"])
+def test_logs_are_written_and_read_in_place(spark, sf_small, name):
+    from tandemtext.plans import queries
+    from tandemtext.session import _made
+
+    before = set(_made)
+    queries.QUERIES[name](spark, sf_small)
+    [path] = [p for p in _made if p not in before]
+    size = sum(row.length for row in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length").collect())
+    read = spark.read.option("recursiveFileLookup", True).text(path)
+    assert size < read.agg(F.sum(F.length("value") + 1)).first()[0] / 2
